@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlab.llm import bpe, packing, secret_scan
+from spanlab.llm import bpe, embed, lines, minhash, packing, quality, secret_scan
 from spanlab.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -16,6 +16,25 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def fitted_quality(spark: SparkSession, sf_dir: str) -> quality.Evidence:
+    return quality.fit_evidence(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: evidence, the posterior means of its source and of its (source, language), quality, keep."""
+    scored = quality.score_documents(table(spark, sf_dir, "documents"), fitted_quality(spark, sf_dir), "source", "lang")
+    return scored.select("doc_id", "evidence", "host_mean", "path_mean", "quality", "keep")
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = minhash.near_documents(table(spark, sf_dir, "documents"), size=4, percent=80)
+    return near.select(near.d.alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(table(spark, sf_dir, "documents"), min_docs=10)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(secret_scan.scan_documents(table(spark, sf_dir, "documents")))
 
@@ -28,8 +47,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_ids, end_id=2)
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_vectors(table(spark, sf_dir, "embeddings"), min_cosine=0.93)
+
+
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe, "op6_secret_scan": op6_secret_scan, "op9_packing": op9_packing}
+    ops = (op1_byte_bpe, op2_quality, op4_minhash, op5_line_dedup, op6_secret_scan, op9_packing, op10_embedding_dedup)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
