@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlab.llm import bpe, embed, lines, minhash, packing, quality, secret_scan
+from spanlab.llm import automaton, bpe, embed, lines, minhash, packing, quality, secret_scan, suffix, winnow
 from spanlab.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -26,6 +26,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "evidence", "host_mean", "path_mean", "quality", "keep")
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = minhash.near_documents(table(spark, sf_dir, "documents"), size=4, percent=80)
     return near.select(near.d.alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -39,6 +43,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(secret_scan.scan_documents(table(spark, sf_dir, "documents")))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.passage_digests(table(spark, sf_dir, "documents"), size=200)
+
+
+def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.passage_digests(table(spark, sf_dir, "documents"), size=13)
+
+
 def word_ids():
     return packing.word_encoder(WORDS).encode
 
@@ -52,7 +64,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_byte_bpe, op2_quality, op4_minhash, op5_line_dedup, op6_secret_scan, op9_packing, op10_embedding_dedup)
+    ops = (op1_byte_bpe, op2_quality, op3_winnowing, op4_minhash, op5_line_dedup, op6_secret_scan, op7_suffix_array, op8_suffix_automaton, op9_packing, op10_embedding_dedup)
     return {f.__name__: f for f in ops}
 
 
