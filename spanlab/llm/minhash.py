@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlab.llm.common import connected_components, materialize
-from spanlab.llm.lines import NO_ID
 from spanlab.llm.pairs import in_blocks
 
 PLACES_LOG2, BANDS, ROWS = 22, 16, 4
 K = BANDS * ROWS
 SEED = 7
+#: Stands for a null id in keys.
+NO_ID = (1 << 63) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -127,12 +128,12 @@ def _across(at_least: int, percent: int):
 
 
 def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct (id, text) of docs: d (the id), k (the text's hash), n_shingles, component_id, kept.
+    """One row per row of docs: d (the id), k (the text's hash), n_shingles, component_id, kept, first.
 
     Links: 100 * intersection >= percent * union of the sets of ``size``-word shingles, A-Z lower-cased.  A document
     without words links with nothing.  component_id is the least id that links reach; a null id counts as none, and
-    a component of null ids has a null id and keeps all its rows.  Repeated rows and rows that share an id are documents of
-    their own that link as any others.
+    a component of null ids has a null id.  Repeated rows and rows that share an id are documents of their own that
+    link as any others.  ``first`` marks the least (id, text hash) of a component: repeated rows apart, one row.
     """
     sketch = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("k"), F.col(text_col).alias("text"))
     sketch = materialize(sketch.mapInArrow(_sketch(size), "d long, k long, n long, digest binary, sig binary"))
@@ -173,8 +174,17 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
 
     comp = connected_components(first.unionByName(second))
     named = classes.join(comp, classes.cid == comp.node, "left").withColumn("component", F.coalesce("component", "cid"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = materialize(named.join(least, "component").select("digest", "component_id"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("row").alias("head"))
+    named = materialize(named.join(least, "component").select("digest", "component_id", "head"))
     out = sketch.select("d", "k", "n", "digest").join(named, "digest", "left")
     comp_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("d"))
-    return out.select("d", "k", F.col("n").alias("n_shingles"), comp_id.alias("component_id"), F.col("d").eqNullSafe(comp_id).alias("kept"))
+    first = F.when(F.col("n") > 0, F.struct(F.coalesce("d", F.lit(NO_ID)).alias("d"), "k") == F.col("head")).otherwise(F.lit(True))
+    return out.select("d", "k", F.col("n").alias("n_shingles"), comp_id.alias("component_id"), F.col("d").eqNullSafe(comp_id).alias("kept"), first.alias("first"))
+
+
+def drop_near_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns in order, with one row of each component (see near_documents), and of repeated rows one."""
+    near = near_documents(docs, size, percent, id_col, text_col).where("first")
+    stay = near.select(F.coalesce("d", F.lit(NO_ID)).alias("__d"), F.col("k").alias("__k")).distinct()
+    rows = docs.withColumns({"__d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__k": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    return rows.join(stay, ["__d", "__k"]).dropDuplicates(["__d", "__k"]).select(*(f"`{c}`" for c in docs.columns))
