@@ -68,5 +68,34 @@ def queries() -> dict:
     return {f.__name__: f for f in ops}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+WORDS_OF = "list_filter(string_split_regex({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+OP4_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS_OF.format(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) END) AS s FROM w),
+e AS (SELECT doc_id, UNNEST(s) AS g FROM s), p AS (SELECT a.doc_id AS u, b.doc_id AS v, COUNT(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN s a ON a.doc_id = u JOIN s b ON b.doc_id = v WHERE 100 * n >= 80 * (len(a.s) + len(b.s) - n)), b AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r(n, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.n), m AS (SELECT n AS doc_id, MIN(c) AS component_id FROM r GROUP BY n)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (doc_id)"""
+
+OP5_SQL = f"""WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents), l AS (SELECT doc_id, UNNEST(a) AS line, generate_subscripts(a, 1) AS pos FROM s),
+k AS (SELECT *, translate(trim(line, {BLANKS}), '{UPPER}', '{LOWER}') AS key FROM l), hot AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING COUNT(DISTINCT doc_id) >= 10),
+m AS (SELECT k.*, hot.key IS NOT NULL AS gone FROM k LEFT JOIN hot USING (key))
+SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+
+OP8_SQL = f"""WITH w AS (SELECT doc_id, {WORDS_OF.format("coalesce(text, '')")} AS w FROM documents), t AS (SELECT doc_id, UNNEST(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+x AS (SELECT doc_id, UNNEST(range(1, greatest(len(w) - 11, 1))) AS i, w FROM w), y AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM x), f AS (SELECT g, MIN(doc_id) AS d FROM y GROUP BY g),
+c AS (SELECT DISTINCT doc_id, i + UNNEST(range(13)) AS i FROM y JOIN f USING (g) WHERE d < doc_id), m AS (SELECT t.*, c.i IS NOT NULL AS gone FROM t LEFT JOIN c USING (doc_id, i)),
+n AS (SELECT doc_id, COUNT(*) AS n_words, COUNT(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN n USING (doc_id)"""
+
+OP10_SQL = """WITH RECURSIVE g AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+b AS (SELECT a.vec_id AS u, c.vec_id AS v FROM g a JOIN g c ON a.label = c.label AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE list_cosine_similarity(a.v, c.v) >= 0.93),
+r(n, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.n), m AS (SELECT n AS vec_id, MIN(c) AS component_id FROM r GROUP BY n), k AS (SELECT u AS vec_id, COUNT(*) AS n FROM b GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN k USING (vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of the queries that SQL expresses; the others are held against brute force, round trips and held-out labels in tests/llm."""
+    return {"op4_minhash": OP4_SQL, "op5_line_dedup": OP5_SQL, "op8_suffix_automaton": OP8_SQL, "op10_embedding_dedup": OP10_SQL}
