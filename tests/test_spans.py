@@ -129,6 +129,6 @@ def test_extract_find_merge_nested(spark):
 
 def test_values(spark):
     d = spark.createDataFrame([("HER2", "HER2 négatif score 1+"), ("ER", "RE 90 %"), ("ER", "RE 5%"), ("PR", "RP négatif"), ("Ki67", "Ki 67: 15 %"), ("Ki67", "Ki"), ("FISH", "FISH non amplifié"), ("HER2", "HER2 +++")], "label string, text string")
-    assert rows(P.emit_values(d), "label", "value") == [("Estrogen_receptor", "negatif"), ("Estrogen_receptor", "positif"), ("HER2_FISH", "negatif"), ("HER2_IHC", "1+"), ("HER2_IHC", "3+"), ("HER2_status", "negatif"), ("Ki67", "15%"), ("Progesterone_receptor", "negatif")]
+    assert rows(P.emit_values(d), "label", "value") == [("Estrogen_receptor", "negatif"), ("Estrogen_receptor", "positif"), ("HER2_FISH", "negatif"), ("HER2_IHC", "1+"), ("HER2_IHC", "3+"), ("HER2_status", "negatif"), ("HER2_status", "positif"), ("Ki67", "15%"), ("Progesterone_receptor", "negatif")]
     r = spark.createDataFrame([("HER2",), ("si HER2",), ("12 ans",), ("anti-HER2",), ("HER2 pos",)], "t string").select(T.rejected("t").alias("r"))
     assert [x.r for x in r.collect()] == [True, True, True, True, False]
