@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -17,12 +18,20 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanlab-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now, as its periodic cleaner would in half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back.
 
@@ -32,9 +41,19 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/spanlab/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(written: DataFrame) -> None:
+    """Delete the files of a table that materialize wrote and nothing reads any more."""
+    spark = written.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/spanlab/{spark.sparkContext.applicationId}/"
+    for parent in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder + parent.rsplit("/", 1)[1])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlab.llm.common import materialize
+from spanlab.llm.common import discard, materialize
 from spanlab.llm.minhash import mix
 from spanlab.llm.pairs import in_blocks
 
 #: Symbols worked at once; longer documents are worked in overlapping pieces.
 PIECE = 1 << 20
+FIELD = 12
 _BITS = np.uint64(24)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = []
@@ -94,7 +95,12 @@ def _pieces(docs: Iterator[np.ndarray], size: int) -> Iterator[tuple[list[tuple[
 
 
 def runs_of(rows: DataFrame, symbols: Callable[[str | None], np.ndarray], size: int, k: int) -> DataFrame:
-    """rows (d long, k long, text) -> (d, k, a, v, p, lo, hi): anchor and content hashes, the anchor's place, windows before and after it."""
+    """rows (d long, k long, text) -> (d, k, a, v, at): anchor and content hashes; where the run is, packed by FIELD.
+
+    ``at`` holds the anchor's place, the windows from the first one to it, and those of the run.
+    """
+    if size - k >= 1 << FIELD:
+        raise ValueError(f"windows may have at most {(1 << FIELD) - 1} symbols more than an anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,10 +108,17 @@ def runs_of(rows: DataFrame, symbols: Callable[[str | None], np.ndarray], size:
             for names, sym, starts in _pieces(map(symbols, b.column(2).to_pylist()), size):
                 doc, owner, first, last, anchor, content = owned_runs(sym, starts, size, k)
                 row, off = np.array([x for x, _ in names])[doc], np.array([x for _, x in names])[doc] - starts[doc]
-                cols = [d[row], key[row], anchor.view(np.int64), content.view(np.int64), (owner + off).astype(np.int64), (first - owner).astype(np.int32), (last - owner).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["d", "k", "a", "v", "p", "lo", "hi"])
+                at = ((owner + off) << 2 * FIELD) | ((owner - first) << FIELD) | (last - first)
+                cols = [d[row], key[row], anchor.view(np.int64), content.view(np.int64), at]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["d", "k", "a", "v", "at"])
+
+    return rows.mapInArrow(run, "d long, k long, a long, v long, at long")
+
 
-    return rows.mapInArrow(run, "d long, k long, a long, v long, p long, lo int, hi int")
+def unpacked(at) -> tuple[int, int, int]:
+    """Anchor, first window, last window."""
+    p, low = at >> 2 * FIELD, (at >> FIELD) & ((1 << FIELD) - 1)
+    return p, p - low, p - low + (at & ((1 << FIELD) - 1))
 
 
 def _contexts(symbols: Callable[[str | None], np.ndarray], size: int, width: int):
@@ -117,11 +130,12 @@ def _contexts(symbols: Callable[[str | None], np.ndarray], size: int, width: int
             for i in range(b.num_rows):
                 sym = symbols(b.column(2)[i].as_py())
                 runs = b.column(3)[i].as_py()
-                first = [r["p"] + r["lo"] for r in runs]
-                s = [sym[f : r["p"] + r["hi"] + size].astype(kind).tobytes() for f, r in zip(first, runs)]
+                at = [unpacked(r["at"]) for r in runs]
+                first = [f for _, f, _ in at]
+                s = [sym[f : last + size].astype(kind).tobytes() for _, f, last in at]
                 n = len(runs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["a"] for r in runs], pa.int64()), pa.array([b.column(0)[i].as_py()] * n, pa.int64()), pa.array([b.column(1)[i].as_py()] * n, pa.int64()), pa.array(first, pa.int64()), pa.array([-r["lo"] for r in runs], pa.int32()), pa.array([r["whole"] for r in runs], pa.bool_()), pa.array(s, pa.binary())],
+                    [pa.array([r["a"] for r in runs], pa.int64()), pa.array([b.column(0)[i].as_py()] * n, pa.int64()), pa.array([b.column(1)[i].as_py()] * n, pa.int64()), pa.array(first, pa.int64()), pa.array([p - f for p, f, _ in at], pa.int32()), pa.array([r["whole"] for r in runs], pa.bool_()), pa.array(s, pa.binary())],
                     names=["a", "d", "k", "first", "place", "whole", "s"],
                 )
 
@@ -137,18 +151,21 @@ def repeated_spans(rows: DataFrame, symbols: Callable[[str | None], np.ndarray],
     occ = materialize(runs_of(rows, symbols, size, k))
     there = F.min("d") < F.max("d") if earlier else F.count("*") > 1
     some = occ.groupBy("a").agg((F.min("v") == F.max("v")).alias("same"), F.min("d").alias("least"), there.alias("there")).where("there").drop("there")
-    some = materialize(occ.join(some, "a"))
+    sums = materialize(some)
+    some = materialize(occ.join(sums, "a"))  # apart from the sums, a join that a hot anchor's rows may split
+    discard(occ)
+    discard(sums)
     # one content: all of it repeats
     again = F.col("d") > F.col("least") if earlier else F.lit(True)
-    done = some.where("same").where(again).select("d", "k", "p", "lo", "hi")
+    done = some.where("same").where(again).select("d", "k", "at")
     # several contents
     mixed = some.where("not same").drop("same", "least")
-    kinds = mixed.groupBy("a", "v").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "p", "lo", "hi")).alias("one"))
+    kinds = mixed.groupBy("a", "v").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "at")).alias("one"))
     kinds = materialize(kinds)
     again = F.col("d") > F.col("one.d") if earlier else F.col("n") > 1
-    more = mixed.join(kinds, ["a", "v"]).where(again).select("d", "k", "p", "lo", "hi")
+    more = mixed.join(kinds, ["a", "v"]).where(again).select("d", "k", "at")
     heads = kinds.select("a", "one.*", (F.lit(False) if earlier else F.col("n") > 1).alias("whole"))
-    wanted = heads.groupBy("d", "k").agg(F.collect_list(F.struct("a", "p", "lo", "hi", "whole")).alias("runs"))
+    wanted = heads.groupBy("d", "k").agg(F.collect_list(F.struct("a", "at", "whole")).alias("runs"))
     contexts = rows.join(wanted, ["d", "k"])
     contexts = contexts.select("d", "k", "text", "runs").mapInArrow(_contexts(symbols, size, width), "a long, d long, k long, first long, place int, whole boolean, s binary")
     contexts = materialize(contexts.withColumn("id", F.xxhash64("d", "k", "first")))
@@ -161,7 +178,9 @@ def repeated_spans(rows: DataFrame, symbols: Callable[[str | None], np.ndarray],
         return pa.RecordBatch.from_arrays([pa.array(t.column("d").to_numpy()[row]), pa.array(t.column("k").to_numpy()[row]), pa.array(at + first), pa.array(at + last + size)], names=["d", "k", "s", "e"])
 
     edges = in_blocks(contexts, ["a"], "id", find, "d long, k long, s long, e long")
-    whole = done.unionByName(more).select("d", "k", (F.col("p") + F.col("lo")).alias("s"), (F.col("p") + F.col("hi") + size).alias("e"))
+    part = (1 << FIELD) - 1
+    first = F.shiftright("at", 2 * FIELD) - F.shiftright("at", FIELD).bitwiseAND(F.lit(part))
+    whole = done.unionByName(more).select("d", "k", first.alias("s"), (first + F.col("at").bitwiseAND(F.lit(part)) + size).alias("e"))
     return whole.unionByName(edges).groupBy("d", "k").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
 
 
