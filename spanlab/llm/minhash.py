@@ -7,9 +7,10 @@ contiguous read, so a shingle costs one look-up for the whole signature.
 
 Documents of equal sets are one class from the start.  In every bucket of every band the least class is a leader;
 pairs (leader, member) are verified on full sets and joined to components.  A second pass takes every bucket that still
-holds several components and asks, in blocks of bounded size, for pairs across components whose signatures agree as
-much as those of linked sets do (all but about one linked pair in a million); those too are verified on full sets.  So no group's
-pairs are listed, and a link between components is not lost to the leader's choice.
+holds several components, with full sets, in blocks of bounded size: pairs across components whose signatures agree as
+much as those of linked sets do (all but about one linked pair in a million) are verified, likely ones first, until the
+block's components are joined or shown apart.  So no group's pairs are listed, and a link between components is not
+lost to the leader's choice.
 
 With 16 bands of 4 a pair at similarity 0.8 shares no bucket with probability 2e-4, at 0.85 6e-6.
 """
@@ -100,29 +101,55 @@ def _sets(size: int):
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _across(at_least: int, percent: int):
+    """Links across the components of one bucket's block, no more than it takes to join them.
+
+    Likely pairs come first; a pair whose ends the block has joined already is not verified again.
+    """
+
     def find(t: pa.Table, cross: bool) -> pa.RecordBatch | None:
-        rows = t.num_rows
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(rows, K)
+        rows, band = t.num_rows, t.column("band")[0].as_py()
+        sets = [np.frombuffer(s, np.uint64) for s in t.column("s").to_pylist()]
+        sig = np.stack([signature(s) for s in sets])
         cid, comp, n, c = (t.column(x).to_numpy() for x in ("cid", "comp", "n", "__c"))
-        band = t.column("band")[0].as_py()
-        a_out, b_out = [], []
+        first, second, agree = [], [], []
         for i in range(rows - 1):
             ok = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
             if cross:
                 ok &= c[i + 1 :] != c[i]
             j = np.flatnonzero(ok) + i + 1
-            if not len(j):
-                continue
             same = sig[j] == sig[i]
-            j, same = j[(enough := same.sum(axis=1) >= at_least)], same[enough]
-            if band:  # a pair that shares an earlier band is found there
-                j = j[~same[:, : band * ROWS].reshape(len(j), band, ROWS).all(axis=2).any(axis=1)]
-            a_out.append(np.minimum(cid[j], cid[i]))
-            b_out.append(np.maximum(cid[j], cid[i]))
-        if not a_out:
+            total = same.sum(axis=1)
+            j, same, total = j[total >= at_least], same[total >= at_least], total[total >= at_least]
+            if band and len(j):  # a pair that shares an earlier band is looked at there
+                own = ~same[:, : band * ROWS].reshape(len(j), band, ROWS).all(axis=2).any(axis=1)
+                j, total = j[own], total[own]
+            first.append(np.full(len(j), i))
+            second.append(j)
+            agree.append(total)
+        if not first:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
+        order = np.argsort(-np.concatenate(agree), kind="stable")
+        first, second = np.concatenate(first)[order], np.concatenate(second)[order]
+        up = {x: x for x in comp.tolist()}
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        found = []
+        for i, j in zip(first.tolist(), second.tolist()):
+            x, y = top(int(comp[i])), top(int(comp[j]))
+            if x != y and _linked(sets[i], sets[j], percent):
+                up[max(x, y)] = min(x, y)
+                found.append((int(cid[i]), int(cid[j])))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
 
     return find
 
@@ -143,7 +170,7 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)))
     bands = classes.select("cid", "n", F.posexplode(keys).alias("band", "key"))
     leaders = bands.groupBy("band", "key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last"), F.min_by("n", "cid").alias("lead_n")).where("lead < last").drop("last")
-    shared = materialize(bands.join(leaders, ["band", "key"]))
+    shared = materialize(bands.join(materialize(leaders), ["band", "key"]))  # apart from the sums, a join that a hot bucket's rows may split
     fits = F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent
     stars = shared.where(F.col("cid") != F.col("lead")).where(fits).select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
 
@@ -153,12 +180,7 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
 
     @F.pandas_udf("boolean")
     def linked(p, q):
-        def one(x, y):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return 100 * both >= percent * (len(x) + len(y) - both)
-
-        return p.combine(q, one).astype(bool)
+        return p.combine(q, lambda x, y: _linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)).astype(bool)
 
     def verified(pairs: DataFrame) -> DataFrame:
         s = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("p")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("q")), "b")
@@ -168,9 +190,9 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     comp = materialize(connected_components(first))
     placed = shared.select("band", "key", "cid", "n").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
     mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
-    open_rows = placed.join(mixed, ["band", "key"]).join(classes.select("cid", "sig"), "cid").select("band", "key", "cid", "n", "comp", "sig")
+    open_rows = placed.join(materialize(mixed), ["band", "key"]).join(sets, "cid").select("band", "key", "cid", "n", "comp", "s")
     at_least = int(K * percent / 100 - 4.6 * np.sqrt(K * percent / 100 * (1 - percent / 100)))
-    second = verified(in_blocks(open_rows, ["band", "key"], "cid", _across(at_least, percent), "a long, b long").distinct())
+    second = in_blocks(open_rows, ["band", "key"], "cid", _across(at_least, percent), "u long, v long")
 
     comp = connected_components(first.unionByName(second))
     named = classes.join(comp, classes.cid == comp.node, "left").withColumn("component", F.coalesce("component", "cid"))
