@@ -8,7 +8,8 @@ size - k symbols.  Then:
 1. Anchors are counted over the corpus.  A run whose anchor has no second one cannot repeat.
 2. Runs of one anchor with equal content (one hash over all their windows' symbols) repeat as a whole.
 3. Where an anchor has runs of unlike content, one run of each content is compared symbol by symbol, with the method
-   that the operator names, in blocks of bounded size.
+   that the operator names, in blocks of bounded size.  Where a run's document counts, what is found in it holds at
+   the same places of the runs of that content in rows of the same document number.
 
 Only numbers travel in 1 and 2; sums are combined before the shuffle, and joins are ones that skewed keys may split.
 """
@@ -163,25 +164,37 @@ def repeated_spans(rows: DataFrame, symbols: Callable[[str | None], np.ndarray],
     kinds = mixed.groupBy("a", "v").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "at")).alias("one"))
     kinds = materialize(kinds)
     again = F.col("d") > F.col("one.d") if earlier else F.col("n") > 1
-    more = mixed.join(kinds, ["a", "v"]).where(again).select("d", "k", "at")
+    part = F.lit((1 << FIELD) - 1)
+    start = lambda at: F.shiftright(at, 2 * FIELD) - F.shiftright(at, FIELD).bitwiseAND(part)
+    end = start("at") + F.col("at").bitwiseAND(part) + size
+    head = F.struct(F.col("one.d").alias("d"), F.col("one.k").alias("k"), start("one.at").alias("first"))
+    more = mixed.join(kinds, ["a", "v"]).where(again | (F.col("k") != F.col("one.k")) | (F.col("at") != F.col("one.at")))
+    more = more.select("d", "k", start("at").alias("s"), end.alias("e"), F.when(~again, head).alias("head"))
     heads = kinds.select("a", "one.*", (F.lit(False) if earlier else F.col("n") > 1).alias("whole"))
     wanted = heads.groupBy("d", "k").agg(F.collect_list(F.struct("a", "at", "whole")).alias("runs"))
     contexts = rows.join(wanted, ["d", "k"])
     contexts = contexts.select("d", "k", "text", "runs").mapInArrow(_contexts(symbols, size, width), "a long, d long, k long, first long, place int, whole boolean, s binary")
     contexts = materialize(contexts.withColumn("id", F.xxhash64("d", "k", "first")))
+    # runs that repeat as a whole, and those that repeat where their head does
+    runs = materialize(done.select("d", "k", start("at").alias("s"), end.alias("e")).unionByName(more, allowMissingColumns=True))
+    discard(some)
+    discard(kinds)
 
     def find(t: pa.Table, cross: bool) -> pa.RecordBatch | None:
         row, first, last = compare(t, size)
         if not len(row):
             return None
         at = t.column("first").to_numpy()[row]
-        return pa.RecordBatch.from_arrays([pa.array(t.column("d").to_numpy()[row]), pa.array(t.column("k").to_numpy()[row]), pa.array(at + first), pa.array(at + last + size)], names=["d", "k", "s", "e"])
-
-    edges = in_blocks(contexts, ["a"], "id", find, "d long, k long, s long, e long")
-    part = (1 << FIELD) - 1
-    first = F.shiftright("at", 2 * FIELD) - F.shiftright("at", FIELD).bitwiseAND(F.lit(part))
-    whole = done.unionByName(more).select("d", "k", first.alias("s"), (first + F.col("at").bitwiseAND(F.lit(part)) + size).alias("e"))
-    return whole.unionByName(edges).groupBy("d", "k").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
+        return pa.RecordBatch.from_arrays([pa.array(t.column("d").to_numpy()[row]), pa.array(t.column("k").to_numpy()[row]), pa.array(at), pa.array(at + first), pa.array(at + last + size)], names=["d", "k", "first", "s", "e"])
+
+    edges = materialize(in_blocks(contexts, ["a"], "id", find, "d long, k long, first long, s long, e long"))
+    discard(contexts)
+    spans = runs.where("head is null").select("d", "k", "s", "e").unionByName(edges.select("d", "k", "s", "e"))
+    if earlier:
+        like = runs.where("head is not null").select("d", "k", F.col("s").alias("at"), "head")
+        found = edges.select(F.struct("d", "k", "first").alias("head"), F.col("s") - F.col("first"), F.col("e") - F.col("first")).toDF("head", "s", "e").distinct()
+        spans = spans.unionByName(like.join(found, "head").select("d", "k", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e")))
+    return spans.groupBy("d", "k").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
 
 
 def merged(spans: list | None) -> list[tuple[int, int]]:

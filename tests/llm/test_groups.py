@@ -226,6 +226,29 @@ def test_word_passages(spark, seed, size):
     assert got == brute_words(docs, size)
 
 
+def test_word_passages_twice_in_a_document(spark):
+    """A line again and again in one document, or in rows of one id, of which an earlier document has all or a part in other surroundings."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, part = words(20), words(40)
+    rows = [(3, words(15) + line + words(15)), (5, line * 8), (2, part[:24]), (6, words(3) + (part + words(2)) * 6), (7, line + part), (7, line + words(1) + part + part)]
+    rows += [(8, x) for y in [words(30)] for x in (y + words(4), words(4) + y + y)] + [(None, line + line), (9, words(2) + line + line + part)]
+    order = lambda d: float("inf") if d is None else d
+    least = {}
+    for d, w in rows:
+        for i in range(len(w) - 12):
+            g = tuple(w[i : i + 13])
+            least[g] = min(least.get(g, float("inf")), order(d))
+    want = []
+    for d, w in rows:
+        gone = {i + j for i in range(len(w) - 12) if least[tuple(w[i : i + 13])] < order(d) for j in range(13)}
+        want.append((d, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
+    assert want[1][:3] == (5, 160, 160)
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = automaton.passage_digests(df, 13).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_automaton():
     rng = random.Random(8)
     seqs = [[rng.choice("ab") for _ in range(rng.randrange(1, 40))] for _ in range(12)]
