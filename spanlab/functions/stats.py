@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -42,12 +43,7 @@ def normal_sf(z: float) -> float:
 
 
 def normal_ppf(p: float) -> float:
-    """By bisection and Newton; enough for plotting positions."""
-    lo, hi = -40.0, 40.0
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if 1 - normal_sf(mid) < p else (lo, mid)
-    return (lo + hi) / 2
+    return NormalDist().inv_cdf(p)
 
 
 def chi2_sf1(x: float) -> float:
@@ -113,7 +109,10 @@ def _poly(c, x: float) -> float:
 
 
 def shapiro(x: np.ndarray) -> tuple[float, float]:
-    """(W, p) of the Shapiro-Wilk test by Royston's approximation, for 3 to 5000 values; NaN for less or no spread."""
+    """(W, p) of the Shapiro-Wilk test by Royston's approximation, for 3 values or more; NaN for less or no spread.
+
+    The approximation of p was fitted for up to 5000 values and is carried on above them.
+    """
     x = np.sort(np.asarray(x, float))
     n = len(x)
     if n < 3 or x[0] == x[-1]:

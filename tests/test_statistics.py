@@ -37,6 +37,19 @@ def test_cochran_and_friedman(spark):
     assert R.route_mentions(f, ["rules", "TBM", "LLM"]).first().method == "rules"
 
 
+def test_paired_tests_of_many_documents(spark):
+    """Normality is that of all differences, whatever their order."""
+    head = [(S.normal_ppf((i + 0.5) / 5000), 0.0) for i in range(5000)]
+    tail = [(40.0, 0.0)] * 1000
+    x = np.array([a for a, _ in head + tail])
+    assert S.shapiro(x[:5000])[1] > 0.05 >= S.shapiro(x)[1]
+    for rows in (head + tail, tail + head):
+        m = spark.createDataFrame([("L", i, a, b) for i, (a, b) in enumerate(rows)], "label string, doc_id long, f1_a double, f1_b double").coalesce(1)
+        r = G.paired_tests(m, ["a", "b"]).first()
+        assert (r.n, r.test, r.winner) == (6000, "wilcoxon", "a")
+        assert (r.statistic, r.p) == pytest.approx(S.wilcoxon(x, np.zeros(6000)))
+
+
 def test_frugal(spark):
     p = spark.createDataFrame([("a", "TBM", True), ("a", "LLM", True), ("b", "LLM", False)], "label string, winner string, significant boolean")
     assert {r.label: r.method for r in R.vote(p, ["rules", "TBM", "LLM"]).collect()} == {"a": "TBM", "b": "rules"}
