@@ -442,8 +442,7 @@ def route_frugal(spark, d):
 
 @query(f"""WITH {MATRIX}, t AS (SELECT label, COUNT(*) AS n FROM matrix GROUP BY label) SELECT COUNT(*) FILTER (n >= 10) AS n_tested, COUNT(*) FILTER (n >= 10) AS n_significant FROM t""")
 def run_summary(spark, d):
-    m = G.score_matrix(U.scores(spark, d), METHODS).groupBy("label").agg(F.count("*").alias("n")).withColumn("p", F.lit(0.01))
-    return R.run_summary(m, "n")
+    return R.run_summary(G.friedman(G.score_matrix(U.scores(spark, d), METHODS), METHODS), "n_docs")
 
 
 # --- tokens and spans --------------------------------------------------------------------------------------------
