@@ -9,10 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanlab.llm import automaton, embed, lines, minhash, suffix
+from spanlab.llm import automaton, embed, lines, minhash, secret_scan, suffix
 from spanlab.llm.common import connected_components
 
 from .conftest import PASSAGE, ROWS
+from .test_maps import check_packing
 
 SPACE = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -328,3 +329,47 @@ def test_pipeline(spark, tmp_path, odd):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         for table in (d, d.where("false")):
             assert stage(spark, table, sf).columns == columns
+
+
+def brute_near(docs, size=5):
+    """One document of each group, the least id, by all pairs."""
+    sets = {}
+    for d, t in docs.items():
+        w = t.translate(LOWER).encode().split()
+        sets[d] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+    links = [(a, b) for a, b in itertools.combinations(docs, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    return {d: docs[d] for d, c in components(docs, links).items() if d == c}
+
+
+def brute_redacted(text):
+    """Code point by code point; a span that starts in another goes with it."""
+    spans, out, i = secret_scan.find_spans(text), [], 0
+    while i < len(text):
+        here = [s for s in spans if s.start == i]
+        if not here:
+            out.append(text[i])
+            i += 1
+            continue
+        out.append(f"[{here[0].kind}]")
+        end = max(s.end for s in here)
+        while more := [s.end for s in spans if i <= s.start < end < s.end]:
+            end = max(more)
+        i = end
+    return "".join(out)
+
+
+def test_pipeline_whole(spark):
+    """run() packs what brute force leaves of the classifier's documents: every id, length and crc32."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = corpus_pipeline.good_documents(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    lined = brute_lines({r.doc_id: r.text for r in docs.collect()}, 10)
+    near = brute_near(lined)
+    clean = {d: brute_redacted(t) for d, t in near.items()}
+    assert len(near) < len(lined) and clean != near
+    encode = corpus_pipeline.word_ids()
+    ids = {d: [*np.frombuffer(encode(t), "<u4").tolist(), 2] for d, t in clean.items()}
+    rows = corpus_pipeline.run(spark, sf).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset").collect()
+    sizes, _ = check_packing([tuple(r) for r in rows], ids)
+    assert max(sizes) <= 4096
