@@ -1,9 +1,9 @@
 """Substring dedup: word passages that an earlier document has, by suffix automata of reference shards.
 
-Candidates come from repeats.py; what it leaves to compare arrives as blocks of contexts that share an anchor.  Each
-block is a shard: its contexts, in order of document, build one suffix automaton whose states know the least document
-they occur in, and every context is streamed through it for matching statistics.  A window of ``size`` words whose
-state has a smaller document is removed; the operator's spans are maximal.
+Candidates come from repeats.py as contexts grouped by a shared anchor.  Each group is a shard: its contexts build one
+suffix automaton whose states know the least document they occur in, and every context is streamed through it for
+matching statistics.  For each window of ``size`` words that gives the least document; a document loses the words
+of the windows whose least document is smaller than itself.  The operator's spans are maximal.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from spanlab.llm.repeats import merged, repeated_spans
 from spanlab.llm.suffix import keyed
 
-SIZE, GRAM = 13, 3
+SIZE, GRAM = 13, 4
 #: Null ids come after all others.
 LAST_ID = (1 << 63) - 1
 
@@ -72,40 +73,46 @@ class SuffixAutomaton:
             if self.least[s] < self.least[up]:
                 self.least[up] = self.least[s]
 
-    def earlier(self, words, owner: int, size: int) -> list[int]:
-        """Starts of the windows of size words that occur in a sequence of a smaller owner."""
-        state, length, out = 0, 0, []
+    def owners(self, words, size: int) -> list[int]:
+        """For each window of size words the least owner of a sequence that it occurs in; LAST_ID where there is none."""
+        state, length, out = 0, 0, [LAST_ID] * max(len(words) - size + 1, 0)
+        moves, link, lengths, least = self.next, self.link, self.length, self.least
         for i, w in enumerate(words):
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                length = self.length[state]
-            if w in self.next[state]:
-                state, length = self.next[state][w], length + 1
-            while state and self.length[self.link[state]] >= size:
-                state = self.link[state]
-                length = self.length[state]
-            if length >= size and self.least[state] < owner:
-                out.append(i - size + 1)
+            while state and w not in moves[state]:
+                state = link[state]
+                length = lengths[state]
+            if w in moves[state]:
+                state, length = moves[state][w], length + 1
+            while state and lengths[link[state]] >= size:
+                state = link[state]
+                length = lengths[state]
+            if length >= size:
+                out[i - size + 1] = least[state]
         return out
 
 
-def compare_words(t: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    owner = t.column("d").to_pylist()
-    words = [np.frombuffer(s, np.uint64).tolist() for s in t.column("s").to_pylist()]
-    a = SuffixAutomaton()
-    for i in sorted(range(len(owner)), key=owner.__getitem__):
-        a.add(words[i], owner[i])
-    a.finish()
-    row, first, last = [], [], []
-    for i, w in enumerate(words):
-        for s in a.earlier(w, owner[i], size):
-            if row and row[-1] == i and last[-1] == s - 1:
-                last[-1] = s
-            else:
-                row.append(i)
-                first.append(s)
-                last.append(s)
-    return np.array(row, np.int64), np.array(first, np.int64), np.array(last, np.int64)
+def compare_words(t: pa.Table, size: int) -> tuple[np.ndarray, ...]:
+    """Ranges of windows by least owner (see repeats.py), those that some run's document exceeds."""
+    owner, most = t.column("least").to_pylist(), t.column("most").to_pylist()
+    raw = np.frombuffer(b"".join(t.column("s").to_pylist()), np.uint64).tolist()
+    ends = (np.cumsum(pc.binary_length(t.column("s")).to_numpy()) // 8).tolist()
+    words = [raw[x:y] for x, y in zip([0, *ends], ends)]
+    a = t.column("a").to_numpy()
+    cuts = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
+    out: list[tuple] = []
+    for begin, end in zip(cuts, cuts[1:]):
+        shard = SuffixAutomaton()
+        for i in range(begin, end):
+            shard.add(words[i], owner[i])
+        shard.finish()
+        for i in range(begin, end):
+            found, s = shard.owners(words[i], size), 0
+            for j in range(1, len(found) + 1):
+                if j == len(found) or found[j] != found[s]:
+                    if found[s] < most[i]:
+                        out.append((i, s, j - 1, found[s]))
+                    s = j
+    return tuple(np.array(out, np.int64).reshape(-1, 4).T)
 
 
 def word_symbols(text: str | None) -> np.ndarray:

@@ -1,11 +1,11 @@
 """Suffix-array dedup: byte passages that occur again, by blockwise suffix sorting with a difference cover.
 
-Candidates come from repeats.py; what it leaves to compare arrives as blocks of contexts that share an anchor.  A block
-is laid out with the anchors at multiples of V, and its suffixes are sorted one bucket at a time.  A bucket is the
-suffixes of one residue modulo V that start with the same V bytes; ties that go on longer are resolved by the ranks
-of the cover sample: positions whose residue is in a difference cover of V, ranked beforehand by prefix doubling
-over the sample alone.  Memory is that of the sample and of one bucket's keys.  Neighbours in the order that agree in
-``size`` bytes are windows that occur again.
+Candidates come from repeats.py as contexts grouped by a shared anchor.  A block of them is laid out with the anchors at
+multiples of V, and its suffixes are sorted one bucket at a time.  A bucket is the suffixes of one residue modulo V that
+start with the same V bytes; ties that go on longer are resolved by the ranks of the cover sample: positions whose
+residue is in a difference cover of V, ranked beforehand by prefix doubling over the sample alone.  Memory is that of
+the sample and of one residue's keys.  Neighbours in the order that agree in ``size`` bytes are one window, which occurs
+as often as the contexts that have it do.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from spanlab.llm.lines import NO_ID
 from spanlab.llm.repeats import merged, repeated_spans
 
 V = 32
-MIN_BYTES, GRAM = 200, 32
+MIN_BYTES, GRAM = 200, 64
 _RANDOM = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -41,89 +41,105 @@ COVER = difference_cover(V)
 STEP = np.array([min((c - r) % V for c in COVER) for r in range(V)])
 
 
-def _words(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """n bytes from each position, as n / 8 numbers that sort as the bytes do."""
-    w = text[at[:, None] + np.arange(n)].reshape(len(at), n // 8, 8)
-    return w.view(">u8").reshape(len(at), n // 8).astype(np.uint64)
+def _eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as a number that sorts as they do; zeros follow the end."""
+    long, out = np.concatenate([text, np.zeros(8, np.uint8)]), np.zeros(len(text), np.uint64)
+    for i in range(8):
+        out = (out << np.uint64(8)) | long[i : i + len(text)]
+    return out
 
 
-def _ranked(columns: list[np.ndarray]) -> np.ndarray:
-    """Ranks of rows; equal rows have equal ranks."""
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), np.int64)
-    for c in columns:
-        s = c[order]
-        new[1:] |= s[1:] != s[:-1]
-    rank = np.empty(len(order), np.int64)
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """Ranks from 0; equal keys have equal ranks."""
+    order = np.argsort(key)
+    s = key[order]
+    new = np.zeros(len(s), np.int64)
+    new[1:] = s[1:] != s[:-1]
+    rank = np.empty(len(s), np.int64)
     rank[order] = np.cumsum(new)
     return rank
 
 
-def cover_ranks(text: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of the sample suffixes by their first ``depth`` bytes or more, at their positions; elsewhere 0.
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ranks of the pairs of two ranks; at most 2**31 of each."""
+    return _ranked((a << 32) | b)
 
-    The text's length is a multiple of V and it ends in padding of at least depth + V bytes.
+
+def cover_ranks(eights: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks from 1 of the sample suffixes by their first ``depth`` bytes or more, at their positions; elsewhere 0.
+
+    ``eights`` is that of a text whose length is a multiple of V and which ends in padding of at least depth + V bytes.
     """
-    sample = (np.arange(0, len(text) - V, V)[:, None] + COVER).ravel()
-    sample = sample[sample + V <= len(text)]
-    rank = np.zeros(len(text) + 2 * V, np.int64)
-    rank[sample] = _ranked([*_words(text, sample, V).T]) + 1
+    sample = (np.arange(0, len(eights) - V, V)[:, None] + COVER).ravel()
+    now = _ranked(eights[sample])
+    for i in range(8, V, 8):
+        now = _paired(now, _ranked(eights[np.minimum(sample + i, len(eights) - 1)]))
+    rank = np.zeros(len(eights) + 2 * V, np.int64)
+    rank[sample] = now + 1
     known = V
     while known < depth:
-        ahead = np.minimum(sample + known, len(rank) - 1)
-        now = _ranked([rank[sample], rank[ahead]]) + 1
-        rank[sample] = now
+        now = _paired(rank[sample], rank[np.minimum(sample + known, len(rank) - 1)])
+        rank[sample] = now + 1
         known *= 2
     return rank
 
 
-def sort_suffixes(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The positions ``at`` in the order of (residue modulo V, first depth bytes or more)."""
-    rank = cover_ranks(text, depth)
+def sort_suffixes(eights: np.ndarray, at: np.ndarray, depth: int) -> list[np.ndarray]:
+    """The positions ``at``, by residue modulo V, in the order of their first depth bytes or more."""
+    rank = cover_ranks(eights, depth)
     out = []
     for r in range(V):  # one group of buckets at a time
         mine = at[at % V == r]
-        if len(mine):
-            w = _words(text, mine, V)
-            out.append(mine[np.lexsort([rank[mine + STEP[r]], *w.T[::-1]])])
-    return np.concatenate(out) if out else at[:0]
+        out.append(mine[np.lexsort([rank[mine + STEP[r]], *(eights[mine + i] for i in range(V - 8, -1, -8))])])
+    return out
 
 
-def repeated_windows(contexts: list[bytes], places: list[int], size: int) -> list[np.ndarray]:
-    """For each context, flags of its windows that also start elsewhere in the contexts.  places: of the shared anchor."""
+def repeated_windows(contexts: list[bytes], places: list[int], times: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, window, repeated?) of every window of the contexts: whether the contexts that have it occur twice or more in all.
+
+    ``places`` are those of the shared anchors, ``times`` says how often each context occurs.  Contexts of many anchors
+    may come together, as equal windows have equal anchors.
+    """
     room = [-(-(len(c) + V) // V) * V + V for c in contexts]
     base = np.cumsum([0, *room])
     text = np.zeros(int(base[-1]) + 2 * V + -(-size // V) * V * 2, np.uint8)
-    starts = [int(base[i]) + (V - p) % V for i, p in enumerate(places)]
-    at = []
-    for s, c in zip(starts, contexts):
+    starts = base[:-1] + (V - np.array(places)) % V
+    for s, c in zip(starts.tolist(), contexts):
         text[s : s + len(c)] = np.frombuffer(c, np.uint8)
-        at.append(np.arange(s, s + len(c) - size + 1))
-    flat = np.concatenate(at)
-    order = sort_suffixes(text, flat, size)
-    flags = np.zeros(len(text), bool)
-    for i in range(0, len(order) - 1, 1 << 14):
-        x, y = order[i : i + (1 << 14)], order[i + 1 : i + 1 + (1 << 14)]
-        x = x[: len(y)]
-        maybe = np.flatnonzero((x % V == y % V) & (text[x] == text[y]) & (text[x + size - 1] == text[y + size - 1]))
-        x, y = x[maybe], y[maybe]
-        same = (text[x[:, None] + np.arange(size)] == text[y[:, None] + np.arange(size)]).all(axis=1)
-        flags[x[same]] = flags[y[same]] = True
-    return [flags[a] for a in at]
-
-
-def compare_bytes(t: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    flags = repeated_windows(t.column("s").to_pylist(), t.column("place").to_pylist(), size)
-    whole = t.column("whole").to_pylist()
-    row, first, last = [], [], []
-    for i, f in enumerate(flags):
-        if whole[i]:
+    n = np.array([len(c) - size + 1 for c in contexts])
+    row = np.repeat(np.arange(len(n)), n)
+    window = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = starts[row] + window
+    where = np.zeros(len(text), np.int64)  # position -> number of its window
+    where[at] = np.arange(len(at))
+    eights, flags = _eights(text), np.zeros(len(at), bool)
+    steps = [*range(0, size - 7, 8), size - 8] if size >= 8 else range(size)
+    symbols = eights if size >= 8 else text
+    for order in sort_suffixes(eights, at, size):
+        if not len(order):
             continue
-        e = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
-        row += [i] * (len(e) // 2)
-        first += e[::2].tolist()
-        last += (e[1::2] - 1).tolist()
-    return np.array(row, np.int64), np.array(first, np.int64), np.array(last, np.int64)
+        x, y = order[:-1], order[1:]
+        like = np.arange(len(x))
+        for i in steps:
+            like = like[symbols[x[like] + i] == symbols[y[like] + i]]
+        new = np.ones(len(order), bool)
+        new[like + 1] = False
+        begin = np.flatnonzero(new)
+        k = where[order]
+        total = np.add.reduceat(times[row[k]], begin)
+        flags[k] = np.repeat(total > 1, np.diff(np.append(begin, len(order))))
+    return row, window, flags
+
+
+def compare_bytes(t: pa.Table, size: int) -> tuple[np.ndarray, ...]:
+    """Ranges of repeated windows (see repeats.py); they go from every document."""
+    row, window, flags = repeated_windows(t.column("s").to_pylist(), t.column("place").to_pylist(), t.column("n").to_numpy(), size)
+    row, window = row[flags], window[flags]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)
+    head = np.flatnonzero(new)
+    last = np.append(head[1:], len(row)) - 1
+    return row[head], window[head], window[last[: len(head)]], np.full(len(head), NO_ID)
 
 
 def byte_symbols(text: str | None) -> np.ndarray:

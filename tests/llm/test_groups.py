@@ -194,10 +194,11 @@ def test_byte_pieces(spark, monkeypatch):
 def test_suffix_sort():
     rng = np.random.default_rng(1)
     text = np.concatenate([rng.integers(97, 99, 640, dtype=np.uint8), np.zeros(640, np.uint8)])
-    order = suffix.sort_suffixes(text, np.arange(600), 200)
+    order = suffix.sort_suffixes(suffix._eights(text), np.arange(600), 200)
     raw = text.tobytes()
     for r in range(suffix.V):
-        mine = [int(i) for i in order if i % suffix.V == r]
+        mine = order[r].tolist()
+        assert {i % suffix.V for i in mine} == {r} and len(mine) in (18, 19)
         assert mine == sorted(mine, key=lambda i: raw[i : i + 232])
     d = suffix.COVER
     assert {(a - b) % suffix.V for a in d for b in d} == set(range(suffix.V))
@@ -250,6 +251,58 @@ def test_word_passages_twice_in_a_document(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def crowd(n: int, seed: int = 4) -> dict[int, str]:
+    """Documents that share a passage's middle in surroundings of their own, some of them alike a little further out."""
+    rng = random.Random(seed)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    core, sides = words(9), [words(3) for _ in range(5)]
+    return {i: " ".join(words(5) + rng.choice(sides)[rng.randrange(3) :] + core + rng.choice(sides)[: rng.randrange(1, 4)] + words(5)) for i in range(n)}
+
+
+def test_crowded_anchors(spark, monkeypatch):
+    """Anchors of more contexts than may meet are split by what is around them, without loss."""
+    from spanlab.llm import repeats
+
+    monkeypatch.setattr(repeats, "GROUP", 4)
+    docs = corpus(6) | {1000 + i: t for i, t in crowd(80).items()}
+    df = spark.createDataFrame([*docs.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in automaton.passage_digests(df).collect()}
+    assert got == brute_words(docs, 13)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix.passage_digests(df, 70).collect()}
+    assert got == dict(zip(docs, brute_bytes([*docs.values()], 70)))
+
+
+def test_crowds_grow_in_proportion(spark, monkeypatch):
+    """Twice the documents that share an anchor make twice the contexts, not four times."""
+    from spanlab.llm import repeats
+
+    monkeypatch.setattr(repeats, "GROUP", 8)
+    made = []
+    write = repeats.materialize
+    monkeypatch.setattr(repeats, "materialize", lambda df: [made.append(df.columns), counts.append((w := write(df)).count())] and w)
+    sums = []
+    for n in (1000, 2000):
+        counts: list[int] = []
+        docs = crowd(n)
+        automaton.passage_digests(spark.createDataFrame([*docs.items()], "doc_id long, text string")).count()
+        sums.append(sum(counts))
+    assert "a0" in str(made) and sums[1] < 2.2 * sums[0]
+
+
+def test_neighbours():
+    import pyarrow as pa
+
+    from spanlab.llm import repeats
+
+    rng = random.Random(3)
+    for _ in range(200):
+        a = sorted(rng.randrange(12) for _ in range(rng.randrange(1, 30)))
+        cuts = sorted({0, len(a), *(rng.randrange(len(a) + 1) for _ in range(4))})
+        batches = [pa.RecordBatch.from_arrays([pa.array(a[s:e], pa.int64()), pa.array([*range(s, e)], pa.int64())], names=["a", "i"]) for s, e in zip(cuts, cuts[1:])]
+        got = [i for b in repeats.neighbours(iter(batches)) for i in b.column(1).to_pylist()]
+        assert got == [i for i, x in enumerate(a) if i in (0, len(a) - 1) or x in (a[i - 1], a[i + 1])]
+
+
 def test_automaton():
     rng = random.Random(8)
     seqs = [[rng.choice("ab") for _ in range(rng.randrange(1, 40))] for _ in range(12)]
@@ -259,8 +312,12 @@ def test_automaton():
     a.finish()
     for i, s in enumerate(seqs):
         for size in (3, 6):
-            want = [x for x in range(len(s) - size + 1) if any("".join(s[x : x + size]) in "".join(o) for o in seqs[:i])]
-            assert a.earlier(s, i, size) == want
+            want = [min(j for j, o in enumerate(seqs) if "".join(s[x : x + size]) in "".join(o)) for x in range(len(s) - size + 1)]
+            assert a.owners(s, size) == want
+    assert automaton.SuffixAutomaton().owners(["a", "b"], 1) == [automaton.LAST_ID] * 2  # of nothing; and an empty sequence changes nothing
+    a.add([], 0)
+    a.finish()
+    assert a.owners([], 3) == [] and a.owners(["z"] * 4, 3) == [automaton.LAST_ID] * 2
 
 
 def test_passages_odd(odd, empty):
