@@ -12,7 +12,7 @@ shuffle, and a lost task is repeated alone.  sequence_id = partition << 40 | num
 
 from __future__ import annotations
 
-import unicodedata
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -20,66 +20,97 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlab.llm.bpe import compile_split
+
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS, WAITING = 4096, 1024, 4096, 512
 CACHE_ENTRIES = 1_000_000
 
 
 class WordEncoder:
-    """ids of a whole text by a tokenizers file, a word at a time.
+    """ids of a whole text by a tokenizers file, as the library gives them, a chunk without white space at a time.
 
-    The file's own normalisation (NFC, white space, lower case) and split are done here once per text; each distinct
-    word then goes through the library once and is remembered.  Strings of special tokens are ordinary text.
+    The file must split at white space (checked), so a chunk's ids do not depend on what is around it.  Each distinct
+    chunk is worked once and remembered.  Chunks of code points below PLAIN are split to words here, and each distinct
+    word goes through the library once; all others - with marks to compose, letters of newer Unicode tables - and those
+    with a special token's first characters go through the library whole.
     """
 
+    #: Below it nothing composes, and letters, digits and cases are the same in all Unicode versions of this century.
+    PLAIN = "\u0250"
+
     def __init__(self, path: str):
         import json
+        import os
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        steps = spec["pre_tokenizer"]["pretokenizers"]
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        if kinds != ["NFC", "Replace", "Lowercase"] or steps[0]["type"] != "Split" or not steps[0]["invert"]:
-            raise ValueError(f"{path}: not a lower-case word tokenizer")
-        self.split = self._splits(steps[0]["pattern"]["Regex"])
-        spec["normalizer"], spec["added_tokens"] = None, []
-        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": steps[1:]}
-        self.words = Tokenizer.from_str(json.dumps(spec))
-        self.seen: dict[str, bytes] = {}
-
-    @staticmethod
-    def _splits(pattern: str):
-        from spanlab.llm.bpe import compile_split
-
-        return [compile_split(pattern, 0x7F), compile_split(pattern, 0xFFFF), regex.compile(pattern)]
+        if {*kinds} - {"NFC", "Replace", "Lowercase"} or not steps or steps[0]["type"] != "Split" or not steps[0]["invert"] or r"[^\s" not in steps[0]["pattern"].get("Regex", ""):
+            raise ValueError(f"{path}: not a tokenizer that removes white space")
+        if any(x["lstrip"] or x["rstrip"] or len(x["content"].split()) != 1 for x in spec["added_tokens"]):
+            raise ValueError(f"{path}: special tokens that hold white space")
+        spec["truncation"] = spec["padding"] = None
+        if len(steps) != 2 or steps[1]["type"] != "ByteLevel" or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+            raise ValueError(f"{path}: words that are not byte-level")
+        self.special = {x["content"][:2] for x in spec["added_tokens"]}
+        self.library = Tokenizer.from_str(json.dumps(spec))
+        self.merge, self.lower = self.library.model.tokenize, "Lowercase" in kinds
+        printed = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves; the others follow 255
+        self.letters = {c: 256 + i for i, c in enumerate(c for c in range(256) if c not in printed)}
+        self.strange = re.compile(f"[^\0-{chr(ord(self.PLAIN) - 1)}]").search
+        self.split = compile_split(steps[0]["pattern"]["Regex"], ord(self.PLAIN) - 1).findall
+        self.seen: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Unsigned little-endian 32-bit ids."""
-        if text.isascii():
-            text, k = text.lower(), 0
-        else:
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ").lower()  # a capital sigma has one lower case, wherever it stands
-            k = 2 if len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text) else 1
-        found = self.split[k].findall(text)
+        found = text.encode("utf-8", "replace").split()  # at \x20 and \x09-\x0D; the library sees to other white space
         seen = self.seen
         out = [*map(seen.get, found)]
         if None in out:
             new = [*{w for w, x in zip(found, out) if x is None}]
-            fresh = {w: array("I", e.ids).tobytes() for w, e in zip(new, self.words.encode_batch(new, add_special_tokens=False))}
+            fresh = self._fresh(new)
             out = [fresh[w] if x is None else x for w, x in zip(found, out)]
             if len(seen) > CACHE_ENTRIES:
                 seen.clear()
             seen.update((w, x) for w, x in fresh.items() if len(w) <= 64)
         return b"".join(out)
 
+    def _word(self, y: str) -> bytes:
+        """Ids of one word: the model's merges over its bytes."""
+        return array("I", [t.id for t in self.merge(y.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _fresh(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """The chunks' ids."""
+        known, out, whole = self.known, {}, []
+        text = b" ".join(chunks).decode()
+        odd = self.strange(text) or any(t in text for t in self.special)
+        if len(known) > CACHE_ENTRIES:
+            known.clear()
+        for w, x in zip(chunks, text.split(" ")):
+            if odd and (self.strange(x) or any(t in x for t in self.special)):
+                whole.append(x)
+                continue
+            ids = []
+            for y in self.split(x.lower() if self.lower else x):
+                i = known.get(y)
+                if i is None:
+                    i = self._word(y)
+                    if len(y) <= 64:
+                        known[y] = i
+                ids.append(i)
+            out[w] = b"".join(ids)
+        out.update((x.encode(), array("I", e.ids).tobytes()) for x, e in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False)))
+        return out
+
 
 @lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:

@@ -137,10 +137,32 @@ def test_word_ids_are_the_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     enc = packing.word_encoder(WORDS).encode
-    for x in [*(t or "" for _, t in ROWS), "It's ΣΑΣ İ ǅ é", "é ﬁ ½ 12 ١٢ _a_", "<|endoftext|>", "don't STOP 'LL"]:
+    for x in [*(t or "" for _, t in ROWS), "It's ΣΑΣ İ ǅ é", "é ﬁ ½ 12 ١٢ _a_", "<|endoftext|>", "<|endoftext|> x", "a<|startoftext|><|", "<|END|>", "don't STOP 'LL", "x\x1cy\x85z\xa0 w", "1" * 3000 + "é" * 3000]:
         assert [*array("I", enc(x))] == t.encode(x, add_special_tokens=False).ids, x
+    rng = random.Random(5)  # every code point, beside others that could join it
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng.shuffle(points)
+    for i in range(0, len(points), 64):
+        x = "".join(c + rng.choice(["", "", " ", "a", "'s", "\n", "\u0301", "<|endoftext|>"]) for c in points[i : i + 64])
+        assert [*array("I", enc(x))] == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_every_limit_binds(spark):
+    """Loss and segments stop sequences of instruction data before tokens do."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.choice([1, 2, 30, 90]))), i % 4) for i in range(300)]
+    rows = [(i, t, len(t.split()) if kind == 0 else 0 if kind == 1 else len(t.split()) // 3) for i, t, kind in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, loss long").coalesce(1)
+    out = packing.pack_documents(df, word_ids, loss_col="loss", max_tokens=256, max_segments=8, max_loss=80, waiting=40).collect()
+    enc = packing.word_encoder(WORDS).encode
+    sizes, segments = check_packing([tuple(r) for r in out], {i: [*array("I", enc(t))] for i, t, _ in rows})
+    bears, loss, n = {i: x for i, _, x in rows}, {}, {}
+    for r in out:
+        loss[r.sequence_id] = loss.get(r.sequence_id, 0) + r.length * bears[r.doc_id] / r.doc_tokens
+        n[r.sequence_id] = n.get(r.sequence_id, 0) + 1
+    assert max(sizes) <= 256 and max(segments) <= 8 and max(loss.values()) <= 80 + 1e-6
+    assert sum(x > 79 for x in loss.values()) > 5 and sum(x == 8 for x in n.values()) > 5
 
 
 def test_pack_documents(odd, empty):
