@@ -60,6 +60,34 @@ def paired_t(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(t), t_sf2(float(t), n - 1)
 
 
+def paired_t_of(d: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """The paired t test of differences d that occur n times each."""
+    total = int(n.sum())
+    mean = float((d * n).sum() / total)
+    spread = float((n * (d - mean) ** 2).sum())
+    if total < 2 or spread == 0:
+        return math.nan, math.nan
+    t = mean / math.sqrt(spread / (total - 1) / total)
+    return t, t_sf2(t, total - 1)
+
+
+def wilcoxon_of(d: np.ndarray, n: np.ndarray, exact_up_to: int = 50) -> tuple[float, float]:
+    """The signed-rank test of differences d that occur n times each; as wilcoxon."""
+    some = d != 0
+    d, n = np.asarray(d, float)[some], np.asarray(n, np.int64)[some]
+    total = int(n.sum())
+    if total <= exact_up_to:
+        return wilcoxon(np.repeat(d, n), np.zeros(total), exact_up_to)
+    size, at = np.unique(np.abs(d), return_inverse=True)
+    up, down = (np.bincount(at, np.where(keep, n, 0), len(size)) for keep in (d > 0, d < 0))
+    ties = up + down
+    rank = np.cumsum(ties) - (ties - 1) / 2
+    w = min(float((up * rank).sum()), float((down * rank).sum()))
+    mean = total * (total + 1) / 4
+    var = total * (total + 1) * (2 * total + 1) / 24 - float((ties**3 - ties).sum()) / 48
+    return w, float(min(1.0, 2 * normal_sf(abs(w - mean) / math.sqrt(var)))) if var > 0 else 1.0
+
+
 def average_ranks(x: np.ndarray) -> np.ndarray:
     order = np.argsort(x, kind="stable")
     s = np.asarray(x)[order]
@@ -108,32 +136,61 @@ def _poly(c, x: float) -> float:
     return sum(k * x**i for i, k in enumerate(c))
 
 
-def shapiro(x: np.ndarray) -> tuple[float, float]:
+#: Above so many values the W test's weights, but for EDGE at either end, are summed by integrals instead of one by one.
+WHOLE, EDGE = 5000, 64
+
+
+def _ends_apart(x: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted runs with the EDGE outer ranks as runs of their own, and the ranks before and after the inner runs."""
+    cum = np.cumsum(counts)
+    inner = np.clip(np.concatenate([[0], cum]), EDGE, n - EDGE)
+    outer = [x[np.searchsorted(cum, np.arange(EDGE) + s, side="right")] for s in (0, n - EDGE)]
+    one = np.ones(EDGE, np.int64)
+    return np.concatenate([outer[0], x, outer[1]]), np.concatenate([one, np.diff(inner), one]), inner
+
+
+def shapiro(x: np.ndarray, counts: np.ndarray | None = None) -> tuple[float, float]:
     """(W, p) of the Shapiro-Wilk test by Royston's approximation, for 3 values or more; NaN for less or no spread.
 
-    The approximation of p was fitted for up to 5000 values and is carried on above them.
+    ``counts`` says how often each value occurs.  Above WHOLE values, the weights of a run of equal values are summed by
+    the integral over its ranks, so the work is that of the distinct values.  The approximation of p was fitted for up
+    to 5000 values and is carried on above them.
     """
-    x = np.sort(np.asarray(x, float))
-    n = len(x)
+    x = np.asarray(x, float)
+    counts = np.ones(len(x), np.int64) if counts is None else np.asarray(counts, np.int64)
+    order = np.argsort(x, kind="stable")
+    x, counts = x[order], counts[order]
+    n = int(counts.sum())
     if n < 3 or x[0] == x[-1]:
         return math.nan, math.nan
+    at = lambda i: normal_ppf((i - 0.375) / (n + 0.25))
+    if n <= WHOLE:
+        x, counts = np.repeat(x, counts), np.ones(n, np.int64)
+        m = np.array([at(i) for i in range(1, n + 1)])
+        ssq = float(m @ m)
+    else:
+        x, counts, inner = _ends_apart(x, counts, n)
+        z = np.array([at(i + 0.5) for i in inner.tolist()])
+        density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        ends = np.array([at(i) for i in range(n - EDGE + 1, n + 1)])
+        m = np.concatenate([-ends[::-1], -(n + 0.25) * np.diff(density), ends])
+        ssq = float(2 * (ends @ ends) + (n - 2 * EDGE) - (n + 0.25) * (z[-1] * density[-1] - z[0] * density[0]))
     if n == 3:
         a = np.array([-math.sqrt(0.5), 0, math.sqrt(0.5)])
     else:
-        m = np.array([normal_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-        ssq, u = float(m @ m), 1 / math.sqrt(n)
+        u = 1 / math.sqrt(n)
         last = _poly(W_LAST, u) + m[-1] / math.sqrt(ssq)
-        a = np.empty(n)
         if n > 5:
             second = _poly(W_NEXT, u) + m[-2] / math.sqrt(ssq)
             phi = (ssq - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-            a[2:-2] = m[2:-2] / math.sqrt(phi)
+            a = m / math.sqrt(phi)
             a[-2], a[1] = second, -second
         else:
             phi = (ssq - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            a[1:-1] = m[1:-1] / math.sqrt(phi)
+            a = m / math.sqrt(phi)
         a[-1], a[0] = last, -last
-    w = min(float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum()), 1.0)
+    mean = float((x * counts).sum() / n)
+    w = min(float((a @ x) ** 2 / (counts * (x - mean) ** 2).sum()), 1.0)
     if n == 3:
         return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     y = math.log(max(1 - w, 1e-300))
@@ -181,3 +238,12 @@ def mcnemar(b: Column, c: Column) -> Column:
 def chi2_sf2(x: Column) -> Column:
     """The tail of chi-square with two degrees of freedom is exact."""
     return F.exp(-x / 2)
+
+
+def chi2_sf_even(x: Column, df: int) -> Column:
+    """The tail of chi-square with an even number of degrees of freedom, exact."""
+    term, total = F.lit(1.0), F.lit(1.0)
+    for i in range(1, df // 2):
+        term = term * x / (2 * i)
+        total = total + term
+    return F.exp(-x / 2) * total

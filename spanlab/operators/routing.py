@@ -35,14 +35,24 @@ def vote(pairs: DataFrame, methods: list[str], order=FRUGAL) -> DataFrame:
 
 
 def route_documents(matrix: DataFrame, methods: list[str], alpha: float = 0.05, least: int = 10, order=FRUGAL) -> DataFrame:
-    """label, n_docs, p, method, why: excluded under ``least`` documents; not significant -> cheapest; else by pairwise votes."""
+    """label, n_docs, p, method, why: excluded under ``least`` documents; not significant -> cheapest; else by pairwise votes.
+
+    Of two methods, p is that of the paired test between them, and the one with the higher mean wins; one method
+    alone is taken as it is.  Pairs are held to alpha over the number of pairs.  A p that no test gives (nothing varies) counts as 1.
+    """
     f = T.friedman(matrix, methods)
     pairs = T.paired_tests(matrix, methods, alpha)
-    pairs = pairs.withColumn("significant", F.coalesce(~F.isnan("p") & (F.col("p") <= alpha / 3), F.lit(False)))
-    j = f.join(vote(pairs, methods, order).select("label", F.col("method").alias("__m")), "label", "left")
-    few, same = F.col("n_docs") < least, F.coalesce(F.col("p") > alpha, F.lit(True))
+    sure = F.when(F.isnan("p"), 1.0).otherwise(F.coalesce("p", F.lit(1.0)))
+    pairs = pairs.withColumn("p", sure)
+    n = max(len(methods) * (len(methods) - 1) // 2, 1)
     low = cheapest(F.array(*(F.lit(m) for m in methods)), order)
-    return j.select("label", "n_docs", "p", F.when(few, F.lit(None)).when(same, low).otherwise(F.col("__m")).alias("method"), F.when(few, "excluded").when(same, "not significant").otherwise("vote").alias("why"))
+    if len(methods) < 3:
+        j = f.drop("p").join(pairs.select("label", "p", F.col("winner").alias("__m")), "label", "left").withColumn("p", F.coalesce("p", F.lit(1.0)))
+    else:
+        pairs = pairs.withColumn("significant", F.col("p") <= alpha / n)
+        j = f.join(vote(pairs, methods, order).select("label", F.col("method").alias("__m")), "label", "left")
+    few, same = F.col("n_docs") < least, F.col("p") > alpha
+    return j.select("label", "n_docs", "p", F.when(few, F.lit(None)).when(same, low).otherwise(F.coalesce("__m", low)).alias("method"), F.when(few, "excluded").when(same, "not significant").otherwise("vote" if len(methods) > 2 else "paired test").alias("why"))
 
 
 def route_mentions(flags: DataFrame, methods: list[str], alpha: float = 0.05, least: int = 10, order=FRUGAL, default: str = "rules") -> DataFrame:

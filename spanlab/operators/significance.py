@@ -20,11 +20,13 @@ def score_matrix(scores: DataFrame, methods: list[str]) -> DataFrame:
 
 
 def friedman(matrix: DataFrame, methods: list[str]) -> DataFrame:
-    """label, n_docs, mean per method, chi2 and p for three methods (two degrees of freedom, so p is exact in the statistic).
+    """label, n_docs, mean per method, chi2 and p for an odd number of methods (p is exact in the statistic); p is null for two.
 
     Ranks within a row are averaged over ties, row by row, without any window.
     """
     k = len(methods)
+    if k > 2 and k % 2 == 0:
+        raise ValueError("Friedman's p needs an odd number of methods here: its degrees of freedom must be even")
     cols = [F.col(f"f1_{m}") for m in methods]
     rank = [sum(((o < c).cast("double") + 0.5 * (o == c).cast("double") for j, o in enumerate(cols) if j != i), F.lit(1.0)) for i, c in enumerate(cols)]
     ties = sum((F.pow(sum(((o == c).cast("double") for o in cols), F.lit(0.0)), 2) - 1 for c in cols), F.lit(0.0))  # sum of t**3 - t over tie groups
@@ -36,29 +38,51 @@ def friedman(matrix: DataFrame, methods: list[str]) -> DataFrame:
     square = sum((F.pow(F.col(f"__r{i}"), 2) for i in range(k)), F.lit(0.0))
     c = 1 - F.col("__t") / (k * (k * k - 1) * n)
     chi2 = F.when(c > 0, (12.0 / (n * k * (k + 1)) * square - 3 * n * (k + 1)) / c)
-    p = F.when(chi2.isNull(), 1.0).otherwise(F.exp(-chi2 / 2)) if k == 3 else F.lit(None).cast("double")
+    p = F.when(chi2.isNull(), 1.0).otherwise(S.chi2_sf_even(chi2, k - 1)) if k > 2 else F.lit(None).cast("double")
     return g.select("label", "n_docs", *(f"mean_{m}" for m in methods), chi2.alias("chi2"), p.alias("p"))
 
 
+def excluded_counts(scores: DataFrame) -> DataFrame:
+    """label, n_excluded: documents in which no method counts anything, of every label that scores names."""
+    s = scores.groupBy("label", "doc_id").agg(F.sum(F.col("tp") + F.col("fp") + F.col("fn")).alias("n"))
+    return s.groupBy("label").agg(F.sum((F.col("n") == 0).cast("long")).alias("n_excluded"))
+
+
+def sparsity(matrix: DataFrame, methods: list[str]) -> DataFrame:
+    """label, sparsity: the share of documents where every method's F1 is 0."""
+    nothing = sum((F.col(f"f1_{m}") for m in methods[1:]), F.col(f"f1_{methods[0]}")) == 0
+    return matrix.groupBy("label").agg(F.avg(nothing.cast("double")).alias("sparsity"))
+
+
+def significant_labels(tested: DataFrame, n: str = "n_docs", alpha: float = 0.05, least: int = 10) -> DataFrame:
+    """Rows of labels with at least ``least`` rows and p up to alpha."""
+    return tested.where((F.col(n) >= least) & F.col("p").isNotNull() & ~F.isnan("p") & (F.col("p") <= alpha))
+
+
+def _differences(matrix: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """label, a, b, d, n: how often each difference of scores occurs; one pass for all pairs, combined before the shuffle."""
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(f"f1_{a}") - F.col(f"f1_{b}")).alias("d")) for a, b in pairs)))
+    rows = matrix.select("label", each.alias("x")).select("label", "x.*")
+    return rows.groupBy("label", "a", "b", "d").agg(F.count("*").alias("n"))
+
+
 def paired_tests(matrix: DataFrame, methods: list[str], alpha: float = 0.05) -> DataFrame:
     """Per label and pair of methods: Shapiro-Wilk on all differences, then paired t or Wilcoxon; n, test, statistic, p, winner.
 
-    The winner has the higher mean; the second of the pair at ties.  One row per label, pair and document is shuffled,
-    and a group is one label's two score columns.
+    The winner has the higher mean; the second of the pair at ties.  A task holds the distinct differences of one label
+    and pair with their counts, so its size is that of the distinct scores, whatever the number of documents, and the
+    result does not depend on their order.
     """
-    pairs = [*combinations(methods, 2)]
-    rows = None
-    for a, b in pairs:
-        one = matrix.select("label", F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"f1_{a}").alias("x"), F.col(f"f1_{b}").alias("y"))
-        rows = one if rows is None else rows.unionByName(one)
 
     def test(f: pd.DataFrame) -> pd.DataFrame:
-        x, y = f.x.to_numpy(), f.y.to_numpy()
-        _, normal = S.shapiro(x - y)
-        name, (stat, p) = ("t", S.paired_t(x, y)) if normal > alpha else ("wilcoxon", S.wilcoxon(x, y))
-        return pd.DataFrame([(f.label.iloc[0], f.a.iloc[0], f.b.iloc[0], len(x), name, stat, p, f.a.iloc[0] if x.mean() > y.mean() else f.b.iloc[0])], columns=["label", "a", "b", "n", "test", "statistic", "p", "winner"])
+        f = f.sort_values("d")
+        d, n = f.d.to_numpy(float), f.n.to_numpy()
+        _, normal = S.shapiro(d, n)
+        name, (stat, p) = ("t", S.paired_t_of(d, n)) if normal > alpha else ("wilcoxon", S.wilcoxon_of(d, n))
+        return pd.DataFrame([(f.label.iloc[0], f.a.iloc[0], f.b.iloc[0], int(n.sum()), name, stat, p, f.a.iloc[0] if (d * n).sum() > 0 else f.b.iloc[0])], columns=["label", "a", "b", "n", "test", "statistic", "p", "winner"])
 
-    return rows.groupBy("label", "a", "b").applyInPandas(test, "label string, a string, b string, n long, test string, statistic double, p double, winner string")
+    counted = _differences(matrix, [*combinations(methods, 2)])
+    return counted.groupBy("label", "a", "b").applyInPandas(test, "label string, a string, b string, n long, test string, statistic double, p double, winner string")
 
 
 def paired_t_statistic(matrix: DataFrame, a: str, b: str) -> DataFrame:
@@ -67,12 +91,17 @@ def paired_t_statistic(matrix: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def signed_rank_statistic(matrix: DataFrame, a: str, b: str) -> DataFrame:
-    """min(W+, W-) per label, zeros dropped, ranks averaged over ties."""
-    d = matrix.select("label", (F.col(f"f1_{a}") - F.col(f"f1_{b}")).alias("d")).where("d <> 0")
-    tie = Window.partitionBy("label", F.abs("d"))
-    r = F.rank().over(Window.partitionBy("label").orderBy(F.abs("d"))) + (F.count("*").over(tie) - 1) / 2
-    ranked = d.withColumn("r", r)
-    return ranked.groupBy("label").agg(F.count("*").alias("n"), F.least(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0))).alias("w"))
+    """min(W+, W-) per label, zeros dropped, ranks averaged over ties.
+
+    Ranks run over distinct absolute differences with their counts, not over documents.
+    """
+    d = _differences(matrix, [(a, b)]).where("d <> 0")
+    sign = lambda up: F.sum(F.when((F.col("d") > 0) == up, F.col("n")).otherwise(0))
+    g = d.groupBy("label", F.abs("d").alias("size")).agg(sign(True).alias("up"), sign(False).alias("down"))
+    both = F.col("up") + F.col("down")
+    before = F.sum(both).over(Window.partitionBy("label").orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = g.withColumn("r", F.coalesce(before, F.lit(0)) + (both + 1) / 2)
+    return ranked.groupBy("label").agg(F.sum(both).alias("n"), F.least(F.sum(F.col("up") * F.col("r")), F.sum(F.col("down") * F.col("r"))).alias("w"))
 
 
 def cochran(flags: DataFrame, methods: list[str]) -> DataFrame:

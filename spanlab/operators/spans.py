@@ -63,7 +63,7 @@ def extract_spans(docs: DataFrame, rules: list[tuple], text_col: str = "text", k
 def extract_findings(docs: DataFrame, rules: list[tuple], text_col: str = "text", keep: list[str] = DOC) -> DataFrame:
     """extract_spans with verbose patterns, without the matches that functions.text.rejected names."""
     rules = [(r[0], r[1], r[2] if len(r) > 2 else 0, "iux") for r in rules]
-    return extract_spans(docs, rules, text_col, keep).where(~T.rejected("text"))
+    return extract_spans(docs, rules, text_col, keep).where(~T.rejected("text", "label"))
 
 
 def emit_values(findings: DataFrame) -> DataFrame:
@@ -157,16 +157,35 @@ def drop_nested(spans: DataFrame, keys: list[str] = DOC) -> DataFrame:
     return spans.join(flat, [*keys, "begin", "end"], "left_semi").select(*spans.columns)
 
 
+def folded(text: str) -> str:
+    """Lower case, code point by code point where a whole lower case would move offsets (İ has two code points)."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def find_occurrences(docs: DataFrame, text_col: str = "text", entity_col: str = "entity") -> DataFrame:
     """docs with one row per occurrence of entity in text, case-insensitive, overlapping ones too: begin, end.
 
-    An empty entity occurs nowhere.
+    An empty entity occurs nowhere.  Only texts that hold the entity go to Python, which walks each once.
     """
-    low, ent = F.lower(text_col), F.lower(entity_col)
-    n = F.length(entity_col)
-    room = F.length(text_col) - n + 1
-    at = F.when((n > 0) & (room > 0) & F.contains(low, ent), F.filter(F.sequence(F.lit(1), F.greatest(room, F.lit(1))), lambda i: F.substring(low, i, F.length(ent)) == ent))
-    return docs.withColumn("__at", F.explode(at)).withColumns({"begin": F.col("__at") - 1, "end": F.col("__at") - 1 + n}).drop("__at")
+
+    @F.pandas_udf("array<int>")
+    def places(texts: pd.Series, entities: pd.Series) -> pd.Series:
+        def one(text, entity):
+            if text is None or not entity:
+                return []
+            low, ent, out = folded(text), folded(entity), []
+            i = low.find(ent)
+            while i >= 0:
+                out.append(i)
+                i = low.find(ent, i + 1)
+            return out
+
+        return pd.Series([one(t, e) for t, e in zip(texts, entities)], dtype=object)
+
+    near = docs.where((F.length(entity_col) > 0) & F.contains(F.lower(text_col), F.lower(entity_col)))
+    found = near.withColumn("begin", F.explode(places(F.col(text_col), F.col(entity_col))))
+    return found.withColumn("end", F.col("begin") + F.length(entity_col))
 
 
 def attach_attribute(spans: DataFrame, attributes: DataFrame, name: str, out: str, keys: list[str] = DOC) -> DataFrame:

@@ -11,8 +11,8 @@ POLICIES = ("envelope", "first_fragment", "first_end", "all_fragments", "ignore_
 
 def read_texts(spark: SparkSession, path: str, suffix: str = "txt", recursive: bool = False, keep_crlf: bool = False, corpus: str = "") -> DataFrame:
     """One row per file: doc_id (the stem), corpus, text.  Bytes that are no UTF-8 become U+FFFD; hidden and backup files are left out."""
-    r = spark.read.option("wholetext", True).option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", recursive)
-    rows = r.text(path).select(_stem(suffix).alias("doc_id"), F.lit(corpus).alias("corpus"), F.col("value").alias("text"))
+    r = spark.read.option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", recursive)
+    rows = r.text(path, wholetext=True).select(_stem(suffix).alias("doc_id"), F.lit(corpus).alias("corpus"), F.col("value").alias("text"))
     return rows if keep_crlf else rows.withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
 
 
@@ -121,3 +121,14 @@ def first_directory(files: DataFrame, name: str = "name", priority: str = "prior
     """Of files of equal name the one of the first directory."""
     first = files.groupBy(name).agg(F.min(priority).alias(priority))
     return files.join(first, [name, priority])
+
+
+def all_directories(parts: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several directories, each with its name as ``corpus``; files of equal name all stay."""
+    out = None
+    for name, df in parts.items():
+        one = df.withColumn("corpus", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no directories")
+    return out

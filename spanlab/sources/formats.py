@@ -37,14 +37,14 @@ def read_samples(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
 
 def read_prediction_cache(spark: SparkSession, path: str) -> DataFrame:
     """{doc: [[begin, end, label], ...]} -> doc_id, begin, end, label."""
-    m = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,array<array<string>>>").alias("m"))
+    m = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<array<string>>>").alias("m"))
     e = m.select(F.explode("m").alias("doc_id", "s")).select("doc_id", F.explode("s").alias("x"))
     return e.select("doc_id", F.try_element_at("x", F.lit(1)).cast("int").alias("begin"), F.try_element_at("x", F.lit(2)).cast("int").alias("end"), F.try_element_at("x", F.lit(3)).alias("label"))
 
 
-def read_score_cache(spark: SparkSession, path: str) -> DataFrame:
-    """{doc: {label: {TP, FP, FN}}} -> doc_id, label, tp, fp, fn."""
-    m = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,map<string,struct<TP:bigint,FP:bigint,FN:bigint>>>").alias("m"))
+def read_score_cache(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """{doc: {label: {TP, FP, FN}}} -> doc_id, label, tp, fp, fn.  lines: an object a line, as sinks.score_cache makes them."""
+    m = spark.read.text(path, wholetext=not lines).select(F.from_json("value", "map<string,map<string,struct<TP:bigint,FP:bigint,FN:bigint>>>").alias("m"))
     e = m.select(F.explode("m").alias("doc_id", "s")).select("doc_id", F.explode("s").alias("label", "c"))
     return e.select("doc_id", "label", F.col("c.TP").alias("tp"), F.col("c.FP").alias("fp"), F.col("c.FN").alias("fn"))
 

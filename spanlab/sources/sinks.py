@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +26,29 @@ def brat_text(spans: DataFrame, values: bool = False, tabs: bool = False) -> Dat
 
 
 def write_documents(content: DataFrame, path: str, suffix: str = "ann") -> None:
-    """One file <path>/<doc_id>.<suffix> a row (doc_id, content), written by the executors to any Hadoop file system.
+    """One file <path>/<doc_id>.<suffix> a row (doc_id, content), as it is, written by the tasks themselves.
 
-    Written as one partition directory a document by Spark's own committer, so a lost executor leaves no half file.
+    ``path`` is a folder or URI that pyarrow's file systems open, shared by the executors.  A file gets its name by a
+    rename once it is whole, so a lost executor or a second attempt leaves no half file; files of the same names are
+    replaced.  Null content is empty; a null id is an error; a slash in an id becomes %2F.
     """
-    content.select("content", F.concat("doc_id", F.lit(f".{suffix}")).alias("file")).write.partitionBy("file").mode("overwrite").option("lineSep", "").text(path)
+    from pyarrow import fs
+
+    _, folder = fs.FileSystem.from_uri(path) if "://" in path else (None, path)
+
+    def write(rows) -> None:
+        store = fs.FileSystem.from_uri(path)[0] if "://" in path else fs.LocalFileSystem()
+        store.create_dir(folder, recursive=True)
+        for r in rows:
+            if r.doc_id is None:
+                raise ValueError("a document without an id has no file name")
+            name = f"{str(r.doc_id).replace('/', '%2F')}.{suffix}"
+            part = f"{folder}/.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(part) as out:
+                out.write((r.content or "").encode("utf-8", "replace"))
+            store.move(part, f"{folder}/{name}")
+
+    content.select("doc_id", "content").foreachPartition(write)
 
 
 def conll_text(tokens: DataFrame) -> DataFrame:
@@ -46,6 +66,28 @@ def sample_json(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     return j.select("doc_id", F.to_json(F.struct("tokenized_text", "ner", F.col("doc_id").cast("string").alias("_source"))).alias("json"))
 
 
+def bio_json(tokens: DataFrame) -> DataFrame:
+    """doc_id, json from doc_id, tok_id, token, tag: {"id", "tokens", "ner_tags"} of every document, in token order."""
+    t = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tok_id", "token", "tag"))).alias("t"))
+    body = F.struct(F.col("doc_id").cast("string").alias("id"), F.transform("t", lambda x: x["token"]).alias("tokens"), F.transform("t", lambda x: x["tag"]).alias("ner_tags"))
+    return t.select("doc_id", F.to_json(body).alias("json"))
+
+
+def score_cache(scores: DataFrame) -> DataFrame:
+    """doc_id, json from doc_id, label, tp, fp, fn: {doc: {label: {"TP", "FP", "FN"}}} of one document, which formats.read_score_cache reads as lines; repeated labels are summed."""
+    one = scores.groupBy("doc_id", "label").agg(F.sum("tp").alias("TP"), F.sum("fp").alias("FP"), F.sum("fn").alias("FN"))
+    entries = F.array_sort(F.collect_list(F.struct("label", F.struct("TP", "FP", "FN"))))
+    return one.groupBy("doc_id").agg(F.map_from_entries(entries).alias("m")).select("doc_id", F.to_json(F.create_map(F.col("doc_id").cast("string"), "m")).alias("json"))
+
+
+def report(decisions: DataFrame, name: str = "run") -> DataFrame:
+    """One row (name, json): how many labels, how many of each decision, and each label's row, from a table with label and method."""
+    counts = F.transform(F.array_sort(F.array_distinct(F.collect_list(F.coalesce("method", F.lit("excluded"))))), lambda m: m)
+    rows = F.array_sort(F.collect_list(F.struct("label", *(c for c in decisions.columns if c != "label"))))
+    g = decisions.agg(F.count("*").alias("n_labels"), counts.alias("methods"), rows.alias("labels"))
+    return g.select(F.lit(name).alias("name"), F.to_json(F.struct("n_labels", "methods", "labels")).alias("json"))
+
+
 def prediction_cache(spans: DataFrame) -> DataFrame:
     """doc_id, json: a document's sorted [begin, end, label] spans."""
     return spans.groupBy("doc_id").agg(F.to_json(F.transform(F.array_sort(F.collect_set(F.struct("begin", "end", "label"))), lambda x: F.array(x["begin"].cast("string"), x["end"].cast("string"), x["label"]))).alias("json"))

@@ -1,6 +1,7 @@
 """Reading, matching and resolving spans: hand-derived expectations."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,5 +131,30 @@ def test_extract_find_merge_nested(spark):
 def test_values(spark):
     d = spark.createDataFrame([("HER2", "HER2 négatif score 1+"), ("ER", "RE 90 %"), ("ER", "RE 5%"), ("PR", "RP négatif"), ("Ki67", "Ki 67: 15 %"), ("Ki67", "Ki"), ("FISH", "FISH non amplifié"), ("HER2", "HER2 +++")], "label string, text string")
     assert rows(P.emit_values(d), "label", "value") == [("Estrogen_receptor", "negatif"), ("Estrogen_receptor", "positif"), ("HER2_FISH", "negatif"), ("HER2_IHC", "1+"), ("HER2_IHC", "3+"), ("HER2_status", "negatif"), ("HER2_status", "positif"), ("Ki67", "15%"), ("Progesterone_receptor", "negatif")]
+    told = [  # marker, text, value
+        ("ihc", "score 0", "0"), ("ihc", "score 1+", "1+"), ("ihc", "her2 score 3", "3+"), ("ihc", "1+ puis 3+", "3+"), ("ihc", "deux croix", "2+"), ("ihc", "++", "2+"), ("ihc", "her2", None), ("ihc", "her2 +", None),
+        ("status", "her2 non amplifie", "negatif"), ("status", "absence de surexpression de her2", "negatif"), ("status", "pas de sur-expression", "negatif"), ("status", "her2 surexprime", "positif"),
+        ("status", "her-2 positif", "positif"), ("status", "her2 -", "negatif"), ("status", "her2-", "negatif"), ("status", "her2/lumb", "positif"), ("status", "her2 enrichie", "positif"), ("status", "faible intensite", "negatif"), ("status", "her2", None),
+        ("fish", "en cours", "en_cours"), ("fish", "en attente", "en_cours"), ("fish", "non concluante", "non_disponible"), ("fish", "fish positive", "positif"), ("fish", "fish +", "positif"), ("fish", "fish", "non_disponible"), ("fish", "non amplifiee", "negatif"),
+        ("old", "non amplifiee", "positif"), ("old", "non amplifi", "negatif"),
+        ("receptor", "re 90 %", "positif"), ("receptor", "re 10%", "negatif"), ("receptor", "re 80 % puis 5 %", "negatif"), ("receptor", "re 250", "non_disponible"), ("receptor", "luminal b", "positif"), ("receptor", "tripleneg", "negatif"), ("receptor", "re +", "positif"), ("receptor", "re -", "negatif"),
+        ("percent", "ki67 : 20 a 30 %", "30%"), ("percent", "ki", None),
+    ]
+    made = spark.createDataFrame(told, "marker string, t string, want string")
+    by = {"ihc": T.ihc_value("t"), "status": T.status_value("t"), "fish": T.fish_value("t"), "old": T.fish_value("t", compat=True), "receptor": T.receptor_value("t"), "percent": T.percent_value("t")}
+    got = F.coalesce(*(F.when(F.col("marker") == k, v) for k, v in by.items()))
+    assert [tuple(r) for r in made.select("marker", "t", got).collect()] == told
+    r = spark.createDataFrame([("HER2_status", "HER2 ECD gène"), ("HER2_status", "HER2 ECD"), ("HER2_IHC", "FISH ECD pos")], "label string, t string").select(T.rejected("t", "label").alias("r"))
+    assert [x.r for x in r.collect()] == [True, False, False]
     r = spark.createDataFrame([("HER2",), ("si HER2",), ("12 ans",), ("anti-HER2",), ("HER2 pos",)], "t string").select(T.rejected("t").alias("r"))
     assert [x.r for x in r.collect()] == [True, True, True, True, False]
+
+
+def test_occurrences_of_a_long_text(spark):
+    """One pass over a million code points; a lower case of more code points moves nothing."""
+    text = "İ" + "ab😀" * 333_333
+    f = spark.createDataFrame([(text, "AB😀A"), ("İxİX", "ix"), ("İxİX", "x"), (None, "x"), ("x", None)], "text string, entity string")
+    began = time.time()
+    got = rows(P.find_occurrences(f), "entity", "begin", "end")
+    assert time.time() - began < 30
+    assert [r for r in got if r[0] != "AB😀A"] == [("x", 1, 2), ("x", 3, 4)] and len(got) == 333_332 + 2 and ("AB😀A", 1, 5) in got

@@ -70,3 +70,46 @@ def test_splits(spark):
     assert b.join(a, "doc_id", "left_anti").count() == 0
     lab = d.select("doc_id", F.lit("x").alias("label"))
     assert X.stratified_split(lab, {"train": 0.8, "test": 0.2}, strata=3).count() == 500
+
+
+def test_two_methods(spark):
+    """The paired test between two methods decides; the cheapest where it does not tell them apart."""
+    kinds = "label string, doc_id long, f1_rules double, f1_TBM double"
+    far = [("A", i, 0.1 + 0.001 * (i % 7), 0.9 - 0.002 * (i % 5)) for i in range(40)]
+    near = [("B", i, 0.5 + 0.01 * (i % 3), 0.5 + 0.01 * ((i + 1) % 3)) for i in range(30)]
+    equal = [("C", i, 0.5, 0.5) for i in range(20)]
+    few = [("D", i, 0.1, 0.9) for i in range(9)]
+    r = {x.label: x for x in R.route_documents(spark.createDataFrame(far + near + equal + few, kinds), ["rules", "TBM"]).collect()}
+    assert (r["A"].method, r["A"].why) == ("TBM", "paired test") and r["A"].p < 0.05
+    assert (r["B"].method, r["B"].why) == ("rules", "not significant") and r["B"].p > 0.05
+    assert (r["C"].method, r["C"].p) == ("rules", 1.0) and (r["D"].method, r["D"].why) == (None, "excluded")
+
+
+def test_counted_statistics():
+    """Values with counts give what the values one by one give; sums over ranks come near the weights one by one."""
+    rng = np.random.default_rng(3)
+    for n, spread in ((30, 5), (400, 12), (4000, 40)):
+        x = np.round(rng.normal(0.4, 1, n) * spread) / spread
+        d, k = np.unique(x, return_counts=True)
+        assert S.shapiro(d, k) == pytest.approx(S.shapiro(x))
+        assert S.wilcoxon_of(d, k) == pytest.approx(S.wilcoxon(x, np.zeros(n)))
+        assert S.paired_t_of(d, k) == pytest.approx(S.paired_t(x, np.zeros(n)))
+    whole, S.WHOLE = S.WHOLE, 10**9
+    try:
+        for x in (rng.normal(size=7000), rng.exponential(size=7000), np.round(rng.normal(size=7000), 1)):
+            exact = S.shapiro(x)
+            S.WHOLE = 5000
+            d, k = np.unique(x, return_counts=True)
+            assert S.shapiro(d, k)[0] == pytest.approx(exact[0], abs=2e-4)
+            S.WHOLE = 10**9
+    finally:
+        S.WHOLE = whole
+
+
+def test_excluded_sparse_significant(spark):
+    s = spark.createDataFrame([("m", 1, "A", 0, 0, 0), ("n", 1, "A", 0, 0, 0), ("m", 2, "A", 1, 0, 0), ("n", 2, "A", 0, 0, 1), ("m", 3, "A", 0, 2, 0), ("m", 4, "B", 0, 0, 0)], "method string, doc_id long, label string, tp long, fp long, fn long")
+    assert {r.label: r.n_excluded for r in G.excluded_counts(s).collect()} == {"A": 1, "B": 1}
+    m = G.score_matrix(s, ["m", "n"])
+    assert [(r.label, r.sparsity) for r in G.sparsity(m, ["m", "n"]).collect()] == [("A", 0.5)]
+    t = spark.createDataFrame([("A", 10, 0.05), ("B", 9, 0.01), ("C", 50, 0.06), ("D", 50, None), ("E", 50, float("nan"))], "label string, n_docs long, p double")
+    assert [r.label for r in G.significant_labels(t).collect()] == ["A"]
