@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,16 +13,32 @@ SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that every executor shares: spark.checkpoint.dir, or one that SparkContext.setCheckpointDir was given.
+
+    A local master may do without: it gets a folder in the warehouse.  On a cluster a missing setting is an error, as
+    other machines would not see a local folder.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(named)
-        return named
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanlab-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    if named is None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/spanlab-checkpoint"
+    if named and sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(named)
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def working_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of one's own that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"{n}_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -80,7 +95,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
-        pairs = materialize(small)
+        before, pairs = pairs, materialize(small)
+        discard(before)
         now = mark(pairs)
         if now == seen:
             break

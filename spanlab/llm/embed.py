@@ -36,6 +36,11 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def unscaled(x: np.ndarray) -> np.ndarray:
+    """Rows brought to a largest component of 1/2 to 1 by powers of two, which rounds nothing: squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _cells(x: np.ndarray, radius: float) -> Iterator[tuple[int, tuple[int, ...], bool]]:
     """(row, cell, home): each row's own cell, and the greater ones that it reaches."""
     side = 2 * radius
@@ -61,7 +66,7 @@ def _scatter(budget: float, blocks: int):
                 for dim in sorted({len(v) for v in vectors}):
                     rows = [i for i, v in enumerate(vectors) if len(v) == dim]
                     x = np.array([vectors[i] for i in rows], np.float64)
-                    x /= np.abs(x).max(axis=1, keepdims=True)
+                    x = unscaled(x)
                     x = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(dim)
                     for k, cols in enumerate(np.array_split(np.arange(dim), min(blocks, dim))):
                         y = np.ascontiguousarray(x[:, cols])
@@ -124,9 +129,12 @@ def near_vectors(vectors: DataFrame, min_cosine: float = 0.93, id_col: str = "ve
     def cosine(p, q):
         import pandas as pd
 
-        if not len(p):
-            return pd.Series([], dtype=float)
-        return pd.Series([float(np.dot(x, y) / np.sqrt(np.dot(x, x) * np.dot(y, y))) for x, y in zip(p, q)])
+        out, n = np.zeros(len(p)), p.map(len).to_numpy(int)
+        for dim in np.unique(n):
+            x, y = (unscaled(np.stack(c[n == dim].to_list())) for c in (p, q))
+            dot = lambda a, b: np.einsum("ij,ij->i", a, b)
+            out[n == dim] = dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))
+        return pd.Series(out)
 
     v = classes.select("cid", "v")
     found = candidates.join(v.select(F.col("cid").alias("a"), F.col("v").alias("p")), "a").join(v.select(F.col("cid").alias("b"), F.col("v").alias("q")), "b")

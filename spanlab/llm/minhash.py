@@ -27,7 +27,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlab.llm.common import connected_components, materialize
+from spanlab.llm.common import connected_components, discard, materialize, working_names
 from spanlab.llm.pairs import in_blocks
 
 PLACES_LOG2, BANDS, ROWS = 22, 16, 4
@@ -195,6 +195,8 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     second = in_blocks(open_rows, ["band", "key"], "cid", _across(at_least, percent), "u long, v long")
 
     comp = connected_components(first.unionByName(second))
+    for t in (shared, sets, first):
+        discard(t)
     named = classes.join(comp, classes.cid == comp.node, "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("row").alias("head"))
     named = materialize(named.join(least, "component").select("digest", "component_id", "head"))
@@ -205,8 +207,15 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
 
 
 def drop_near_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns in order, with one row of each component (see near_documents), and of repeated rows one."""
+    """docs, all columns in order, with one row of each component (see near_documents), and of repeated rows one.
+
+    Of rows equal in id and text the one whose other columns, hashed, are least stays, so runs agree.
+    """
+    d, k, h = working_names(docs, "__d", "__k", "__h")
     near = near_documents(docs, size, percent, id_col, text_col).where("first")
-    stay = near.select(F.coalesce("d", F.lit(NO_ID)).alias("__d"), F.col("k").alias("__k")).distinct()
-    rows = docs.withColumns({"__d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__k": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    return rows.join(stay, ["__d", "__k"]).dropDuplicates(["__d", "__k"]).select(*(f"`{c}`" for c in docs.columns))
+    stay = near.select(F.coalesce("d", F.lit(NO_ID)).alias(d), F.col("k").alias(k)).distinct()
+    plain = [F.col(f"`{c}`") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    rows = docs.withColumns({d: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), k: F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), h: F.xxhash64(*plain)})
+    least = rows.groupBy(d, k).agg(F.min(h).alias(h))  # hashes only travel, combined before the shuffle
+    kept = rows.join(stay.join(least, [d, k]), [d, k, h])
+    return kept.dropDuplicates([d, k, h]).select(*(f"`{c}`" for c in docs.columns))

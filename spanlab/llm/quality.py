@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlab.llm.common import materialize
+from spanlab.llm.common import materialize, working_names
 
 #: Labelled rows that the evidence model is fitted on, at most.
 MAX_LABELLED = 20_000
@@ -123,20 +123,21 @@ def score_documents(docs: DataFrame, model: Evidence, host, path, text_col: str
     made = ["evidence", "host_mean", "path_mean", "quality", "keep"]
     host = F.col(host) if isinstance(host, str) else host
     path = F.col(path) if isinstance(path, str) else path
-    scored = docs.withColumns({"__host": F.coalesce(host.cast("string"), F.lit("\0")), "__path": F.coalesce(path.cast("string"), F.lit("\0"))}).drop(*made).withColumn("__p", evidence(F.col(text_col)))
-    paths = materialize(scored.groupBy("__host", "__path").agg(F.count("*").alias("__n"), F.sum("__p").alias("__s")))
-    g = paths.agg(F.sum("__s"), F.sum("__n")).first()
+    left = docs.drop(*made)
+    h, q, p, n, t, hn, ht = working_names(docs, "__host", "__path", "__p", "__n", "__s", "__hn", "__hs")
+    scored = docs.withColumns({h: F.coalesce(host.cast("string"), F.lit("\0")), q: F.coalesce(path.cast("string"), F.lit("\0"))}).drop(*made).withColumn(p, evidence(F.col(text_col)))
+    paths = materialize(scored.groupBy(h, q).agg(F.count("*").alias(n), F.sum(p).alias(t)))
+    g = paths.agg(F.sum(t), F.sum(n)).first()
     mean = g[0] / g[1] if g[1] else 0.5
-    hosts = paths.groupBy("__host").agg(F.sum("__n").alias("__hn"), F.sum("__s").alias("__hs"))
-    k_host = site_strength(hosts, F.lit(mean), "__hn", "__hs")
-    host_mean = (F.col("__hs") + k_host * mean) / (F.col("__hn") + k_host)
-    sites = paths.join(hosts.select("__host", host_mean.alias("host_mean")), "__host")
-    k_path = site_strength(sites, F.col("host_mean"), "__n", "__s")
-    out = scored.join(sites, ["__host", "__path"])
-    others = (F.col("__s") - F.col("__p") + k_path * F.col("host_mean")) / (F.col("__n") - 1 + k_path)
+    hosts = paths.groupBy(h).agg(F.sum(n).alias(hn), F.sum(t).alias(ht))
+    k_host = site_strength(hosts, F.lit(mean), hn, ht)
+    host_mean = (F.col(ht) + k_host * mean) / (F.col(hn) + k_host)
+    sites = paths.join(hosts.select(h, host_mean.alias("host_mean")), h)
+    k_path = site_strength(sites, F.col("host_mean"), n, t)
+    out = scored.join(sites, [h, q])
+    others = (F.col(t) - F.col(p) + k_path * F.col("host_mean")) / (F.col(n) - 1 + k_path)
     logit = lambda x: F.log(x / (1 - x))
     held = lambda x: F.greatest(F.least(x, F.lit(1 - 1e-9)), F.lit(1e-9))
-    odds = logit(held(F.col("__p"))) + logit(held(others)) - logit(held(F.lit(mean)))
-    out = out.withColumns({"evidence": F.col("__p"), "path_mean": others, "quality": 1 / (1 + F.exp(-odds))})
-    keep = [f"`{c}`" for c in docs.columns if c not in made]
-    return out.withColumn("keep", F.col("quality") >= threshold).select(*keep, *made)
+    odds = logit(held(F.col(p))) + logit(held(others)) - logit(held(F.lit(mean)))
+    out = out.withColumns({"evidence": F.col(p), "path_mean": others, "quality": 1 / (1 + F.exp(-odds))})
+    return out.withColumn("keep", F.col("quality") >= threshold).select(*(f"`{c}`" for c in left.columns), *made)

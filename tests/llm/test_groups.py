@@ -151,6 +151,48 @@ def test_lines_odd(odd, empty):
     assert lines.line_digests(odd).count() == len(ROWS) and lines.line_digests(empty).count() == 0 and lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_count_ids(spark):
+    """A document is an id: twelve rows of six ids are six documents."""
+    rows = [(i % 6, f"Same line\nrow {i}") for i in range(12)] + [(7, "same LINE ")] * 5
+    for least, gone in ((7, True), (8, False)):
+        got = lines.line_digests(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()
+        assert len(got) == 17 and {r.n_dropped for r in got} == {int(gone)}
+
+
+def test_hot_lines_are_not_held(spark):
+    """One key over many batches, documents and partitions: rows are let go once the key is known to go."""
+    rows = [(i, "hot\n" * 40 + f"own {i}\nwarm" * (i < 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        for first in (False, True):
+            want = brute_lines(dict(rows), 10, first)
+            assert {r.doc_id: r.text for r in lines.dedup_lines(df, 10, keep_first=first).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_clashing_names(spark):
+    """Columns called as the operators' own come back as they were."""
+    rows = [(i, f"common\n{PASSAGE} {i}", "mine", "yours", 0.5, "h") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __d string, __k string, __p double, __h string").withColumns({c: F.lit(c) for c in ("__drops", "__kept", "__host", "__path", "__n", "__s", "__hn", "__hs", "__D_")})
+    other = [c for c in df.columns if c != "text"]
+    want = {tuple(r) for r in df.select(*other).collect()}
+    from spanlab.llm import quality
+
+    for got in (lines.dedup_lines(df, 10), quality.score_documents(df, quality.Evidence(), "__d", "__k").select(*df.columns)):
+        assert got.columns == df.columns and {tuple(r) for r in got.select(*other).collect()} == want
+    kept = minhash.drop_near_documents(df)
+    assert kept.columns == df.columns and len(r := kept.collect()) == 1 and tuple(r[0][c] for c in other) in want
+
+
+def test_repeated_rows_choose_alike(spark):
+    """Of rows equal in id and text the same one stays, however they are dealt."""
+    rows = [(1, PASSAGE, f"c{i}") for i in range(30)] + [(2, "", "x"), (2, "", "x")]
+    picks = {tuple(sorted(tuple(r) for r in minhash.drop_near_documents(spark.createDataFrame(x, "doc_id long, text string, source string").repartition(n)).collect())) for x, n in ((rows, 1), (rows[::-1], 4), (rows, 7))}
+    assert len(picks) == 1 and len(next(iter(picks))) == 2
+
+
 def brute_bytes(texts, size):
     raw = [t.encode() for t in texts]
     n = Counter(b[i : i + size] for b in raw for i in range(len(b) - size + 1))
@@ -352,6 +394,13 @@ def test_vectors(spark):
     assert embed.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_of_extreme_size(spark):
+    """Products that would overflow or vanish in double precision."""
+    rows = [(1, 0, [1e200, 1e200]), (2, 0, [1e200, 1.01e200]), (3, 0, [1e-200, 1e-200]), (4, 0, [5e-324, 0.0]), (5, 0, [1e-320, 0.0]), (6, 0, [-1e200, 1e200]), (7, 0, [1e308, 1.0e308])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 7: (3, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
 def test_vector_blocks(spark, monkeypatch):
     from spanlab.llm import pairs
 

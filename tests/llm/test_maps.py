@@ -225,3 +225,77 @@ def test_sparse_sites_shrink(spark):
     model = quality.Evidence.fit(x, np.array([1.0] * 60 + [0.0]))
     r = {x.doc_id: x for x in quality.score_documents(d, model, "source", "source").collect()}
     assert r[99].evidence < 0.1 < 0.3 < r[99].host_mean < r[0].host_mean  # one document moves its host only part of the way
+
+
+def brute_winnow(text):
+    """(hash, position) of selected grams, window by window."""
+    import struct
+
+    import xxhash
+
+    def joined(a, b):
+        return xxhash.xxh64_intdigest(struct.pack("<Q", b), seed=xxhash.xxh64_intdigest(struct.pack("<Q", a), seed=42))
+
+    tokens = re.findall(winnow.TOKEN, text or "")
+    one = [xxhash.xxh64_intdigest(t.encode(), seed=42) for t in tokens]
+    if len(one) < winnow.K:
+        return None  # one hash of all tokens
+    two = [joined(a, b) for a, b in zip(one, one[1:])]
+    grams = [joined(a, b) >> 32 for a, b in zip(two, two[2:])]
+    out = []
+    for s in range(max(len(grams) - winnow.W, 0) + 1):
+        window = range(s, min(s + winnow.W, len(grams)))
+        best = min(window, key=lambda i: (grams[i], -i))
+        if not out or out[-1] != (grams[best], best):
+            out.append((grams[best], best))
+    return out
+
+
+def test_winnowing_is_brute_force(spark):
+    rng = random.Random(8)
+    texts = {i: " ".join(rng.choice(["a", "b", "cc", "日本", "d" * 20]) for _ in range(rng.randrange(90))) for i in range(60)} | {70: "x " * 200, 71: "日" * 50}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: [(x["hash"], x["pos"]) for x in r.selected] for r in winnow.fingerprint_documents(df).collect()}
+    want = {i: brute_winnow(t) for i, t in texts.items()}
+    assert sum(w is not None for w in want.values()) > 50
+    for i, w in want.items():
+        assert got[i] == w if w is not None else len(got[i]) == bool(texts[i])
+    near = {r.doc_id: r for r in winnow.edited_digests(df).collect()}
+    order = sorted(texts, reverse=True)
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, k in zip(order, order[1:] + order[:1]):
+        assert near[i].near_next == pytest.approx(alike({h for h, _ in got[i]}, {h for h, _ in got[k]}))
+
+
+def test_posterior_is_brute_force(spark):
+    """Priors by moments, shrinkage and the left-out share, computed document by document."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["good", "text", "zz", "9", "!!"]) for _ in range(rng.randrange(1, 40))), h := rng.choice("aabc"), rng.choice("xy") + h) for i in range(300)] + [(900, "only one", "d", "zd"), (901, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    x = np.array([quality.features(t) for _, t, _, _ in rows])
+    model = quality.Evidence.fit(x, np.array([float("good" in (t or "")) for _, t, _, _ in rows]))
+    p = model.predict(x)
+    hosts, paths = {}, {}
+    for q, (_, _, h, k) in zip(p, rows):
+        hosts.setdefault(h, []).append(q)
+        paths.setdefault((h, k), []).append(q)
+    mean = p.mean()
+
+    def strength(groups, centre):
+        n = sum(map(len, groups.values()))
+        spread = sum(len(v) * (np.mean(v) - centre(g)) ** 2 for g, v in groups.items())
+        noise = sum(centre(g) * (1 - centre(g)) for g in groups)
+        within = sum(len(v) * centre(g) * (1 - centre(g)) for g, v in groups.items()) / n
+        return min(max(within / max((spread - noise) / n, 1e-6) - 1, 1.0), 1e6)
+
+    kh = strength(hosts, lambda g: mean)
+    host_mean = {h: (sum(v) + kh * mean) / (len(v) + kh) for h, v in hosts.items()}
+    kp = strength(paths, lambda g: host_mean[g[0]])
+    logit = lambda v: np.log(v / (1 - v))
+    got = {r.doc_id: r for r in quality.score_documents(df, model, "host", "path").collect()}
+    for q, (d, _, h, k) in zip(p, rows):
+        v = paths[h, k]
+        prior = (sum(v) - q + kp * host_mean[h]) / (len(v) - 1 + kp)
+        odds = logit(q) + logit(prior) - logit(mean)
+        assert (got[d].evidence, got[d].host_mean, got[d].path_mean) == (pytest.approx(q), pytest.approx(host_mean[h]), pytest.approx(prior))
+        assert got[d].quality == pytest.approx(1 / (1 + np.exp(-odds)), rel=1e-6) and got[d].keep == (got[d].quality >= 0.5)
