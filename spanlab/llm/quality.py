@@ -5,7 +5,8 @@
 2. Sites: one grouped aggregation sums evidence by (host, path).  Method-of-moments beta priors - the spread of host
    means around the global mean, and of path means around their hosts' - shrink sparse hosts toward the global mean
    and sparse paths toward their host.
-3. Posterior: the document's likelihood ratio times the prior odds of its path, its own share left out.
+3. Posterior: the document's likelihood ratio times the prior odds of its path, its own share left out; probabilities are
+   held to 1e-9 and 1 - 1e-9 in odds.
 
 Sums by site are combined before the shuffle; the table of sites joins back as the planner sees fit (broadcast by its
 measured size, else a shuffled join that splits hot sites).

@@ -291,7 +291,7 @@ def test_posterior_is_brute_force(spark):
     kh = strength(hosts, lambda g: mean)
     host_mean = {h: (sum(v) + kh * mean) / (len(v) + kh) for h, v in hosts.items()}
     kp = strength(paths, lambda g: host_mean[g[0]])
-    logit = lambda v: np.log(v / (1 - v))
+    logit = lambda v: np.log((w := min(max(v, 1e-9), 1 - 1e-9)) / (1 - w))
     got = {r.doc_id: r for r in quality.score_documents(df, model, "host", "path").collect()}
     for q, (d, _, h, k) in zip(p, rows):
         v = paths[h, k]
