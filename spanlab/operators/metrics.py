@@ -7,29 +7,48 @@ from pyspark.sql import functions as F
 
 from spanlab.functions import text as T
 
-#: Words whose presence marks a status, and the generic answers that name no entity.
+#: Words whose presence marks a status, and answers that name no entity.  AMBIGUOUS is a default of this
+#: library, not the documented list of any corpus; pass a corpus's own list as ``ambiguous``.
 STATUS_WORDS = "positif|négatif|amplifié|amplifie|negatif|positive|negative|detected|mutation"
 AMBIGUOUS = ("positif", "negatif", "négatif", "positive", "negative", "pos", "neg", "+", "-", "++", "+++", "1+", "2+", "3+", "oui", "non", "yes", "no", "present", "absent", "score", "grade", "stade", "faible", "fort")
 
 
-def _top_share(mentions: DataFrame, value: Column, when: Column, name: str, k: int = 1) -> DataFrame:
-    n = mentions.where(when).groupBy("label", value.alias("__v")).agg(F.count("*").alias("__n"))
+#: Column of ``counted`` mentions that says how often a value occurs.
+TIMES = "times"
+
+
+def counted(mentions: DataFrame) -> DataFrame:
+    """label, value (trimmed), times: one scan of the mentions and one shuffle of their distinct values.
+
+    Every metric takes mentions or this table; of this one, all metrics read the same shuffle.
+    """
+    if TIMES in mentions.columns:
+        return mentions
+    return mentions.groupBy("label", F.trim("value").alias("value")).agg(F.count("*").alias(TIMES))
+
+
+def _top_share(values: DataFrame, value: Column, when: Column, name: str, k: int = 1) -> DataFrame:
+    """The share of the k commonest among the mentions that ``when`` holds for; the condition is part of the sum, so that all metrics read one plan."""
+    n = values.groupBy("label", value.alias("__v")).agg(F.sum(F.when(when, F.col(TIMES))).alias("__n")).where("__n is not null")
     w = Window.partitionBy("label").orderBy(F.desc("__n"), "__v")
     return n.withColumn("__r", F.row_number().over(w)).groupBy("label").agg((F.sum(F.when(F.col("__r") <= k, F.col("__n")).otherwise(0)) / F.sum("__n")).alias(name))
 
 
+def _share(c: Column) -> Column:
+    return F.sum(F.when(c, F.col(TIMES)).otherwise(0)) / F.sum(TIMES)
+
+
 def templeability(mentions: DataFrame, compat: bool = False) -> DataFrame:
     """Te per label, over mentions (label, value): top-3 shape share, kinds of format found, and starts that agree.
 
     Te = min(0.7 * top3 + min(0.15 * formats, 0.4) + (0.1 if the commonest start has over 0.8), 1).
     """
-    m = mentions.withColumn("value", F.trim("value"))
+    m = counted(mentions)
     v = F.col("value")
-    share = lambda c: F.sum(c.cast("long")) / F.count("*")
     flags = m.groupBy("label").agg(
-        F.count("*").alias("count"),
-        share(F.contains(v, F.lit("%"))).alias("percent"), share(v.rlike(r"[+\-]")).alias("sign"),
-        share(F.lower(v).rlike(r"score\s*:?\s*\d")).alias("score"), share(F.lower(v).rlike(STATUS_WORDS)).alias("status"), share(v.rlike(r">|<|\d+\s*-\s*\d+")).alias("range"),
+        F.sum(TIMES).alias("count"),
+        _share(F.contains(v, F.lit("%"))).alias("percent"), _share(v.rlike(r"[+\-]")).alias("sign"),
+        _share(F.lower(v).rlike(r"score\s*:?\s*\d")).alias("score"), _share(F.lower(v).rlike(STATUS_WORDS)).alias("status"), _share(v.rlike(r">|<|\d+\s*-\s*\d+")).alias("range"),
     )
     top3 = _top_share(m, T.shape("value", compat), F.lit(True), "top3", 3)
     start = _top_share(m, F.substring("value", 1, 2), F.length("value") >= 2, "start")
@@ -69,14 +88,14 @@ def risk_flags(mentions: DataFrame, ambiguous=AMBIGUOUS, synonyms: dict[str, lis
 
 def risk(mentions: DataFrame, ambiguous=AMBIGUOUS, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
     """R per label and the shares of the four kinds; the shares are counted before the explicit name overrides, and need not add up."""
-    f = risk_flags(mentions, ambiguous, synonyms)
-    share = lambda c: (F.sum(F.col(c).cast("long")) / F.count("*"))
-    return f.groupBy("label").agg(F.count("*").alias("count"), share("at_risk").alias("r"), *(share(c).alias(f"{c}_ratio") for c in ("polysemic", "numeric", "explicit", "structured")))
+    f = risk_flags(counted(mentions), ambiguous, synonyms)
+    return f.groupBy("label").agg(F.sum(TIMES).alias("count"), _share(F.col("at_risk")).alias("r"), *(_share(F.col(c)).alias(f"{c}_ratio") for c in ("polysemic", "numeric", "explicit", "structured")))
 
 
 def homogeneity(mentions: DataFrame) -> DataFrame:
     """He = (tokens - distinct tokens) / tokens per label, and its sigmoid.  Counts are combined per (label, token) first."""
-    t = mentions.select("label", F.explode(T.tokens("value")).alias("token")).groupBy("label", "token").agg(F.count("*").alias("n"))
+    times = F.col(TIMES) if TIMES in mentions.columns else F.lit(1).cast("long")
+    t = mentions.select("label", F.explode(T.tokens("value")).alias("token"), times.alias(TIMES)).groupBy("label", "token").agg(F.sum(TIMES).alias("n"))
     s = t.groupBy("label").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_unique"))
     he = (F.col("n_tokens") - F.col("n_unique")) / F.col("n_tokens")
     return s.select("label", "n_tokens", "n_unique", he.alias("he"), T.sigmoid(he).alias("he_score"))
@@ -85,7 +104,8 @@ def homogeneity(mentions: DataFrame) -> DataFrame:
 def frequency(mentions: DataFrame, docs: DataFrame, text_col: str = "text", compat: bool = False) -> DataFrame:
     """Mentions of a label over all words of the documents.  compat: a mention counts twice."""
     words = docs.agg(F.sum(T.word_count(text_col)).alias("total_words"))
-    n = mentions.groupBy("label").agg((F.count("*") * (2 if compat else 1)).alias("count"))
+    times = F.sum(TIMES) if TIMES in mentions.columns else F.count("*")
+    n = mentions.groupBy("label").agg((times * (2 if compat else 1)).alias("count"))
     return n.crossJoin(F.broadcast(words)).withColumn("freq", T.ratio("count", "total_words"))
 
 

@@ -128,22 +128,24 @@ def resolve_overlaps(spans: DataFrame, keys: list[str] = DOC, mode: str = "suppr
 def merge_adjacent(spans: DataFrame, keys: list[str] = DOC) -> DataFrame:
     """Spans by (begin, end, label): one of the same label that starts at or before the end of the span kept last extends it.
 
-    Its score becomes the mean weighted by length.  Another label in between breaks a run.
+    Its score becomes the mean weighted by length.  Another label in between breaks a run.  Runs are found by windows;
+    only the spans of one run meet in a row, whose score is folded once.
     """
-    one = F.struct(F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end"), "label", F.col("score").cast("double").alias("score"))
-    rows = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("__a"))
+    s = spans.select(*keys, "label", F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end"), F.col("score").cast("double").alias("score"))
+    w = Window.partitionBy(*keys).orderBy("begin", "end", "label", "score")
+    s = s.withColumn("__s", F.coalesce((F.lag("label").over(w) != F.col("label")).cast("int"), F.lit(0))).withColumn("__s", F.sum("__s").over(w))
+    streak = Window.partitionBy(*keys, "__s").orderBy("begin", "end", "score")
+    far = F.max("end").over(streak.rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumn("__m", (F.col("begin") > far).cast("int")).withColumn("__m", F.sum(F.coalesce("__m", F.lit(0))).over(streak))
+    runs = s.groupBy(*keys, "label", "__s", "__m").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "score"))).alias("__a"))
 
     def step(acc, x):
-        last = F.element_at(acc, -1)
-        w0, w1 = (last["end"] - last["begin"]).cast("double"), (x["end"] - x["begin"]).cast("double")
-        score = F.when(w0 + w1 > 0, (last["score"] * w0 + x["score"] * w1) / (w0 + w1)).otherwise(last["score"])
-        grown = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], x["end"]).alias("end"), last["label"].alias("label"), score.alias("score"))
-        joins = (F.size(acc) > 0) & (last["label"] == x["label"]) & (x["begin"] <= last["end"])
-        return F.when(F.size(acc) == 0, F.array(x)).when(joins, F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.array_append(acc, x))
-
-    guarded = lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(step(acc, x))
-    merged = F.aggregate("__a", F.filter("__a", lambda _: F.lit(False)), guarded)
-    return rows.withColumn("__m", F.explode(merged)).select(*keys, "__m.label", "__m.begin", "__m.end", "__m.score")
+        w0, w1 = (acc["end"] - acc["begin"]).cast("double"), (x["end"] - x["begin"]).cast("double")
+        score = F.when(w0 + w1 > 0, (acc["score"] * w0 + x["score"] * w1) / (w0 + w1)).otherwise(acc["score"])
+        return F.struct(acc["begin"].alias("begin"), F.greatest(acc["end"], x["end"]).alias("end"), score.alias("score"))
+
+    one = F.aggregate(F.slice("__a", 2, F.size("__a")), F.element_at("__a", 1), step)
+    return runs.withColumn("__o", one).select(*keys, "label", "__o.begin", "__o.end", "__o.score")
 
 
 def drop_nested(spans: DataFrame, keys: list[str] = DOC) -> DataFrame:

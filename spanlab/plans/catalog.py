@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlab.functions import stats as S
 from spanlab.functions import text as T
+from spanlab.functions import udtf
 from spanlab.operators import evaluate as E
 from spanlab.operators import match as M
 from spanlab.operators import metrics as C
@@ -304,7 +307,7 @@ def templeability(spark, d):
 
 
 @query(f"""WITH {MENTIONS}, m AS (SELECT label, lower(trim(value)) AS v, regexp_replace(lower(trim(value)), '[^a-z0-9+\\-%]', '', 'g') AS c FROM mentions),
-k AS (SELECT *, v IN {C.AMBIGUOUS} OR c IN {C.AMBIGUOUS} AS listed, regexp_matches(v, '^(<|>|<=|>=)?\\s*\\d+([.,]\\d+)?\\s*%?$') AS num, regexp_matches(v, '(^|[^\\pL\\pN_])' || label || '($|[^\\pL\\pN_])') AS explicit FROM m),
+k AS (SELECT *, v IN {C.AMBIGUOUS} OR c IN {C.AMBIGUOUS} AS listed, regexp_matches(v, '^(<|>|<=|>=)?\\s*\\d+([.,]\\d+)?\\s*%?$') AS num, contains(' ' || regexp_replace(v, '[^\\pL\\pN_]', ' ', 'g') || ' ', ' ' || label || ' ') AS explicit FROM m),
 z AS (SELECT *, NOT listed AND num AS numeric, (listed OR num) AND NOT explicit AS risk FROM k)
 SELECT label, COUNT(*) AS count, COUNT(*) FILTER (risk)::DOUBLE / COUNT(*) AS r, COUNT(*) FILTER (listed)::DOUBLE / COUNT(*) AS polysemic_ratio, COUNT(*) FILTER (numeric)::DOUBLE / COUNT(*) AS numeric_ratio, COUNT(*) FILTER (explicit)::DOUBLE / COUNT(*) AS explicit_ratio,
   COUNT(*) FILTER (NOT risk AND NOT explicit AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]') AND length(v) > 3 AND NOT regexp_matches(v, '^(score|grade|stade)\\s*:?\\s*\\d'))::DOUBLE / COUNT(*) AS structured_ratio FROM z GROUP BY label""")
@@ -336,10 +339,18 @@ def prioritized_union(spark, d):
     return brat.first_directory(f).groupBy("name", "priority").agg(F.count("*").alias("n"))
 
 
-@query()
+TRACE_SQL = """CASE WHEN a THEN 'regular' ELSE 'irregular -> ' || CASE WHEN b THEN 'learnable' ELSE 'not learnable -> ' || CASE WHEN c THEN 'data or low risk' ELSE 'rare and risky -> ' || CASE WHEN e THEN 'needs context' ELSE 'default' END END END END"""
+
+
+@query(f"""WITH te AS ({_sql["templeability"]}), ri AS ({_sql["risk_score"]}), fr AS ({_sql["entity_frequency"]}),
+tok AS (WITH {MENTIONS} SELECT label, lower(UNNEST(list_filter(string_split_regex(value, '[^a-zA-Z0-9%]+'), lambda x: x <> ''))) AS token FROM mentions),
+ho AS (SELECT label, (COUNT(*) - COUNT(DISTINCT token))::DOUBLE / COUNT(*) AS he FROM tok GROUP BY label),
+j AS (SELECT label, te, r, he, freq, fr.count AS count FROM te JOIN (SELECT label, r FROM ri) USING (label) JOIN ho USING (label) JOIN fr USING (label)),
+k AS (SELECT *, te > 0.5 AND he > 0.5 AND r < 0.3 AS a, te > 0.2 AND te <= 0.5 AND freq > 0.001 AND count > 50 AS b, freq > 0.001 OR r < 0.8 AS c, r > 0.6 AND te < 0.2 AS e FROM j)
+SELECT label, te, r, he, freq, count, CASE WHEN a THEN 'rules' WHEN b THEN 'light ML' WHEN c THEN 'transformer' WHEN e THEN 'LLM' ELSE 'rules (default)' END AS method, {TRACE_SQL} AS trace FROM k""")
 def metric_chain(spark, d):
-    """Templeability, risk, homogeneity and frequency joined by label, then the decision tree; one plan, no files between."""
-    m = U.mentions(spark, d)
+    """Templeability, risk, homogeneity and frequency joined by label, then the decision tree; one plan, one scan for the mentions."""
+    m = C.counted(U.mentions(spark, d))
     return R.decision_tree(C.metric_table(C.templeability(m), C.risk(m), C.homogeneity(m), C.frequency(m, _docs(spark, d))))
 
 
@@ -445,6 +456,58 @@ def run_summary(spark, d):
     return R.run_summary(G.friedman(G.score_matrix(U.scores(spark, d), METHODS), METHODS), "n_docs")
 
 
+def _hits_only(spark, d):
+    """Scores that count hits alone, so that documents without any count nothing."""
+    return U.scores(spark, d).withColumn("fn", F.lit(0).cast("long"))
+
+
+@query(f"""WITH {FLAGS}, d AS (SELECT label, doc_id, SUM(rules + tbm + llm) AS n FROM flags GROUP BY ALL) SELECT label, COUNT(*) FILTER (n = 0) AS n_excluded FROM d GROUP BY label""")
+def excluded_counts(spark, d):
+    return G.excluded_counts(_hits_only(spark, d))
+
+
+@query(f"""WITH {MATRIX} SELECT label, AVG((f1_rules + f1_tbm + f1_llm = 0)::INT::DOUBLE) AS sparsity FROM matrix GROUP BY label""")
+def sparsity(spark, d):
+    return G.sparsity(G.score_matrix(U.scores(spark, d), METHODS), METHODS)
+
+
+@query(f"""WITH f AS ({_sql["friedman_chi2"]}) SELECT label, n_docs FROM f WHERE n_docs >= 10 AND p <= 0.05""")
+def significant_labels(spark, d):
+    return G.significant_labels(G.friedman(G.score_matrix(U.scores(spark, d), METHODS), METHODS)).select("label", "n_docs")
+
+
+@query("""WITH b AS (SELECT s_nationkey AS doc_id, s_suppkey AS label, s_suppkey % 7 AS tp, 0 AS fp, s_suppkey % 3 AS fn FROM supplier) SELECT doc_id, COUNT(*) AS labels, SUM(tp)::BIGINT AS tp, SUM(fn)::BIGINT AS fn FROM b GROUP BY doc_id""")
+def score_cache(spark, d):
+    """Scores written as JSON a document, and read again."""
+    s = U.table(spark, d, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("label"), (F.col("s_suppkey") % 7).alias("tp"), F.lit(0).cast("long").alias("fp"), (F.col("s_suppkey") % 3).alias("fn"))
+    kind = "map<string,map<string,struct<TP:bigint,FP:bigint,FN:bigint>>>"
+    e = sinks.score_cache(s).select("doc_id", F.explode(F.element_at(F.map_values(F.from_json("json", kind)), 1)).alias("label", "c"))
+    return e.groupBy("doc_id").agg(F.count("*").alias("labels"), F.sum("c.TP").alias("tp"), F.sum("c.FN").alias("fn"))
+
+
+@query(f"""WITH {TAGS} SELECT doc_id, COUNT(*) AS n, sha256(string_agg('e' || event_id || '=' || tag, ',' ORDER BY event_id)) AS sha256 FROM tags GROUP BY doc_id""")
+def bio_json(spark, d):
+    """Tagged tokens written as JSON a document, and read again."""
+    t = U.tags(spark, d).select("doc_id", F.col("event_id").alias("tok_id"), F.format_string("e%d", "event_id").alias("token"), "tag")
+    j = sinks.bio_json(t).select("doc_id", F.from_json("json", "id string, tokens array<string>, ner_tags array<string>").alias("j"))
+    text = F.array_join(F.zip_with("j.tokens", "j.ner_tags", lambda a, b: F.concat_ws("=", a, b)), ",")
+    return j.select("doc_id", F.size("j.tokens").cast("long").alias("n"), F.sha2(text, 256).alias("sha256"))
+
+
+@query("""SELECT corpus, COUNT(*) AS n, SUM(doc_id)::BIGINT AS ids FROM (SELECT 'a' AS corpus, doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT 'b', doc_id FROM documents) GROUP BY corpus""")
+def all_directories(spark, d):
+    docs = _docs(spark, d).select("doc_id", "lang")
+    return brat.all_directories({"a": docs.where("lang = 'en'"), "b": docs}).groupBy("corpus").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS n, list_sum(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: length(x)))::BIGINT AS chars FROM documents WHERE regexp_matches(text, '[0-9]')""")
+def sql_extract_spans(spark, d):
+    """Spans by the SQL table function."""
+    udtf.register(spark)
+    _docs(spark, d).select("doc_id", "text").createOrReplaceTempView("spanlab_documents")
+    return spark.sql("SELECT doc_id, COUNT(*) AS n, SUM(s.end - s.begin) AS chars FROM spanlab_documents d, LATERAL extract_spans(d.text, '[0-9]+', 'NUMBER') s GROUP BY doc_id")
+
+
 # --- tokens and spans --------------------------------------------------------------------------------------------
 
 
@@ -482,7 +545,10 @@ def resolve_overlaps(spark, d):
     return P.resolve_overlaps(g).groupBy("label").agg(F.count("*").alias("n"), F.sum("begin").alias("b"))
 
 
-@query()
+@query(f"""WITH {GOLD}, o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY b, e, label) AS i FROM gold), p AS (SELECT *, LAG(label) OVER (PARTITION BY doc_id ORDER BY i) AS pl FROM o),
+s AS (SELECT *, SUM(CASE WHEN pl <> label THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM p), f AS (SELECT *, MAX(e) OVER (PARTITION BY doc_id, s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s),
+m AS (SELECT *, SUM(CASE WHEN b > far THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, s ORDER BY i) AS m FROM f), r AS (SELECT label, MIN(b) AS b, MAX(e) AS e FROM m GROUP BY doc_id, label, s, m)
+SELECT label, COUNT(*) AS n, SUM(b)::BIGINT AS b, SUM(e)::BIGINT AS e FROM r GROUP BY label""")
 def merge_adjacent(spark, d):
     g = U.gold(spark, d).withColumn("score", F.lit(0.5))
     return P.merge_adjacent(g).groupBy("label").agg(F.count("*").alias("n"), F.sum("begin").alias("b"), F.sum("end").alias("e"))
@@ -537,7 +603,12 @@ def tokenize_offsets(spark, d):
     return t.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum("begin").alias("begins"), F.sum("end").alias("ends"))
 
 
-@query()
+#: The tags of TAGS with every fourth event's taken out, under other names.
+LOST = re.sub(r"\b(tags|numbered|started|bio)\b", r"p_\1", TAGS).replace("CASE event_type WHEN", "CASE CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END WHEN")
+
+
+@query(f"""WITH {TAGS}, {LOST}, b AS (SELECT doc_id, label, first, last, 1 AS g, 0 AS p FROM bio UNION ALL SELECT doc_id, label, first, last, 0, 1 FROM p_bio),
+s AS (SELECT label, MAX(g) AS g, MAX(p) AS p FROM b GROUP BY doc_id, label, first, last), c AS (SELECT label, SUM(g * p)::BIGINT AS tp, SUM(p * (1 - g))::BIGINT AS fp, SUM(g * (1 - p))::BIGINT AS fn FROM s GROUP BY label) SELECT label, tp, fp, fn, {PRF} FROM c""")
 def sequence_scores(spark, d):
     g = U.tags(spark, d).drop("score")
     p = g.withColumn("tag", F.when(F.col("event_id") % 4 == 0, "O").otherwise(F.col("tag")))
@@ -693,7 +764,8 @@ def brat_relations(spark, d):
     return r.groupBy(F.col("head.label").alias("head"), F.col("tail.label").alias("tail")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {GOLD}, n AS (SELECT doc_id, 'T' || ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY b, e, label) || chr(9) || label || ' ' || b || ' ' || e || chr(9) || label AS l, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY b, e, label) AS i FROM gold),
+c AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) || chr(10) AS c FROM n GROUP BY doc_id) SELECT doc_id, length(c) AS n_chars, sha256(c) AS sha256 FROM c""")
 def brat_writer(spark, d):
     s = U.gold(spark, d).withColumn("text", F.col("label"))
     return sinks.brat_text(s).select("doc_id", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("sha256"))
@@ -707,7 +779,7 @@ def conll_tokens(spark, d):
     return t.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("tokens"))
 
 
-@query()
+@query(f"""WITH {TAGS} SELECT doc_id, sha256(string_agg('e' || event_id || ' ' || tag, chr(10) ORDER BY event_id) || chr(10) || chr(10)) AS sha256 FROM tags GROUP BY doc_id""")
 def conll_writer(spark, d):
     t = U.tags(spark, d)
     t = t.select(F.col("doc_id"), F.lit(0).alias("sent_id"), F.col("event_id").alias("tok_id"), F.format_string("e%d", "event_id").alias("token"), "tag")
