@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def stratify(docs: list[str], labels: list[set], folds: dict[str, float], seed: int = 42, repair: bool = True, sizes: bool = False) -> dict[str, str]:
+def stratify(docs: list[str], labels: list[set], folds: dict[str, float], seed: int = 42, repair: bool = True, sizes: bool = False, moves: int = 0, static: bool = False) -> dict[str, str]:
     """Iterative stratification: documents of the rarest label left go, one by one, to the fold that lacks it most.
 
+    ``static``: labels are taken once, in the order of their document counts, instead of picking the rarest left anew.
+    ``moves``: at most so many documents then go from a fold with too many of a label to one with too few of it, each the
+    move that brings all label counts nearest to their shares; it ends early where none does.
     ``repair``: afterwards every fold gets a document of each label that has as many documents as folds.
     ``sizes``: then folds are brought to their sizes by moving the documents with most labels.
     """
@@ -36,8 +39,9 @@ def stratify(docs: list[str], labels: list[set], folds: dict[str, float], seed:
             need[f][x] -= 1
             left[x].discard(d)
 
+    totals = {x: (len(ds), str(x)) for x, ds in left.items()}
     while open_ := {x: ds for x, ds in left.items() if ds}:
-        rare = min(open_, key=lambda x: (len(open_[x]), str(x)))
+        rare = min(open_, key=lambda x: totals[x] if static else (len(open_[x]), str(x)))
         for d in [d for d in order if d in open_[rare]]:
             put(d, max(names, key=lambda f: (need[f][rare], sum(need[f][x] for x in has[d]), room[f], -names.index(f))))
     for d in order:
@@ -51,6 +55,10 @@ def stratify(docs: list[str], labels: list[set], folds: dict[str, float], seed:
                     rich = max(names, key=lambda g: len(members(g, x)))
                     if len(ds := members(rich, x)) > 1:
                         out[min(ds, key=lambda d: (len(has[d]), d))] = f
+    for _ in range(moves):
+        if (best := _best_move(out, has, {x: n for x, (n, _) in totals.items()}, want, names)) is None:
+            break
+        out[best[0]] = best[1]
     if sizes:
         goal = {f: round(want[f] * len(docs)) for f in names}
         goal[names[0]] += len(docs) - sum(goal.values())
@@ -62,17 +70,45 @@ def stratify(docs: list[str], labels: list[set], folds: dict[str, float], seed:
     return out
 
 
-def stratified_split(doc_labels: DataFrame, folds: dict[str, float], seed: int = 42, repair: bool = True, sizes: bool = False, strata: int = 1) -> DataFrame:
+def _best_move(out: dict, has: dict, totals: dict, want: dict, names: list[str]) -> tuple | None:
+    """(document, fold): the move of one document that lowers the sum of label counts' distances from their shares most."""
+    gap = {f: {x: -want[f] * n for x, n in totals.items()} for f in names}
+    for d, f in out.items():
+        for x in has[d]:
+            gap[f][x] += 1
+    best, kind = (-1e-9, ""), None
+    seen = set()
+    for d in sorted(out, key=str):
+        src = out[d]
+        if (src, frozenset(has[d])) in seen:  # documents of equal labels are alike
+            continue
+        seen.add((src, frozenset(has[d])))
+        for f in names:
+            if f != src:
+                change = sum(abs(gap[src][x] - 1) - abs(gap[src][x]) + abs(gap[f][x] + 1) - abs(gap[f][x]) for x in has[d])
+                if change < best[0]:
+                    best, kind = (change, str(d)), (d, f)
+    return kind
+
+
+#: Documents that one sequential split takes, about.
+STRATUM = 50_000
+
+
+def stratified_split(doc_labels: DataFrame, folds: dict[str, float], seed: int = 42, repair: bool = True, sizes: bool = False, strata: int | None = None, moves: int = 0, static: bool = False) -> DataFrame:
     """(doc_id, label) rows -> doc_id, fold.  Documents without a label have a row with a null label.
 
-    The method is sequential.  ``strata`` groups of documents, by hash of the id, are split each in a task of its own,
-    so tasks stay bounded when strata grows with the corpus; shares hold in each group, so they hold over all.
+    The method is sequential.  ``strata`` groups of documents, by hash of the id, are split each in a task of its own;
+    None makes one for every STRATUM documents, so tasks stay bounded.  Shares hold in each group, so they hold over
+    all; which documents a fold gets changes with the number of groups.
     """
+    if strata is None:
+        strata = max(-(-doc_labels.select(F.approx_count_distinct("doc_id", 0.02)).first()[0] // STRATUM), 1)
     rows = doc_labels.groupBy("doc_id").agg(F.collect_set("label").alias("labels")).withColumn("__g", F.pmod(F.xxhash64("doc_id"), F.lit(strata)))
 
     def split(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("doc_id")
-        got = stratify(f.doc_id.tolist(), [set(x) for x in f.labels], folds, seed, repair, sizes)
+        got = stratify(f.doc_id.tolist(), [set(x) for x in f.labels], folds, seed, repair, sizes, moves, static)
         return pd.DataFrame({"doc_id": f.doc_id, "fold": f.doc_id.map(got)})
 
     kind = dict(doc_labels.dtypes)["doc_id"]

@@ -142,6 +142,13 @@ def windows(tokens: DataFrame, size: int = 512, stride: int = 50, keys: list[str
     return out.select(*keys, "w_id", (F.col("w_id") * step).alias("w_first"), F.least(F.col("w_id") * step + size - 1, "__max").alias("w_last"))
 
 
+def merge_windows(tags: DataFrame, keys: list[str] = SEQ, min_score: float = 0.0) -> DataFrame:
+    """Tags of tokens in overlapping windows (w_id, tok_id, tag, score) -> one a token: the surest, of the first window at ties; O below min_score."""
+    best = F.min_by(F.struct("tag", "score"), F.struct((-F.col("score")).alias("s"), F.col("w_id").alias("w")))
+    one = tags.groupBy(*keys, "tok_id").agg(best.alias("__b"))
+    return one.select(*keys, "tok_id", F.when(F.col("__b.score") < min_score, "O").otherwise(F.col("__b.tag")).alias("tag"), F.col("__b.score").alias("score"))
+
+
 def align_subwords(pieces: DataFrame, keys: list[str] = SEQ, ignore: str = "-100", mode: str = "first") -> DataFrame:
     """Sub-word rows (word_id, tag, piece_id) with ``piece_tag``: later pieces of a word are ignored, or continue as I-."""
     w = Window.partitionBy(*keys, "word_id").orderBy("piece_id")

@@ -639,7 +639,7 @@ def stratification_report(spark, d):
 @query()
 def stratified_split(spark, d):
     m = _docs(spark, d).select("doc_id", F.col("lang").alias("label"))
-    return X.stratified_split(m, {"train": 0.8, "test": 0.2}, strata=max(1, 8)).groupBy("fold").agg(F.count("*").alias("n"))
+    return X.stratified_split(m, {"train": 0.8, "test": 0.2}, moves=50).groupBy("fold").agg(F.count("*").alias("n"))
 
 
 @query()

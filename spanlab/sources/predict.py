@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlab.functions.text import json_entities
+from spanlab.operators import tokens as K
 
 
 class Predictor(Protocol):
@@ -34,6 +35,44 @@ def predict_spans(docs: DataFrame, load: Callable[[], Predictor], min_score: flo
     return d.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in d.select(*keep).dtypes) + ", begin int, end int, label string, score double")
 
 
+class Tagger(Protocol):
+    def __call__(self, sentences: list[list[str]]) -> list[list[tuple[int, str, float]]]:
+        """For each sentence's words their pieces in order: index of the word, BIO tag, score.  A word may have several, or none."""
+
+
+def predict_tags(docs: DataFrame, load: Callable[[], Tagger], text_col: str = "text", keep: list[str] = ["doc_id"], batch: int = 32) -> DataFrame:  # noqa: B006
+    """keep, begin, end, label, n, score: words of a line are a sentence; a word has the tag of its first piece; tags make spans of characters.
+
+    The model is loaded once a task and called with ``batch`` sentences; words without a piece are O.  Ids must be
+    unique.  Null and empty texts have no spans.
+    """
+    words = K.sentence_starts(K.tokenize(docs, text_col, keep), docs, keep, text_col)
+    by = [*keep, "sent_id"]
+    words = words.withColumn("tok_id", F.row_number().over(Window.partitionBy(*by).orderBy("tok_id")) - 1)  # in the sentence
+    lines = words.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("tok_id", "token"))).alias("w"))
+    lines = lines.select(*by, F.transform("w", lambda x: x["tok_id"]).alias("ids"), F.transform("w", lambda x: x["token"]).alias("words"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for f in frames:
+            for at in range(0, len(f), batch):
+                part = f.iloc[at : at + batch].reset_index(drop=True)
+                rows = []
+                for i, pieces in enumerate(model([list(w) for w in part.words])):
+                    first: dict[int, tuple] = {}
+                    for word, tag, score in pieces:
+                        first.setdefault(word, (tag, score))
+                    rows += [(i, int(part.ids[i][word]), tag, float(score)) for word, (tag, score) in first.items()]
+                out = pd.DataFrame(rows, columns=["__i", "tok_id", "tag", "score"])
+                yield pd.concat([part[by].loc[out.pop("__i")].reset_index(drop=True), out], axis=1)
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
+    tags = lines.mapInPandas(run, f"{kinds}, sent_id int, tok_id int, tag string, score double")
+    told = words.join(tags, [*by, "tok_id"], "left").withColumns({"tag": F.coalesce("tag", F.lit("O")), "score": F.coalesce("score", F.lit(0.0))})
+    spans = K.bio_spans(told, by)
+    return K.to_char_span(spans, words.select(*by, "tok_id", "begin", "end"), by).drop("sent_id", "first", "last")
+
+
 def at_thresholds(spans: DataFrame, thresholds: list[float]) -> DataFrame:
     """spans once for each threshold that their score reaches."""
     t = F.filter(F.array(*(F.lit(float(x)) for x in thresholds)), lambda x: F.col("score") >= x)

@@ -113,3 +113,23 @@ def test_excluded_sparse_significant(spark):
     assert [(r.label, r.sparsity) for r in G.sparsity(m, ["m", "n"]).collect()] == [("A", 0.5)]
     t = spark.createDataFrame([("A", 10, 0.05), ("B", 9, 0.01), ("C", 50, 0.06), ("D", 50, None), ("E", 50, float("nan"))], "label string, n_docs long, p double")
     assert [r.label for r in G.significant_labels(t).collect()] == ["A"]
+
+
+def test_moves_and_static_order():
+    rng = np.random.default_rng(2)
+    docs = [f"d{i}" for i in range(300)]
+    labels = [{x for x, p in zip("abcde", (0.5, 0.3, 0.1, 0.05, 0.02)) if rng.random() < p} for _ in docs]
+    folds = {"train": 0.7, "dev": 0.1, "test": 0.2}
+
+    def gap(split):
+        return sum(abs(sum(x in has for d, has in zip(docs, labels) if split[d] == f) - share * sum(x in has for has in labels)) for f, share in folds.items() for x in "abcde")
+
+    for static in (False, True):
+        plain = X.stratify(docs, labels, folds, repair=False, static=static)
+        moved = X.stratify(docs, labels, folds, repair=False, static=static, moves=50)
+        assert set(plain) == set(moved) == set(docs) and gap(moved) <= gap(plain)
+        assert sum(plain[d] != moved[d] for d in docs) <= 50
+    skewed = {d: "train" for d in docs}
+    has, totals = dict(zip(docs, labels)), {x: sum(x in h for h in labels) for x in "abcde"}
+    d, f = X._best_move(skewed, has, totals, folds, list(folds))
+    assert f == "test" and len(has[d]) == max(map(len, labels)) or f != "train"

@@ -107,3 +107,30 @@ def test_predictors(spark):
 
     r = predict.query_responses(d, broken, tries=2, back_off=0.0)
     assert {x.response for x in r.collect()} == {"[]"}
+
+
+def test_windows_merge(spark):
+    t = spark.createDataFrame([(1, 0, 0, "B-X", 0.9), (1, 0, 1, "I-X", 0.4), (1, 1, 1, "B-Y", 0.8), (1, 0, 2, "B-Z", 0.5), (1, 1, 2, "O", 0.5), (1, 1, 3, "B-X", 0.1)], "doc_id long, w_id int, tok_id int, tag string, score double")
+    assert [(r.tok_id, r.tag) for r in K.merge_windows(t, ["doc_id"], 0.2).orderBy("tok_id").collect()] == [(0, "B-X"), (1, "B-Y"), (2, "B-Z"), (3, "O")]
+
+
+def test_predict_tags(spark):
+    """Sentences, first pieces, BIO, characters."""
+    from spanlab.sources import predict
+
+    def load():
+        def model(sentences):
+            out = []
+            for words in sentences:
+                pieces = []
+                for i, w in enumerate(words):
+                    if w.istitle():
+                        pieces += [(i, "I-N" if i and words[i - 1].istitle() else "B-N", 0.5), (i, "O", 0.9)]
+                out.append(pieces)
+            return out
+
+        return model
+
+    d = spark.createDataFrame([(1, "see Anna Berg\nBerg é Carl"), (2, None), (3, "")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in predict.predict_tags(d, load, batch=1).select("doc_id", "label", "begin", "end", "score").collect())
+    assert got == [(1, "N", 4, 13, 0.5), (1, "N", 14, 18, 0.5), (1, "N", 21, 25, 0.5)]
