@@ -154,13 +154,14 @@ def _across(at_least: int, percent: int):
     return find
 
 
-def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """One row per row of docs: d (the id), k (the text's hash), n_shingles, component_id, kept, first.
 
     Links: 100 * intersection >= percent * union of the sets of ``size``-word shingles, A-Z lower-cased.  A document
     without words links with nothing.  component_id is the least id that links reach; a null id counts as none, and
     a component of null ids has a null id.  Repeated rows and rows that share an id are documents of their own that
-    link as any others.  ``first`` marks the least (id, text hash) of a component: repeated rows apart, one row.
+    link as any others.  ``exact`` verifies every pair that shares a bucket across components, also those whose
+    signatures agree in too few places to be likely.  ``first`` marks the least (id, text hash) of a component: repeated rows apart, one row.
     """
     sketch = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("k"), F.col(text_col).alias("text"))
     sketch = materialize(sketch.mapInArrow(_sketch(size), "d long, k long, n long, digest binary, sig binary"))
@@ -192,6 +193,7 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
     open_rows = placed.join(materialize(mixed), ["band", "key"]).join(sets, "cid").select("band", "key", "cid", "n", "comp", "s")
     at_least = int(K * percent / 100 - 4.6 * np.sqrt(K * percent / 100 * (1 - percent / 100)))
+    at_least = 0 if exact else at_least
     second = in_blocks(open_rows, ["band", "key"], "cid", _across(at_least, percent), "u long, v long")
 
     comp = connected_components(first.unionByName(second))

@@ -90,8 +90,9 @@ def test_near_blocks_and_large_groups(spark, monkeypatch):
     from spanlab.llm import pairs
 
     monkeypatch.setattr(pairs.in_blocks, "__defaults__", (8,))
-    got = minhash.near_documents(spark.createDataFrame([*docs.items()], "doc_id long, text string"), size=4).collect()
-    assert {r.d: r.component_id for r in got} == want
+    for exact in (False, True):
+        got = minhash.near_documents(spark.createDataFrame([*docs.items()], "doc_id long, text string"), size=4, exact=exact).collect()
+        assert {r.d: r.component_id for r in got} == want
 
 
 def test_circulant_signature():
