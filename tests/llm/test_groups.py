@@ -480,3 +480,45 @@ def test_pipeline_whole(spark):
     rows = corpus_pipeline.run(spark, sf).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset").collect()
     sizes, _ = check_packing([tuple(r) for r in rows], ids)
     assert max(sizes) <= 4096
+
+
+def test_links_of_a_crowded_label_are_counted_not_listed(spark, monkeypatch):
+    """Rows written grow with the vectors in cells of up to CHUNK rows; crowded cells are worked in parts with the same result."""
+    rng, grown, whole = np.random.default_rng(5), [], embed.CHUNK
+    for n, chunk in ((150, 64), (150, whole), (300, whole)):
+        monkeypatch.setattr(embed, "CHUNK", chunk)
+        centre = rng.standard_normal(16)
+        x = np.concatenate([centre + rng.standard_normal((n, 16)) * 0.2, rng.standard_normal((50, 16)), centre[None] * [[1], [2], [1e-200]]])
+        rows = [(i, i % 2 if i < n else 1, v.tolist()) for i, v in enumerate(x)]
+        written, plain = [], embed.materialize
+        monkeypatch.setattr(embed, "materialize", lambda df: written.append(plain(df)) or written[-1])
+        monkeypatch.setattr(embed, "discard", lambda t: None)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embed.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+        monkeypatch.setattr(embed, "materialize", plain)
+        unit = embed.unscaled(x) / np.linalg.norm(embed.unscaled(x), axis=1, keepdims=True)
+        label = np.array([r[1] for r in rows])
+        near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None])
+        want, least = {}, np.arange(len(x))
+        for _ in range(len(x)):
+            least = np.array([least[near[i]].min() for i in range(len(x))])
+        for i in range(len(x)):
+            want[i] = (int(near[i].sum()) - 1, int(least[i]))
+        assert got == want
+        grown.append(sum(t.where("kind <> 2").count() for t in written if "kind" in t.columns))
+    assert grown[2] < 3 * grown[1]
+
+
+def test_joining_links_span_components():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (5, 3), (40, 30), (40, 300)):
+        i, j = rng.integers(0, n, (2, m))
+        up = np.arange(n)
+        kept = embed.joining(i, j, up)
+        plain = np.arange(n)
+        for _ in range(n):
+            for a, b in zip(i, j):
+                plain[a] = plain[b] = min(plain[a], plain[b])
+        assert up.tolist() == plain.tolist() and len(kept) == n - len(set(plain.tolist()))
+        again = np.arange(n)
+        embed.joining(i[kept], j[kept], again)
+        assert again.tolist() == plain.tolist()
