@@ -13,16 +13,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlab.llm.common import materialize
+
 CHUNK = 1024
 
 
 def in_blocks(rows: DataFrame, keys: list[str], id_col: str, find: Callable[[pa.Table, bool], pa.RecordBatch | None], schema: str, chunk: int = CHUNK) -> DataFrame:
     """find(block, cross) over every block; with ``cross`` only pairs of unlike ``__c`` are asked for.
 
-    Every pair of rows of a group meets in exactly one block.
+    Every pair of rows of a group meets in exactly one block.  The sizes of crowded groups are written first: the planner
+    sees how few they are, and the rows need no shuffle to meet them.
     """
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > chunk).withColumn("__q", F.ceil(F.col("__n") / chunk).cast("int"))
-    dealt = rows.join(sizes.select(*keys, "__q"), keys, "left").withColumn("__q", F.coalesce("__q", F.lit(1)))
+    dealt = rows.join(materialize(sizes.select(*keys, "__q")), keys, "left").withColumn("__q", F.coalesce("__q", F.lit(1)))
     dealt = dealt.withColumn("__c", F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.col("__q")).cast("int"))
     dealt = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__q") - 1))).drop("__q")
     dealt = dealt.withColumns({"__i": F.least("__c", "__o"), "__j": F.greatest("__c", "__o")}).drop("__o")
