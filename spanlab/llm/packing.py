@@ -17,6 +17,7 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,13 @@ from pyspark.sql import functions as F
 from spanlab.llm.bpe import compile_split
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS, WAITING = 4096, 1024, 4096, 512
-CACHE_ENTRIES = 1_000_000
+#: Chunks, and words, that a task remembers: some 250 bytes each.
+CACHE_ENTRIES = 200_000
+
+
+def trimmed(memory: dict) -> dict:
+    """memory, or where it is full its older half: what came first comes most often, the rest makes room."""
+    return dict(islice(memory.items(), CACHE_ENTRIES // 2)) if len(memory) > CACHE_ENTRIES else memory
 
 
 class WordEncoder:
@@ -79,8 +86,7 @@ class WordEncoder:
             new = [*{w for w, x in zip(found, out) if x is None}]
             fresh = self._fresh(new)
             out = [fresh[w] if x is None else x for w, x in zip(found, out)]
-            if len(seen) > CACHE_ENTRIES:
-                seen.clear()
+            self.seen = seen = trimmed(seen)
             seen.update((w, x) for w, x in fresh.items() if len(w) <= 64)
         return b"".join(out)
 
@@ -90,11 +96,10 @@ class WordEncoder:
 
     def _fresh(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """The chunks' ids."""
-        known, out, whole = self.known, {}, []
+        self.known = known = trimmed(self.known)
+        out, whole = {}, []
         text = b" ".join(chunks).decode()
         odd = self.strange(text) or any(t in text for t in self.special)
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
         for w, x in zip(chunks, text.split(" ")):
             if odd and (self.strange(x) or any(t in x for t in self.special)):
                 whole.append(x)
