@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanlab.llm import automaton, bpe, embed, lines, minhash, packing, quality, secret_scan, suffix, winnow
+from spanlab.llm import automaton, bpe, embed, lines, minhash, negatives, packing, quality, secret_scan, shards, spelling, suffix, winnow
 from spanlab.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -63,8 +64,36 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_vectors(table(spark, sf_dir, "embeddings"), min_cosine=0.93)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row's label is a wrong one, so that hard negatives include mislabelled rows."""
+    v = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(v.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def misspelt_words(docs: DataFrame, least: int = 7) -> DataFrame:
+    """One row (word) per run of letters of ``least`` code points or more, A-Z lower-cased; a checksum of document and run picks runs that lose a letter."""
+    runs = F.filter(F.split("text", "[^A-Za-z\u00C0-\u00FF]+"), lambda x: F.length(x) >= least)
+    w = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.explode(runs).alias("run"))
+    w = w.withColumn("run", lines.ascii_lower(F.col("run"))).withColumn("h", F.crc32(F.concat_ws(":", "i", "run")))
+    at = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.col("run").substr(F.lit(1), at), F.col("run").substr(at + 2, F.length("run")))
+    return w.select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(misspelt_words(table(spark, sf_dir, "documents")), min_chars=7, min_count=2, ratio=10)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    out = shards.shard_documents(docs, 24, "bytes", keep=["doc_id", "text_crc32"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict:
-    ops = (op1_byte_bpe, op2_quality, op3_winnowing, op4_minhash, op5_line_dedup, op6_secret_scan, op7_suffix_array, op8_suffix_automaton, op9_packing, op10_embedding_dedup)
+    ops = (op1_byte_bpe, op2_quality, op3_winnowing, op4_minhash, op5_line_dedup, op6_secret_scan, op7_suffix_array, op8_suffix_automaton, op9_packing, op10_embedding_dedup, op11_hard_negatives, op12_spelling, op13_sharding)
     return {f.__name__: f for f in ops}
 
 
@@ -96,6 +125,15 @@ r(n, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT b.v, r.c FROM r J
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN k USING (vec_id)"""
 
 
+OP11_SQL = """WITH g AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM g a JOIN g b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score, ROW_NUMBER() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Twins of the queries that SQL expresses; the others are held against brute force, round trips and held-out labels in tests/llm."""
-    return {"op4_minhash": OP4_SQL, "op5_line_dedup": OP5_SQL, "op8_suffix_automaton": OP8_SQL, "op10_embedding_dedup": OP10_SQL}
+    return {"op4_minhash": OP4_SQL, "op5_line_dedup": OP5_SQL, "op8_suffix_automaton": OP8_SQL, "op10_embedding_dedup": OP10_SQL, "op11_hard_negatives": OP11_SQL}
