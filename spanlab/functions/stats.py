@@ -6,7 +6,6 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -226,18 +225,43 @@ def mcnemar_exact(b: Column, c: Column) -> Column:
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """mcnemar_p over columns."""
+    """mcnemar_p over columns, as a native expression."""
+    n = (b + c).cast("double")
+    return F.when(n < 25, mcnemar_exact(b, c)).otherwise(chi2_sf(F.pow(F.abs(b - c) - 1, 2) / n, 1))
 
-    @F.pandas_udf("double")
-    def p(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([mcnemar_p(int(i), int(j)) for i, j in zip(x, y)], dtype=float)
 
-    return p(b, c)
+#: Steps of the series and of the continued fraction of gamma_q; the fraction's substitute for 0.
+GAMMA_STEPS, TINY = 400, 1e-300
 
 
-def chi2_sf2(x: Column) -> Column:
-    """The tail of chi-square with two degrees of freedom is exact."""
-    return F.exp(-x / 2)
+def gamma_q(a: float, x: Column) -> Column:
+    """The regularized upper incomplete gamma function Q(a, x) as a native expression; 1 for x up to 0, null for null.
+
+    Below a + 1 one less the power series, above it the continued fraction by modified Lentz steps; both stop to change
+    after a number of steps in proportion to the root of a, so GAMMA_STEPS do for a up to 1,000.
+    """
+    x = x.cast("double")
+    steps = F.sequence(F.lit(1), F.lit(GAMMA_STEPS))
+    front = F.exp(-x + a * F.log(x) - math.lgamma(a))
+    term = lambda s, i: s["term"] * x / (a + i)
+    series = F.aggregate(steps, F.struct(F.lit(1 / a).alias("term"), F.lit(1 / a).alias("sum")), lambda s, i: F.struct(term(s, i).alias("term"), (s["sum"] + term(s, i)).alias("sum")))["sum"]
+    some = lambda v: F.when(F.abs(v) < TINY, TINY).otherwise(v)
+
+    def step(s, i):
+        num, b = -i * (i - a), x + 2 * i + 1 - a
+        d, c = 1 / some(num * s["d"] + b), some(b + num / s["c"])
+        return F.struct(d.alias("d"), c.alias("c"), (s["h"] * d * c).alias("h"))
+
+    begin = 1 / (x + 1 - a)
+    fraction = F.aggregate(steps, F.struct(begin.alias("d"), F.lit(1 / TINY).alias("c"), begin.alias("h")), step)["h"]
+    return F.when(x <= 0, 1.0).when(x < a + 1, F.greatest(1 - front * series, F.lit(0.0))).when(x.isNotNull(), front * fraction)
+
+
+def chi2_sf(x: Column, df: int) -> Column:
+    """The tail of chi-square with any number of degrees of freedom: exact sums for even ones."""
+    if df < 1:
+        raise ValueError("chi-square needs a degree of freedom")
+    return chi2_sf_even(x, df) if df % 2 == 0 else gamma_q(df / 2, x / 2)
 
 
 def chi2_sf_even(x: Column, df: int) -> Column:

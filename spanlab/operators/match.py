@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlab.operators.spans import overlap_score
+from spanlab.operators.spans import islands, overlap_score
 
 KEYS = ["doc_id", "label"]
 
@@ -39,74 +39,99 @@ def match_set(gold: DataFrame, pred: DataFrame, keys: list[str] = KEYS) -> DataF
     return b.groupBy(*keys).agg(n((F.col("g") > 0) & (F.col("p") > 0)).alias("tp"), n((F.col("g") == 0)).alias("fp"), n((F.col("p") == 0)).alias("fn"))
 
 
-def candidate_pairs(gold: DataFrame, pred: DataFrame, metric: str, threshold: float, keys: list[str] = KEYS, width: int | None = None) -> DataFrame:
-    """Pairs of one key whose overlap scores at least threshold: keys, gb, ge, pb, pe, score.
+#: Levels of the ladder of bins: the widest is 2**LEVELS times the narrowest.
+LEVELS = 40
 
-    With ``width`` spans are also hashed to buckets of that many positions, so a document of very many spans is
-    not one all-pairs group; every bucket a span touches holds it, and a pair counts in its first common bucket.
+
+def _binned(spans: DataFrame, begin: str, end: str, width: int) -> DataFrame:
+    """spans with the level and number of the one smallest bin, of widths width * 2**level, that holds them."""
+    bin_of = lambda c: F.floor(F.greatest(c, F.lit(0)) / width)
+    first, last = bin_of(F.col(begin)), bin_of(F.greatest(F.col(end) - 1, F.col(begin)))
+    # the bits above the highest one in which both ends' bins differ are those of the bin that holds both
+    level = F.when(first == last, 0).otherwise(F.length(F.bin(first.bitwiseXOR(last))))
+    return spans.withColumn("__level", F.least(level, F.lit(LEVELS)).cast("int")).withColumn("__bin", F.call_function("shiftright", first, F.col("__level")))
+
+
+def _near(g: DataFrame, p: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Pairs (gb, ge, pb, pe and other columns) that can overlap: each span is in one bin, and bins of overlapping spans lie one in the other.
+
+    A span looks in its own bin and in those above it, but only on levels where its document has spans of the other side.
+    So a span is copied at most as often as the ladder has levels in use, and a long span beside many short ones is in one bin.
     """
-    g = gold.select(*keys, F.col("begin").alias("gb"), F.col("end").alias("ge"))
-    p = pred.select(*keys, F.col("begin").alias("pb"), F.col("end").alias("pe"))
-    on = list(keys)
-    if width:
-        span = lambda b, e: F.explode(F.sequence(F.floor(F.col(b) / width), F.floor(F.greatest(F.col(e) - 1, F.col(b)) / width)))
-        g, p, on = g.withColumn("__b", span("gb", "ge")), p.withColumn("__b", span("pb", "pe")), [*keys, "__b"]
+    g, p = _binned(g, "gb", "ge", width), _binned(p, "pb", "pe", width)
+
+    def climbing(low: DataFrame, high: DataFrame, strict: bool) -> DataFrame:
+        used = high.groupBy(*keys).agg(F.array_sort(F.collect_set("__level")).alias("__used"))
+        above = F.filter("__used", lambda x: x > F.col("__level") if strict else x >= F.col("__level"))
+        up = low.join(used, keys).withColumn("__up", F.explode(above))
+        up = up.withColumn("__bin", F.call_function("shiftright", F.col("__bin"), F.col("__up") - F.col("__level"))).withColumn("__level", F.col("__up")).drop("__up", "__used")
+        return up.join(high, [*keys, "__level", "__bin"])
+
+    cols = [*keys, *(c for c in (*g.columns, *p.columns) if c not in keys and not c.startswith("__"))]
+    return climbing(p, g, False).select(*cols).unionByName(climbing(g, p, True).select(*cols))
+
+
+def candidate_pairs(gold: DataFrame, pred: DataFrame, metric: str, threshold: float, keys: list[str] = KEYS, width: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of one key whose overlap scores at least threshold: keys, gb, ge, pb, pe, score, and ``carry`` of either side.
+
+    Without ``width`` the spans of a key meet all others of it, which is right for documents of few spans.  With it
+    they meet by bins of a doubling ladder whose narrowest are that wide (see _near), whatever their lengths.
+    """
+    g = gold.select(*keys, F.col("begin").alias("gb"), F.col("end").alias("ge"), *(c for c in carry if c in gold.columns))
+    p = pred.select(*keys, F.col("begin").alias("pb"), F.col("end").alias("pe"), *(c for c in carry if c in pred.columns))
+    near = _near(g, p, list(keys), width) if width else g.join(p, list(keys))
+    near = near.where((F.col("gb") < F.col("pe")) & (F.col("pb") < F.col("ge")))
     score = overlap_score(metric, F.col("gb"), F.col("ge"), F.col("pb"), F.col("pe"))
-    near = g.join(p, on).where((F.col("gb") < F.col("pe")) & (F.col("pb") < F.col("ge")))
-    if width:
-        near = near.where(F.col("__b") == F.floor(F.greatest("gb", "pb") / width))
-    return near.withColumn("score", score).where(F.col("score") >= threshold).select(*keys, "gb", "ge", "pb", "pe", "score")
+    return near.withColumn("score", score).where(F.col("score") >= threshold).select(*keys, "gb", "ge", "pb", "pe", "score", *carry)
 
 
-def match_overlap(gold: DataFrame, pred: DataFrame, metric: str = "min", threshold: float = 0.8, keys: list[str] = KEYS) -> DataFrame:
-    """tp, fp, fn per key by greedy one-to-one matching.
+def _greedy(gold: DataFrame, pred: DataFrame, metric: str, threshold: float, keys: list[str], width: int | None, order: list) -> DataFrame:
+    """tp, fp, fn per key: pairs at or above threshold in turn take as much as is left of both multiplicities.
 
-    Pairs at or above threshold are taken by score descending, then gold length, predicted length, gold begin,
-    predicted begin; each takes as much as is left of both multiplicities.  ``exact`` is match_bag.
+    Pairs that share a span lie in one island of positions, so islands are settled apart: an island of one pair by a
+    native minimum, the others stream through a task, which holds one island's spans.
     """
-    if metric == "exact":
-        return match_bag(gold, pred, keys)
     count = lambda df, n: df.groupBy(*keys, "begin", "end").agg(F.count("*").alias(n))
-    g, p = count(gold, "gn"), count(pred, "pn")
-    pairs = candidate_pairs(g, p, metric, threshold, keys)
-    pairs = pairs.join(g.select(*keys, F.col("begin").alias("gb"), F.col("end").alias("ge"), "gn"), [*keys, "gb", "ge"]).join(p.select(*keys, F.col("begin").alias("pb"), F.col("end").alias("pe"), "pn"), [*keys, "pb", "pe"])
-
-    order = [F.desc("score"), F.col("ge") - F.col("gb"), F.col("pe") - F.col("pb"), F.col("gb"), F.col("pb")]
-    pairs = pairs.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, "gb", "ge", "gn", "pb", "pe", "pn")
+    pairs = candidate_pairs(count(gold, "gn"), count(pred, "pn"), metric, threshold, keys, width, ("gn", "pn"))
+    cut = islands(pairs.withColumns({"__b": F.least("gb", "pb"), "__e": F.greatest("ge", "pe")}), keys, "__b", "__e")
+    cols = [*keys, "__island", "gb", "ge", "gn", "pb", "pe", "pn"]
+    crowd = cut.where("__size > 1").sortWithinPartitions(*keys, "__island", *order).select(*cols)
+    n = len(keys) + 1
 
     def greedy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs stream by key, best first; only the current key's spans are held."""
         now, left_g, left_p = None, {}, {}
         for f in frames:
-            rows = []
-            for *key, gb, ge, gn, pb, pe, pn in f.itertuples(index=False):
-                if key != now:
-                    now, left_g, left_p = key, {}, {}
-                n = min(left_g.setdefault((gb, ge), gn), left_p.setdefault((pb, pe), pn))
-                if n:
-                    left_g[gb, ge] -= n
-                    left_p[pb, pe] -= n
-                    rows.append((*key, n))
-            yield pd.DataFrame(rows, columns=[*keys, "tp"])
-
-    kinds = ", ".join(f"`{c}` {t}" for c, t in gold.select(*keys).dtypes)
-    hits = pairs.mapInPandas(greedy, kinds + ", tp long")
-    return _with_totals(gold, pred, hits, keys)
-
-
-def match_first_fit(gold: DataFrame, pred: DataFrame, metric: str = "min", threshold: float = 0.8, keys: list[str] = KEYS) -> DataFrame:
-    """tp, fp, fn per key: each prediction in order of (begin, end) takes the first gold span left that reaches threshold."""
-    g = gold.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("begin").alias("b"), F.col("end").alias("e")))).alias("g"))
-    p = pred.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("begin").alias("b"), F.col("end").alias("e")))).alias("p"))
+            took = []
+            for row in zip(*(f[c].tolist() for c in cols)):
+                if row[:n] != now:
+                    now, left_g, left_p = row[:n], {}, {}
+                gb, ge, gn, pb, pe, pn = row[n:]
+                k = min(left_g.setdefault((gb, ge), gn), left_p.setdefault((pb, pe), pn))
+                left_g[gb, ge] -= k
+                left_p[pb, pe] -= k
+                took.append(k)
+            yield f[keys].assign(tp=took)
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in crowd.select(*keys).dtypes)
+    alone = cut.where("__size = 1").select(*keys, F.least("gn", "pn").alias("tp"))
+    return _with_totals(gold, pred, alone.unionByName(crowd.mapInPandas(greedy, kinds + ", tp long")), keys)
+
+
+def match_overlap(gold: DataFrame, pred: DataFrame, metric: str = "min", threshold: float = 0.8, keys: list[str] = KEYS, width: int | None = None) -> DataFrame:
+    """tp, fp, fn per key by greedy one-to-one matching.
+
+    Pairs at or above threshold are taken by score descending, then gold length, predicted length, gold begin,
+    predicted begin; each takes as much as is left of both multiplicities.  ``exact`` is match_bag.  ``width``: see candidate_pairs.
+    """
+    if metric == "exact":
+        return match_bag(gold, pred, keys)
+    order = [F.desc("score"), F.col("ge") - F.col("gb"), F.col("pe") - F.col("pb"), F.col("gb"), F.col("pb")]
+    return _greedy(gold, pred, metric, threshold, list(keys), width, order)
 
-    def step(left, x):
-        fit = F.filter(left, lambda y: overlap_score(metric, y["b"], y["e"], x["b"], x["e"]) >= threshold)
-        at = F.array_position(left, F.try_element_at(fit, F.lit(1)))
-        return F.when(F.size(fit) == 0, left).otherwise(F.concat(F.slice(left, 1, F.greatest(at.cast("int") - 1, F.lit(0))), F.slice(left, at.cast("int") + 1, F.size(left))))
 
-    both = g.join(p, keys)
-    hits = both.select(*keys, (F.size("g") - F.size(F.aggregate("p", F.col("g"), step))).cast("long").alias("tp"))
-    return _with_totals(gold, pred, hits, keys)
+def match_first_fit(gold: DataFrame, pred: DataFrame, metric: str = "min", threshold: float = 0.8, keys: list[str] = KEYS, width: int | None = None) -> DataFrame:
+    """tp, fp, fn per key: each prediction in order of (begin, end) takes the first gold span left that reaches threshold."""
+    return _greedy(gold, pred, metric, threshold, list(keys), width, [F.col(c) for c in ("pb", "pe", "gb", "ge")])
 
 
 def _with_totals(gold: DataFrame, pred: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:

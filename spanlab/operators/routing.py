@@ -56,13 +56,32 @@ def route_documents(matrix: DataFrame, methods: list[str], alpha: float = 0.05,
 
 
 def route_mentions(flags: DataFrame, methods: list[str], alpha: float = 0.05, least: int = 10, order=FRUGAL, default: str = "rules") -> DataFrame:
-    """label, n, q, p, method, why: excluded under ``least`` mentions or effective rows; not significant -> default; else McNemar votes."""
+    """label, n, q, p, method, why.
+
+    Under ``least`` mentions a label is excluded (no method).  Else it gets the default where no flag differs from another
+    ("no variance"), where fewer than ``least`` rows have a hit ("few effective rows"), and where p is above alpha or there is
+    none ("not significant"): p is Cochran's for three methods or more, McNemar's for two, whose winner has more hits.
+    Of three or more the method that wins most significant McNemar pairs is taken, the cheapest at ties ("vote"); without
+    any it is the default ("no significant pair").  One method alone is taken as it is.
+    """
     c = T.cochran(flags, methods)
-    v = vote(T.mcnemar(flags, methods, alpha), methods, order).select("label", F.col("method").alias("__m"))
-    j = c.join(v, "label", "left")
-    few = (F.col("n") < least) | (F.col("n_effective") < least)
-    same = F.col("p") > alpha
-    return j.select("label", "n", "q", "p", F.when(few, F.lit(None)).when(same, default).otherwise(F.coalesce("__m", F.lit(default))).alias("method"), F.when(few, "excluded").when(same, "not significant").otherwise("vote").alias("why"))
+    hits = sum((F.col(f"hits_{m}") for m in methods[1:]), F.col(f"hits_{methods[0]}"))
+    few, flat, thin = F.col("n") < least, (hits == 0) | (hits == F.col("n") * len(methods)), F.col("n_effective") < least
+    alone = F.lit(len(methods) == 1)
+    if len(methods) > 1:
+        pairs = T.mcnemar(flags, methods, alpha)
+        v = vote(pairs, methods, order).join(pairs.groupBy("label").agg(F.max("significant").alias("__any"), F.min("p").alias("__p"), F.min("winner").alias("__w")), "label")
+        j = c.join(v, "label", "left")
+    else:
+        j = c.withColumns({"method": F.lit(methods[0]), "__any": F.lit(True), "__p": F.lit(None).cast("double")})
+    two = len(methods) == 2
+    p = F.when(few | flat | thin, F.lit(None)).otherwise(F.col("__p") if two else F.col("p")).cast("double")
+    same = ~alone & (F.coalesce(F.when(F.isnan(p), 1.0).otherwise(p), F.lit(1.0)) > alpha)
+    none = ~alone & ~F.coalesce("__any", F.lit(False))
+    why = F.when(few, "excluded").when(flat, "no variance").when(thin, "few effective rows").when(same, "not significant")
+    why = why.otherwise("one pair") if two else why.when(none, "no significant pair").otherwise("vote")
+    method = F.when(few, F.lit(None)).when(flat | thin | same | (F.lit(not two) & none), F.lit(default)).otherwise(F.col("__w") if two else F.col("method"))
+    return j.select("label", "n", F.when(few | flat | thin | F.lit(two), F.lit(None)).otherwise(F.col("q")).alias("q"), p.alias("p"), method.alias("method"), why.alias("why"))
 
 
 def decision_tree(metrics: DataFrame, t: dict | None = None) -> DataFrame:

@@ -20,13 +20,11 @@ def score_matrix(scores: DataFrame, methods: list[str]) -> DataFrame:
 
 
 def friedman(matrix: DataFrame, methods: list[str]) -> DataFrame:
-    """label, n_docs, mean per method, chi2 and p for an odd number of methods (p is exact in the statistic); p is null for two.
+    """label, n_docs, mean per method, chi2 and p for three methods or more (1 where nothing varies); p is null for two.
 
     Ranks within a row are averaged over ties, row by row, without any window.
     """
     k = len(methods)
-    if k > 2 and k % 2 == 0:
-        raise ValueError("Friedman's p needs an odd number of methods here: its degrees of freedom must be even")
     cols = [F.col(f"f1_{m}") for m in methods]
     rank = [sum(((o < c).cast("double") + 0.5 * (o == c).cast("double") for j, o in enumerate(cols) if j != i), F.lit(1.0)) for i, c in enumerate(cols)]
     ties = sum((F.pow(sum(((o == c).cast("double") for o in cols), F.lit(0.0)), 2) - 1 for c in cols), F.lit(0.0))  # sum of t**3 - t over tie groups
@@ -38,7 +36,7 @@ def friedman(matrix: DataFrame, methods: list[str]) -> DataFrame:
     square = sum((F.pow(F.col(f"__r{i}"), 2) for i in range(k)), F.lit(0.0))
     c = 1 - F.col("__t") / (k * (k * k - 1) * n)
     chi2 = F.when(c > 0, (12.0 / (n * k * (k + 1)) * square - 3 * n * (k + 1)) / c)
-    p = F.when(chi2.isNull(), 1.0).otherwise(S.chi2_sf_even(chi2, k - 1)) if k > 2 else F.lit(None).cast("double")
+    p = F.when(chi2.isNull(), 1.0).otherwise(S.chi2_sf(chi2, k - 1)) if k > 2 else F.lit(None).cast("double")
     return g.select("label", "n_docs", *(f"mean_{m}" for m in methods), chi2.alias("chi2"), p.alias("p"))
 
 
@@ -107,7 +105,7 @@ def signed_rank_statistic(matrix: DataFrame, a: str, b: str) -> DataFrame:
 def cochran(flags: DataFrame, methods: list[str]) -> DataFrame:
     """Detections (label, one 0/1 column per method) -> label, n, recalls, n_effective, hits, q, p.
 
-    Rows without a hit are left out of q.  q is null where nothing varies between methods; p is exact for three.
+    Rows without a hit are left out of q.  q and p are null where nothing varies between methods.
     """
     k = len(methods)
     cols = [F.col(m).cast("long") for m in methods]
@@ -119,7 +117,7 @@ def cochran(flags: DataFrame, methods: list[str]) -> DataFrame:
     cc = sum((F.col(f"hits_{m}") * F.col(f"hits_{m}") for m in methods[1:]), F.col(f"hits_{methods[0]}") * F.col(f"hits_{methods[0]}"))
     den = k * F.col("__n") - F.col("__rr")
     q = F.when(den > 0, ((k - 1) * (k * cc - F.col("__n") * F.col("__n"))).cast("double") / den)
-    p = F.exp(-q / 2) if k == 3 else F.lit(None).cast("double")
+    p = S.chi2_sf(q, k - 1) if k > 1 else F.lit(None).cast("double")
     return g.select("label", "n", *(f"hits_{m}" for m in methods), *((F.col(f"hits_{m}") / F.col("n")).alias(f"recall_{m}") for m in methods), "n_effective", q.alias("q"), p.alias("p"))
 
 

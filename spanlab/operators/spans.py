@@ -91,30 +91,38 @@ def dedup_exact(spans: DataFrame, keys: list[str] = DOC) -> DataFrame:
     return spans.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def resolve_overlaps(spans: DataFrame, keys: list[str] = DOC, mode: str = "suppress") -> DataFrame:
-    """Greedy by priority, length (both descending), begin, label: a span stays if disjoint from all that stay.
+def islands(rows: DataFrame, keys: list[str] = DOC, begin: str = "begin", end: str = "end", out: str = "__island", size: str = "__size") -> DataFrame:
+    """rows with the number of the island that they lie in, and how many lie there: rows of two islands never overlap.
 
-    mode ``keep_nested`` only drops exact repeats.  A document's spans stream in that order through one task, which
-    holds the kept ones sorted, so n spans take O(n log n) comparisons.
+    An island ends where a row begins at or after all ends before it.
     """
-    if mode == "keep_nested":
-        return dedup_exact(spans, keys).select(*keys, "label", "begin", "end", "text", "priority")
-    if mode != "suppress":
-        raise ValueError(f"unknown mode {mode!r}")
-    n = len(keys)
-    cols = [*keys, "label", "begin", "end", "text", "priority"]
-    order = [F.desc_nulls_last("priority"), (F.col("begin") - F.col("end")), F.col("begin"), F.col("label"), F.col("text")]
-    rows = spans.select(*cols).repartition(*keys).sortWithinPartitions(*keys, *order)
+    w = Window.partitionBy(*keys).orderBy(begin, end)
+    far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col(begin) >= far).cast("int"), F.lit(0))
+    n = rows.withColumn(out, new).withColumn(out, F.sum(out).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return n.withColumn(size, F.count("*").over(Window.partitionBy(*keys, out)))
+
+
+def keep_disjoint(rows: DataFrame, keys: list[str], order: list[Column], begin: str = "begin", end: str = "end") -> DataFrame:
+    """The rows that stay when each in turn, by order, is dropped if it overlaps one that has stayed.
+
+    Islands are settled apart: a row that overlaps no other stays without further ado; the other islands stream through a
+    task, which holds one island's kept rows sorted, so n rows take n log n steps.
+    """
+    cut = islands(rows, keys, begin, end)
+    crowd = cut.where("__size > 1").drop("__size").sortWithinPartitions(*keys, "__island", *order)  # windows have brought a key's rows together
+    n = len(keys) + 1
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, begins, ends = None, [], []
         for f in frames:
             keep = []
-            for i, row in enumerate(f[[*keys, "begin", "end"]].itertuples(index=False)):
+            known = [f[c].astype(object).where(f[c].notna(), None).tolist() for c in keys]
+            for i, row in enumerate(zip(*known, *(f[c].tolist() for c in ("__island", begin, end)))):
                 if row[:n] != now:
                     now, begins, ends = row[:n], [], []
                 b, e = row[n], row[n + 1]
-                at = bisect.bisect_left(begins, e)  # kept spans before ``at`` begin before this one ends
+                at = bisect.bisect_left(begins, e)  # kept rows before ``at`` begin before this one ends
                 if at and ends[at - 1] > b:
                     continue
                 begins.insert(at, b)
@@ -122,7 +130,21 @@ def resolve_overlaps(spans: DataFrame, keys: list[str] = DOC, mode: str = "suppr
                 keep.append(i)
             yield f.iloc[keep]
 
-    return rows.mapInPandas(run, rows.schema)
+    kept = crowd.mapInPandas(run, crowd.schema)
+    return cut.where("__size = 1").drop("__size").unionByName(kept).select(*rows.columns)
+
+
+def resolve_overlaps(spans: DataFrame, keys: list[str] = DOC, mode: str = "suppress") -> DataFrame:
+    """Greedy by priority, length (both descending), begin, label: a span stays if disjoint from all that stay (see keep_disjoint).
+
+    mode ``keep_nested`` only drops exact repeats.
+    """
+    if mode == "keep_nested":
+        return dedup_exact(spans, keys).select(*keys, "label", "begin", "end", "text", "priority")
+    if mode != "suppress":
+        raise ValueError(f"unknown mode {mode!r}")
+    order = [F.desc_nulls_last("priority"), (F.col("begin") - F.col("end")), F.col("begin"), F.col("label"), F.col("text")]
+    return keep_disjoint(spans.select(*keys, "label", "begin", "end", "text", "priority"), keys, order)
 
 
 def merge_adjacent(spans: DataFrame, keys: list[str] = DOC) -> DataFrame:

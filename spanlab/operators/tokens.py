@@ -72,42 +72,72 @@ def bio_tags(tokens: DataFrame, spans: DataFrame, keys: list[str] = SEQ) -> Data
 
 
 def bio_tags_longest(tokens: DataFrame, spans: DataFrame, keys: list[str] = SEQ) -> DataFrame:
-    """tokens (begin, end) with ``tag`` by character spans, longest first; a span that meets a tagged token is skipped whole."""
-    from spanlab.operators.spans import overlaps
+    """tokens (begin, end) with ``tag`` by character spans, longest first; a span that meets a tagged token is skipped whole.
+
+    Ties in length go by begin, label.  Spans find their tokens by one sweep (see to_token_span); only spans that
+    compete for a token are walked one by one (see spans.keep_disjoint).
+    """
+    from spanlab.operators.spans import keep_disjoint
+
+    s = _swept(tokens, spans.select(*keys, "begin", "end", "label").distinct(), keys)
+    first, last = F.col("__touch.i"), F.col("__before.i")
+    s = s.where(F.col("__touch.i").isNotNull() & F.col("__before.i").isNotNull() & (first <= last)).select(*keys, "label", "begin", "end", first.alias("first"), last.alias("last"), (last + 1).alias("__past"))
+    kept = keep_disjoint(s, keys, [F.col("begin") - F.col("end"), F.col("begin"), F.col("label")], "first", "__past")
+    return bio_tags(tokens, kept.select(*keys, "label", "first", "last", F.lit(0).alias("ord")), keys)
 
-    t, s = tokens.alias("t"), spans.alias("s")
-    on = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
-    cover = t.join(s, [*on, overlaps(F.col("t.begin"), F.col("t.end"), F.col("s.begin"), F.col("s.end"))])
-    held = cover.groupBy(*(F.col(f"t.{k}").alias(k) for k in keys), F.col("s.begin").alias("b"), F.col("s.end").alias("e"), F.col("s.label").alias("label")).agg(F.min("t.tok_id").alias("first"), F.max("t.tok_id").alias("last"))
-    one = F.struct((F.col("b") - F.col("e")).alias("l"), "b", "label", "first", "last")
-    rows = held.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("__a"))
-    taken = lambda acc, x: F.exists(acc, lambda y: (y["first"] <= x["last"]) & (x["first"] <= y["last"]))
-    kept = F.aggregate("__a", F.filter("__a", lambda _: F.lit(False)), lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.array_append(acc, x)))
-    flat = rows.withColumn("__k", F.explode(kept)).select(*keys, "__k.label", "__k.first", "__k.last", F.lit(0).alias("ord"))
-    return bio_tags(tokens, flat, keys)
+
+def _swept(tokens: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """spans with tokens (b, e, i) around their ends, by one sweep over each document's positions; null where there is none.
+
+    __at: the last that begins at or before the span's begin, __next: the first that begins at or after it, __touch: the
+    first that ends after it; __before: the last that begins before the span's end, __done: the last that ends at or before it,
+    __over: the first that ends at or after it.  Token starts and ends and span begins and ends are rows of one
+    table, sorted forwards and backwards, so n rows take n log n steps and nothing is gathered in a row.
+    """
+    t = F.struct(F.col("begin").alias("b"), F.col("end").alias("e"), F.col("tok_id").cast("int").alias("i"))
+    place = lambda pos, ahead, back, kind: F.struct(F.col(pos).alias("pos"), F.lit(ahead).alias("ahead"), F.lit(back).alias("back"), F.lit(kind).alias("kind"))
+    # At one position, forwards: a token's end, a span's end, a token's start, a span's begin; backwards: token start, span begin, token end, span end.
+    marks = tokens.select(*keys, t.alias("__t"), F.explode(F.array(place("begin", 2, 0, "s"), place("end", 0, 2, "e"))).alias("__x"))
+    row = F.struct(*(F.col(f"`{c}`") for c in spans.columns))
+    ends = spans.withColumn("__id", F.monotonically_increasing_id())
+    ends = ends.select(*keys, row.alias("__s"), "__id", F.explode(F.array(place("begin", 3, 1, "b"), place("end", 1, 3, "f"))).alias("__x"))
+    both = marks.unionByName(ends, allowMissingColumns=True)
+    so_far = lambda order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    forth, back = so_far(["__x.pos", "__x.ahead"]), so_far([F.desc("__x.pos"), "__x.back"])
+    of = lambda kind, w: F.last(F.when(F.col("__x.kind") == kind, F.col("__t")), ignorenulls=True).over(w)
+    both = both.withColumns({"__sf": of("s", forth), "__ef": of("e", forth), "__sb": of("s", back), "__eb": of("e", back)}).where("__s is not null")
+    pick = lambda kind, c: F.first(F.when(F.col("__x.kind") == kind, F.col(c)), ignorenulls=True)
+    found = both.groupBy(*keys, "__id").agg(
+        F.first("__s").alias("__s"), pick("b", "__sf").alias("__at"), pick("b", "__sb").alias("__next"), pick("b", "__eb").alias("__touch"),
+        pick("f", "__sf").alias("__before"), pick("f", "__ef").alias("__done"), pick("f", "__eb").alias("__over"),
+    )
+    return found.select(*(F.col(f"__s.`{c}`").alias(c) for c in spans.columns), "__at", "__next", "__touch", "__before", "__done", "__over")
+
+
+AROUND = ("__at", "__next", "__touch", "__before", "__done", "__over")
 
 
 def to_token_span(tokens: DataFrame, spans: DataFrame, keys: list[str] = SEQ, cascade: bool = False) -> DataFrame:
-    """spans with first and last token.
+    """spans with first and last token.  A document's tokens do not overlap, and their ids are in the order of their places.
 
     The tokens that hold the first and the last character; without both, null.  cascade: then the span's tokens
     wholly inside it, then those that overlap it, then the token nearest to it, as ``how`` tells.
     """
-    a = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("begin").alias("b"), F.col("end").alias("e"), F.col("tok_id").cast("int").alias("i")))).alias("__t"))
-    s = spans.join(a, keys, "left")
-    ids = lambda test: F.transform(F.filter("__t", test), lambda t: t["i"])
-    head = F.array_min(ids(lambda t: (t["b"] <= F.col("begin")) & (F.col("begin") < t["e"])))
-    tail = F.array_max(ids(lambda t: (t["b"] < F.col("end")) & (F.col("end") <= t["e"])))
+    s = _swept(tokens, spans, keys)
+    at, nxt, touch, before, done, over = (F.col(c) for c in AROUND)
+    head = F.when(F.col("begin") < at["e"], at["i"])
+    tail = F.when(F.col("end") <= before["e"], before["i"])
     both = head.isNotNull() & tail.isNotNull()
     if not cascade:
-        return s.withColumns({"first": F.when(both, head), "last": F.when(both, tail)}).drop("__t")
-    strict = F.exists("__t", lambda t: t["b"] == F.col("begin")) & F.exists("__t", lambda t: t["e"] == F.col("end"))
-    inside = ids(lambda t: (t["b"] >= F.col("begin")) & (t["e"] <= F.col("end")))
-    touch = ids(lambda t: (t["b"] < F.col("end")) & (F.col("begin") < t["e"]))
-    near = F.array_min(F.transform("__t", lambda t: F.struct(F.least(F.abs(t["b"] - F.col("begin")), F.abs(t["e"] - F.col("end"))).alias("d"), t["i"].alias("i"))))["i"]
-    how = F.when(strict, "strict").when(both, "expand").when(F.size(inside) > 0, "contract").when(F.size(touch) > 0, "overlap").when(F.size("__t") > 0, "nearest")
-    pick = lambda f, end: F.when(strict | both, end).when(F.size(inside) > 0, f(inside)).when(F.size(touch) > 0, f(touch)).otherwise(near)
-    return s.withColumns({"how": how, "first": pick(F.array_min, head), "last": pick(F.array_max, tail)}).drop("__t")
+        return s.withColumns({"first": F.when(both, head), "last": F.when(both, tail)}).drop(*AROUND)
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    strict = sure(at["b"] == F.col("begin")) & sure(before["e"] == F.col("end"))
+    inside, meets = sure(nxt["i"] <= done["i"]), sure(touch["i"] <= before["i"])
+    off = lambda t: F.when(t.isNotNull(), F.struct(F.least(F.abs(t["b"] - F.col("begin")), F.abs(t["e"] - F.col("end"))).alias("d"), t["i"].alias("i")))
+    near = F.least(off(at), off(nxt), off(done), off(over))["i"]
+    how = F.when(strict, "strict").when(both, "expand").when(inside, "contract").when(meets, "overlap").when(near.isNotNull(), "nearest")
+    pick = lambda end, i, m: F.when(strict | both, end).when(inside, i).when(meets, m).otherwise(near)
+    return s.withColumns({"how": how, "first": pick(head, nxt["i"], touch["i"]), "last": pick(tail, done["i"], before["i"])}).drop(*AROUND)
 
 
 def to_char_span(spans: DataFrame, tokens: DataFrame, keys: list[str] = SEQ) -> DataFrame:
@@ -117,12 +147,23 @@ def to_char_span(spans: DataFrame, tokens: DataFrame, keys: list[str] = SEQ) ->
 
 
 def sentence_starts(tokens: DataFrame, docs: DataFrame, keys: list[str] = SEQ, text_col: str = "text") -> DataFrame:
-    """tokens with ``sent_id``: a line break between two tokens ends a sentence."""
-    w = Window.partitionBy(*keys).orderBy("tok_id")
-    t = tokens.withColumn("__from", F.lag("end").over(w)).join(docs.select(*keys, F.col(text_col).alias("__x")), keys)
-    gap = F.substring("__x", F.col("__from") + 1, F.col("begin") - F.col("__from"))
-    brk = F.coalesce(F.contains(gap, F.lit("\n")), F.lit(False)).cast("int")
-    return t.withColumn("__b", brk).withColumn("sent_id", F.sum("__b").over(w).cast("int")).drop("__b", "__x", "__from")
+    """tokens of the documents with ``sent_id``: a line break between two tokens ends a sentence.
+
+    Line breaks and tokens are swept together by position, so a document of n tokens takes n log n steps.
+    """
+
+    @F.pandas_udf("array<int>")
+    def breaks(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [m.start() for m in re.finditer("\n", t)])
+
+    inner = tokens.join(docs.select(*keys).distinct(), keys, "left_semi")
+    lines = docs.where(F.contains(F.col(text_col), F.lit("\n"))).select(*keys, F.explode(breaks(F.col(text_col))).alias("__at"))
+    both = inner.withColumn("__t", F.lit(1)).unionByName(lines.withColumn("__t", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(F.coalesce("begin", "__at"), F.desc("__t"), "tok_id")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    brk = F.coalesce(F.last("__at", ignorenulls=True).over(past) >= F.last("end", ignorenulls=True).over(past), F.lit(False))
+    marked = both.withColumn("__b", F.when(F.col("__t") == 1, brk).otherwise(False).cast("int"))
+    return marked.withColumn("sent_id", F.sum("__b").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).where("__t = 1").select(*tokens.columns, "sent_id")
 
 
 def sentence_remap(spans: DataFrame, sentences: DataFrame, keys: list[str] = SEQ) -> DataFrame:
