@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,32 +41,72 @@ def working_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now, as its periodic cleaner would in half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Spark's setting by which a statement's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _folder(spark: SparkSession) -> str:
+    """This application's tables; they are deleted when its driver ends, if not before."""
+    folder = f"{shared_dir(spark).rstrip('/')}/spanlab/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back.
 
-    The files outlive lost executors, and the planner sees their true size.  They stay for the life of the
-    application under <shared>/spanlab/<application id>/.
+    The files outlive lost executors, and the planner sees their true size.  What was shuffled to make them is let go at
+    once.  They stay, under <shared>/spanlab/<application id>/, until discard, the end of a scratch() that they were
+    written in, or the end of the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/spanlab/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    free_shuffles(spark)
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are written inside are deleted at the end, but those whose frames are given to the function that it yields."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    kept: set[str] = set()
+    try:
+        yield lambda df: kept.update(f.rsplit("/", 2)[1] for f in df.inputFiles())
+    finally:
+        _scopes.remove(paths)
+        for p in paths:
+            if p.rsplit("/", 1)[1] not in kept:
+                _delete(spark, p)
+        if _scopes:
+            _scopes[-1].extend(p for p in paths if p.rsplit("/", 1)[1] in kept)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(written: DataFrame) -> None:
     """Delete the files of a table that materialize wrote and nothing reads any more."""
     spark = written.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/spanlab/{spark.sparkContext.applicationId}/"
+    folder = _folder(spark)
     for parent in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder + parent.rsplit("/", 1)[1])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, f"{folder}/{parent.rsplit('/', 1)[1]}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,9 +7,9 @@ contiguous read, so a shingle costs one look-up for the whole signature.
 
 Documents of equal sets are one class from the start.  In every bucket of every band the least class is a leader;
 pairs (leader, member) are verified on full sets and joined to components.  A second pass takes every bucket that still
-holds several components, with full sets, in blocks of bounded size: pairs across components whose signatures agree as
-much as those of linked sets do (all but about one linked pair in a million) are verified, likely ones first, until the
-block's components are joined or shown apart.  So no group's pairs are listed, and a link between components is not
+holds several components, with full sets and signatures, in blocks of bounded size: all pairs across components whose sizes
+allow a link are verified, likely ones (by their signatures) first, until the block's components are joined or shown
+apart.  So no group's pairs are listed, and a link between components is not
 lost to the leader's choice.
 
 With 16 bands of 4 a pair at similarity 0.8 shares no bucket with probability 2e-4, at 0.85 6e-6.
@@ -96,17 +96,19 @@ def _sketch(size: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["cid", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingles(t, size).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["cid", "sig", "s"])
 
     return run
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _across(at_least: int, percent: int):
+def _across(percent: int):
     """Links across the components of one bucket's block, no more than it takes to join them.
 
     Likely pairs come first; a pair whose ends the block has joined already is not verified again.
@@ -115,7 +117,7 @@ def _across(at_least: int, percent: int):
     def find(t: pa.Table, cross: bool) -> pa.RecordBatch | None:
         rows, band = t.num_rows, t.column("band")[0].as_py()
         sets = [np.frombuffer(s, np.uint64) for s in t.column("s").to_pylist()]
-        sig = np.stack([signature(s) for s in sets])
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(rows, K)
         cid, comp, n, c = (t.column(x).to_numpy() for x in ("cid", "comp", "n", "__c"))
         first, second, agree = [], [], []
         for i in range(rows - 1):
@@ -125,7 +127,6 @@ def _across(at_least: int, percent: int):
             j = np.flatnonzero(ok) + i + 1
             same = sig[j] == sig[i]
             total = same.sum(axis=1)
-            j, same, total = j[total >= at_least], same[total >= at_least], total[total >= at_least]
             if band and len(j):  # a pair that shares an earlier band is looked at there
                 own = ~same[:, : band * ROWS].reshape(len(j), band, ROWS).all(axis=2).any(axis=1)
                 j, total = j[own], total[own]
@@ -154,14 +155,13 @@ def _across(at_least: int, percent: int):
     return find
 
 
-def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: d (the id), k (the text's hash), n_shingles, component_id, kept, first.
 
     Links: 100 * intersection >= percent * union of the sets of ``size``-word shingles, A-Z lower-cased.  A document
     without words links with nothing.  component_id is the least id that links reach; a null id counts as none, and
     a component of null ids has a null id.  Repeated rows and rows that share an id are documents of their own that
-    link as any others.  ``exact`` verifies every pair that shares a bucket across components, also those whose
-    signatures agree in too few places to be likely.  ``first`` marks the least (id, text hash) of a component: repeated rows apart, one row.
+    link as any others.  ``first`` marks the least (id, text hash) of a component: repeated rows apart, one row.
     """
     sketch = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("k"), F.col(text_col).alias("text"))
     sketch = materialize(sketch.mapInArrow(_sketch(size), "d long, k long, n long, digest binary, sig binary"))
@@ -175,9 +175,9 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     fits = F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent
     stars = shared.where(F.col("cid") != F.col("lead")).where(fits).select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
 
-    wanted = shared.select("cid").distinct().join(classes.select("cid", "row.d", "row.k"), "cid")
+    wanted = shared.select("cid").distinct().join(classes.select("cid", "row.d", "row.k", "sig"), "cid")
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("k"), F.col(text_col).alias("text"))
-    sets = materialize(keyed.join(wanted, ["d", "k"]).select("cid", "text").mapInArrow(_sets(size), "cid long, s binary"))
+    sets = materialize(keyed.join(wanted, ["d", "k"]).select("cid", "sig", "text").mapInArrow(_sets(size), "cid long, sig binary, s binary"))
 
     @F.pandas_udf("boolean")
     def linked(p, q):
@@ -191,10 +191,8 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     comp = materialize(connected_components(first))
     placed = shared.select("band", "key", "cid", "n").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
     mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
-    open_rows = placed.join(materialize(mixed), ["band", "key"]).join(sets, "cid").select("band", "key", "cid", "n", "comp", "s")
-    at_least = int(K * percent / 100 - 4.6 * np.sqrt(K * percent / 100 * (1 - percent / 100)))
-    at_least = 0 if exact else at_least
-    second = in_blocks(open_rows, ["band", "key"], "cid", _across(at_least, percent), "u long, v long")
+    open_rows = placed.join(materialize(mixed), ["band", "key"]).join(sets, "cid").select("band", "key", "cid", "n", "comp", "s", "sig")
+    second = in_blocks(open_rows, ["band", "key"], "cid", _across(percent), "u long, v long")
 
     comp = connected_components(first.unionByName(second))
     for t in (shared, sets, first):

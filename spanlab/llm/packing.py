@@ -126,7 +126,7 @@ class Packer:
     """Sequences of pieces, from examples that are added one by one.
 
     An example is (id, ids as bytes, loss): loss is how many of its tokens bear loss, spread evenly over the pieces
-    when it is cut.  An example without tokens makes no piece.  ``rows`` gathers (id, start, length, crc32, total,
+    when it is cut; it is taken as 0 to the number of tokens.  An example without tokens makes no piece.  ``rows`` gathers (id, start, length, crc32, total,
     sequence number, offset) of closed sequences.
     """
 
@@ -170,7 +170,7 @@ class Packer:
 
     def add(self, key, ids: bytes, loss: int | None = None) -> None:
         total = len(ids) // 4
-        item = (key, memoryview(ids), 0, total, 1.0 if loss is None else loss / max(total, 1)) if total else None
+        item = (key, memoryview(ids), 0, total, 1.0 if loss is None else min(max(loss, 0), total) / max(total, 1)) if total else None
         whole = int(self.limits[0])
         while item and len(item[1]) // 4 >= whole and whole * item[4] <= self.limits[2]:  # a sequence of its own
             piece, item = self._cut(item, whole)
@@ -229,7 +229,8 @@ def pack_documents(docs: DataFrame, encode: Callable[[], Callable[[str], bytes]]
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``encode()`` gives, once per task, the function from text to ids (unsigned little-endian 32-bit); ``end_id`` is
-    appended to each.  ``loss_col`` counts an example's loss-bearing tokens (null or no column: all).  Null text is
+    appended to each.  ``loss_col`` counts an example's loss-bearing tokens (null or no column: all; below 0: none; above
+    its tokens: all).  Null text is
     empty, and without end_id empty text makes no piece.  Rows are packed as rows: repeated rows, and rows with equal or null ids, are
     examples of their own.  Other columns are dropped.
     """

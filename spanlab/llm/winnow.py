@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-Tokens are runs of at most 16 code points that are not white space; an ideograph, kana or hangul syllable is a token of
-its own.  Hashes of k-grams of tokens come from doubling (the hash of 2m tokens from two neighbours of m), the
+Tokens are words: runs of at most 16 code points that are not white space.  In longer runs (long URLs, Thai, base64) each
+code point is a token of its own, as ideographs, kana and hangul syllables always are, so where tokens are cut does not
+depend on what stands before.  Hashes of k-grams of tokens come from doubling (the hash of 2m tokens from two neighbours of m), the
 least of each window of w hashes from doubling too.  Hash and position share one long, hash first and position
 descending, so the least value of a window is its rightmost least hash, and the position is kept.
 
@@ -18,7 +19,10 @@ from pyspark.sql import functions as F
 
 K_LOG2, W_LOG2 = 2, 3
 K, W = 1 << K_LOG2, 1 << W_LOG2
-TOKEN = r"[⺀-鿿가-힯]|[^\x20\x09-\x0D⺀-鿿가-힯]{1,16}"
+#: Code points that are tokens of their own, and those that are no word's.
+SINGLE = "⺀-鿿가-힯"
+BREAK = rf"\x20\x09-\x0D{SINGLE}"
+TOKEN = rf"[{SINGLE}]|(?<![^{BREAK}])[^{BREAK}]{{1,16}}+(?![^{BREAK}])|[^{BREAK}]"
 POSITIONS = (1 << 31) - 1
 #: Neighbours are looked up in so many ranges of ids a shuffle partition, and in at most MAX_RANGES.
 RANGES, MAX_RANGES = 4, 4000

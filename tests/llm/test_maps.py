@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from spanlab.llm import bpe, packing, quality, secret_scan, winnow
 from spanlab.llm.queries import RANKS, WORDS, word_ids
@@ -251,6 +252,30 @@ def brute_winnow(text):
     return out
 
 
+def test_winnowing_without_spaces(spark):
+    """One character in front of text without spaces moves no token but the first: Thai, a long URL, base64, CJK."""
+    rng = random.Random(9)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = {1: make("กขคงจฉชซญดตถทนบปผฝพฟมยรลวสหอ", 909), 2: "https://x.org/" + make("abcdef/?=&-0123456789", 500), 3: make("ABCxyz0189+/", 2000), 4: make("日本語文字列漢学", 300), 5: make("𝔄𝔅𝔇𝔈𝔉", 200)}
+    rows = [(10 * i + k, ("X" if k else "") + t) for i, t in texts.items() for k in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fp = {r.doc_id: r.fp for r in df.select("doc_id", winnow.winnow(F.col("text")).alias("fp")).collect()}
+    both = spark.createDataFrame([(i, fp[10 * i], fp[10 * i + 1]) for i in texts], "i long, a array<long>, b array<long>")
+    assert all(r.x > 0.9 for r in both.select(winnow.likeness(F.col("a"), F.col("b")).alias("x")).collect())
+    got = {r.doc_id: [(x["hash"], x["pos"]) for x in r.selected] for r in winnow.fingerprint_documents(df).collect()}
+    assert got == {i: brute_winnow(t) for i, t in rows}
+
+
+def test_packer_odd_losses():
+    """Losses below 0, above an example's tokens and beyond the limit pack and end."""
+    p = packing.Packer(max_tokens=64, max_segments=3, max_loss=20, waiting=3)
+    ids = {i: [*range(n)] for i, n in enumerate([1, 30, 64, 200, 5, 7, 40])}
+    for (i, x), loss in zip(ids.items(), [10_000, -5, 10**9, None, 0, 3, 40]):
+        p.add(i, array("I", x).tobytes(), loss)
+    p.finish()
+    check_packing(p.rows, ids)
+
+
 def test_winnowing_is_brute_force(spark):
     rng = random.Random(8)
     texts = {i: " ".join(rng.choice(["a", "b", "cc", "日本", "d" * 20]) for _ in range(rng.randrange(90))) for i in range(60)} | {70: "x " * 200, 71: "日" * 50}
