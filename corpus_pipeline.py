@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlab.llm import lines, minhash, packing, quality, secret_scan
-from spanlab.llm.common import materialize, table
+from spanlab.llm.common import discard, materialize, scratch, table
 from spanlab.llm.queries import word_ids
 
 
@@ -55,9 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:  # a stage's own tables go when its documents are written, and so do the documents it read
+            docs = materialize(stage(spark, docs, sf_dir))
+            keep(docs)
+        if read is not None:
+            discard(read)
+        read = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
