@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlab.functions import stats as S
@@ -83,9 +83,30 @@ def paired_tests(matrix: DataFrame, methods: list[str], alpha: float = 0.05) ->
     return counted.groupBy("label", "a", "b").applyInPandas(test, "label string, a string, b string, n long, test string, statistic double, p double, winner string")
 
 
+def _summed(counted: DataFrame, value: str, out: str) -> DataFrame:
+    """label, n, ``out``: an array of (v, n), each distinct value with its count, ascending, so that sums have one order."""
+    return counted.groupBy("label").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "n"))).alias(out))
+
+
+def _fold(pairs: Column, term) -> Column:
+    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + term(x["v"]) * x["n"].cast("double"))
+
+
+def mean_scores(matrix: DataFrame, methods: list[str]) -> DataFrame:
+    """label, n_docs, mean_<method>: sums over distinct scores in ascending order, so the last digit does not depend on the partitioning."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"f1_{m}").alias("v")) for i, m in enumerate(methods))))
+    counted = matrix.select("label", each.alias("x")).groupBy("label", "x.i", "x.v").agg(F.count("*").alias("n"))
+    of = lambda i: F.array_sort(F.collect_list(F.when(F.col("i") == i, F.struct("v", "n"))))
+    g = counted.groupBy("label").agg(F.sum(F.when(F.col("i") == 0, F.col("n"))).alias("n_docs"), *(of(i).alias(f"__{i}") for i in range(len(methods))))
+    return g.select("label", "n_docs", *((_fold(F.col(f"__{i}"), lambda v: v) / F.col("n_docs")).alias(f"mean_{m}") for i, m in enumerate(methods)))
+
+
 def paired_t_statistic(matrix: DataFrame, a: str, b: str) -> DataFrame:
-    d = F.col(f"f1_{a}") - F.col(f"f1_{b}")
-    return matrix.groupBy("label").agg(F.count("*").alias("n"), (F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count("*")))).alias("t"))
+    """label, n, t over the distinct differences in ascending order; t is null where they do not vary."""
+    s = _summed(_differences(matrix, [(a, b)]), "d", "__d")
+    s = s.withColumn("__m", _fold(F.col("__d"), lambda v: v) / F.col("n"))
+    s = s.withColumn("__s", _fold(F.col("__d"), lambda v: (v - F.col("__m")) * (v - F.col("__m"))))
+    return s.select("label", "n", F.when((F.col("n") > 1) & (F.col("__s") > 0), F.col("__m") / F.sqrt(F.col("__s") / (F.col("n") - 1) / F.col("n"))).alias("t"))
 
 
 def signed_rank_statistic(matrix: DataFrame, a: str, b: str) -> DataFrame:

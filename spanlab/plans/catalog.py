@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,34 +105,38 @@ def overlap_pred_pairs(spark, d):
 
 @query(_pairs_sql("o / LEAST(ge - gb, pe - pb)", 0.8))
 def overlap_bucketed_pairs(spark, d):
-    """The same pairs by position buckets, as for documents of very many spans."""
+    """The same pairs by the ladder of bins, as for documents of very many spans."""
     p = M.candidate_pairs(U.gold(spark, d), U.pred(spark, d), "min", 0.8, width=64)
     return p.groupBy("label").agg(F.count("*").alias("n"), F.sum("gb").alias("gb"), F.sum("pb").alias("pb"))
 
 
-@query(f"""WITH {GOLD}, {PRED}, pairs AS (SELECT g.doc_id, g.label, g.b AS gb, g.e AS ge, p.b AS pb, p.e AS pe FROM (SELECT DISTINCT * FROM gold) g JOIN (SELECT DISTINCT * FROM pred) p USING (doc_id, label)
-  WHERE LEAST(g.e, p.e) - GREATEST(g.b, p.b) > 0 AND (LEAST(g.e, p.e) - GREATEST(g.b, p.b))::DOUBLE / LEAST(g.e - g.b, p.e - p.b) >= 0.8),
-busy AS (SELECT DISTINCT doc_id, label FROM (SELECT doc_id, label, COUNT(*) OVER (PARTITION BY doc_id, label, gb, ge) AS a, COUNT(*) OVER (PARTITION BY doc_id, label, pb, pe) AS c FROM pairs) WHERE a > 1 OR c > 1
-  UNION SELECT doc_id, label FROM gold GROUP BY doc_id, label, b, e HAVING COUNT(*) > 1 UNION SELECT doc_id, label FROM pred GROUP BY doc_id, label, b, e HAVING COUNT(*) > 1),
-n AS (SELECT doc_id, label, SUM(g) AS g, SUM(p) AS p, SUM(t) AS tp FROM (SELECT doc_id, label, 1 AS g, 0 AS p, 0 AS t FROM gold UNION ALL SELECT doc_id, label, 0, 1, 0 FROM pred UNION ALL SELECT doc_id, label, 0, 0, 1 FROM pairs) GROUP BY ALL)
-SELECT label, SUM(tp)::BIGINT AS tp, SUM(p - tp)::BIGINT AS fp, SUM(g - tp)::BIGINT AS fn FROM n ANTI JOIN busy USING (doc_id, label) GROUP BY label""")
+def _greedy_sql(order: str, grouping: str) -> str:
+    """Whole greedy matching: each group's pairs are walked in order; ``took`` lists what each pair took of both multiplicities."""
+    return f"""WITH RECURSIVE {GOLD}, {PRED}, g AS (SELECT doc_id, label, b, e, COUNT(*) AS n FROM gold GROUP BY ALL), p AS (SELECT doc_id, label, b, e, COUNT(*) AS n FROM pred GROUP BY ALL),
+x AS (SELECT g.doc_id, g.label, g.b AS gb, g.e AS ge, p.b AS pb, p.e AS pe, g.n AS gn, p.n AS pn, (LEAST(g.e, p.e) - GREATEST(g.b, p.b))::DOUBLE / LEAST(g.e - g.b, p.e - p.b) AS score FROM g JOIN p USING (doc_id, label) WHERE LEAST(g.e, p.e) > GREATEST(g.b, p.b)),
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, label ORDER BY {order}) AS i FROM x WHERE score >= 0.8),
+w(doc_id, label, i, took, tp) AS (SELECT DISTINCT doc_id, label, 0::BIGINT, []::STRUCT(gb INT, ge INT, pb INT, pe INT, k BIGINT)[], 0::BIGINT FROM o
+  UNION ALL SELECT doc_id, label, i, list_append(took, {{'gb': gb, 'ge': ge, 'pb': pb, 'pe': pe, 'k': k}}), tp + k FROM (SELECT o.*, w.took, w.tp, LEAST(gn - coalesce(list_sum([t.k for t in took if t.gb = gb AND t.ge = ge]), 0), pn - coalesce(list_sum([t.k for t in took if t.pb = pb AND t.pe = pe]), 0))::BIGINT AS k
+    FROM w JOIN o ON o.doc_id = w.doc_id AND o.label = w.label AND o.i = w.i + 1)),
+n AS (SELECT label, COUNT(*) AS g, 0 AS p, 0 AS tp FROM gold GROUP BY label UNION ALL SELECT label, 0, COUNT(*), 0 FROM pred GROUP BY label UNION ALL SELECT label, 0, 0, SUM(t) FROM (SELECT label, MAX(tp) AS t FROM w GROUP BY doc_id, label) GROUP BY label),
+t AS (SELECT COALESCE(label, 'MICRO') AS label, SUM(tp)::BIGINT AS tp, SUM(p - tp)::BIGINT AS fp, SUM(g - tp)::BIGINT AS fn FROM n GROUP BY {grouping})"""
+
+
+BEST_FIRST, IN_PLACE = "score DESC, ge - gb, pe - pb, gb, pb", "pb, pe, gb, ge"
+
+
+@query(f"{_greedy_sql(BEST_FIRST, 'label')} SELECT label, tp, fp, fn FROM t")
 def match_overlap_min(spark, d):
-    """Greedy matching, reported over the groups where each span has at most one candidate (there SQL has the same answer)."""
-    g, p = U.gold(spark, d), U.pred(spark, d)
-    pairs = M.candidate_pairs(g.distinct(), p.distinct(), "min", 0.8)
-    many = lambda side: pairs.groupBy("doc_id", "label", *side).agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "label")
-    twice = lambda s: s.groupBy("doc_id", "label", "begin", "end").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "label")
-    busy = many(["gb", "ge"]).union(many(["pb", "pe"])).union(twice(g)).union(twice(p)).distinct()
-    c = M.match_overlap(g, p, "min", 0.8).join(busy, ["doc_id", "label"], "left_anti")
+    c = M.match_overlap(U.gold(spark, d), U.pred(spark, d), "min", 0.8, width=64)
     return c.groupBy("label").agg(*(F.sum(x).alias(x) for x in ("tp", "fp", "fn")))
 
 
-@query()
+@query(f"{_greedy_sql(BEST_FIRST, 'ROLLUP (label)')} SELECT label, tp, fp, fn, {PRF} FROM t")
 def match_overlap_all(spark, d):
     return E.with_micro(M.match_overlap(U.gold(spark, d), U.pred(spark, d), "min", 0.8))
 
 
-@query()
+@query(f"{_greedy_sql(IN_PLACE, 'ROLLUP (label)')} SELECT label, tp, fp, fn, {PRF} FROM t")
 def match_first_fit(spark, d):
     return E.with_micro(M.match_first_fit(U.gold(spark, d), U.pred(spark, d), "min", 0.8))
 
@@ -403,21 +408,27 @@ def mcnemar_pairs(spark, d):
   1.0::DOUBLE + (f1_rules < f1_llm)::INT + (f1_tbm < f1_llm)::INT + 0.5::DOUBLE * ((f1_rules = f1_llm)::INT + (f1_tbm = f1_llm)::INT) AS c,
   CASE WHEN f1_rules = f1_tbm AND f1_tbm = f1_llm THEN 24 WHEN f1_rules = f1_tbm OR f1_tbm = f1_llm OR f1_rules = f1_llm THEN 6 ELSE 0 END AS t FROM matrix),
 g AS (SELECT label, COUNT(*) AS n, SUM(a) AS a, SUM(b) AS b, SUM(c) AS c, SUM(t)::DOUBLE AS t FROM r GROUP BY label),
-q AS (SELECT label, n, (12.0::DOUBLE / (n * 3 * 4) * (pow(a, 2) + pow(b, 2) + pow(c, 2)) - 3 * n * 4) / (1 - t / (24 * n)) AS chi2 FROM g) SELECT label, n AS n_docs, round(chi2, 6) AS chi2, round(exp(-chi2 / 2), 9) AS p FROM q""")
+q AS (SELECT label, n, (12.0::DOUBLE / (n * 3 * 4) * (pow(a, 2) + pow(b, 2) + pow(c, 2)) - 3 * n * 4) / (1 - t / (24 * n)) AS chi2 FROM g) SELECT label, n AS n_docs, chi2, CASE WHEN chi2 IS NULL THEN 1.0::DOUBLE ELSE exp(-chi2 / 2) END AS p FROM q""")
 def friedman_chi2(spark, d):
     f = G.friedman(G.score_matrix(U.scores(spark, d), METHODS), METHODS)
-    return f.select("label", "n_docs", F.round("chi2", 6).alias("chi2"), F.round("p", 9).alias("p"))
+    return f.select("label", "n_docs", "chi2", "p")
+
+
+def _mean_sql(c: str) -> str:
+    return f"list_reduce(list_prepend(0.0::DOUBLE, list(v * n::DOUBLE ORDER BY v) FILTER (m = '{c}')), lambda a, x: a + x) / SUM(n) FILTER (m = '{c}') AS mean_{c}"
 
 
-@query(f"""WITH {MATRIX} SELECT label, COUNT(*) AS n_docs, round(AVG(f1_rules), 9) AS mean_rules, round(AVG(f1_tbm), 9) AS mean_tbm, round(AVG(f1_llm), 9) AS mean_llm FROM matrix GROUP BY label""")
+@query(f"""WITH {MATRIX}, l AS (SELECT label, 'rules' AS m, f1_rules AS v FROM matrix UNION ALL SELECT label, 'tbm', f1_tbm FROM matrix UNION ALL SELECT label, 'llm', f1_llm FROM matrix),
+c AS (SELECT label, m, v, COUNT(*) AS n FROM l GROUP BY ALL) SELECT label, (SUM(n) FILTER (m = 'rules'))::BIGINT AS n_docs, {_mean_sql("rules")}, {_mean_sql("tbm")}, {_mean_sql("llm")} FROM c GROUP BY label""")
 def mean_scores(spark, d):
-    m = G.score_matrix(U.scores(spark, d), METHODS)
-    return m.groupBy("label").agg(F.count("*").alias("n_docs"), *(F.round(F.avg(f"f1_{x}"), 9).alias(f"mean_{x.lower()}") for x in METHODS))
+    return G.mean_scores(G.score_matrix(U.scores(spark, d), METHODS), METHODS).withColumnsRenamed({"mean_TBM": "mean_tbm", "mean_LLM": "mean_llm"})
 
 
-@query(f"""WITH {MATRIX} SELECT label, COUNT(*) AS n, round(AVG(f1_rules - f1_tbm) / (stddev_samp(f1_rules - f1_tbm) / sqrt(COUNT(*))), 6) AS t FROM matrix GROUP BY label""")
+@query(f"""WITH {MATRIX}, c AS (SELECT label, f1_rules - f1_tbm AS v, COUNT(*) AS n FROM matrix GROUP BY ALL), s AS (SELECT label, SUM(n)::BIGINT AS n, list_reduce(list_prepend(0.0::DOUBLE, list(v * n::DOUBLE ORDER BY v)), lambda a, x: a + x) / SUM(n) AS mean FROM c GROUP BY label),
+z AS (SELECT label, ANY_VALUE(s.n) AS n, ANY_VALUE(mean) AS mean, list_reduce(list_prepend(0.0::DOUBLE, list((v - mean) * (v - mean) * c.n::DOUBLE ORDER BY v)), lambda a, x: a + x) AS ss FROM c JOIN s USING (label) GROUP BY label)
+SELECT label, n, CASE WHEN n > 1 AND ss > 0 THEN mean / sqrt(ss / (n - 1) / n) END AS t FROM z""")
 def paired_t(spark, d):
-    return G.paired_t_statistic(G.score_matrix(U.scores(spark, d), METHODS), "rules", "TBM").withColumn("t", F.round("t", 6))
+    return G.paired_t_statistic(G.score_matrix(U.scores(spark, d), METHODS), "rules", "TBM")
 
 
 @query(f"""WITH {MATRIX}, d AS (SELECT label, f1_rules - f1_llm AS d FROM matrix WHERE f1_rules <> f1_llm), r AS (SELECT *, RANK() OVER (PARTITION BY label ORDER BY abs(d)) + (COUNT(*) OVER (PARTITION BY label, abs(d)) - 1) / 2.0::DOUBLE AS r FROM d)
@@ -436,7 +447,20 @@ def route_documents(spark, d):
     return R.route_documents(G.score_matrix(U.scores(spark, d), METHODS), METHODS)
 
 
-@query()
+#: The value above which chi-square of one degree of freedom has the probability 0.05 / 3.
+CHI2_PAIR = NormalDist().inv_cdf(1 - 0.05 / 6) ** 2
+PAIR_SQL = " UNION ALL ".join(f"SELECT label, '{x}' AS x, '{y}' AS y, COUNT(*) FILTER ({a} = 1 AND {b} = 0) AS b, COUNT(*) FILTER ({a} = 0 AND {b} = 1) AS c FROM flags GROUP BY label" for x, y, a, b in (("rules", "TBM", "rules", "tbm"), ("rules", "LLM", "rules", "llm"), ("TBM", "LLM", "tbm", "llm")))
+
+
+@query(f"""WITH {FLAGS}, s AS (SELECT label, COUNT(*) AS n, SUM(rules) AS a, SUM(tbm) AS b, SUM(llm) AS c, COUNT(*) FILTER (rules + tbm + llm > 0) AS ne, SUM(rules + tbm + llm) AS h, SUM((rules + tbm + llm) * (rules + tbm + llm)) AS hh FROM flags GROUP BY label),
+q AS (SELECT label, n, ne, h, CASE WHEN 3 * h > hh THEN (2 * (3 * (a * a + b * b + c * c) - h * h))::DOUBLE / (3 * h - hh) END AS q FROM s), pairs AS ({PAIR_SQL}),
+z AS (SELECT *, CASE WHEN b + c = 0 THEN FALSE WHEN b + c < 25 THEN 2 * list_sum(list_transform(range(0, LEAST(b, c) + 1), lambda i: (factorial((b + c)::INT) / (factorial(i::INT) * factorial((b + c - i)::INT)))::DOUBLE)) / pow(2.0::DOUBLE, b + c) <= 0.05 / 3
+  ELSE pow(abs(b - c) - 1, 2)::DOUBLE / (b + c) >= {CHI2_PAIR!r} END AS sure FROM pairs),
+v AS (SELECT label, winner, COUNT(*) AS wins FROM (SELECT label, CASE WHEN b >= c THEN x ELSE y END AS winner FROM z WHERE sure) GROUP BY ALL),
+m AS (SELECT label, winner FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY wins DESC, list_position(['rules', 'TBM', 'LLM'], winner)) AS r FROM v) WHERE r = 1),
+d AS (SELECT label, n, q, winner, CASE WHEN n < 10 THEN 'excluded' WHEN h = 0 OR h = 3 * n THEN 'no variance' WHEN ne < 10 THEN 'few effective rows' WHEN q IS NULL OR exp(-q / 2) > 0.05 THEN 'not significant' WHEN winner IS NULL THEN 'no significant pair' ELSE 'vote' END AS why FROM q LEFT JOIN m USING (label))
+SELECT label, n, CASE WHEN why IN ('excluded', 'no variance', 'few effective rows') THEN NULL ELSE q END AS q, CASE WHEN why IN ('excluded', 'no variance', 'few effective rows') THEN NULL ELSE exp(-q / 2) END AS p,
+  CASE why WHEN 'excluded' THEN NULL WHEN 'vote' THEN winner ELSE 'rules' END AS method, why FROM d""")
 def route_mentions(spark, d):
     return R.route_mentions(U.flags(spark, d), METHODS)
 
@@ -451,7 +475,7 @@ def route_frugal(spark, d):
     return R.vote(p, METHODS).groupBy("method").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {MATRIX}, t AS (SELECT label, COUNT(*) AS n FROM matrix GROUP BY label) SELECT COUNT(*) FILTER (n >= 10) AS n_tested, COUNT(*) FILTER (n >= 10) AS n_significant FROM t""")
+@query(f"""WITH f AS ({_sql["friedman_chi2"]}) SELECT COUNT(*) FILTER (n_docs >= 10) AS n_tested, COUNT(*) FILTER (n_docs >= 10 AND p <= 0.05) AS n_significant FROM f""")
 def run_summary(spark, d):
     return R.run_summary(G.friedman(G.score_matrix(U.scores(spark, d), METHODS), METHODS), "n_docs")
 
@@ -615,6 +639,47 @@ def sequence_scores(spark, d):
     return E.per_label(E.sequence_prf(g, p, ["doc_id"], ["ts", "event_id"]))
 
 
+#: Words of documents between blanks with their places, and spans that begin inside, between or beyond them.
+WORDS_SQL = """x AS (SELECT doc_id, list_filter(string_split_regex(text, '[^a-zA-Z0-9%]+'), lambda w: w <> '') AS a FROM documents), t AS (SELECT doc_id, UNNEST(a) AS token, generate_subscripts(a, 1) - 1 AS i FROM x),
+o AS (SELECT doc_id, i, length(token) AS n, SUM(length(token) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS e FROM t), w AS (SELECT doc_id, i, e - n AS b, e FROM o),
+s AS (SELECT doc_id, i AS k, CASE i % 30 WHEN 0 THEN b WHEN 10 THEN b + 1 ELSE e END AS b, CASE i % 30 WHEN 0 THEN e WHEN 10 THEN e + 4 ELSE e + 1 END AS e FROM w WHERE i % 10 = 0)"""
+
+
+def _words_and_spans(spark, d) -> tuple[DataFrame, DataFrame]:
+    t = K.offsets_of(_docs(spark, d).select("doc_id", F.posexplode(T.tokens("text", lower=False)).alias("tok_id", "token")))
+    place = F.col("tok_id") % 30
+    b = F.when(place == 0, F.col("begin")).when(place == 10, F.col("begin") + 1).otherwise(F.col("end"))
+    e = F.when(place == 0, F.col("end")).when(place == 10, F.col("end") + 4).otherwise(F.col("end") + 1)
+    return t, t.where("tok_id % 10 = 0").select("doc_id", F.col("tok_id").alias("k"), b.alias("begin"), e.alias("end"))
+
+
+@query(f"""WITH {WORDS_SQL}, h AS (SELECT s.doc_id, k, w.i FROM s JOIN w ON w.doc_id = s.doc_id AND w.b <= s.b AND s.b < w.e), l AS (SELECT s.doc_id, k, w.i FROM s JOIN w ON w.doc_id = s.doc_id AND w.b < s.e AND s.e <= w.e)
+SELECT doc_id, COUNT(*) AS n, COUNT(h.i + l.i) AS held, SUM(CASE WHEN l.i IS NOT NULL THEN h.i END)::BIGINT AS firsts, SUM(CASE WHEN h.i IS NOT NULL THEN l.i END)::BIGINT AS lasts FROM s LEFT JOIN h USING (doc_id, k) LEFT JOIN l USING (doc_id, k) GROUP BY doc_id""")
+def token_containment(spark, d):
+    """Character spans as the tokens that hold their first and last character."""
+    s = K.to_token_span(*_words_and_spans(spark, d))
+    return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("first").alias("held"), F.sum("first").alias("firsts"), F.sum("last").alias("lasts"))
+
+
+@query(f"""WITH {WORDS_SQL}, j AS (SELECT s.doc_id, k, MAX((w.b = s.b)::INT) AS at_b, MAX((w.e = s.e)::INT) AS at_e, MIN(w.i) FILTER (w.b <= s.b AND s.b < w.e) AS h, MAX(w.i) FILTER (w.b < s.e AND s.e <= w.e) AS l,
+  MIN(w.i) FILTER (w.b >= s.b AND w.e <= s.e) AS i0, MAX(w.i) FILTER (w.b >= s.b AND w.e <= s.e) AS i1, MIN(w.i) FILTER (w.b < s.e AND s.b < w.e) AS m0, MAX(w.i) FILTER (w.b < s.e AND s.b < w.e) AS m1,
+  arg_min(w.i, LEAST(abs(w.b - s.b), abs(w.e - s.e)) * 1000000 + w.i) AS near FROM s JOIN w USING (doc_id) WHERE w.i BETWEEN k - 40 AND k + 40 GROUP BY s.doc_id, k),
+c AS (SELECT *, CASE WHEN at_b = 1 AND at_e = 1 THEN 'strict' WHEN h IS NOT NULL AND l IS NOT NULL THEN 'expand' WHEN i0 IS NOT NULL THEN 'contract' WHEN m0 IS NOT NULL THEN 'overlap' ELSE 'nearest' END AS how FROM j)
+SELECT how, COUNT(*) AS n, SUM(CASE how WHEN 'strict' THEN h WHEN 'expand' THEN h WHEN 'contract' THEN i0 WHEN 'overlap' THEN m0 ELSE near END)::BIGINT AS firsts, SUM(CASE how WHEN 'strict' THEN l WHEN 'expand' THEN l WHEN 'contract' THEN i1 WHEN 'overlap' THEN m1 ELSE near END)::BIGINT AS lasts FROM c GROUP BY how""")
+def token_cascade(spark, d):
+    """Character spans as tokens by the cascade: strict, expand, contract, overlap, nearest."""
+    s = K.to_token_span(*_words_and_spans(spark, d), cascade=True)
+    return s.groupBy("how").agg(F.count("*").alias("n"), F.sum("first").alias("firsts"), F.sum("last").alias("lasts"))
+
+
+@query("""WITH l AS (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, COUNT(*) AS sentences, SUM(len(list_filter(string_split(line, ' '), lambda x: x <> '')))::BIGINT AS tokens FROM l WHERE replace(line, ' ', '') <> '' GROUP BY doc_id""")
+def sentence_breaks(spark, d):
+    """Sentences that line breaks end, over tokens between blanks."""
+    docs = _docs(spark, d)
+    t = K.sentence_starts(K.tokenize(docs, pattern=r"[^ \n]+"), docs)
+    return t.groupBy("doc_id").agg((F.max("sent_id") + 1).cast("long").alias("sentences"), F.count("*").alias("tokens"))
+
+
 @query()
 def token_spans(spark, d):
     """Tokens of documents under rule spans, as BIO tag counts."""

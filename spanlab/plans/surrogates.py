@@ -25,11 +25,16 @@ def pred(spark, d) -> DataFrame:
 
 
 def flags(spark, d) -> DataFrame:
-    """Three detections per line item: rules, TBM, LLM."""
+    """Three detections per line item: rules, TBM, LLM; an order is a document.
+
+    Seventh line items have labels of their own, which the methods detect equally often.
+    """
     l = table(spark, d, "lineitem")  # noqa: E741
+    seventh = F.col("l_linenumber") == 7
+    hit = lambda plain, odd: F.when(seventh, odd % 2 == 1).otherwise(plain).cast("int")
     return l.select(
-        F.col("l_returnflag").alias("label"), (F.col("l_orderkey") % 500).alias("doc_id"),
-        (F.col("l_discount") >= 0.06).cast("int").alias("rules"), (F.col("l_tax") >= 0.04).cast("int").alias("TBM"), (F.col("l_quantity") >= 26).cast("int").alias("LLM"),
+        F.when(seventh, F.concat("l_returnflag", F.lit("7"))).otherwise(F.col("l_returnflag")).alias("label"), F.col("l_orderkey").alias("doc_id"),
+        hit(F.col("l_discount") >= 0.06, F.col("l_partkey")).alias("rules"), hit(F.col("l_tax") >= 0.04, F.col("l_suppkey")).alias("TBM"), hit(F.col("l_quantity") >= 26, F.col("l_quantity")).alias("LLM"),
     )
 
 
@@ -64,7 +69,8 @@ COUNTS = f"{BAGS}, counts AS (SELECT doc_id, label, SUM(LEAST(g, p))::BIGINT AS
 PRF = """CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS precision,
   CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS recall,
   CASE WHEN tp > 0 THEN 2 * (tp::DOUBLE / (tp + fp)) * (tp::DOUBLE / (tp + fn)) / ((tp::DOUBLE / (tp + fp)) + (tp::DOUBLE / (tp + fn))) ELSE 0.0 END AS f1"""
-FLAGS = "flags AS (SELECT l_returnflag AS label, l_orderkey % 500 AS doc_id, (l_discount >= 0.06)::INT AS rules, (l_tax >= 0.04)::INT AS tbm, (l_quantity >= 26)::INT AS llm FROM lineitem)"
+FLAGS = """flags AS (SELECT CASE WHEN l_linenumber = 7 THEN l_returnflag || '7' ELSE l_returnflag END AS label, l_orderkey AS doc_id, (CASE WHEN l_linenumber = 7 THEN l_partkey % 2 = 1 ELSE l_discount >= 0.06 END)::INT AS rules,
+  (CASE WHEN l_linenumber = 7 THEN l_suppkey % 2 = 1 ELSE l_tax >= 0.04 END)::INT AS tbm, (CASE WHEN l_linenumber = 7 THEN l_quantity % 2 = 1 ELSE l_quantity >= 26 END)::INT AS llm FROM lineitem)"""
 MATRIX = f"""{FLAGS}, matrix AS (SELECT label, doc_id,
   2.0::DOUBLE * SUM(rules) / (2 * SUM(rules) + SUM(1 - rules)) AS f1_rules, 2.0::DOUBLE * SUM(tbm) / (2 * SUM(tbm) + SUM(1 - tbm)) AS f1_tbm,
   2.0::DOUBLE * SUM(llm) / (2 * SUM(llm) + SUM(1 - llm)) AS f1_llm FROM flags GROUP BY ALL)"""
