@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def brat_text(spans: DataFrame, values: bool = False, tabs: bool = False) -> DataFrame:
+def brat_text(spans: DataFrame, values: bool = False, tabs: bool = False, documents: DataFrame | None = None) -> DataFrame:
     """doc_id, content: T lines by (begin, end, label), numbered from 1; line breaks in a span's text become spaces.
 
     values: each span with a ``value`` also gets an A line, white space in it as _, and there is no newline at the end.
-    tabs: tabs become spaces too.
+    tabs: tabs become spaces too.  documents (doc_id): those without a span have an empty content.
     """
     w = Window.partitionBy("doc_id").orderBy("begin", "end", "label", "text")
     clean = F.translate(F.col("text"), "\n\r\t" if tabs else "\n\r", "   " if tabs else "  ")
@@ -22,33 +20,24 @@ def brat_text(spans: DataFrame, values: bool = False, tabs: bool = False) -> Dat
         extra = F.when(F.col("value").isNotNull(), F.concat(F.lit("\n"), F.format_string("A%d\tValue T%d %s", "__n", "__n", F.regexp_replace("value", r"\s+", "_"))))
         line = F.concat(line, F.coalesce(extra, F.lit("")))
     body = s.select("doc_id", "__n", line.alias("__l")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__l"))), lambda x: x["__l"]), "\n").alias("content"))
-    return body if values else body.withColumn("content", F.concat("content", F.lit("\n")))
+    if not values:
+        body = body.withColumn("content", F.concat("content", F.lit("\n")))
+    if documents is None:
+        return body
+    return documents.select("doc_id").distinct().join(body, "doc_id", "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
 def write_documents(content: DataFrame, path: str, suffix: str = "ann") -> None:
-    """One file <path>/<doc_id>.<suffix> a row (doc_id, content), as it is, written by the tasks themselves.
+    """One file a row (doc_id, content), as it is, in the folder or URI ``path``: see sources.standoff.
 
-    ``path`` is a folder or URI that pyarrow's file systems open, shared by the executors.  A file gets its name by a
-    rename once it is whole, so a lost executor or a second attempt leaves no half file; files of the same names are
-    replaced.  Null content is empty; a null id is an error; a slash in an id becomes %2F.
+    Files of the same names are replaced; null content is an empty file; a null id, or two rows of one id, is an error,
+    after which the folder is as before.
     """
-    from pyarrow import fs
-
-    _, folder = fs.FileSystem.from_uri(path) if "://" in path else (None, path)
-
-    def write(rows) -> None:
-        store = fs.FileSystem.from_uri(path)[0] if "://" in path else fs.LocalFileSystem()
-        store.create_dir(folder, recursive=True)
-        for r in rows:
-            if r.doc_id is None:
-                raise ValueError("a document without an id has no file name")
-            name = f"{str(r.doc_id).replace('/', '%2F')}.{suffix}"
-            part = f"{folder}/.{uuid.uuid4().hex}.part"
-            with store.open_output_stream(part) as out:
-                out.write((r.content or "").encode("utf-8", "replace"))
-            store.move(part, f"{folder}/{name}")
-
-    content.select("doc_id", "content").foreachPartition(write)
+    from spanlab.sources import standoff
+
+    standoff.register(content.sparkSession)
+    rows = content.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("string").alias("content"))
+    rows.write.format("brat").mode("append").option("suffix", suffix).save(path)
 
 
 def conll_text(tokens: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from spanlab.sources import brat, formats, sinks
+from spanlab.sources import brat, formats, sinks, standoff
 
 
 def rows(df, *cols):
@@ -40,6 +40,56 @@ def test_writer_refuses_null_ids(spark, tmp_path):
     assert (tmp_path / "out" / "e.ann").read_bytes() == b""
 
 
+IDS = ["a/b", "a%2Fb", "%", "", ".hidden", "_staged", "%2Ehidden", "a b", "ü", "x.ann", "a+b", "tab\there", "CON"]
+
+
+def test_data_source_round_trip(spark, tmp_path):
+    """Every id has a file of its own, documents without spans an empty one, and reading gives back what was written."""
+    spans = spark.createDataFrame([(i, "X" if k % 3 else "Y", k, k + 2 + j, f"t {j}", None) for k, i in enumerate(IDS[:-2]) for j in range(2)], "doc_id string, label string, begin int, end int, text string, value string")
+    docs = spark.createDataFrame([(i,) for i in IDS], "doc_id string")
+    out = str(tmp_path / "out")
+    for _ in range(2):  # the second replaces the first
+        sinks.write_documents(sinks.brat_text(spans, documents=docs), out)
+        assert sum(p.is_file() for p in (tmp_path / "out").iterdir()) == len(IDS) and not (tmp_path / "out" / standoff.STAGING).exists()
+    assert len({standoff.file_name(i, "ann") for i in IDS}) == len(IDS) and all(standoff.file_id(standoff.file_name(i, "ann"), "ann") == i for i in IDS)
+    cols = ("doc_id", "label", "begin", "end", "text")
+    back = standoff.read_spans(spark, out)
+    assert rows(back, *cols) == rows(spans, *cols)
+    assert rows(back.where("label = 'Y' and begin > 2"), *cols) == rows(spans.where("label = 'Y' and begin > 2"), *cols)
+    assert rows(standoff.read_spans(spark, out, labels="Y Z"), *cols) == rows(spans.where("label = 'Y'"), *cols)
+    empty = standoff.read_spans(spark, out, empty=True).where("label is null")
+    assert {r.doc_id for r in empty.collect()} == set(IDS[-2:])
+    few = standoff.read_spans(spark, out, filesPerPartition=2)
+    assert few.rdd.getNumPartitions() == 7 and few.count() == back.count()
+    over = spark.createDataFrame([("new", "x")], "doc_id string, content string")
+    over.write.format("brat").mode("overwrite").save(out)
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["new.ann"]
+
+
+def test_data_source_reads_by_hand(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "d.ann").write_text("T1\tA 0 3;5 9\tone\ttwo\n#1\tnote\nT2\tA x y\tz\nT3 no tab\nR1\tR Arg1:T1 Arg2:T2\n T4\tB 1 2\t\r\n")
+    (tmp_path / ".h.ann").write_text("T1\tA 0 1\tq\n")
+    (tmp_path / "e.ann").write_bytes(b"T1\tC 1 2\t\xff\n")
+    got = rows(standoff.read_spans(spark, str(tmp_path), recursive=True), "doc_id", "tid", "label", "begin", "end", "text")
+    assert got == [("d", "T1", "A", 0, 9, "one\ttwo"), ("e", "T1", "C", 1, 2, "\ufffd")]
+    assert [tuple(x) for x in standoff.read_spans(spark, str(tmp_path / "s")).where("tid = 'T1'").first().fragments] == [(0, 3), (5, 9)]
+    with pytest.raises(Exception, match="no span in"):
+        standoff.read_spans(spark, str(tmp_path / "s"), strict=True).collect()
+
+
+def test_failed_jobs_leave_nothing(spark, tmp_path):
+    """A task that fails half way, and ids that meet only at the end, leave the folder as it was."""
+    out = tmp_path / "out"
+    sinks.write_documents(spark.createDataFrame([("a", "old")], "doc_id string, content string"), str(out))
+    halfway = spark.range(100).selectExpr("if(id = 73, null, cast(id AS string)) AS doc_id", "'x' AS content").repartition(4)
+    twice = spark.range(100).selectExpr("cast(id % 99 AS string) AS doc_id", "'x' AS content").repartition(4, "content", "doc_id").unionByName(spark.createDataFrame([("5", "y")], "doc_id string, content string"))
+    for bad, why in ((halfway, "without an id"), (twice, "two rows of document")):
+        with pytest.raises(Exception, match=why):
+            sinks.write_documents(bad, str(out))
+        assert [p.name for p in out.iterdir()] == ["a.ann"] and (out / "a.ann").read_text() == "old"
+
+
 def test_listing(spark, tmp_path):
     for name in ("x.ann", "sub/x.ann", "sub/y.ann", ".hidden.ann", "n.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
