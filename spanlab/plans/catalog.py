@@ -707,6 +707,26 @@ def stratified_split(spark, d):
     return X.stratified_split(m, {"train": 0.8, "test": 0.2}, moves=50).groupBy("fold").agg(F.count("*").alias("n"))
 
 
+def _doc_labels(spark, d) -> DataFrame:
+    """Documents with their language, their source and whether they are long as labels; every ninth has none."""
+    c = _docs(spark, d)
+    labels = F.array("lang", "source", F.when(F.length("text") > 1000, "long"))
+    return c.select("doc_id", F.explode(F.when(F.col("doc_id") % 9 == 0, F.array(F.lit(None).cast("string"))).otherwise(labels)).alias("label"))
+
+
+@query("""WITH n AS (SELECT COUNT(*) AS n FROM documents), w AS (SELECT 'train' AS fold, 1 AS i, 0.7::DOUBLE AS w UNION ALL SELECT 'dev', 2, 0.1 UNION ALL SELECT 'test', 3, 0.2), f AS (SELECT fold, i, floor(n * w + 1e-9)::BIGINT AS low, n * w AS want, n FROM w, n),
+r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY low - want, i) AS r, SUM(low) OVER () AS lows FROM f) SELECT fold, low + CASE WHEN r <= n - lows THEN 1 ELSE 0 END AS n, TRUE AS near FROM r""")
+def label_set_split(spark, d):
+    """Sizes of folds by label sets, and whether each fold has each label within one document of its share."""
+    m, folds = _doc_labels(spark, d), {"train": 0.7, "dev": 0.1, "test": 0.2}
+    s = X.split_by_label_sets(m, folds)
+    share = F.create_map(*(F.lit(x) for kv in folds.items() for x in kv))
+    got = m.where("label is not null").join(s, "doc_id").groupBy("label", "fold").agg(F.count("*").alias("c"))
+    every = m.where("label is not null").groupBy("label").agg(F.count("*").alias("a"))
+    near = got.join(every, "label").groupBy("fold").agg(F.min(F.abs(F.col("c") - F.col("a") * F.element_at(share, F.col("fold"))) <= 1 + 1e-9).alias("near"))
+    return s.groupBy("fold").agg(F.count("*").alias("n")).join(near, "fold")
+
+
 @query()
 def hash_split(spark, d):
     return X.hash_split(_docs(spark, d), 0.2).groupBy("fold").agg(F.count("*").alias("n"))
