@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,16 +41,57 @@ def shape(text, compat: bool = False) -> Column:
     return F.regexp_replace(F.regexp_replace(out, "[A-Z]", "X"), "[a-z]", "x")
 
 
+#: Hangul syllables and the letters that they are made of: by the rule of composition, 19 leads, 21 vowels, 27 tails.
+FIRST_SYLLABLE, LAST_SYLLABLE, LEADS, VOWELS, TAILS = "\uac00", "\ud7a3", 0x1100, 0x1161, 0x11A8
+
+
+@lru_cache(maxsize=1)
+def _bare_letters() -> tuple[str, str, dict[str, str]]:
+    """Code points that lose marks, those that are marks coming last; the former's bare letters; those that come to several letters, Hangul apart."""
+    marked, marks, bare, several = [], [], [], {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if "\ud800" <= c <= "\udfff" or FIRST_SYLLABLE <= c <= LAST_SYLLABLE:
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if not plain:
+            marks.append(c)
+        elif len(plain) > 1:
+            several[c] = plain
+        elif plain != c:
+            marked.append(c)
+            bare.append(plain)
+    return "".join(marked + marks), "".join(bare), several
+
+
+def _taken_apart(text: Column, several: dict[str, str]) -> Column:
+    """Hangul syllables and the code points of ``several`` as their letters."""
+    part = lambda first, n, i: F.substring(F.lit("".join(map(chr, range(first, first + n)))), i.cast("int") + 1, F.lit(1))
+    table = F.create_map(*(F.lit(x) for kv in several.items() for x in kv))
+
+    def one(c: Column) -> Column:
+        k = F.ascii(c) - ord(FIRST_SYLLABLE)
+        tail = k % 28
+        made = F.concat(part(LEADS, 19, F.floor(k / 588)), part(VOWELS, 21, F.floor(k % 588 / 28)), F.when(tail > 0, part(TAILS, 27, tail - 1)).otherwise(""))
+        return F.when((c >= FIRST_SYLLABLE) & (c <= LAST_SYLLABLE), made).otherwise(F.coalesce(F.try_element_at(table, c), c))
+
+    some = text.rlike(f"[{FIRST_SYLLABLE}-{LAST_SYLLABLE}{''.join(several)}]")
+    return F.when(some, F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
+
+
 def strip_accents(text) -> Column:
-    """Canonical decomposition without its non-spacing marks."""
+    """Canonical decomposition without its non-spacing marks, by native functions; ASCII texts are only measured.
 
-    @F.pandas_udf("string")
-    def bare(s):
-        import unicodedata
+    The tables of letters are made by rule from the interpreter's Unicode data.  Marks that take space keep their order.
+    """
+    t = _c(text)
+    marked, bare, several = _bare_letters()
+    apart = _taken_apart(t, several)
+    return F.when(F.length(t) == F.octet_length(t), t).otherwise(F.translate(apart, marked, bare))
 
-        return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
 
-    return bare(_c(text))
+def same_text(a, b) -> Column:
+    """Whether two texts are equal but for case and accents, by Spark's collation."""
+    return F.collate(_c(a), "UNICODE_CI_AI") == F.collate(_c(b), "UNICODE_CI_AI")
 
 
 def normalized(text) -> Column:

@@ -146,3 +146,23 @@ def percent_text(x: Column, digits: int = 1) -> Column:
 def label_vector(rows: DataFrame, labels: list[str], doc: str = "doc_id", label: str = "label") -> DataFrame:
     """One row per document with a 0/1 column for each label."""
     return rows.groupBy(doc).agg(*(F.max((F.col(label) == x).cast("int")).alias(x) for x in labels))
+
+
+def split_counts(spans: DataFrame, split: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """fold, kind, key, n: per fold of split (doc_id, fold) how often each label occurs, how often negated, and each relation's type.
+
+    spans have doc_id, label and, where it is known, a boolean ``negated``; documents in no fold are left out.
+    """
+    one = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    kinds = [one("label", F.col("label"))]
+    if "negated" in spans.columns:
+        kinds.append(F.when(F.col("negated"), one("negated", F.col("label"))))
+    rows = spans.select("doc_id", F.explode(F.filter(F.array(*kinds), lambda x: x.isNotNull())).alias("x"))
+    if relations is not None:
+        rows = rows.unionByName(relations.select("doc_id", one("relation", F.col("type")).alias("x")))
+    return rows.join(split.select("doc_id", "fold").distinct(), "doc_id").groupBy("fold", "x.kind", "x.key").agg(F.count("*").alias("n"))
+
+
+def first_rows(rows: DataFrame, by: list[Column | str], limit: int) -> DataFrame:
+    """The first ``limit`` rows in the order ``by``, sorted so, with their ``place`` from 1.  Each task sorts and keeps its first ones."""
+    return rows.orderBy(*by).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*by))).orderBy("place")

@@ -212,6 +212,46 @@ def find_occurrences(docs: DataFrame, text_col: str = "text", entity_col: str =
     return found.withColumn("end", F.col("begin") + F.length(entity_col))
 
 
+def find_entities(docs: DataFrame, entities: DataFrame, keys: list[str] = DOC, text_col: str = "text", entity_col: str = "entity") -> DataFrame:
+    """entities (keys, entity, more) with one row per occurrence in their document's text, as find_occurrences: begin, end.
+
+    A document's text is read once, whatever the number of its entities: an automaton of all of them, with failure links,
+    walks over it.  docs has a row a document; empty and null entities occur nowhere.
+    """
+
+    @F.pandas_udf("array<struct<i int, begin int>>")
+    def places(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        built: dict[tuple, object] = {}
+
+        def automaton(names: tuple):
+            if names not in built:
+                if len(built) > 256:
+                    built.clear()
+                a, at = ahocorasick.Automaton(), {}
+                for i, x in enumerate(names):
+                    at.setdefault(folded(x), []).append(i)
+                for x, which in at.items():
+                    a.add_word(x, (which, len(x)))
+                a.make_automaton()
+                built[names] = a
+            return built[names]
+
+        def one(text, names):
+            if not text or len(names) == 0:
+                return []
+            return [{"i": i, "begin": end - n + 1} for end, (which, n) in automaton(tuple(names)).iter(folded(text)) for i in which]
+
+        return pd.Series([one(t, e) for t, e in zip(texts, lists)], dtype=object)
+
+    named = entities.where(F.length(entity_col) > 0)
+    lists = named.groupBy(*keys).agg(F.array_sort(F.collect_set(entity_col)).alias("__e"))
+    found = docs.select(*keys, F.col(text_col).alias("__t")).join(lists, keys).select(*keys, "__e", F.explode(places("__t", "__e")).alias("__p"))
+    found = found.select(*keys, F.element_at("__e", F.col("__p.i") + 1).alias(entity_col), F.col("__p.begin").alias("begin"))
+    return named.join(found, [*keys, entity_col]).withColumn("end", F.col("begin") + F.length(entity_col)).select(*entities.columns, "begin", "end")
+
+
 def attach_attribute(spans: DataFrame, attributes: DataFrame, name: str, out: str, keys: list[str] = DOC) -> DataFrame:
     """spans with boolean ``out``: an attribute ``name`` is on the span and its value is not "false"."""
     on = attributes.where(F.lower("name") == name.lower()).select(*keys, "tid", (F.coalesce(F.lower("value"), F.lit("")) != "false").alias(out)).groupBy(*keys, "tid").agg(F.max(out).alias(out))

@@ -146,6 +146,19 @@ def to_char_span(spans: DataFrame, tokens: DataFrame, keys: list[str] = SEQ) ->
     return spans.join(t("first", "begin"), [*keys, "first"]).join(t("last", "end"), [*keys, "last"])
 
 
+def find_in_tokens(tokens: DataFrame, entities: DataFrame, keys: list[str] = SEQ) -> DataFrame:
+    """entities (keys, entity, more) with first and last token of each occurrence in the tokens joined by one space.
+
+    An occurrence that begins or ends at a space is none.
+    """
+    from spanlab.operators.spans import find_entities
+
+    t = offsets_of(tokens, keys).select(*keys, "tok_id", "token", "begin", "end")
+    text = t.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_id", "token"))), lambda x: x["token"]), " ").alias("text"))
+    found = to_token_span(t, find_entities(text, entities, keys), keys)
+    return found.where("first <= last").drop("begin", "end")
+
+
 def sentence_starts(tokens: DataFrame, docs: DataFrame, keys: list[str] = SEQ, text_col: str = "text") -> DataFrame:
     """tokens of the documents with ``sent_id``: a line break between two tokens ends a sentence.
 

@@ -21,7 +21,7 @@ from spanlab.operators import splits as X
 from spanlab.operators import tokens as K
 from spanlab.plans import surrogates as U
 from spanlab.plans.surrogates import BAGS, COUNTS, FLAGS, GOLD, MATRIX, MENTIONS, PRED, PRF, TAGS
-from spanlab.sources import brat, formats, predict, sinks
+from spanlab.sources import brat, formats, ledger, predict, shared, sinks, standoff
 
 METHODS = ["rules", "TBM", "LLM"]
 _queries: dict = {}
@@ -285,15 +285,28 @@ def percent_fields(spark, d):
     return U.table(spark, d, "part").groupBy("p_type").agg(n.alias("small"), E.percent_text(n / F.count("*")).alias("share"))
 
 
-@query()
+@query("""SELECT doc_id, sha256(trim(regexp_replace(strip_accents(lower(text)), '[\\s\\x0B\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'), ' ')) AS sha256 FROM documents WHERE text IS NOT NULL""")
 def normalized_text(spark, d):
-    return _docs(spark, d).select("doc_id", F.sha2(T.normalized("text"), 256).alias("sha256"))
+    return _docs(spark, d).where("text is not null").select("doc_id", F.sha2(T.normalized("text"), 256).alias("sha256"))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey % 5 AS k, p_size::VARCHAR AS n, p_size, p_partkey // 5 AS m FROM part),
+v AS (SELECT 'HER2_IHC' AS label, CASE WHEN p_size % 4 = 0 THEN '0' ELSE (p_size % 4) || '+' END AS value FROM p WHERE k = 0 UNION ALL SELECT 'HER2_status', CASE WHEN m % 2 = 0 THEN 'negatif' ELSE 'positif' END FROM p WHERE k = 0
+  UNION ALL SELECT CASE k WHEN 1 THEN 'Estrogen_receptor' ELSE 'Progesterone_receptor' END, CASE WHEN p_size > 10 THEN 'positif' ELSE 'negatif' END FROM p WHERE k IN (1, 2)
+  UNION ALL SELECT 'Ki67', n || '%' FROM p WHERE k = 3 UNION ALL SELECT 'HER2_FISH', CASE p_size % 3 WHEN 0 THEN 'negatif' WHEN 1 THEN 'positif' ELSE 'en_cours' END FROM p WHERE k = 4)
+SELECT label, value, COUNT(*) AS n FROM v GROUP BY ALL""")
 def biomarker_values(spark, d):
-    rows = [(1, "HER2", "HER2 négatif score 1+"), (2, "ER", "RE 90 %"), (3, "PR", "RP négatif"), (4, "Ki67", "Ki 67: 15 %"), (5, "FISH", "FISH non amplifié"), (6, "HER2", "HER2 +++")]
-    return P.emit_values(spark.createDataFrame(rows, "doc_id long, label string, text string"))
+    """Every part as a finding, whose text the value parsers read."""
+    k, m, n = F.col("p_partkey") % 5, F.floor(F.col("p_partkey") / 5), F.col("p_size")
+    fish = F.when(n % 3 == 0, "FISH non amplifié").when(n % 3 == 1, "FISH amplifié").otherwise("FISH en  cours")
+    text = (
+        F.when(k == 0, F.concat(F.lit("HER2 "), F.when(m % 2 == 0, "Négatif").otherwise("POSITIF"), F.lit(" score "), (n % 4).cast("string"), F.lit("+")))
+        .when(k == 1, F.concat(F.lit("RE "), n.cast("string"), F.lit(" %"))).when(k == 2, F.concat(F.lit("RP : "), n.cast("string"), F.lit("%")))
+        .when(k == 3, F.concat(F.lit("Ki 67 : "), n.cast("string"), F.lit(" %"))).otherwise(fish)
+    )
+    label = F.element_at(F.array(*(F.lit(x) for x in ("HER2", "ER", "PR", "Ki67", "FISH"))), k.cast("int") + 1)
+    findings = U.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), label.alias("label"), text.alias("text"))
+    return P.emit_values(findings).groupBy("label", "value").agg(F.count("*").alias("n"))
 
 
 # --- metrics -----------------------------------------------------------------------------------------------------
@@ -585,6 +598,31 @@ def find_occurrences(spark, d):
     return o.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("begin").alias("begins"))
 
 
+#: Words looked for in every document; some lie in others, and each document's language is one more.
+SOUGHT = ("the", "he", "an", "and", "in", "ing", "e a")
+NEEDLES = f"needles AS (SELECT doc_id, lower(text) AS t, UNNEST(list_concat({list(SOUGHT)}, [lang])) AS entity FROM documents)"
+
+
+@query(f"""WITH {NEEDLES}, p AS (SELECT doc_id, entity, UNNEST(range(1, greatest(length(t) - length(entity) + 2, 1))) AS i, t FROM needles) SELECT doc_id, entity, COUNT(*) AS n, SUM(i - 1)::BIGINT AS begins FROM p WHERE substr(t, i, length(entity)) = entity GROUP BY doc_id, entity""")
+def find_entities(spark, d):
+    """A list of entities a document, found by one walk over its text."""
+    docs = _docs(spark, d).select("doc_id", "text", "lang")
+    e = docs.select("doc_id", F.explode(F.concat(F.array(*(F.lit(x.upper()) for x in SOUGHT)), F.array("lang"))).alias("entity"))
+    found = P.find_entities(docs, e)
+    return found.groupBy("doc_id", F.lower("entity").alias("entity")).agg(F.count("*").alias("n"), F.sum("begin").alias("begins"))
+
+
+@query("""WITH x AS (SELECT doc_id, list_filter(string_split_regex(text, '[^a-zA-Z0-9%]+'), lambda w: w <> '') AS a FROM documents), t AS (SELECT doc_id, lower(UNNEST(a)) AS w, generate_subscripts(a, 1) - 1 AS i FROM x),
+n AS (SELECT *, LEAD(w) OVER (PARTITION BY doc_id ORDER BY i) AS w2 FROM t) SELECT doc_id, COUNT(*) FILTER (contains(w, 'the')) AS n, (COUNT(*) FILTER (ends_with(w, 's') AND starts_with(w2, 'a')))::BIGINT AS pairs FROM n GROUP BY doc_id HAVING COUNT(*) FILTER (contains(w, 'the')) + COUNT(*) FILTER (ends_with(w, 's') AND starts_with(w2, 'a')) > 0""")
+def find_in_tokens(spark, d):
+    """Occurrences as tokens: in one word (no token has two), or over the space between two."""
+    t = _docs(spark, d).select("doc_id", F.posexplode(T.tokens("text", lower=False)).alias("tok_id", "token"))
+    e = t.select("doc_id").distinct().withColumn("entity", F.explode(F.array(F.lit("THE"), F.lit("s a"))))
+    found = K.find_in_tokens(t, e).groupBy("doc_id", "entity", "first", "last").agg(F.count("*").alias("c"))
+    n = lambda x: F.sum((F.col("entity") == x).cast("long"))
+    return found.groupBy("doc_id").agg(n("THE").alias("n"), n("s a").alias("pairs"))
+
+
 @query("""WITH s AS (SELECT l_orderkey AS doc_id, (l_partkey % 90)::INT AS f, (l_partkey % 90 + l_quantity)::INT AS l FROM lineitem), t AS (SELECT i AS sent_id, i * 20 AS sf, i * 20 + 19 AS sl FROM range(0, 8) r(i)),
 j AS (SELECT *, LEAST(l, sl) - GREATEST(f, sf) + 1 AS n FROM s JOIN t ON f <= sl AND sf <= l) SELECT sent_id, COUNT(*) AS n, SUM(GREATEST(f, sf) - sf)::BIGINT AS lf, SUM(LEAST(l, sl) - sf)::BIGINT AS ll FROM j WHERE 2 * n > l - f + 1 GROUP BY sent_id""")
 def sentence_remap(spark, d):
@@ -849,6 +887,42 @@ def brat_relations(spark, d):
     return r.groupBy(F.col("head.label").alias("head"), F.col("tail.label").alias("tail")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_returnflag AS f, l_linestatus AS s, CASE WHEN l_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS fold FROM lineitem), u AS (SELECT *, MAX(s = 'F') OVER (PARTITION BY o, n) AS neg FROM l),
+c AS (SELECT fold, 'label' AS kind, f AS key FROM u UNION ALL SELECT fold, 'negated', f FROM u WHERE neg UNION ALL SELECT fold, 'relation', 'NEXT' FROM u) SELECT fold, kind, key, COUNT(*) AS n FROM c GROUP BY ALL""")
+def split_counts(spark, d):
+    """Labels, negated labels and relations of each fold."""
+    l = _ann(spark, d)
+    s = P.attach_attribute(brat.parse_spans(l), brat.parse_attributes(l), "Negated", "negated")
+    fold = U.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train").alias("fold"))
+    return E.split_counts(s, fold, brat.parse_relations(l))
+
+
+@query("""SELECT lang AS label, COUNT(*) AS n, SUM(doc_id % 50)::BIGINT AS b, SUM(doc_id % 50 + doc_id % 7 + 1)::BIGINT AS e FROM documents WHERE doc_id % 9 <> 0 GROUP BY lang""")
+def brat_source(spark, d):
+    """Documents' spans written as stand-off files in a shared folder, and read again; every ninth document's file is empty."""
+    docs = _docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("label"), (F.col("doc_id") % 50).cast("int").alias("begin"), (F.col("doc_id") % 50 + F.col("doc_id") % 7 + 1).cast("int").alias("end"))
+    spans = docs.where("doc_id % 9 <> 0").withColumn("text", F.col("label"))
+    folder = shared.scratch_folder(spark, "brat")
+    sinks.write_documents(sinks.brat_text(spans, documents=docs), folder)
+    return standoff.read_spans(spark, folder).groupBy("label").agg(F.count("*").alias("n"), F.sum("begin").alias("b"), F.sum("end").alias("e"))
+
+
+@query("""SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))::BIGINT AS words FROM documents""")
+def ledger_resume(spark, d):
+    """Words of documents by a run that is taken up again: first the half of the documents, some with other texts, then all."""
+    docs = _docs(spark, d).select("doc_id", "text")
+    work = lambda x: x.select("doc_id", T.word_count("text").alias("words"))
+    folder = shared.scratch_folder(spark, "ledger")
+    half = docs.where("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    ledger.resume(half, work, folder)
+    return ledger.resume(docs, work, folder, batches=2)
+
+
+@query("""SELECT o_orderkey, o_totalprice, ROW_NUMBER() OVER (ORDER BY o_totalprice DESC, o_orderkey)::INT AS place FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25""")
+def first_rows(spark, d):
+    return E.first_rows(U.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 25)
+
+
 @query(f"""WITH {GOLD}, n AS (SELECT doc_id, 'T' || ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY b, e, label) || chr(9) || label || ' ' || b || ' ' || e || chr(9) || label AS l, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY b, e, label) AS i FROM gold),
 c AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) || chr(10) AS c FROM n GROUP BY doc_id) SELECT doc_id, length(c) AS n_chars, sha256(c) AS sha256 FROM c""")
 def brat_writer(spark, d):
