@@ -41,9 +41,16 @@ def _with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Columns as arrays, each row once: repeated rows are neighbours."""
+    last = None
     for b in batches:
         if b.num_rows:
-            yield np.stack([c.to_numpy().astype(np.int64) for c in b.columns])
+            a = np.stack([c.to_numpy().astype(np.int64) for c in b.columns])
+            new = _changes(a)
+            new[0] = last is None or (a[:, 0] != last).any()
+            last = a[:, -1].copy()
+            if new.any():
+                yield a[:, new]
 
 
 def _changes(a: np.ndarray) -> np.ndarray:
@@ -107,7 +114,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
     lines = materialize(lines)
     shared_dir(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // ROWS_A_PART), 1)
-    ordered = lines.distinct().repartitionByRange(parts, *KEYS).sortWithinPartitions(*KEYS).checkpoint()
+    ordered = lines.repartitionByRange(parts, *KEYS).sortWithinPartitions(*KEYS).checkpoint()
     discard(lines)
     schema = "part long, h1 long, h2 long, n long, d0 long, d1 long"
     carried = _merge_edges(ordered.mapInArrow(_edges, schema).collect())

@@ -83,7 +83,11 @@ class Evidence:
 
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Evidence:
-    """The evidence model from labelled documents; rows with a null id or label are left out."""
+    """The evidence model from labelled documents; rows with a null id or label are left out.
+
+    Where so many documents share labelled ids that they are more than twice ``max_labelled``, an arbitrary part of
+    them, so many, is taken.
+    """
     sample = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
     sample = sample.orderBy(F.xxhash64("id"), "id", "y").limit(max_labelled)
 
