@@ -6,7 +6,9 @@ import bisect
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,21 +45,30 @@ def extract_spans(docs: DataFrame, rules: list[tuple], text_col: str = "text", k
     Flags: i, u, x, s, m; i and u where none are given.  Rules are compiled once in each worker.
     """
     rules = [(r[0], r[1], int(r[2]), (r[3] if len(r) > 3 and r[3] is not None else "iu")) for r in rules]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(re.compile(p, sum({"i": re.I, "u": re.U, "x": re.X, "s": re.S, "m": re.M}[f] for f in set(flags))), label, prio) for p, label, prio, flags in rules]
-        for f in frames:
-            rows = []
-            for i, t in enumerate(f[text_col]):
+    names, priorities = pa.array([r[1] for r in rules], pa.string()), np.array([r[2] for r in rules], np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [re.compile(p, sum({"i": re.I, "u": re.U, "x": re.X, "s": re.S, "m": re.M}[f] for f in set(flags))) for p, _, _, flags in rules]
+        for b in batches:
+            bounds: list[tuple[int, int]] = []
+            covered: list[str] = []
+            found: list[tuple[int, int, int]] = []  # text, rule, how many
+            for i, t in enumerate(b.column(len(keep)).to_pylist()):
                 if t:
-                    rows += [(i, label, m.start(), m.end(), m.group(), prio) for rx, label, prio in compiled for m in rx.finditer(t) if m.end() > m.start()]
-            out = pd.DataFrame(rows, columns=["__i", "label", "begin", "end", "text", "priority"])
-            ids = f[keep].reset_index(drop=True).loc[out.pop("__i")].reset_index(drop=True)
-            yield pd.concat([ids, out], axis=1)
+                    for k, rx in enumerate(compiled):
+                        if here := [x for m in rx.finditer(t) if (x := m.span())[0] < x[1]]:
+                            bounds += here
+                            covered += [t[s:e] for s, e in here]
+                            found.append((i, k, len(here)))
+            at, rule, n = np.array(found, np.int64).reshape(-1, 3).T
+            ends = np.array(bounds, np.int32).reshape(-1, 2)
+            row, rule = pa.array(np.repeat(at, n)), np.repeat(rule, n)
+            cols = [*(b.column(k).take(row) for k in range(len(keep))), names.take(pa.array(rule)), pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(covered, pa.string()), pa.array(priorities[rule])]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "label", "begin", "end", "text", "priority"])
 
     kept = docs.select(*keep, text_col)
     schema = ", ".join(f"`{c}` {t}" for c, t in kept.select(*keep).dtypes) + ", label string, begin int, end int, text string, priority int"
-    return kept.mapInPandas(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def extract_findings(docs: DataFrame, rules: list[tuple], text_col: str = "text", keep: list[str] = DOC) -> DataFrame:
