@@ -19,31 +19,25 @@ from spanlab.operators import significance as G
 from spanlab.operators import spans as P
 from spanlab.operators import splits as X
 from spanlab.operators import tokens as K
+from spanlab.plans import registry
 from spanlab.plans import surrogates as U
+from spanlab.plans.registry import query
 from spanlab.plans.surrogates import BAGS, COUNTS, FLAGS, GOLD, MATRIX, MENTIONS, PRED, PRF, TAGS
 from spanlab.sources import brat, formats, ledger, predict, shared, sinks, standoff
 
 METHODS = ["rules", "TBM", "LLM"]
-_queries: dict = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
-
-    return add
 
 
 def queries() -> dict:
-    return dict(_queries)
+    from spanlab.plans import round_trips  # noqa: F401 - registers its queries
+
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    from spanlab.plans import round_trips  # noqa: F401
+
+    return dict(registry.SQL)
 
 
 def _docs(spark, d) -> DataFrame:
@@ -360,7 +354,7 @@ def prioritized_union(spark, d):
 TRACE_SQL = """CASE WHEN a THEN 'regular' ELSE 'irregular -> ' || CASE WHEN b THEN 'learnable' ELSE 'not learnable -> ' || CASE WHEN c THEN 'data or low risk' ELSE 'rare and risky -> ' || CASE WHEN e THEN 'needs context' ELSE 'default' END END END END"""
 
 
-@query(f"""WITH te AS ({_sql["templeability"]}), ri AS ({_sql["risk_score"]}), fr AS ({_sql["entity_frequency"]}),
+@query(f"""WITH te AS ({registry.SQL["templeability"]}), ri AS ({registry.SQL["risk_score"]}), fr AS ({registry.SQL["entity_frequency"]}),
 tok AS (WITH {MENTIONS} SELECT label, lower(UNNEST(list_filter(string_split_regex(value, '[^a-zA-Z0-9%]+'), lambda x: x <> ''))) AS token FROM mentions),
 ho AS (SELECT label, (COUNT(*) - COUNT(DISTINCT token))::DOUBLE / COUNT(*) AS he FROM tok GROUP BY label),
 j AS (SELECT label, te, r, he, freq, fr.count AS count FROM te JOIN (SELECT label, r FROM ri) USING (label) JOIN ho USING (label) JOIN fr USING (label)),
@@ -488,7 +482,7 @@ def route_frugal(spark, d):
     return R.vote(p, METHODS).groupBy("method").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH f AS ({_sql["friedman_chi2"]}) SELECT COUNT(*) FILTER (n_docs >= 10) AS n_tested, COUNT(*) FILTER (n_docs >= 10 AND p <= 0.05) AS n_significant FROM f""")
+@query(f"""WITH f AS ({registry.SQL["friedman_chi2"]}) SELECT COUNT(*) FILTER (n_docs >= 10) AS n_tested, COUNT(*) FILTER (n_docs >= 10 AND p <= 0.05) AS n_significant FROM f""")
 def run_summary(spark, d):
     return R.run_summary(G.friedman(G.score_matrix(U.scores(spark, d), METHODS), METHODS), "n_docs")
 
@@ -508,7 +502,7 @@ def sparsity(spark, d):
     return G.sparsity(G.score_matrix(U.scores(spark, d), METHODS), METHODS)
 
 
-@query(f"""WITH f AS ({_sql["friedman_chi2"]}) SELECT label, n_docs FROM f WHERE n_docs >= 10 AND p <= 0.05""")
+@query(f"""WITH f AS ({registry.SQL["friedman_chi2"]}) SELECT label, n_docs FROM f WHERE n_docs >= 10 AND p <= 0.05""")
 def significant_labels(spark, d):
     return G.significant_labels(G.friedman(G.score_matrix(U.scores(spark, d), METHODS), METHODS)).select("label", "n_docs")
 
@@ -576,26 +570,27 @@ def dedup_exact(spark, d):
     return P.resolve_overlaps(g, mode="keep_nested").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {GOLD}, o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY b % 7 DESC, b - e, b, label) AS i FROM gold),
+w(doc_id, i, kept, label, b, stays) AS (SELECT doc_id, 0::BIGINT, []::STRUCT(b INT, e INT)[], '', 0, FALSE FROM (SELECT DISTINCT doc_id FROM gold)
+  UNION ALL SELECT doc_id, i, CASE WHEN stays THEN list_append(kept, {{'b': b, 'e': e}}) ELSE kept END, label, b, stays FROM (SELECT o.*, w.kept, len([k for k in w.kept if k.b < o.e AND o.b < k.e]) = 0 AS stays FROM w JOIN o ON o.doc_id = w.doc_id AND o.i = w.i + 1))
+SELECT label, COUNT(*) AS n, SUM(b)::BIGINT AS b FROM w WHERE stays GROUP BY label""")
 def resolve_overlaps(spark, d):
     g = U.gold(spark, d).withColumns({"priority": (F.col("begin") % 7).cast("int"), "text": F.lit("")})
     return P.resolve_overlaps(g).groupBy("label").agg(F.count("*").alias("n"), F.sum("begin").alias("b"))
 
 
-@query(f"""WITH {GOLD}, o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY b, e, label) AS i FROM gold), p AS (SELECT *, LAG(label) OVER (PARTITION BY doc_id ORDER BY i) AS pl FROM o),
+@query("""WITH gold AS (SELECT l_orderkey AS doc_id, l_returnflag AS label, CAST(l_partkey % 500 AS INT) AS b, CAST(l_partkey % 500 AS INT) + CAST(l_quantity AS INT) AS e, (l_suppkey % 9)::DOUBLE AS score FROM lineitem),
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY b, e, label, score) AS i FROM gold), p AS (SELECT *, LAG(label) OVER (PARTITION BY doc_id ORDER BY i) AS pl FROM o),
 s AS (SELECT *, SUM(CASE WHEN pl <> label THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM p), f AS (SELECT *, MAX(e) OVER (PARTITION BY doc_id, s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s),
-m AS (SELECT *, SUM(CASE WHEN b > far THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, s ORDER BY i) AS m FROM f), r AS (SELECT label, MIN(b) AS b, MAX(e) AS e FROM m GROUP BY doc_id, label, s, m)
-SELECT label, COUNT(*) AS n, SUM(b)::BIGINT AS b, SUM(e)::BIGINT AS e FROM r GROUP BY label""")
+m AS (SELECT *, SUM(CASE WHEN b > far THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, s ORDER BY i) AS m FROM f),
+r AS (SELECT label, list_reduce(list({'b': b::DOUBLE, 'e': e::DOUBLE, 's': score} ORDER BY i), lambda a, x: {'b': a.b, 'e': greatest(a.e, x.e), 's': (a.s * (a.e - a.b) + x.s * (x.e - x.b)) / ((a.e - a.b) + (x.e - x.b))}) AS z FROM m GROUP BY doc_id, label, s, m)
+SELECT label, COUNT(*) AS n, SUM(z.b)::BIGINT AS b, SUM(z.e)::BIGINT AS e, SUM(floor(z.s * 1000000))::BIGINT AS micros, COUNT(DISTINCT z.s) AS scores FROM r GROUP BY label""")
 def merge_adjacent(spark, d):
-    g = U.gold(spark, d).withColumn("score", F.lit(0.5))
-    return P.merge_adjacent(g).groupBy("label").agg(F.count("*").alias("n"), F.sum("begin").alias("b"), F.sum("end").alias("e"))
-
-
-@query("""WITH o AS (SELECT doc_id, lower(text) AS t FROM documents), p AS (SELECT doc_id, UNNEST(range(1, greatest(length(t) - 2, 1))) AS i, t FROM o) SELECT doc_id, COUNT(*) AS n, SUM(i - 1)::BIGINT AS begins FROM p WHERE substr(t, i, 3) = 'the' GROUP BY doc_id""")
-def find_occurrences(spark, d):
-    """In tokens' texts an entity is searched overlapping and in any case."""
-    o = P.find_occurrences(_docs(spark, d).select("doc_id", "text", F.lit("the").alias("entity")))
-    return o.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("begin").alias("begins"))
+    l = U.table(spark, d, "lineitem")  # noqa: E741
+    b = (F.col("l_partkey") % 500).cast("int")
+    g = l.select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("label"), b.alias("begin"), (b + F.col("l_quantity").cast("int")).alias("end"), (F.col("l_suppkey") % 9).cast("double").alias("score"))
+    micros = F.sum(F.floor(F.col("score") * 1_000_000)).alias("micros")
+    return P.merge_adjacent(g).groupBy("label").agg(F.count("*").alias("n"), F.sum("begin").alias("b"), F.sum("end").alias("e"), micros, F.countDistinct("score").alias("scores"))
 
 
 #: Words looked for in every document; some lie in others, and each document's language is one more.

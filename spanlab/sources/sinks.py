@@ -12,7 +12,7 @@ def brat_text(spans: DataFrame, values: bool = False, tabs: bool = False, docume
     values: each span with a ``value`` also gets an A line, white space in it as _, and there is no newline at the end.
     tabs: tabs become spaces too.  documents (doc_id): those without a span have an empty content.
     """
-    w = Window.partitionBy("doc_id").orderBy("begin", "end", "label", "text")
+    w = Window.partitionBy("doc_id").orderBy("begin", "end", "label", "text", *(["value"] if values else []))
     clean = F.translate(F.col("text"), "\n\r\t" if tabs else "\n\r", "   " if tabs else "  ")
     s = spans.withColumn("__n", F.row_number().over(w))
     line = F.format_string("T%d\t%s %d %d\t%s", "__n", "label", "begin", "end", clean)
