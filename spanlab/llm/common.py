@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -53,6 +54,23 @@ def _folder(spark: SparkSession) -> str:
     return folder
 
 
+#: The driver collects its heap for _tidy at most this part of the time.
+TIDY_SHARE = 0.02
+_tidied = [0.0, 0.0]  # when, and how long it took
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Let go of what finished statements have broadcast: executors hold it, a page of memory for each join, until the driver collects.
+
+    Spark does so every half an hour by itself.  The next time comes when the last one's length is TIDY_SHARE of the time since,
+    so a large driver, whose collections take long, does it seldom.
+    """
+    now = time.monotonic()
+    if now - _tidied[0] >= _tidied[1] / TIDY_SHARE:
+        spark.sparkContext._jvm.System.gc()
+        _tidied[:] = [time.monotonic(), time.monotonic() - now]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back.
 
@@ -73,6 +91,7 @@ def materialize(df: DataFrame) -> DataFrame:
             spark.conf.set(CLEANUP, before)
     if _scopes:
         _scopes[-1].append(path)
+    _tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
