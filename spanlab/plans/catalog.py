@@ -902,7 +902,7 @@ def brat_source(spark, d):
     return standoff.read_spans(spark, folder).groupBy("label").agg(F.count("*").alias("n"), F.sum("begin").alias("b"), F.sum("end").alias("e"))
 
 
-@query("""SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))::BIGINT AS words FROM documents""")
+@query("""SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::BIGINT AS words FROM documents""")
 def ledger_resume(spark, d):
     """Words of documents by a run that is taken up again: first the half of the documents, some with other texts, then all."""
     docs = _docs(spark, d).select("doc_id", "text")

@@ -40,8 +40,8 @@ def test_twin(spark, db, name):
 def test_run_summary_counts_p(spark, tmp_path):
     """Label A's methods differ, N's do not, R has too few documents; the counts are those of friedman_chi2's SQL."""
     hits = [("A", i, 0) for i in range(30)] + [("N", i, i % 3) for i in range(30)] + [("R", i, 0) for i in range(9)]
-    rows = [(x, i, 0.09 if m == 0 else 0.0, 0.08 if m == 1 else 0.0, 50.0 if m == 2 else 1.0) for x, i, m in hits]
-    l = spark.createDataFrame(rows, "l_returnflag string, l_orderkey long, l_discount double, l_tax double, l_quantity double")  # noqa: E741
+    rows = [(x, i, 1, 5, 5, 0.09 if m == 0 else 0.0, 0.08 if m == 1 else 0.0, 50.0 if m == 2 else 1.0) for x, i, m in hits]
+    l = spark.createDataFrame(rows, "l_returnflag string, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_discount double, l_tax double, l_quantity double")  # noqa: E741
     l.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     c = duckdb.connect()
     c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
