@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlab.operators.spans import islands, overlap_score
+from spanlab.operators.spans import in_islands, overlap_score
 
 KEYS = ["doc_id", "label"]
 
@@ -60,15 +61,18 @@ def _near(g: DataFrame, p: DataFrame, keys: list[str], width: int) -> DataFrame:
     """
     g, p = _binned(g, "gb", "ge", width), _binned(p, "pb", "pe", width)
 
-    def climbing(low: DataFrame, high: DataFrame, strict: bool) -> DataFrame:
-        used = high.groupBy(*keys).agg(F.array_sort(F.collect_set("__level")).alias("__used"))
-        above = F.filter("__used", lambda x: x > F.col("__level") if strict else x >= F.col("__level"))
-        up = low.join(used, keys).withColumn("__up", F.explode(above))
-        up = up.withColumn("__bin", F.call_function("shiftright", F.col("__bin"), F.col("__up") - F.col("__level"))).withColumn("__level", F.col("__up")).drop("__up", "__used")
-        return up.join(high, [*keys, "__level", "__bin"])
-
-    cols = [*keys, *(c for c in (*g.columns, *p.columns) if c not in keys and not c.startswith("__"))]
-    return climbing(p, g, False).select(*cols).unionByName(climbing(g, p, True).select(*cols))
+    both = [c for c in (*g.columns, *p.columns) if c not in keys and not c.startswith("__")]
+    side = lambda df, tag, name: df.select(*keys, F.lit(tag).alias("__tag"), F.col("__level").alias("__level"), F.col("__bin").alias("__bin"), F.struct(*(c for c in df.columns if c in both)).alias(name))
+    # tag 1: predictions look for gold spans in their bins and above; tag 2: gold spans for predictions strictly above
+    low = side(p, 1, "__p").unionByName(side(g, 2, "__g"), allowMissingColumns=True)
+    high = side(g, 1, "__hg").unionByName(side(p, 2, "__hp"), allowMissingColumns=True)
+    at = [*keys, "__tag"]
+    used = high.groupBy(*at).agg(F.array_sort(F.collect_set("__level")).alias("__used"))
+    above = F.filter("__used", lambda x: (x > F.col("__level")) | ((x == F.col("__level")) & (F.col("__tag") == 1)))
+    up = low.join(used, at).withColumn("__up", F.explode(above))
+    up = up.withColumn("__bin", F.call_function("shiftright", F.col("__bin"), F.col("__up") - F.col("__level"))).withColumn("__level", F.col("__up")).drop("__up", "__used")
+    met = up.join(high, [*at, "__level", "__bin"]).withColumns({"__g": F.coalesce("__g", "__hg"), "__p": F.coalesce("__p", "__hp")})
+    return met.select(*keys, *(F.col(f"__{'g' if c in g.columns else 'p'}.{c}").alias(c) for c in both))
 
 
 def candidate_pairs(gold: DataFrame, pred: DataFrame, metric: str, threshold: float, keys: list[str] = KEYS, width: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -88,33 +92,32 @@ def candidate_pairs(gold: DataFrame, pred: DataFrame, metric: str, threshold: fl
 def _greedy(gold: DataFrame, pred: DataFrame, metric: str, threshold: float, keys: list[str], width: int | None, order: list) -> DataFrame:
     """tp, fp, fn per key: pairs at or above threshold in turn take as much as is left of both multiplicities.
 
-    Pairs that share a span lie in one island of positions, so islands are settled apart: an island of one pair by a
-    native minimum, the others stream through a task, which holds one island's spans.
+    Pairs that share a span lie in one island of positions, so islands are settled apart (see spans.in_islands): those of one
+    pair at once, the pairs of another one by one in the order given.
     """
     count = lambda df, n: df.groupBy(*keys, "begin", "end").agg(F.count("*").alias(n))
     pairs = candidate_pairs(count(gold, "gn"), count(pred, "pn"), metric, threshold, keys, width, ("gn", "pn"))
-    cut = islands(pairs.withColumns({"__b": F.least("gb", "pb"), "__e": F.greatest("ge", "pe")}), keys, "__b", "__e")
-    cols = [*keys, "__island", "gb", "ge", "gn", "pb", "pe", "pn"]
-    crowd = cut.where("__size > 1").sortWithinPartitions(*keys, "__island", *order).select(*cols)
-    n = len(keys) + 1
-
-    def greedy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, left_g, left_p = None, {}, {}
-        for f in frames:
-            took = []
-            for row in zip(*(f[c].tolist() for c in cols)):
-                if row[:n] != now:
-                    now, left_g, left_p = row[:n], {}, {}
-                gb, ge, gn, pb, pe, pn = row[n:]
-                k = min(left_g.setdefault((gb, ge), gn), left_p.setdefault((pb, pe), pn))
-                left_g[gb, ge] -= k
-                left_p[pb, pe] -= k
-                took.append(k)
-            yield f[keys].assign(tp=took)
-
-    kinds = ", ".join(f"`{c}` {t}" for c, t in crowd.select(*keys).dtypes)
-    alone = cut.where("__size = 1").select(*keys, F.least("gn", "pn").alias("tp"))
-    return _with_totals(gold, pred, alone.unionByName(crowd.mapInPandas(greedy, kinds + ", tp long")), keys)
+    pairs = pairs.withColumns({"__b": F.least("gb", "pb"), "__e": F.greatest("ge", "pe")} | {f"__o{i}": c for i, c in enumerate(order)})
+    names = [f"__o{i}" for i in range(len(order))]
+
+    def settle(t: pa.Table, island: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        took = np.minimum(t.column("gn").to_numpy(), t.column("pn").to_numpy())
+        crowd = np.flatnonzero(size > 1)
+        if len(crowd):
+            part = t.take(pa.array(crowd))
+            col = lambda c: part.column(c).to_pylist()
+            now, left_g, left_p = None, {}, {}
+            for isle, *_, gb, ge, pb, pe, gn, pn, i in sorted(zip(island[crowd].tolist(), *map(col, names), *map(col, ("gb", "ge", "pb", "pe", "gn", "pn")), crowd.tolist())):
+                if isle != now:
+                    now, left_g, left_p = isle, {}, {}
+                k = min(left_g.get((gb, ge), gn), left_p.get((pb, pe), pn))
+                left_g[gb, ge] = left_g.get((gb, ge), gn) - k
+                left_p[pb, pe] = left_p.get((pb, pe), pn) - k
+                took[i] = k
+        return pa.RecordBatch.from_arrays([*(t.column(k).combine_chunks() for k in keys), pa.array(took)], names=[*keys, "tp"])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in pairs.select(*keys).dtypes)
+    return _with_totals(gold, pred, in_islands(pairs, keys, "__b", "__e", settle, kinds + ", tp long"), keys)
 
 
 def match_overlap(gold: DataFrame, pred: DataFrame, metric: str = "min", threshold: float = 0.8, keys: list[str] = KEYS, width: int | None = None) -> DataFrame:
@@ -125,7 +128,7 @@ def match_overlap(gold: DataFrame, pred: DataFrame, metric: str = "min", thresho
     """
     if metric == "exact":
         return match_bag(gold, pred, keys)
-    order = [F.desc("score"), F.col("ge") - F.col("gb"), F.col("pe") - F.col("pb"), F.col("gb"), F.col("pb")]
+    order = [-F.col("score"), F.col("ge") - F.col("gb"), F.col("pe") - F.col("pb"), F.col("gb"), F.col("pb")]
     return _greedy(gold, pred, metric, threshold, list(keys), width, order)
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,47 +103,89 @@ def dedup_exact(spans: DataFrame, keys: list[str] = DOC) -> DataFrame:
     return spans.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def islands(rows: DataFrame, keys: list[str] = DOC, begin: str = "begin", end: str = "end", out: str = "__island", size: str = "__size") -> DataFrame:
-    """rows with the number of the island that they lie in, and how many lie there: rows of two islands never overlap.
+def in_islands(rows: DataFrame, keys: list[str], begin: str, end: str, settle: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch], schema) -> DataFrame:
+    """settle(rows, island, size) over rows in whole islands: rows of two islands never overlap.
 
-    An island ends where a row begins at or after all ends before it.
+    A key's rows come sorted by begin; an island ends where a row begins at or after all ends before it.  ``island`` numbers
+    the islands of a call from 0, ``size`` says how many rows each row's island has, so rows that overlap no other are
+    settled without a loop.  A task holds a batch and the island that is open at its end.
     """
-    w = Window.partitionBy(*keys).orderBy(begin, end)
-    far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.col(begin) >= far).cast("int"), F.lit(0))
-    n = rows.withColumn(out, new).withColumn(out, F.sum(out).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return n.withColumn(size, F.count("*").over(Window.partitionBy(*keys, out)))
+    order = rows.repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, begin, end)
+    at, b_at, e_at = [rows.columns.index(k) for k in keys], rows.columns.index(begin), rows.columns.index(end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last, far = None, None
+
+        def settled(parts: list[pa.RecordBatch], new: np.ndarray) -> pa.RecordBatch:
+            island = np.cumsum(new) - 1
+            return settle(pa.Table.from_batches(parts).combine_chunks(), island, np.bincount(island)[island])
+
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            begins, ends = (b.column(c).to_numpy().astype(np.int64) for c in (b_at, e_at))
+            change = np.zeros(n, bool)
+            for k in at:
+                x = b.column(k)
+                same = pc.fill_null(pc.equal(x[1:], x[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(x[1:]).to_numpy(zero_copy_only=False) & pc.is_null(x[:-1]).to_numpy(zero_copy_only=False))
+                change[1:] |= ~same
+            first = tuple(b.column(k)[0].as_py() for k in at)
+            goes_on = held and first == last
+            group = np.cumsum(change) << 34
+            reach = np.maximum.accumulate(ends + group)
+            if goes_on:
+                reach = np.maximum(reach, far)
+            new = np.ones(n, bool)
+            new[1:] = change[1:] | (begins[1:] + group[1:] >= reach[:-1])
+            new[0] = not goes_on or begins[0] >= far
+            cuts = np.flatnonzero(new)
+            if len(cuts):
+                if held:
+                    parts = [*held, b.slice(0, cuts[0])] if cuts[0] else held
+                    size = sum(x.num_rows for x in parts)
+                    yield settled(parts, np.arange(size) == 0)
+                if len(cuts) > 1:
+                    yield settled([b.slice(cuts[0], cuts[-1] - cuts[0])], new[cuts[0] : cuts[-1]])
+                held = [b.slice(cuts[-1])]
+            else:
+                held.append(b)
+            last, far = tuple(b.column(k)[n - 1].as_py() for k in at), int(reach[-1] - group[-1])
+        if held:
+            yield settled(held, np.arange(sum(x.num_rows for x in held)) == 0)
+
+    return order.mapInArrow(run, schema)
 
 
 def keep_disjoint(rows: DataFrame, keys: list[str], order: list[Column], begin: str = "begin", end: str = "end") -> DataFrame:
     """The rows that stay when each in turn, by order, is dropped if it overlaps one that has stayed.
 
-    Islands are settled apart: a row that overlaps no other stays without further ado; the other islands stream through a
-    task, which holds one island's kept rows sorted, so n rows take n log n steps.
+    ``order`` has columns without nulls.  Islands are settled apart (see in_islands): a row that overlaps no other stays without
+    further ado, the rows of another island are walked with the kept ones sorted, so n rows take n log n steps.
     """
-    cut = islands(rows, keys, begin, end)
-    crowd = cut.where("__size > 1").drop("__size").sortWithinPartitions(*keys, "__island", *order)  # windows have brought a key's rows together
-    n = len(keys) + 1
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, begins, ends = None, [], []
-        for f in frames:
-            keep = []
-            known = [f[c].astype(object).where(f[c].notna(), None).tolist() for c in keys]
-            for i, row in enumerate(zip(*known, *(f[c].tolist() for c in ("__island", begin, end)))):
-                if row[:n] != now:
-                    now, begins, ends = row[:n], [], []
-                b, e = row[n], row[n + 1]
-                at = bisect.bisect_left(begins, e)  # kept rows before ``at`` begin before this one ends
-                if at and ends[at - 1] > b:
-                    continue
-                begins.insert(at, b)
-                ends.insert(at, e)
-                keep.append(i)
-            yield f.iloc[keep]
-
-    kept = crowd.mapInPandas(run, crowd.schema)
-    return cut.where("__size = 1").drop("__size").unionByName(kept).select(*rows.columns)
+    names = [f"__o{i}" for i in range(len(order))]
+    marked, kept = rows.withColumns(dict(zip(names, order))), rows.columns
+
+    def settle(t: pa.Table, island: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        keep = size == 1
+        crowd = np.flatnonzero(~keep)
+        if len(crowd):
+            part = t.take(pa.array(crowd))
+            at = sorted(zip(island[crowd].tolist(), *(part.column(c).to_pylist() for c in names), part.column(begin).to_pylist(), part.column(end).to_pylist(), crowd.tolist()))
+            now, begins, ends = None, [], []
+            for isle, *_, b, e, i in at:
+                if isle != now:
+                    now, begins, ends = isle, [], []
+                place = bisect.bisect_left(begins, e)  # kept rows before ``place`` begin before this one ends
+                if not place or ends[place - 1] <= b:
+                    begins.insert(place, b)
+                    ends.insert(place, e)
+                    keep[i] = True
+        out = t.select(kept).filter(pa.array(keep)).combine_chunks()
+        return out.to_batches()[0] if out.num_rows else pa.RecordBatch.from_pylist([], out.schema)
+
+    return in_islands(marked, keys, begin, end, settle, rows.schema)
 
 
 def resolve_overlaps(spans: DataFrame, keys: list[str] = DOC, mode: str = "suppress") -> DataFrame:
@@ -154,7 +197,8 @@ def resolve_overlaps(spans: DataFrame, keys: list[str] = DOC, mode: str = "suppr
         return dedup_exact(spans, keys).select(*keys, "label", "begin", "end", "text", "priority")
     if mode != "suppress":
         raise ValueError(f"unknown mode {mode!r}")
-    order = [F.desc_nulls_last("priority"), (F.col("begin") - F.col("end")), F.col("begin"), F.col("label"), F.col("text")]
+    none = F.lit("")
+    order = [F.coalesce(-F.col("priority"), F.lit(1 << 40)), F.col("begin") - F.col("end"), F.col("begin"), F.coalesce("label", none), F.coalesce("text", none)]
     return keep_disjoint(spans.select(*keys, "label", "begin", "end", "text", "priority"), keys, order)
 
 

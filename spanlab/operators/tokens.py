@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,47 +77,108 @@ def bio_tags(tokens: DataFrame, spans: DataFrame, keys: list[str] = SEQ) -> Data
 def bio_tags_longest(tokens: DataFrame, spans: DataFrame, keys: list[str] = SEQ) -> DataFrame:
     """tokens (begin, end) with ``tag`` by character spans, longest first; a span that meets a tagged token is skipped whole.
 
-    Ties in length go by begin, label.  Spans find their tokens by one sweep (see to_token_span); only spans that
-    compete for a token are walked one by one (see spans.keep_disjoint).
+    Ties in length go by begin, label.  Only spans that compete for a token are walked one by one (see spans.keep_disjoint).
     """
     from spanlab.operators.spans import keep_disjoint
 
-    s = _swept(tokens, spans.select(*keys, "begin", "end", "label").distinct(), keys)
-    first, last = F.col("__touch.i"), F.col("__before.i")
-    s = s.where(F.col("__touch.i").isNotNull() & F.col("__before.i").isNotNull() & (first <= last)).select(*keys, "label", "begin", "end", first.alias("first"), last.alias("last"), (last + 1).alias("__past"))
-    kept = keep_disjoint(s, keys, [F.col("begin") - F.col("end"), F.col("begin"), F.col("label")], "first", "__past")
+    s = _placed(tokens, spans.select(*keys, "begin", "end", "label").distinct(), keys, _touching, "first int, last int")
+    s = s.where("first <= last").withColumn("__past", F.col("last") + 1)
+    kept = keep_disjoint(s, keys, [F.col("begin") - F.col("end"), F.col("begin"), F.coalesce("label", F.lit(""))], "first", "__past")
     return bio_tags(tokens, kept.select(*keys, "label", "first", "last", F.lit(0).alias("ord")), keys)
 
 
-def _swept(tokens: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """spans with tokens (b, e, i) around their ends, by one sweep over each document's positions; null where there is none.
+class _Around:
+    """Tokens around spans' ends, as places in the sorted tokens: by binary search, as tokens do not overlap."""
 
-    __at: the last that begins at or before the span's begin, __next: the first that begins at or after it, __touch: the
-    first that ends after it; __before: the last that begins before the span's end, __done: the last that ends at or before it,
-    __over: the first that ends at or after it.  Token starts and ends and span begins and ends are rows of one
-    table, sorted forwards and backwards, so n rows take n log n steps and nothing is gathered in a row.
-    """
-    t = F.struct(F.col("begin").alias("b"), F.col("end").alias("e"), F.col("tok_id").cast("int").alias("i"))
-    place = lambda pos, ahead, back, kind: F.struct(F.col(pos).alias("pos"), F.lit(ahead).alias("ahead"), F.lit(back).alias("back"), F.lit(kind).alias("kind"))
-    # At one position, forwards: a token's end, a span's end, a token's start, a span's begin; backwards: token start, span begin, token end, span end.
-    marks = tokens.select(*keys, t.alias("__t"), F.explode(F.array(place("begin", 2, 0, "s"), place("end", 0, 2, "e"))).alias("__x"))
-    row = F.struct(*(F.col(f"`{c}`") for c in spans.columns))
-    ends = spans.withColumn("__id", F.monotonically_increasing_id())
-    ends = ends.select(*keys, row.alias("__s"), "__id", F.explode(F.array(place("begin", 3, 1, "b"), place("end", 1, 3, "f"))).alias("__x"))
-    both = marks.unionByName(ends, allowMissingColumns=True)
-    so_far = lambda order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    forth, back = so_far(["__x.pos", "__x.ahead"]), so_far([F.desc("__x.pos"), "__x.back"])
-    of = lambda kind, w: F.last(F.when(F.col("__x.kind") == kind, F.col("__t")), ignorenulls=True).over(w)
-    both = both.withColumns({"__sf": of("s", forth), "__ef": of("e", forth), "__sb": of("s", back), "__eb": of("e", back)}).where("__s is not null")
-    pick = lambda kind, c: F.first(F.when(F.col("__x.kind") == kind, F.col(c)), ignorenulls=True)
-    found = both.groupBy(*keys, "__id").agg(
-        F.first("__s").alias("__s"), pick("b", "__sf").alias("__at"), pick("b", "__sb").alias("__next"), pick("b", "__eb").alias("__touch"),
-        pick("f", "__sf").alias("__before"), pick("f", "__ef").alias("__done"), pick("f", "__eb").alias("__over"),
-    )
-    return found.select(*(F.col(f"__s.`{c}`").alias(c) for c in spans.columns), "__at", "__next", "__touch", "__before", "__done", "__over")
+    def __init__(self, b: np.ndarray, e: np.ndarray, p: np.ndarray, q: np.ndarray):
+        self.n = len(b)
+        self.at = np.searchsorted(b, p, "right") - 1  # the last that begins at or before the span's begin
+        self.next = np.searchsorted(b, p, "left")  # the first that begins at or after it
+        self.touch = np.searchsorted(e, p, "right")  # the first that ends after it
+        self.before = np.searchsorted(b, q, "left") - 1  # the last that begins before the span's end
+        self.done = np.searchsorted(e, q, "right") - 1  # the last that ends at or before it
+        self.over = np.searchsorted(e, q, "left")  # the first that ends at or after it
+
+
+def _of(a: np.ndarray, i: np.ndarray, none: int) -> np.ndarray:
+    """a at places i; ``none`` where there is no such place."""
+    ok = (i >= 0) & (i < len(a))
+    return np.where(ok, a[np.clip(i, 0, max(len(a) - 1, 0))], none) if len(a) else np.full(len(i), none)
+
+
+FAR = 1 << 40
+
+
+def _touching(b: np.ndarray, e: np.ndarray, ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[pa.Array]:
+    x = _Around(b, e, p, q)
+    ok = (x.touch <= x.before) & (x.n > 0)
+    return [pa.array(_of(ids, i, 0), pa.int32(), mask=~ok) for i in (x.touch, x.before)]
 
 
-AROUND = ("__at", "__next", "__touch", "__before", "__done", "__over")
+def _holding(b: np.ndarray, e: np.ndarray, ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[pa.Array]:
+    x = _Around(b, e, p, q)
+    ok = (_of(e, x.at, -FAR) > p) & (_of(e, x.before, -FAR) >= q)
+    return [pa.array(_of(ids, i, 0), pa.int32(), mask=~ok) for i in (x.at, x.before)]
+
+
+def _cascaded(b: np.ndarray, e: np.ndarray, ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[pa.Array]:
+    x = _Around(b, e, p, q)
+    head, tail = _of(e, x.at, -FAR) > p, _of(e, x.before, -FAR) >= q
+    strict = (_of(b, x.at, -FAR) == p) & (_of(e, x.before, -FAR) == q)
+    both, inside, meets = strict | (head & tail), x.next <= x.done, x.touch <= x.before
+    off = np.stack([np.minimum(np.abs(_of(b, i, FAR * 4) - p), np.abs(_of(e, i, FAR * 4) - q)) for i in (x.at, x.next, x.done, x.over)])
+    who = np.stack([_of(ids.astype(np.int64), i, FAR) for i in (x.at, x.next, x.done, x.over)])
+    near = np.where(off == off.min(axis=0), who, FAR).min(axis=0)
+    cases = [strict, both, inside, meets]
+    how = np.select(cases, ["strict", "expand", "contract", "overlap"], "nearest")
+    first = np.select(cases, [_of(ids, i, 0) for i in (x.at, x.at, x.next, x.touch)], near)
+    last = np.select(cases, [_of(ids, i, 0) for i in (x.before, x.before, x.done, x.before)], near)
+    none = np.full(len(p), x.n == 0)
+    return [pa.array(how.astype(object), pa.string(), mask=none), *(pa.array(np.where(none, 0, c), pa.int32(), mask=none) for c in (first, last))]
+
+
+def _placed(tokens: DataFrame, spans: DataFrame, keys: list[str], place: Callable, columns: str) -> DataFrame:
+    """spans with ``columns``, which place(begins, ends, ids, span begins, span ends) makes.
+
+    A document's tokens come first, sorted, then its spans; a task holds the places of one document's tokens (20 bytes each)
+    and finds those of a batch of spans by binary search.
+    """
+    token = tokens.select(*keys, F.lit(0).alias("__kind"), F.col("begin").cast("long").alias("__b"), F.col("end").cast("long").alias("__e"), F.col("tok_id").cast("int").alias("__i"))
+    row = F.struct(*(F.col(f"`{c}`") for c in spans.columns))
+    span = spans.select(*keys, F.lit(1).alias("__kind"), F.col("begin").cast("long").alias("__b"), F.col("end").cast("long").alias("__e"), row.alias("__row"))
+    both = token.unionByName(span, allowMissingColumns=True).repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, "__kind", "__b")
+    k = len(keys)
+    made = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, known = None, [], None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            cut = np.zeros(n, bool)
+            for c in [b.column(j) for j in range(k + 1)]:  # a key's or kind's change; nulls are alike
+                same = pc.fill_null(pc.equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(c[1:]).to_numpy(zero_copy_only=False) & pc.is_null(c[:-1]).to_numpy(zero_copy_only=False))
+                cut[1:] |= ~same
+            at = [0, *np.flatnonzero(cut).tolist(), n]
+            begins, ends, ids = b.column(k + 1).to_numpy(), b.column(k + 2).to_numpy(), b.column(k + 3)
+            rows, found = [], []
+            for s, e in zip(at, at[1:]):
+                key = tuple(b.column(j)[s].as_py() for j in range(k))
+                if now is None or key != now:
+                    now, parts, known = key, [], None
+                if b.column(k)[s].as_py() == 0:
+                    parts.append((begins[s:e], ends[s:e], ids[s:e].to_numpy()))
+                    continue
+                if known is None:
+                    known = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 3
+                found.append(place(*known, begins[s:e], ends[s:e]))
+                rows.append(b.column(k + 4)[s:e])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(rows), *(pa.concat_arrays(x) for x in zip(*found))], names=["__row", *made])
+
+    out = both.mapInArrow(run, f"__row {both.schema['__row'].dataType.simpleString()}, {columns}")
+    return out.select(*(F.col(f"__row.`{c}`").alias(c) for c in spans.columns), *made)
 
 
 def to_token_span(tokens: DataFrame, spans: DataFrame, keys: list[str] = SEQ, cascade: bool = False) -> DataFrame:
@@ -123,21 +187,9 @@ def to_token_span(tokens: DataFrame, spans: DataFrame, keys: list[str] = SEQ, ca
     The tokens that hold the first and the last character; without both, null.  cascade: then the span's tokens
     wholly inside it, then those that overlap it, then the token nearest to it, as ``how`` tells.
     """
-    s = _swept(tokens, spans, keys)
-    at, nxt, touch, before, done, over = (F.col(c) for c in AROUND)
-    head = F.when(F.col("begin") < at["e"], at["i"])
-    tail = F.when(F.col("end") <= before["e"], before["i"])
-    both = head.isNotNull() & tail.isNotNull()
-    if not cascade:
-        return s.withColumns({"first": F.when(both, head), "last": F.when(both, tail)}).drop(*AROUND)
-    sure = lambda c: F.coalesce(c, F.lit(False))
-    strict = sure(at["b"] == F.col("begin")) & sure(before["e"] == F.col("end"))
-    inside, meets = sure(nxt["i"] <= done["i"]), sure(touch["i"] <= before["i"])
-    off = lambda t: F.when(t.isNotNull(), F.struct(F.least(F.abs(t["b"] - F.col("begin")), F.abs(t["e"] - F.col("end"))).alias("d"), t["i"].alias("i")))
-    near = F.least(off(at), off(nxt), off(done), off(over))["i"]
-    how = F.when(strict, "strict").when(both, "expand").when(inside, "contract").when(meets, "overlap").when(near.isNotNull(), "nearest")
-    pick = lambda end, i, m: F.when(strict | both, end).when(inside, i).when(meets, m).otherwise(near)
-    return s.withColumns({"how": how, "first": pick(head, nxt["i"], touch["i"]), "last": pick(tail, done["i"], before["i"])}).drop(*AROUND)
+    if cascade:
+        return _placed(tokens, spans, keys, _cascaded, "how string, first int, last int")
+    return _placed(tokens, spans, keys, _holding, "first int, last int")
 
 
 def to_char_span(spans: DataFrame, tokens: DataFrame, keys: list[str] = SEQ) -> DataFrame:
