@@ -74,6 +74,7 @@ class WordEncoder:
         self.letters = {c: 256 + i for i, c in enumerate(c for c in range(256) if c not in printed)}
         self.strange = re.compile(f"[^\0-{chr(ord(self.PLAIN) - 1)}]").search
         self.split = compile_split(steps[0]["pattern"]["Regex"], ord(self.PLAIN) - 1).findall
+        self.runs = all(self.split(x) == [x] for x in ("a", "abc", "ABCxyz", "s", "ll", "q" * 300))  # letters alone are one word
         self.seen: dict[bytes, bytes] = {}
         self.known: dict[str, bytes] = {}
 
@@ -91,8 +92,10 @@ class WordEncoder:
         return b"".join(out)
 
     def _word(self, y: str) -> bytes:
-        """Ids of one word: the model's merges over its bytes."""
-        return array("I", [t.id for t in self.merge(y.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        """Ids of one word: the model's merges over its bytes; printable ASCII stands for itself."""
+        if not (y.isascii() and y.isprintable()):
+            y = y.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(y)]).tobytes()
 
     def _fresh(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """The chunks' ids."""
@@ -105,7 +108,8 @@ class WordEncoder:
                 whole.append(x)
                 continue
             ids = []
-            for y in self.split(x.lower() if self.lower else x):
+            low = x.lower() if self.lower else x
+            for y in (low,) if self.runs and x.isascii() and x.isalpha() else self.split(low):
                 i = known.get(y)
                 if i is None:
                     i = self._word(y)
