@@ -27,7 +27,11 @@ LAST_ID = (1 << 63) - 1
 
 
 class SuffixAutomaton:
-    """Of several sequences; least[s] is the smallest owner of the sequences that state s occurs in."""
+    """Of several sequences; least[s] is the smallest owner of the sequences that state s occurs in.
+
+    An empty sequence adds nothing, whoever owns it; an automaton of none finds none: each window's owner is LAST_ID, and words
+    fewer than a window have no window.
+    """
 
     def __init__(self):
         self.next: list[dict] = [{}]

@@ -112,6 +112,24 @@ def test_recall_near_the_bound(spark):
     assert all(got[i] in (i, i - 1) for i in docs)
 
 
+def test_automaton_of_nothing():
+    none = automaton.SuffixAutomaton()
+    none.finish()
+    assert none.owners("abcd", 2) == [automaton.LAST_ID] * 3 and none.owners("", 2) == [] == none.owners("a", 2)
+    some = automaton.SuffixAutomaton()
+    some.add("", 1)
+    some.add("abc", 7)
+    some.finish()
+    assert some.owners("xabc", 2) == [automaton.LAST_ID, 7, 7]
+
+
+def test_repeated_rows_keep_the_first_line(spark):
+    """With keep_first the first of repeated rows does not drop its own line."""
+    rows = [(1, "a\nb"), (1, "a\nb"), (2, "a\nc"), (2, "a\nc"), (3, "a")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=2, keep_first=True)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, "a\nb"), (1, "a\nb"), (2, "c"), (2, "c"), (3, "")]
+
+
 def test_written_tables_go(spark):
     """What is written inside a scratch goes at its end, but for what is kept; what is shuffled to write it goes at once."""
     from spanlab.llm.common import materialize, scratch
