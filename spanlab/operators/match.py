@@ -40,6 +40,8 @@ def match_set(gold: DataFrame, pred: DataFrame, keys: list[str] = KEYS) -> DataF
     return b.groupBy(*keys).agg(n((F.col("g") > 0) & (F.col("p") > 0)).alias("tp"), n((F.col("g") == 0)).alias("fp"), n((F.col("p") == 0)).alias("fn"))
 
 
+#: Pairs of a key's spans, at most, that are looked at without bins.
+FEW = 4096
 #: Levels of the ladder of bins: the widest is 2**LEVELS times the narrowest.
 LEVELS = 40
 
@@ -53,6 +55,15 @@ def _binned(spans: DataFrame, begin: str, end: str, width: int) -> DataFrame:
     return spans.withColumn("__level", F.least(level, F.lit(LEVELS)).cast("int")).withColumn("__bin", F.call_function("shiftright", first, F.col("__level")))
 
 
+def _met(g: DataFrame, p: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Pairs that can overlap: keys of at most FEW pairs meet at once, the others, whose number the planner measures, by bins."""
+    side = lambda df, a, b: df.select(*keys, F.lit(a).alias("__gn"), F.lit(b).alias("__pn"))
+    sizes = side(g, 1, 0).unionByName(side(p, 0, 1)).groupBy(*keys).agg(F.sum("__gn").alias("__gn"), F.sum("__pn").alias("__pn"))
+    crowded = sizes.where(F.col("__gn") * F.col("__pn") > FEW).select(*keys)
+    plain = g.join(crowded, keys, "left_anti").join(p, keys)
+    return plain.unionByName(_near(g.join(crowded, keys, "left_semi"), p.join(crowded, keys, "left_semi"), keys, width))
+
+
 def _near(g: DataFrame, p: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Pairs (gb, ge, pb, pe and other columns) that can overlap: each span is in one bin, and bins of overlapping spans lie one in the other.
 
@@ -79,11 +90,11 @@ def candidate_pairs(gold: DataFrame, pred: DataFrame, metric: str, threshold: fl
     """Pairs of one key whose overlap scores at least threshold: keys, gb, ge, pb, pe, score, and ``carry`` of either side.
 
     Without ``width`` the spans of a key meet all others of it, which is right for documents of few spans.  With it
-    they meet by bins of a doubling ladder whose narrowest are that wide (see _near), whatever their lengths.
+    those of crowded keys meet by bins of a doubling ladder whose narrowest are that wide (see _near), whatever their lengths.
     """
     g = gold.select(*keys, F.col("begin").alias("gb"), F.col("end").alias("ge"), *(c for c in carry if c in gold.columns))
     p = pred.select(*keys, F.col("begin").alias("pb"), F.col("end").alias("pe"), *(c for c in carry if c in pred.columns))
-    near = _near(g, p, list(keys), width) if width else g.join(p, list(keys))
+    near = _met(g, p, list(keys), width) if width else g.join(p, list(keys))
     near = near.where((F.col("gb") < F.col("pe")) & (F.col("pb") < F.col("ge")))
     score = overlap_score(metric, F.col("gb"), F.col("ge"), F.col("pb"), F.col("pe"))
     return near.withColumn("score", score).where(F.col("score") >= threshold).select(*keys, "gb", "ge", "pb", "pe", "score", *carry)

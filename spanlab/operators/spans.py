@@ -103,6 +103,15 @@ def dedup_exact(spans: DataFrame, keys: list[str] = DOC) -> DataFrame:
     return spans.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def together(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """rows with those of a key in one partition, sorted by the key and ``order``.
+
+    They are dealt by a hash of the key, which no join or union has dealt them by before: Spark drops an exchange by the
+    same columns, and may then split a join's hot key, or read its shuffle where it lies, as an Arrow pass asks for no order.
+    """
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def in_islands(rows: DataFrame, keys: list[str], begin: str, end: str, settle: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch], schema) -> DataFrame:
     """settle(rows, island, size) over rows in whole islands: rows of two islands never overlap.
 
@@ -110,7 +119,7 @@ def in_islands(rows: DataFrame, keys: list[str], begin: str, end: str, settle: C
     the islands of a call from 0, ``size`` says how many rows each row's island has, so rows that overlap no other are
     settled without a loop.  A task holds a batch and the island that is open at its end.
     """
-    order = rows.repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, begin, end)
+    order = together(rows, keys, begin, end)
     at, b_at, e_at = [rows.columns.index(k) for k in keys], rows.columns.index(begin), rows.columns.index(end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

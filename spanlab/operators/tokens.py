@@ -12,21 +12,48 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlab.operators.spans import find_entities, keep_disjoint, together
+
 SEQ = ["doc_id"]
+#: Tokens that go on at once, beside the rest of their text.
+BATCH = 200_000
 
 
 def tokenize(docs: DataFrame, text_col: str = "text", keep: list[str] = SEQ, pattern: str = r"\w+|[^\w\s]", strip: bool = False) -> DataFrame:
     """One row per token: keep, tok_id from 0, token, begin, end (code points, half open).  strip: offsets after trimming."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rx = re.compile(pattern)
-        for f in frames:
-            rows = [(i, k, m.group(), m.start(), m.end()) for i, t in enumerate(f[text_col]) if t for k, m in enumerate(rx.finditer(t.strip() if strip else t))]
-            out = pd.DataFrame(rows, columns=["__i", "tok_id", "token", "begin", "end"])
-            yield pd.concat([f[keep].reset_index(drop=True).loc[out.pop("__i")].reset_index(drop=True), out], axis=1)
+        for b in batches:
+            place: list[int] = []
+            sizes: list[int] = []
+            tokens: list[str] = []
+            bounds: list[tuple[int, int]] = []
+
+            def made() -> pa.RecordBatch:
+                n = np.array(sizes, np.int64)
+                ids = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at, ends = pa.array(np.repeat(np.array(place, np.int64), n)), np.array(bounds, np.int32).reshape(-1, 2)
+                cols = [*(b.column(k).take(at) for k in range(len(keep))), pa.array(ids, pa.int32()), pa.array(tokens, pa.string()), pa.array(ends[:, 0]), pa.array(ends[:, 1])]
+                out = pa.RecordBatch.from_arrays(cols, names=[*keep, "tok_id", "token", "begin", "end"])
+                for held in (place, sizes, tokens, bounds):
+                    held.clear()
+                return out
+
+            for i, t in enumerate(b.column(len(keep)).to_pylist()):
+                if t:
+                    t = t.strip() if strip else t
+                    here = [m.span() for m in rx.finditer(t)]
+                    place.append(i)
+                    sizes.append(len(here))
+                    bounds += here
+                    tokens += [t[s:e] for s, e in here]
+                    if len(tokens) >= BATCH:
+                        yield made()
+            yield made()
 
     d = docs.select(*keep, text_col)
-    return d.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in d.select(*keep).dtypes) + ", tok_id int, token string, begin int, end int")
+    return d.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in d.select(*keep).dtypes) + ", tok_id int, token string, begin int, end int")
 
 
 def offsets_of(tokens: DataFrame, keys: list[str] = SEQ, order: str = "tok_id") -> DataFrame:
@@ -69,7 +96,11 @@ def bio_tags(tokens: DataFrame, spans: DataFrame, keys: list[str] = SEQ) -> Data
     """tokens with ``tag`` by token spans (first, last, label, ord): a later span overwrites; ones out of range are ignored."""
     size = tokens.groupBy(*keys).agg(F.max("tok_id").alias("__max"))
     ok = spans.join(size, keys).where("first >= 0 and first <= last and last <= __max")
-    each = ok.withColumn("tok_id", F.explode(F.sequence("first", "last")))
+    return _tagged(tokens, ok, keys)
+
+
+def _tagged(tokens: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    each = spans.withColumn("tok_id", F.explode(F.sequence("first", "last")))
     one = each.groupBy(*keys, "tok_id").agg(F.max_by(F.concat(F.when(F.col("tok_id") == F.col("first"), "B-").otherwise("I-"), "label"), "ord").alias("tag"))
     return tokens.join(one, [*keys, "tok_id"], "left").withColumn("tag", F.coalesce("tag", F.lit("O")))
 
@@ -79,12 +110,11 @@ def bio_tags_longest(tokens: DataFrame, spans: DataFrame, keys: list[str] = SEQ)
 
     Ties in length go by begin, label.  Only spans that compete for a token are walked one by one (see spans.keep_disjoint).
     """
-    from spanlab.operators.spans import keep_disjoint
-
     s = _placed(tokens, spans.select(*keys, "begin", "end", "label").distinct(), keys, _touching, "first int, last int")
     s = s.where("first <= last").withColumn("__past", F.col("last") + 1)
     kept = keep_disjoint(s, keys, [F.col("begin") - F.col("end"), F.col("begin"), F.coalesce("label", F.lit(""))], "first", "__past")
-    return bio_tags(tokens, kept.select(*keys, "label", "first", "last", F.lit(0).alias("ord")), keys)
+    # places come from the tokens, so none is out of range
+    return _tagged(tokens, kept.select(*keys, "label", "first", "last", F.lit(0).alias("ord")), keys)
 
 
 class _Around:
@@ -146,7 +176,7 @@ def _placed(tokens: DataFrame, spans: DataFrame, keys: list[str], place: Callabl
     token = tokens.select(*keys, F.lit(0).alias("__kind"), F.col("begin").cast("long").alias("__b"), F.col("end").cast("long").alias("__e"), F.col("tok_id").cast("int").alias("__i"))
     row = F.struct(*(F.col(f"`{c}`") for c in spans.columns))
     span = spans.select(*keys, F.lit(1).alias("__kind"), F.col("begin").cast("long").alias("__b"), F.col("end").cast("long").alias("__e"), row.alias("__row"))
-    both = token.unionByName(span, allowMissingColumns=True).repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, "__kind", "__b")
+    both = together(token.unionByName(span, allowMissingColumns=True), keys, "__kind", "__b")
     k = len(keys)
     made = [c.split()[0] for c in columns.split(", ")]
 
@@ -203,8 +233,6 @@ def find_in_tokens(tokens: DataFrame, entities: DataFrame, keys: list[str] = SEQ
 
     An occurrence that begins or ends at a space is none.
     """
-    from spanlab.operators.spans import find_entities
-
     t = offsets_of(tokens, keys).select(*keys, "tok_id", "token", "begin", "end")
     text = t.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_id", "token"))), lambda x: x["token"]), " ").alias("text"))
     found = to_token_span(t, find_entities(text, entities, keys), keys)

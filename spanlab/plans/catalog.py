@@ -654,7 +654,14 @@ def flagship_rule_evaluation(spark, d):
     return E.with_micro(M.match_overlap(one, two, "min", 0.8))
 
 
-@query()
+#: White space and word characters as tokenize's pattern has them.
+BLANK, WORD = r"\s\x0b\x1c-\x1f\x{85}\p{Z}", r"\p{L}\p{N}_"
+
+
+@query(f"""WITH x AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, regexp_extract_all(text, '[{WORD}]+|[^{WORD}{BLANK}]|[{BLANK}]+') AS a FROM documents),
+t AS (SELECT r, doc_id, UNNEST(a) AS token, generate_subscripts(a, 1) AS i FROM x),
+o AS (SELECT doc_id, token, SUM(length(token)) OVER (PARTITION BY r ORDER BY i) AS e FROM t)
+SELECT doc_id, COUNT(*) AS tokens, SUM(e - length(token))::BIGINT AS begins, SUM(e)::BIGINT AS ends FROM o WHERE NOT regexp_matches(token, '^[{BLANK}]') GROUP BY doc_id""")
 def tokenize_offsets(spark, d):
     t = K.tokenize(_docs(spark, d))
     return t.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum("begin").alias("begins"), F.sum("end").alias("ends"))

@@ -1,6 +1,7 @@
 """Sweeps, islands and ladders against plain loops, and on one very large document."""
 
 import random
+import re
 import time
 
 import pytest
@@ -130,10 +131,11 @@ def plain_match(gold, pred, metric, threshold, first_fit):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("width", [None, 4])
+@pytest.mark.parametrize("width, few", [(None, M.FEW), (4, 0), (4, 100)])
 @pytest.mark.parametrize("metric, threshold", [("min", 0.8), ("iou", 0.3), ("gold", 0.5)])
-def test_whole_match(spark, metric, threshold, width):
+def test_whole_match(spark, monkeypatch, metric, threshold, width, few):
     """Contested groups, repeated spans, spans of very unlike lengths."""
+    monkeypatch.setattr(M, "FEW", few)
     rng = random.Random(4)
     make = lambda: spans_of(rng, 80, 90, 8) + spans_of(rng, 6, 40, 200) + [(0, "A", 10, 15)] * 3
     gold, pred = make(), make()
@@ -142,8 +144,10 @@ def test_whole_match(spark, metric, threshold, width):
         assert rows(f(df(gold), df(pred), metric, threshold, width=width), "doc_id", "label", "tp", "fp", "fn") == plain_match(gold, pred, metric, threshold, fit)
 
 
-def test_ladder(spark):
-    """Bins find the pairs that all-against-all finds, each once."""
+@pytest.mark.parametrize("few", [0, 500, M.FEW])
+def test_ladder(spark, monkeypatch, few):
+    """Bins, alone or beside keys of few pairs, find the pairs that all-against-all finds, each once."""
+    monkeypatch.setattr(M, "FEW", few)
     rng = random.Random(5)
     make = lambda: spans_of(rng, 60, 300, 10) + spans_of(rng, 10, 300, 1000) + [(0, "A", -3, 2), (0, "A", -9, -1)]
     g, p = (spark.createDataFrame(make(), "doc_id int, label string, begin int, end int").distinct() for _ in range(2))
@@ -181,3 +185,19 @@ def test_one_long_document(spark):
     text = spark.createDataFrame([(0, "a b\n" * 100_000)], "doc_id int, text string")
     assert K.sentence_starts(K.tokenize(text), text).agg(F.max("sent_id")).first()[0] == 99_999
     assert time.time() - began < 120
+
+
+@pytest.mark.parametrize("batch", [1, 7, 200_000])
+@pytest.mark.parametrize("strip", [False, True])
+def test_tokens_in_batches(spark, monkeypatch, batch, strip):
+    """Tokens go on in batches of whole texts; null, empty and blank texts have none, null keys stay null."""
+    monkeypatch.setattr(K, "BATCH", batch)
+    texts = [(1, "a", " Ünï x-1,5%\n"), (None, "b", "two two"), (2, None, None), (3, "c", ""), (4, "d", " \t "), (1, "a", "again"), (5, "e", "x" * 5000), (6, "f", "日本 😀!")]
+    df = spark.createDataFrame(texts, "doc_id long, source string, text string").coalesce(1)
+    want = []
+    for d, s, t in texts:
+        t = (t or "").strip() if strip else (t or "")
+        want += [(d, s, i, m.group(), m.start(), m.end()) for i, m in enumerate(re.finditer(r"\w+|[^\w\s]", t))]
+    got = K.tokenize(df, keep=["doc_id", "source"], strip=strip)
+    assert [tuple(r) for r in got.collect()] == want
+    assert K.tokenize(df.where("false")).count() == 0
