@@ -106,8 +106,8 @@ def dedup_exact(spans: DataFrame, keys: list[str] = DOC) -> DataFrame:
 def together(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """rows with those of a key in one partition, sorted by the key and ``order``.
 
-    They are dealt by a hash of the key, which no join or union has dealt them by before: Spark drops an exchange by the
-    same columns, and may then split a join's hot key, or read its shuffle where it lies, as an Arrow pass asks for no order.
+    They are dealt by a hash of the key, by which no join or union has dealt them before: Spark drops an exchange by columns that
+    rows seem to be dealt by already, and with adaptive execution over a union of joins, keys were then found in several partitions.
     """
     return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
