@@ -107,7 +107,7 @@ def together(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """rows with those of a key in one partition, sorted by the key and ``order``.
 
     They are dealt by a hash of the key, by which no join or union has dealt them before: Spark drops an exchange by columns that
-    rows seem to be dealt by already, and with adaptive execution over a union of joins, keys were then found in several partitions.
+    rows seem to be dealt by already, and adaptive execution over a union of joins then gave wrong matches.
     """
     return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
