@@ -23,7 +23,8 @@ from spanlab.llm.repeats import merged, repeated_spans
 
 V = 32
 MIN_BYTES, GRAM = 200, 64
-_RANDOM = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: A number for each byte; its last eight bits are the byte, so that cut to a byte it is the byte again.
+_RANDOM = (np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
 
 
 def difference_cover(v: int) -> np.ndarray:
@@ -146,10 +147,6 @@ def byte_symbols(text: str | None) -> np.ndarray:
     return _RANDOM[np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)]
 
 
-def raw_symbols(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str, no_id: int = NO_ID) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(no_id)).alias("d"), F.xxhash64(text).alias("k"), text.alias("text"))

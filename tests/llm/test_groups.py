@@ -280,6 +280,15 @@ def test_byte_passages(spark, seed, size):
     assert got == dict(zip(docs, brute_bytes([*docs.values()], size)))
 
 
+def test_bytes_that_differ_in_one_place(spark):
+    """Passages with one anchor that differ in one byte, any of the printable ones and those of longer characters, are compared byte by byte."""
+    rng = random.Random(8)
+    core = "".join(rng.choices("abcdefghij", k=100))
+    docs = {i: core[:3] + c + core[4:] for i, c in enumerate([*map(chr, range(32, 127)), *"àéîõüßжщ日"])}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix.passage_digests(spark.createDataFrame([*docs.items()], "doc_id long, text string"), 100).collect()}
+    assert got == dict(zip(docs, brute_bytes([*docs.values()], 100)))
+
+
 def test_byte_pieces(spark, monkeypatch):
     """Documents longer than a piece, in which anchors' runs are cut."""
     from spanlab.llm import repeats
