@@ -61,15 +61,12 @@ def parse_spans(lines: DataFrame, policy: str = "envelope", min_fields: int = 3,
     if policy == "ignore_offsets":
         return t.select("doc_id", "line_no", "tid", "label", F.lit(None).cast("int").alias("begin"), F.lit(None).cast("int").alias("end"), "text")
     t = t.where(F.col("__o").rlike(r"^\d+\s+\d+(\s*;\s*\d+\s+\d+)*$"))
-    frags = F.transform(F.split("__o", r"\s*;\s*"), lambda x: F.struct(F.regexp_extract(x, r"^\s*(\d+)", 1).try_cast("int").alias("b"), F.regexp_extract(x, r"(\d+)\s*$", 1).try_cast("int").alias("e")))
-    t = t.withColumn("__x", frags)
+    number = lambda c, rx: F.regexp_extract(c, rx, 1).try_cast("int")
     if policy == "all_fragments":
-        t = t.withColumn("__y", F.explode("__x"))
-    elif policy == "envelope":
-        t = t.withColumn("__y", F.struct(F.element_at("__x", 1)["b"].alias("b"), F.element_at("__x", -1)["e"].alias("e")))
-    else:
-        t = t.withColumn("__y", F.element_at("__x", 1))
-    return t.select("doc_id", "line_no", "tid", "label", F.col("__y.b").alias("begin"), F.col("__y.e").alias("end"), "text")
+        # every line has one: explode would find the fragments twice, once to leave out lines without any
+        t = t.withColumn("__o", F.explode_outer(F.regexp_extract_all("__o", F.lit(r"\d+\s+\d+"), F.lit(0))))
+    end = r"(\d+)\s*$" if policy in ("envelope", "all_fragments") else r"^\d+\s+(\d+)"
+    return t.select("doc_id", "line_no", "tid", "label", number("__o", r"^(\d+)").alias("begin"), number("__o", end).alias("end"), "text")
 
 
 def span_set(spans: DataFrame) -> DataFrame:

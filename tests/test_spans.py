@@ -37,6 +37,22 @@ def test_policies(lines):
         brat.parse_spans(lines, "other")
 
 
+def test_fragments_of_odd_offsets(spark):
+    """All policies on offsets with odd blanks, breaks and numbers; fragments are looked for once a line."""
+    heads = ["A 1 2", "A 1  2 ;\u00203 4", "A 1 2;3 4;5 66", "A 7 8\r", "A 1 2;", "A 1", "A x 2", "A 1 99999999999;3 4", " A 1 2", "A", ""]
+    lines = spark.createDataFrame([("d", i, f"T{i}\t{h}\tx") for i, h in enumerate(heads)], "doc_id string, line_no int, line string")
+    got = {p: {} for p in ("envelope", "first_fragment", "all_fragments")}
+    for p, of in got.items():
+        for r in brat.parse_spans(lines, p).orderBy("line_no", "begin").collect():
+            of.setdefault(r.line_no, []).append((r.begin, r.end))
+    assert got["all_fragments"] == {0: [(1, 2)], 1: [(1, 2), (3, 4)], 2: [(1, 2), (3, 4), (5, 66)], 3: [(7, 8)], 7: [(1, None), (3, 4)]} | ({8: [(1, 2)]} if 8 in got["envelope"] else {})
+    for p, of in got.items():
+        assert p == "all_fragments" or of == {k: [(v[0][0], v[-1 if p == "envelope" else 0][1])] for k, v in got["all_fragments"].items()}
+    plan = brat.parse_spans(lines, "all_fragments")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and "transform(" not in plan
+
+
+
 def test_attributes_relations_events(lines):
     s = brat.parse_spans(lines)
     neg = P.attach_attribute(s, brat.parse_attributes(lines), "negated", "neg")
