@@ -24,7 +24,7 @@ def word_count(text) -> Column:
 
 def tokens(text, lower: bool = True) -> Column:
     """Maximal runs of ASCII letters, digits and %; all else, accented letters too, separates."""
-    words = F.filter(F.split(_c(text), "[^a-zA-Z0-9%]+"), lambda w: w != "")
+    words = F.regexp_extract_all(_c(text), F.lit("[a-zA-Z0-9%]+"), F.lit(0))
     return F.transform(words, lambda w: F.lower(w)) if lower else words
 
 

@@ -223,7 +223,7 @@ def merge_adjacent(spans: DataFrame, keys: list[str] = DOC) -> DataFrame:
     streak = Window.partitionBy(*keys, "__s").orderBy("begin", "end", "score")
     far = F.max("end").over(streak.rowsBetween(Window.unboundedPreceding, -1))
     s = s.withColumn("__m", (F.col("begin") > far).cast("int")).withColumn("__m", F.sum(F.coalesce("__m", F.lit(0))).over(streak))
-    runs = s.groupBy(*keys, "label", "__s", "__m").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "score"))).alias("__a"))
+    runs = s.groupBy(*keys, "label", "__s", "__m").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "score"))).alias("__a"))
 
     def step(acc, x):
         w0, w1 = (acc["end"] - acc["begin"]).cast("double"), (x["end"] - x["begin"]).cast("double")

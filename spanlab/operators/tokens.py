@@ -8,11 +8,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlab.operators.spans import find_entities, keep_disjoint, together
+from spanlab.operators.spans import find_entities, keep_disjoint
 
 SEQ = ["doc_id"]
 #: Tokens that go on at once, beside the rest of their text.
@@ -170,44 +169,38 @@ def _cascaded(b: np.ndarray, e: np.ndarray, ids: np.ndarray, p: np.ndarray, q: n
 def _placed(tokens: DataFrame, spans: DataFrame, keys: list[str], place: Callable, columns: str) -> DataFrame:
     """spans with ``columns``, which place(begins, ends, ids, span begins, span ends) makes.
 
-    A document's tokens come first, sorted, then its spans; a task holds the places of one document's tokens (20 bytes each)
-    and finds those of a batch of spans by binary search.
+    A document is a row with the places of its tokens and its spans; keys that are null are alike.  So documents are dealt and
+    sorted, not tokens, whose places are lists of numbers (20 bytes each).  Places are found by binary search.
+
+    The key is a structure, by which no join or union has dealt the rows before (see spans.together).
     """
-    token = tokens.select(*keys, F.lit(0).alias("__kind"), F.col("begin").cast("long").alias("__b"), F.col("end").cast("long").alias("__e"), F.col("tok_id").cast("int").alias("__i"))
-    row = F.struct(*(F.col(f"`{c}`") for c in spans.columns))
-    span = spans.select(*keys, F.lit(1).alias("__kind"), F.col("begin").cast("long").alias("__b"), F.col("end").cast("long").alias("__e"), row.alias("__row"))
-    both = together(token.unionByName(span, allowMissingColumns=True), keys, "__kind", "__b")
-    k = len(keys)
+    key = F.struct(*(F.col(f"`{c}`") for c in keys)).alias("__k")
+    whole = tokens.where(F.col("begin").isNotNull() & F.col("end").isNotNull() & F.col("tok_id").isNotNull())  # so the lists are of one length
+    token = whole.select(key, F.col("begin").cast("long").alias("__b"), F.col("end").cast("long").alias("__e"), F.col("tok_id").cast("int").alias("__i"))
+    span = spans.select(key, F.struct(*(F.col(f"`{c}`") for c in spans.columns)).alias("__row"))
+    met = token.unionByName(span, allowMissingColumns=True).groupBy("__k").agg(*(F.collect_list(c).alias(c) for c in ("__row", "__b", "__e", "__i")))
+    met = met.where(F.size("__row") > 0).drop("__k")
     made = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, known = None, [], None
-        for b in batches:
-            n = b.num_rows
-            if not n:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            cut = np.zeros(n, bool)
-            for c in [b.column(j) for j in range(k + 1)]:  # a key's or kind's change; nulls are alike
-                same = pc.fill_null(pc.equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(c[1:]).to_numpy(zero_copy_only=False) & pc.is_null(c[:-1]).to_numpy(zero_copy_only=False))
-                cut[1:] |= ~same
-            at = [0, *np.flatnonzero(cut).tolist(), n]
-            begins, ends, ids = b.column(k + 1).to_numpy(), b.column(k + 2).to_numpy(), b.column(k + 3)
-            rows, found = [], []
-            for s, e in zip(at, at[1:]):
-                key = tuple(b.column(j)[s].as_py() for j in range(k))
-                if now is None or key != now:
-                    now, parts, known = key, [], None
-                if b.column(k)[s].as_py() == 0:
-                    parts.append((begins[s:e], ends[s:e], ids[s:e].to_numpy()))
-                    continue
-                if known is None:
-                    known = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 3
-                found.append(place(*known, begins[s:e], ends[s:e]))
-                rows.append(b.column(k + 4)[s:e])
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(rows), *(pa.concat_arrays(x) for x in zip(*found))], names=["__row", *made])
-
-    out = both.mapInArrow(run, f"__row {both.schema['__row'].dataType.simpleString()}, {columns}")
+            s = batch.column(0)
+            s_at, t_at = s.offsets.to_numpy(), batch.column(1).offsets.to_numpy()
+            p, q = (s.values.field(c).to_numpy(zero_copy_only=False) for c in ("begin", "end"))
+            begins, ends, ids = (batch.column(c).values.to_numpy() for c in (1, 2, 3))
+            found = []
+            for x, y, v, w in zip(s_at, s_at[1:], t_at, t_at[1:]):
+                b, e, i = begins[v:w], ends[v:w], ids[v:w]
+                if (b[1:] < b[:-1]).any():
+                    order = np.argsort(b, kind="stable")
+                    b, e, i = b[order], e[order], i[order]
+                found.append(place(b, e, i, p[x:y], q[x:y]))
+            rows = s.values.slice(s_at[0], s_at[-1] - s_at[0])
+            yield pa.RecordBatch.from_arrays([rows, *(pa.concat_arrays(c) for c in zip(*found))], names=["__row", *made])
+
+    out = met.mapInArrow(run, f"__row {met.schema['__row'].dataType.elementType.simpleString()}, {columns}")
     return out.select(*(F.col(f"__row.`{c}`").alias(c) for c in spans.columns), *made)
 
 
@@ -234,7 +227,7 @@ def find_in_tokens(tokens: DataFrame, entities: DataFrame, keys: list[str] = SEQ
     An occurrence that begins or ends at a space is none.
     """
     t = offsets_of(tokens, keys).select(*keys, "tok_id", "token", "begin", "end")
-    text = t.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_id", "token"))), lambda x: x["token"]), " ").alias("text"))
+    text = t.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(F.struct("tok_id", "token"))).getField("token"), " ").alias("text"))
     found = to_token_span(t, find_entities(text, entities, keys), keys)
     return found.where("first <= last").drop("begin", "end")
 

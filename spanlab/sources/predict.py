@@ -49,7 +49,7 @@ def predict_tags(docs: DataFrame, load: Callable[[], Tagger], text_col: str = "t
     words = K.sentence_starts(K.tokenize(docs, text_col, keep), docs, keep, text_col)
     by = [*keep, "sent_id"]
     words = words.withColumn("tok_id", F.row_number().over(Window.partitionBy(*by).orderBy("tok_id")) - 1)  # in the sentence
-    lines = words.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("tok_id", "token"))).alias("w"))
+    lines = words.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("tok_id", "token"))).alias("w"))
     lines = lines.select(*by, F.transform("w", lambda x: x["tok_id"]).alias("ids"), F.transform("w", lambda x: x["token"]).alias("words"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

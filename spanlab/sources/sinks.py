@@ -19,7 +19,7 @@ def brat_text(spans: DataFrame, values: bool = False, tabs: bool = False, docume
     if values:
         extra = F.when(F.col("value").isNotNull(), F.concat(F.lit("\n"), F.format_string("A%d\tValue T%d %s", "__n", "__n", F.regexp_replace("value", r"\s+", "_"))))
         line = F.concat(line, F.coalesce(extra, F.lit("")))
-    body = s.select("doc_id", "__n", line.alias("__l")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__l"))), lambda x: x["__l"]), "\n").alias("content"))
+    body = s.select("doc_id", "__n", line.alias("__l")).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__n", "__l"))), lambda x: x["__l"]), "\n").alias("content"))
     if not values:
         body = body.withColumn("content", F.concat("content", F.lit("\n")))
     if documents is None:
@@ -42,22 +42,22 @@ def write_documents(content: DataFrame, path: str, suffix: str = "ann") -> None:
 
 def conll_text(tokens: DataFrame) -> DataFrame:
     """doc_id, content from doc_id, sent_id, tok_id, token, tag: a blank line after every sentence."""
-    sent = tokens.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("tok_id", F.concat_ws(" ", "token", "tag").alias("l")))).alias("a"))
+    sent = tokens.groupBy("doc_id", "sent_id").agg(F.sort_array(F.collect_list(F.struct("tok_id", F.concat_ws(" ", "token", "tag").alias("l")))).alias("a"))
     sent = sent.select("doc_id", "sent_id", F.array_join(F.transform("a", lambda x: x["l"]), "\n").alias("s"))
-    return sent.groupBy("doc_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_id", "s"))), lambda x: x["s"]), "\n\n"), F.lit("\n\n")).alias("content"))
+    return sent.groupBy("doc_id").agg(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sent_id", "s"))), lambda x: x["s"]), "\n\n"), F.lit("\n\n")).alias("content"))
 
 
 def sample_json(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, json: tokenized_text and ner [first, last, label] of every document, for training tools."""
-    t = tokens.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok_id", "token"))), lambda x: x["token"]).alias("tokenized_text"))
-    n = spans.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "last", "label"))), lambda x: F.array(x["first"].cast("string"), x["last"].cast("string"), x["label"])).alias("ner"))
+    t = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("tok_id", "token"))).getField("token").alias("tokenized_text"))
+    n = spans.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "last", "label"))), lambda x: F.array(x["first"].cast("string"), x["last"].cast("string"), x["label"])).alias("ner"))
     j = t.join(n, "doc_id", "left").withColumn("ner", F.coalesce("ner", F.array().cast("array<array<string>>")))
     return j.select("doc_id", F.to_json(F.struct("tokenized_text", "ner", F.col("doc_id").cast("string").alias("_source"))).alias("json"))
 
 
 def bio_json(tokens: DataFrame) -> DataFrame:
     """doc_id, json from doc_id, tok_id, token, tag: {"id", "tokens", "ner_tags"} of every document, in token order."""
-    t = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tok_id", "token", "tag"))).alias("t"))
+    t = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("tok_id", "token", "tag"))).alias("t"))
     body = F.struct(F.col("doc_id").cast("string").alias("id"), F.transform("t", lambda x: x["token"]).alias("tokens"), F.transform("t", lambda x: x["tag"]).alias("ner_tags"))
     return t.select("doc_id", F.to_json(body).alias("json"))
 
@@ -65,21 +65,21 @@ def bio_json(tokens: DataFrame) -> DataFrame:
 def score_cache(scores: DataFrame) -> DataFrame:
     """doc_id, json from doc_id, label, tp, fp, fn: {doc: {label: {"TP", "FP", "FN"}}} of one document, which formats.read_score_cache reads as lines; repeated labels are summed."""
     one = scores.groupBy("doc_id", "label").agg(F.sum("tp").alias("TP"), F.sum("fp").alias("FP"), F.sum("fn").alias("FN"))
-    entries = F.array_sort(F.collect_list(F.struct("label", F.struct("TP", "FP", "FN"))))
+    entries = F.sort_array(F.collect_list(F.struct("label", F.struct("TP", "FP", "FN"))))
     return one.groupBy("doc_id").agg(F.map_from_entries(entries).alias("m")).select("doc_id", F.to_json(F.create_map(F.col("doc_id").cast("string"), "m")).alias("json"))
 
 
 def report(decisions: DataFrame, name: str = "run") -> DataFrame:
     """One row (name, json): how many labels, how many of each decision, and each label's row, from a table with label and method."""
     counts = F.transform(F.array_sort(F.array_distinct(F.collect_list(F.coalesce("method", F.lit("excluded"))))), lambda m: m)
-    rows = F.array_sort(F.collect_list(F.struct("label", *(c for c in decisions.columns if c != "label"))))
+    rows = F.sort_array(F.collect_list(F.struct("label", *(c for c in decisions.columns if c != "label"))))
     g = decisions.agg(F.count("*").alias("n_labels"), counts.alias("methods"), rows.alias("labels"))
     return g.select(F.lit(name).alias("name"), F.to_json(F.struct("n_labels", "methods", "labels")).alias("json"))
 
 
 def prediction_cache(spans: DataFrame) -> DataFrame:
     """doc_id, json: a document's sorted [begin, end, label] spans."""
-    return spans.groupBy("doc_id").agg(F.to_json(F.transform(F.array_sort(F.collect_set(F.struct("begin", "end", "label"))), lambda x: F.array(x["begin"].cast("string"), x["end"].cast("string"), x["label"]))).alias("json"))
+    return spans.groupBy("doc_id").agg(F.to_json(F.transform(F.sort_array(F.collect_set(F.struct("begin", "end", "label"))), lambda x: F.array(x["begin"].cast("string"), x["end"].cast("string"), x["label"]))).alias("json"))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", run_id: str | None = None, mode: str = "overwrite", one_file: bool = False) -> None:

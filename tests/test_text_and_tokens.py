@@ -134,3 +134,13 @@ def test_predict_tags(spark):
     d = spark.createDataFrame([(1, "see Anna Berg\nBerg é Carl"), (2, None), (3, "")], "doc_id long, text string")
     got = sorted(tuple(r) for r in predict.predict_tags(d, load, batch=1).select("doc_id", "label", "begin", "end", "score").collect())
     assert got == [(1, "N", 4, 13, 0.5), (1, "N", 14, 18, 0.5), (1, "N", 21, 25, 0.5)]
+
+
+def test_places_by_document(spark):
+    """Documents without a key are alike, tokens come in any order, a document without tokens has none; tokens are not sorted as rows."""
+    t = spark.createDataFrame([(None, 1, 4, 6), ("a", 2, 7, 9), (None, 0, 0, 3), ("a", 0, 0, 3), ("a", 1, 4, 6)], "doc_id string, tok_id int, begin int, end int")
+    s = spark.createDataFrame([(None, 0, 6, "x"), ("a", 4, 9, "y"), ("a", 0, 3, None), ("b", 0, 1, "z"), ("b", 0, 1, "z")], "doc_id string, begin int, end int, label string")
+    got = K.to_token_span(t, s)
+    assert sorted(got.collect(), key=str) == sorted([(None, 0, 6, "x", 0, 1), ("a", 4, 9, "y", 1, 2), ("a", 0, 3, None, 0, 0), ("b", 0, 1, "z", None, None), ("b", 0, 1, "z", None, None)], key=str)
+    assert "Sort [" not in got._jdf.queryExecution().executedPlan().toString()
+    assert K.to_token_span(t, s.where("false")).count() == 0 and K.to_token_span(t.where("false"), s).where("first is null").count() == 5
