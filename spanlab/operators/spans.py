@@ -17,6 +17,8 @@ from spanlab.functions import text as T
 
 METRICS = ("exact", "iou", "min", "gold", "pred")
 DOC = ["doc_id"]
+#: Matches that Python holds at once, beside one text and the batch it comes in.
+BATCH = 1 << 15
 
 
 def overlap_length(b1, e1, b2, e2) -> Column:
@@ -51,21 +53,37 @@ def extract_spans(docs: DataFrame, rules: list[tuple], text_col: str = "text", k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [re.compile(p, sum({"i": re.I, "u": re.U, "x": re.X, "s": re.S, "m": re.M}[f] for f in set(flags))) for p, _, _, flags in rules]
         for b in batches:
-            bounds: list[tuple[int, int]] = []
+            bounds: list[int] = []  # begin, end, begin, end
             covered: list[str] = []
-            found: list[tuple[int, int, int]] = []  # text, rule, how many
-            for i, t in enumerate(b.column(len(keep)).to_pylist()):
-                if t:
+            found: list[int] = []  # text, rule, how many
+
+            def made() -> pa.RecordBatch:
+                at, rule, n = np.array(found, np.int64).reshape(-1, 3).T
+                ends = np.array(bounds, np.int32).reshape(-1, 2)
+                row, rule = pa.array(np.repeat(at, n)), np.repeat(rule, n)
+                cols = [*(b.column(k).take(row) for k in range(len(keep))), names.take(pa.array(rule)), pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(covered, pa.string()), pa.array(priorities[rule])]
+                for held in (bounds, covered, found):
+                    held.clear()
+                return pa.RecordBatch.from_arrays(cols, names=[*keep, "label", "begin", "end", "text", "priority"])
+
+            for i, t in enumerate(b.column(len(keep))):  # one text at a time
+                if t := t.as_py():
                     for k, rx in enumerate(compiled):
-                        if here := [x for m in rx.finditer(t) if (x := m.span())[0] < x[1]]:
-                            bounds += here
-                            covered += [t[s:e] for s, e in here]
-                            found.append((i, k, len(here)))
-            at, rule, n = np.array(found, np.int64).reshape(-1, 3).T
-            ends = np.array(bounds, np.int32).reshape(-1, 2)
-            row, rule = pa.array(np.repeat(at, n)), np.repeat(rule, n)
-            cols = [*(b.column(k).take(row) for k in range(len(keep))), names.take(pa.array(rule)), pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(covered, pa.string()), pa.array(priorities[rule])]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "label", "begin", "end", "text", "priority"])
+                        n = 0
+                        for m in rx.finditer(t):
+                            s, e = m.span()
+                            if s < e:
+                                bounds += (s, e)
+                                covered.append(t[s:e])
+                                n += 1
+                                if len(covered) >= BATCH:
+                                    found += (i, k, n)
+                                    n = 0
+                                    yield made()
+                        if n:
+                            found += (i, k, n)
+            if covered:
+                yield made()
 
     kept = docs.select(*keep, text_col)
     schema = ", ".join(f"`{c}` {t}" for c, t in kept.select(*keep).dtypes) + ", label string, begin int, end int, text string, priority int"
@@ -283,8 +301,12 @@ def find_entities(docs: DataFrame, entities: DataFrame, keys: list[str] = DOC, t
     walks over it.  docs has a row a document; empty and null entities occur nowhere.
     """
 
-    @F.pandas_udf("array<struct<i int, begin int>>")
-    def places(texts: pd.Series, lists: pd.Series) -> pd.Series:
+    named = entities.where(F.length(entity_col) > 0)
+    lists = named.groupBy(*keys).agg(F.array_sort(F.collect_set(entity_col)).alias("__e"))
+    met = docs.select(*keys, F.col(text_col).alias("__t")).join(lists, keys).select(*keys, "__t", "__e")
+    k = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         built: dict[tuple, object] = {}
@@ -302,17 +324,36 @@ def find_entities(docs: DataFrame, entities: DataFrame, keys: list[str] = DOC, t
                 built[names] = a
             return built[names]
 
-        def one(text, names):
-            if not text or len(names) == 0:
-                return []
-            return [{"i": i, "begin": end - n + 1} for end, (which, n) in automaton(tuple(names)).iter(folded(text)) for i in which]
-
-        return pd.Series([one(t, e) for t, e in zip(texts, lists)], dtype=object)
-
-    named = entities.where(F.length(entity_col) > 0)
-    lists = named.groupBy(*keys).agg(F.array_sort(F.collect_set(entity_col)).alias("__e"))
-    found = docs.select(*keys, F.col(text_col).alias("__t")).join(lists, keys).select(*keys, "__e", F.explode(places("__t", "__e")).alias("__p"))
-    found = found.select(*keys, F.element_at("__e", F.col("__p.i") + 1).alias(entity_col), F.col("__p.begin").alias("begin"))
+        for b in batches:
+            place: list[int] = []
+            which: list[int] = []
+            begins: list[int] = []
+            lists = b.column(k + 1)
+
+            def made() -> pa.RecordBatch:
+                at = pa.array(place, pa.int32())
+                name = lists.values.take(pa.array(which, pa.int64()))
+                out = pa.RecordBatch.from_arrays([*(b.column(j).take(at) for j in range(k)), name, pa.array(begins, pa.int32())], names=[*keys, entity_col, "begin"])
+                for held in (place, which, begins):
+                    held.clear()
+                return out
+
+            first = lists.offsets.to_numpy()
+            for i, text in enumerate(b.column(k)):  # one text at a time
+                if not (text := text.as_py()):
+                    continue
+                for end, (names, n) in automaton(tuple(lists[i].as_py())).iter(folded(text)):
+                    for x in names:
+                        place.append(i)
+                        which.append(int(first[i]) + x)
+                        begins.append(end - n + 1)
+                    if len(place) >= BATCH:
+                        yield made()
+            if place:
+                yield made()
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in met.select(*keys).dtypes)
+    found = met.mapInArrow(run, f"{kinds}, `{entity_col}` string, begin int")
     return named.join(found, [*keys, entity_col]).withColumn("end", F.col("begin") + F.length(entity_col)).select(*entities.columns, "begin", "end")
 
 
