@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from spanlab.operators.spans import find_entities, keep_disjoint
 
 SEQ = ["doc_id"]
-#: Tokens that go on at once, beside the rest of their text.
-BATCH = 200_000
+#: Tokens that Python holds at once, beside one text and the batch it comes in.
+BATCH = 1 << 15
 
 
 def tokenize(docs: DataFrame, text_col: str = "text", keep: list[str] = SEQ, pattern: str = r"\w+|[^\w\s]", strip: bool = False) -> DataFrame:
@@ -24,32 +24,35 @@ def tokenize(docs: DataFrame, text_col: str = "text", keep: list[str] = SEQ, pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rx = re.compile(pattern)
         for b in batches:
-            place: list[int] = []
-            sizes: list[int] = []
+            place: list[int] = []  # text, its first token's number, how many
             tokens: list[str] = []
-            bounds: list[tuple[int, int]] = []
+            bounds: list[int] = []  # begin, end, begin, end
 
             def made() -> pa.RecordBatch:
-                n = np.array(sizes, np.int64)
-                ids = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at, ends = pa.array(np.repeat(np.array(place, np.int64), n)), np.array(bounds, np.int32).reshape(-1, 2)
-                cols = [*(b.column(k).take(at) for k in range(len(keep))), pa.array(ids, pa.int32()), pa.array(tokens, pa.string()), pa.array(ends[:, 0]), pa.array(ends[:, 1])]
-                out = pa.RecordBatch.from_arrays(cols, names=[*keep, "tok_id", "token", "begin", "end"])
-                for held in (place, sizes, tokens, bounds):
+                at, first, n = np.array(place, np.int64).reshape(-1, 3).T
+                ids = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+                row, ends = pa.array(np.repeat(at, n)), np.array(bounds, np.int32).reshape(-1, 2)
+                cols = [*(b.column(k).take(row) for k in range(len(keep))), pa.array(ids, pa.int32()), pa.array(tokens, pa.string()), pa.array(ends[:, 0]), pa.array(ends[:, 1])]
+                for held in (place, tokens, bounds):
                     held.clear()
-                return out
+                return pa.RecordBatch.from_arrays(cols, names=[*keep, "tok_id", "token", "begin", "end"])
 
-            for i, t in enumerate(b.column(len(keep)).to_pylist()):
-                if t:
+            for i, t in enumerate(b.column(len(keep))):  # one text at a time
+                if t := t.as_py():
                     t = t.strip() if strip else t
-                    here = [m.span() for m in rx.finditer(t)]
-                    place.append(i)
-                    sizes.append(len(here))
-                    bounds += here
-                    tokens += [t[s:e] for s, e in here]
-                    if len(tokens) >= BATCH:
-                        yield made()
-            yield made()
+                    first = n = 0
+                    for m in rx.finditer(t):
+                        bounds += m.span()
+                        tokens.append(m[0])
+                        n += 1
+                        if len(tokens) >= BATCH:
+                            place += (i, first, n)
+                            first, n = first + n, 0
+                            yield made()
+                    if n:
+                        place += (i, first, n)
+            if tokens:
+                yield made()
 
     d = docs.select(*keep, text_col)
     return d.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in d.select(*keep).dtypes) + ", tok_id int, token string, begin int, end int")

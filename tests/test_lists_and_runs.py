@@ -165,3 +165,27 @@ def test_label_filter_and_tabs(spark):
     assert rows(bag, "label", "n") == [("A", 2), ("A", 2), ("B", 2)]
     s = spark.createDataFrame([("d", "A", 0, 3, "a\tb")], "doc_id string, label string, begin int, end int, text string")
     assert sinks.brat_text(s, tabs=True).first().content == "T1\tA 0 3\ta b\n" and sinks.brat_text(s).first().content == "T1\tA 0 3\ta\tb\n"
+
+
+def test_matches_come_in_bounded_parts(spark, monkeypatch):
+    """What Python holds does not grow with a batch of documents: matches go out in parts of at most BATCH rows, one text over several."""
+    from spanlab.operators import spans as P
+    from spanlab.operators import tokens as K
+
+    monkeypatch.setattr(P, "BATCH", 50)
+    monkeypatch.setattr(K, "BATCH", 50)
+    docs = spark.createDataFrame([(i, "the 12 a " * n) for i, n in enumerate((0, 1, 70, 49, 3, 120))] + [(None, "the"), (9, None)], "doc_id long, text string").coalesce(1)
+    n = 1 + 70 + 49 + 3 + 120
+    spans = P.extract_spans(docs, [("the", "X", 1), ("[0-9]+", "N", 2)])
+    assert [spans.where(f"label = '{x}'").count() for x in "XN"] == [n + 1, n]
+    assert spans.where("text <> substring('the 12 a ', begin % 9 + 1, end - begin)").count() == 0
+    tokens = K.tokenize(docs)
+    assert {r.doc_id: (r.n, r.first, r.last, r.ids) for r in tokens.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("tok_id").alias("first"), F.max("tok_id").alias("last"), F.countDistinct("tok_id").alias("ids")).collect()} == {None: (1, 0, 0, 1)} | {i: (3 * k, 0, 3 * k - 1, 3 * k) for i, k in ((1, 1), (2, 70), (3, 49), (4, 3), (5, 120))}
+    found = P.find_entities(docs, docs.where("doc_id is not null").select("doc_id", F.explode(F.array(F.lit("THE"), F.lit("e 1"))).alias("entity")))
+    assert found.count() == 2 * n and found.where("begin % 9 <> if(entity = 'THE', 0, 2)").count() == 0
+    made = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, _: made.append((df, f)) or df)
+    P.extract_spans(docs, [("the", "X", 1), ("[0-9]+", "N", 2)])
+    K.tokenize(docs)
+    for df, f in made:
+        assert max(b.num_rows for b in f(iter(df.toArrow().combine_chunks().to_batches()))) == 50
