@@ -56,10 +56,15 @@ def _binned(spans: DataFrame, begin: str, end: str, width: int) -> DataFrame:
 
 
 def _met(g: DataFrame, p: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Pairs that can overlap: keys of at most FEW pairs meet at once, the others, whose number the planner measures, by bins."""
+    """Pairs that can overlap: keys of at most FEW pairs meet at once, the others by bins.
+
+    Whether there are others is counted first, as the plan for them shuffles both sides several times more.
+    """
     side = lambda df, a, b: df.select(*keys, F.lit(a).alias("__gn"), F.lit(b).alias("__pn"))
     sizes = side(g, 1, 0).unionByName(side(p, 0, 1)).groupBy(*keys).agg(F.sum("__gn").alias("__gn"), F.sum("__pn").alias("__pn"))
     crowded = sizes.where(F.col("__gn") * F.col("__pn") > FEW).select(*keys)
+    if crowded.isEmpty():
+        return g.join(p, keys)
     plain = g.join(crowded, keys, "left_anti").join(p, keys)
     return plain.unionByName(_near(g.join(crowded, keys, "left_semi"), p.join(crowded, keys, "left_semi"), keys, width))
 

@@ -201,3 +201,13 @@ def test_tokens_in_batches(spark, monkeypatch, batch, strip):
     got = K.tokenize(df, keep=["doc_id", "source"], strip=strip)
     assert [tuple(r) for r in got.collect()] == want
     assert K.tokenize(df.where("false")).count() == 0
+
+
+def test_few_spans_are_shuffled_once(spark, monkeypatch):
+    """Without crowded keys both sides are joined as they are; with them the same pairs come by bins."""
+    g = spark.createDataFrame([(d, "L", 10 * i, 10 * i + 9) for d in range(3) for i in range(5)], "doc_id int, label string, begin int, end int")
+    p = g.withColumns({"begin": F.col("begin") + 1, "end": F.col("end") + 1})
+    few = M.candidate_pairs(g, p, "min", 0.8, width=16)
+    assert few._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 2
+    monkeypatch.setattr(M, "FEW", 4)
+    assert sorted(few.collect()) == sorted(M.candidate_pairs(g, p, "min", 0.8, width=16).collect()) and few.count() == 15
