@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,23 +14,127 @@ from pyspark.sql import functions as F
 POLICIES = ("envelope", "first_fragment", "first_end", "all_fragments", "ignore_offsets")
 
 
+#: Files and bytes that a task which lists or reads files hands on at once.
+FILES, BYTES = 10_000, 8 << 20
+
+
+def _hidden(name: str) -> bool:
+    """As Spark's own listing leaves names out."""
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def _local_folder(spark: SparkSession, path: str, suffix: str) -> str | None:
+    """``path`` if it is a folder that tasks can list themselves; None for other file systems, patterns and single files."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    ours = full.startswith("file:/") and not re.search(r"[][*?{}\\]", full) and re.fullmatch(r"\w[\w.-]*", suffix)
+    folder = re.sub("^file:/+", "/", full)
+    return folder if ours and os.path.isdir(folder) else None
+
+
+def _deal(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows over all tasks: a row is a file or a folder to work on, so few bytes of rows are much work."""
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, F.xxhash64("raw"))
+
+
+def _files(spark: SparkSession, folder: str, suffix: str, recursive: bool) -> DataFrame:
+    """raw: the paths of a folder's files, as bytes.  Tasks list them: one the folder itself, others what is in its sub-folders."""
+    end = f".{suffix}".encode()
+
+    def entries(at: bytes, deep: bool) -> Iterator[tuple[bytes, bool]]:
+        with os.scandir(at) as found:
+            for e in found:
+                if _hidden(os.fsdecode(e.name)):
+                    continue
+                if not e.is_dir():
+                    if e.name.endswith(end) and e.stat().st_size:
+                        yield e.path, False
+                elif recursive or b"=" in e.name:  # partitions' folders, as Spark reads them
+                    if deep:
+                        yield from entries(e.path, True)
+                    else:
+                        yield e.path, True
+
+    def batched(rows: Iterator[tuple[bytes, bool]]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bool]] = []
+        for r in rows:
+            held.append(r)
+            if len(held) >= FILES:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], names=["raw", "folder"])
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], names=["raw", "folder"])
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in b.column(0):
+                yield from batched(entries(at.as_py(), False))
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from batched(x for raw, is_folder in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in (entries(raw, True) if is_folder else [(raw, False)]))
+
+    root = spark.range(1, numPartitions=1).select(F.lit(os.fsencode(folder)).alias("raw"))
+    first = root.mapInArrow(top, "raw binary, folder boolean")
+    return _deal(spark, first).mapInArrow(below, "raw binary, folder boolean").select("raw")
+
+
+def _contents(files: DataFrame) -> DataFrame:
+    """raw, content of files that tasks can open."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names: list[bytes] = []
+            texts: list[bytes] = []
+            size = 0
+            for raw in b.column(0).to_pylist():
+                with open(raw, "rb") as f:
+                    texts.append(f.read())
+                names.append(raw)
+                size += len(texts[-1])
+                if size >= BYTES or len(names) >= FILES:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(texts, pa.binary())], names=["raw", "content"])
+                    names, texts, size = [], [], 0
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(texts, pa.binary())], names=["raw", "content"])
+
+    return files.mapInArrow(read, "raw binary, content binary")
+
+
 def read_texts(spark: SparkSession, path: str, suffix: str = "txt", recursive: bool = False, keep_crlf: bool = False, corpus: str = "") -> DataFrame:
-    """One row per file: doc_id (the stem), corpus, text.  Bytes that are no UTF-8 become U+FFFD; hidden and backup files are left out."""
-    r = spark.read.option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", recursive)
-    rows = r.text(path, wholetext=True).select(_stem(suffix).alias("doc_id"), F.lit(corpus).alias("corpus"), F.col("value").alias("text"))
+    """One row per file: doc_id (the stem), corpus, text.  Bytes that are no UTF-8 become U+FFFD; hidden, backup and
+    empty files are left out.
+
+    Files in a folder of the local (shared) file system are listed and read by tasks, many to each; other places by Spark's own
+    reader, which lists on the driver.
+    """
+    folder = _local_folder(spark, path, suffix)
+    if folder is not None:
+        found = _contents(_deal(spark, _files(spark, folder, suffix, recursive)))
+        rows = found.select(_stem(F.col("raw").cast("string"), suffix).alias("doc_id"), F.lit(corpus).alias("corpus"), F.col("content").cast("string").alias("text"))
+    else:
+        r = spark.read.option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", recursive)
+        rows = r.text(path, wholetext=True).select(_stem(F.url_decode("_metadata.file_path"), suffix).alias("doc_id"), F.lit(corpus).alias("corpus"), F.col("value").alias("text"))
     return rows if keep_crlf else rows.withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
 
 
-def _stem(suffix: str) -> Column:
-    name = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
-    return F.regexp_replace(name, rf"\.{suffix}$", "")
+def _stem(path: Column, suffix: str) -> Column:
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), rf"\.{suffix}$", "")
 
 
 def list_documents(spark: SparkSession, path: str, suffix: str = "ann", recursive: bool = False, by: str = "stem") -> DataFrame:
-    """doc_id and path of every file; by ``stem`` or ``path``, as stems of sub-directories can collide.  File contents are not read."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", recursive).load(path).select("path")
-    name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), rf"\.{suffix}$", "")
-    return f.where(~F.startswith(F.regexp_extract("path", r"([^/]+)$", 1), F.lit("."))).select((name if by == "stem" else F.col("path")).alias("doc_id"), "path")
+    """doc_id and path of every file that is not empty; by ``stem`` or ``path``, as stems of sub-directories can collide.  File contents are not read.
+
+    Who lists them: see read_texts.
+    """
+    folder = _local_folder(spark, path, suffix)
+    if folder is not None:
+        f = _files(spark, folder, suffix, recursive).select(F.concat(F.lit("file:"), F.col("raw").cast("string")).alias("path"))
+    else:
+        f = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", recursive).load(path).select("path")
+        f = f.where(~F.startswith(F.regexp_extract("path", r"([^/]+)$", 1), F.lit(".")))
+    return f.select((_stem(F.col("path"), suffix) if by == "stem" else F.col("path")).alias("doc_id"), "path")
 
 
 def read_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:

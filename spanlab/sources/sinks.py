@@ -35,9 +35,8 @@ def write_documents(content: DataFrame, path: str, suffix: str = "ann") -> None:
     """
     from spanlab.sources import standoff
 
-    standoff.register(content.sparkSession)
     rows = content.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("string").alias("content"))
-    rows.write.format("brat").mode("append").option("suffix", suffix).save(path)
+    standoff.write_files(rows, path, suffix)
 
 
 def conll_text(tokens: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ rows of other labels.  Conditions are not pushed down: Spark 4.1 keeps what one
 same frame.  A document without spans gives no row, unless option ``empty`` asks for one with null fields.
 
 Writing: each task writes its files under <folder>/_staging/<job>, and the driver moves them to their names when all tasks
-have committed.  So a killed task, a second attempt or a failed job leaves no file.  The name of a file is its document's
+have committed.  So a killed task, a second attempt or a failed job leaves no file.  write_files does the same with tasks that
+move them, and tells the driver a task's folder instead of its files' names.  The name of a file is its document's
 id with %, /, control characters and a leading . or _ escaped, one to one; two rows of one id are an error, before anything is
 moved.  append replaces files of the same names and leaves others; overwrite removes the folder's other files of the suffix.
 Null content is an empty file; a null id is an error.
@@ -131,21 +132,47 @@ class BratWriter(DataSourceWriter):
     def _staged(self, folder: str) -> str:
         return f"{folder.rstrip('/')}/{STAGING}/{self.job}"
 
-    def write(self, rows: Iterator) -> Written:
+    def stage(self, rows: Iterator[tuple[str | None, str | None]]) -> tuple[str, set[str]]:
+        """Write the files of (doc_id, content) to a folder below the job's own; its name, and theirs."""
         store, folder = _store(self.path)
         mine = f"{self._staged(folder)}/{uuid.uuid4().hex}"  # an attempt's own, so attempts do not meet
         store.create_dir(mine, recursive=False)  # fails once the job has been aborted
         names: set[str] = set()
-        for r in rows:
-            if r.doc_id is None:
+        for doc_id, content in rows:
+            if doc_id is None:
                 raise ValueError("a document without an id has no file name")
-            name = file_name(str(r.doc_id), self.suffix)
+            name = file_name(str(doc_id), self.suffix)
             if name in names:
-                raise ValueError(f"two rows of document {r.doc_id!r}")
+                raise ValueError(f"two rows of document {doc_id!r}")
             with store.open_output_stream(f"{mine}/{name}") as f:
-                f.write((r.content or "").encode("utf-8", "replace"))
+                f.write((content or "").encode("utf-8", "replace"))
             names.add(name)
-        at = mine.rsplit("/", 1)[1]
+        return mine.rsplit("/", 1)[1], names
+
+    def staged(self, part: str) -> list[str]:
+        """The names of the files in a task's folder."""
+        from pyarrow import fs
+
+        store, folder = _store(self.path)
+        return [f.base_name for f in store.get_file_info(fs.FileSelector(f"{self._staged(folder)}/{part}"))]
+
+    def publish(self, part: str) -> int:
+        """Move a task's files to their names; a second attempt moves those that are left."""
+        from pyarrow import fs
+
+        store, folder = _store(self.path)
+        names = self.staged(part)
+        for n in names:
+            to = f"{folder.rstrip('/')}/{n}"
+            try:
+                store.move(f"{self._staged(folder)}/{part}/{n}", to)
+            except FileNotFoundError:  # another attempt has moved it
+                if store.get_file_info(to).type == fs.FileType.NotFound:
+                    raise
+        return len(names)
+
+    def write(self, rows: Iterator) -> Written:
+        at, names = self.stage((r.doc_id, r.content) for r in rows)
         return Written([f"{at}/{n}" for n in names])
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -211,6 +238,41 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BratSource)
 
 
+def write_files(content: DataFrame, path: str, suffix: str = "ann") -> None:
+    """One file a row (doc_id, content: strings) in the folder ``path``, whose other files stay.
+
+    Tasks write the files, look for names that occur twice, and then move the files; a task's folder is all the driver hears of.
+    """
+    import pyarrow as pa
+
+    spark, writer = content.sparkSession, BratWriter({"path": path, "suffix": suffix}, overwrite=False)
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, _ = writer.stage((i.as_py(), c.as_py()) for b in batches for i, c in zip(b.column(0), b.column(1)))
+        yield pa.RecordBatch.from_pydict({"part": [part]})
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in b.column(0):
+                yield pa.RecordBatch.from_pydict({"name": pa.array(writer.staged(part.as_py()), pa.string())})
+
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in b.column(0):
+                yield pa.RecordBatch.from_pydict({"n": [writer.publish(part.as_py())]})
+
+    try:
+        done = content.select("doc_id", "content").mapInArrow(stage, "part string").collect()  # a row a task
+        parts = spark.sparkContext.parallelize([(r.part,) for r in done], max(len(done), 1))
+        parts = spark.createDataFrame(parts, "part string")
+        twice = parts.mapInArrow(names, "name string").groupBy("name").count().where("count > 1").first()
+        if twice is not None:
+            raise ValueError(f"two rows of document {file_id(twice.name, suffix)!r}")
+        parts.mapInArrow(publish, "n long").agg({"n": "sum"}).collect()
+    finally:
+        writer.abort([])
+
+
 def read_spans(spark: SparkSession, path: str, **options) -> DataFrame:
     """The spans of a folder's files as rows of SPANS; options as above."""
     register(spark)

@@ -130,3 +130,17 @@ def test_bio_json_and_report(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "runs")).groupBy("run_id").count().count() == 2
     sinks.write_split(spark.createDataFrame([("a",), ("b",)], "doc_id string"), spark.createDataFrame([("a", "train"), ("b", "test")], "doc_id string, fold string"), str(tmp_path / "split"))
     assert spark.read.parquet(str(tmp_path / "split/fold=train")).count() == 1
+
+
+def test_many_small_files_take_few_tasks(spark, tmp_path):
+    """Folders of many files are listed and read by tasks, not by the driver, and a task has many of them."""
+    docs = spark.range(1500).selectExpr("cast(id AS string) AS doc_id", "concat('T1\tX 0 1\t', id) AS content").repartition(3)
+    for folder in ("a", "b"):
+        sinks.write_documents(docs, str(tmp_path / folder))
+    (tmp_path / "b" / "p+q.ann").write_bytes(b"x")
+    texts, names = brat.read_texts(spark, str(tmp_path), "ann", recursive=True), brat.list_documents(spark, str(tmp_path), recursive=True)
+    assert max(texts.rdd.getNumPartitions(), names.rdd.getNumPartitions()) <= 8
+    assert texts.agg(F.count("*"), F.countDistinct("doc_id")).first() == (3001, 1501) == names.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    assert rows(texts.where("doc_id in ('7', 'p+q')"), "doc_id", "text") == [("7", "T1\tX 0 1\t7")] * 2 + [("p+q", "x")]
+    assert {p.rsplit("/", 2)[1] for (p,) in rows(names, "path")} == {"a", "b"} and sorted(x.name for x in tmp_path.iterdir()) == ["a", "b"]
+    assert {x.name for x in (tmp_path / "a").iterdir()} == {f"{i}.ann" for i in range(1500)}
