@@ -59,10 +59,13 @@ def tokenize(docs: DataFrame, text_col: str = "text", keep: list[str] = SEQ, pat
 
 
 def offsets_of(tokens: DataFrame, keys: list[str] = SEQ, order: str = "tok_id") -> DataFrame:
-    """begin and end of each token in the text that joins them by one space."""
+    """begin and end of each token in the text that joins them by one space.
+
+    Lengths are taken before tokens are dealt by document, so a caller that needs no ``token`` shuffles none.
+    """
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("token") + 1).over(w) - 1
-    return tokens.withColumn("end", end).withColumn("begin", F.col("end") - F.length("token"))
+    t = tokens.withColumn("__n", F.length("token")).withColumn("end", F.sum("__n").over(w) + F.count("__n").over(w) - 1)
+    return t.withColumn("begin", F.col("end") - F.col("__n")).drop("__n")
 
 
 def _parts(tag: Column) -> tuple[Column, Column]:
@@ -219,9 +222,58 @@ def to_token_span(tokens: DataFrame, spans: DataFrame, keys: list[str] = SEQ, ca
 
 
 def to_char_span(spans: DataFrame, tokens: DataFrame, keys: list[str] = SEQ) -> DataFrame:
-    """Token spans (first, last) with begin and end characters."""
-    t = lambda i, c: tokens.select(*keys, F.col("tok_id").alias(i), F.col(c))
-    return spans.join(t("first", "begin"), [*keys, "first"]).join(t("last", "end"), [*keys, "last"])
+    """Token spans (first, last) with begin and end characters: keys, first, last, the spans' other columns, begin, end.
+
+    A document's tokens meet its spans once, as lists of numbers.  As in a join, spans without a first or last token, or of a
+    null key, are dropped, and where a token's id is repeated each of its places counts.
+    """
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(f"`{k}`").isNull()
+    key = F.struct(*(F.col(f"`{c}`") for c in keys)).alias("__k")  # dealt by no join or union before (see spans.together)
+    value = {c: tokens.schema[c].dataType for c in ("begin", "end")}
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NONE)).alias(f"__{c}")
+    token = tokens.where(~null & F.col("tok_id").isNotNull()).select(key, F.col("tok_id").cast("long").alias("__i"), number("begin"), number("end"))
+    rest = [c for c in spans.columns if c not in (*keys, "first", "last")]
+    order = [*keys, "first", "last", *rest]
+    span = spans.where(~null & F.col("first").isNotNull() & F.col("last").isNotNull()).select(key, F.col("first").cast("long").alias("__first"), F.col("last").cast("long").alias("__last"), F.struct(*(F.col(f"`{c}`") for c in order)).alias("__row"))
+    lists = ("__row", "__first", "__last", "__i", "__begin", "__end")
+    met = token.unionByName(span, allowMissingColumns=True).groupBy("__k").agg(*(F.collect_list(c).alias(c) for c in lists)).where(F.size("__row") > 0).drop("__k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch.column(0)
+            s_at, t_at = rows.offsets.to_numpy(), batch.column(3).offsets.to_numpy()
+            firsts, lasts, ids, begins, ends = (batch.column(c).values.to_numpy() for c in range(1, 6))
+            for x, y, v, w in zip(s_at, s_at[1:], t_at, t_at[1:]):
+                order = np.argsort(ids[v:w], kind="stable")
+                i, b, e = ids[v:w][order], begins[v:w][order], ends[v:w][order]
+                lo, hi = np.searchsorted(i, firsts[x:y], "left"), np.searchsorted(i, lasts[x:y], "left")
+                n_lo, n_hi = np.searchsorted(i, firsts[x:y], "right") - lo, np.searchsorted(i, lasts[x:y], "right") - hi
+                many = n_lo * n_hi
+                for p in _pieces(many):
+                    at = np.repeat(np.arange(p.start, p.stop), many[p])
+                    k = np.arange(len(at)) - np.repeat(np.cumsum(many[p]) - many[p], many[p])
+                    found = [b[lo[at] + k // n_hi[at]], e[hi[at] + k % n_hi[at]]]
+                    yield pa.RecordBatch.from_arrays([rows.values.take(pa.array(at + x)), *(pa.array(c, mask=c == NONE) for c in found)], names=["__row", "begin", "end"])
+
+    out = met.mapInArrow(run, f"__row {met.schema['__row'].dataType.elementType.simpleString()}, begin long, end long")
+    return out.select(*(F.col(f"__row.`{c}`").alias(c) for c in order), *(F.col(c).cast(t).alias(c) for c, t in value.items()))
+
+
+#: Stands for a place that is null.
+NONE = -(1 << 62)
+
+
+def _pieces(many: np.ndarray) -> Iterator[slice]:
+    """Spans whose rows come to about BATCH, a piece each."""
+    total, at = np.cumsum(many), 0
+    while at < len(many):
+        to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + BATCH, "right")), at + 1)
+        yield slice(at, to)
+        at = to
 
 
 def find_in_tokens(tokens: DataFrame, entities: DataFrame, keys: list[str] = SEQ) -> DataFrame:
