@@ -308,8 +308,13 @@ def sentence_starts(tokens: DataFrame, docs: DataFrame, keys: list[str] = SEQ, t
 
 
 def sentence_remap(spans: DataFrame, sentences: DataFrame, keys: list[str] = SEQ) -> DataFrame:
-    """Token spans in the sentence (sent_id, s_first, s_last) that holds a strict majority of their tokens, clipped and local; without one, dropped."""
-    j = spans.join(sentences, keys).where("first <= s_last and s_first <= last")
+    """Token spans in the sentence (sent_id, s_first, s_last) that holds a strict majority of their tokens, clipped and local; without one, dropped.
+
+    Both sides are dealt by a hash beside the key, so sentences that were multiplied where their documents lay are dealt anew, in
+    partitions by their own size, and not sorted in those of the documents.
+    """
+    dealt = lambda rows: rows.withColumn("__h", F.xxhash64(*keys))
+    j = dealt(spans).join(dealt(sentences), ["__h", *keys]).drop("__h").where("first <= s_last and s_first <= last")
     n = F.least("last", "s_last") - F.greatest("first", "s_first") + 1
     held = j.where(2 * n > F.col("last") - F.col("first") + 1)
     return held.withColumns({"local_first": F.greatest("first", "s_first") - F.col("s_first"), "local_last": F.least("last", "s_last") - F.col("s_first")}).drop("s_first", "s_last")

@@ -86,6 +86,17 @@ def test_char_spans_meet_tokens_once(spark, monkeypatch):
     assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
 
 
+def test_sentences_are_dealt_by_their_own_size(spark):
+    """Sentences that were multiplied after their documents had been dealt are dealt anew; null keys stay out."""
+    s = spark.range(40).selectExpr("if(id % 9 = 0, null, id % 7) AS doc_id", "cast(id AS int) AS first", "cast(id + 3 AS int) AS last")
+    t = s.select("doc_id").distinct().withColumn("sent_id", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumns({"s_first": F.col("sent_id") * 6, "s_last": F.col("sent_id") * 6 + 5})
+    got = K.sentence_remap(s, t.hint("merge"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(__h") == 2 and plan.count("Exchange hashpartitioning") == 3
+    want = sorted((i % 7, i, k, max(i, 6 * k) - 6 * k, min(i + 3, 6 * k + 5) - 6 * k) for i in range(40) if i % 9 for k in range(8) if 2 * (min(i + 3, 6 * k + 5) - max(i, 6 * k) + 1) > 4)
+    assert sorted(tuple(r) for r in got.select("doc_id", "first", "sent_id", "local_first", "local_last").collect()) == want
+
+
 def test_sentence_remap(spark):
     s = spark.createDataFrame([("d", 3, 6), ("d", 3, 5), ("d", 6, 8)], "doc_id string, first int, last int")
     t = spark.createDataFrame([("d", 0, 0, 4), ("d", 1, 5, 9)], "doc_id string, sent_id int, s_first int, s_last int")
