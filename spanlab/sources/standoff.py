@@ -21,6 +21,7 @@ Folders are paths or URIs that pyarrow's file systems open, shared by driver and
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -203,7 +204,7 @@ class BratWriter(DataSourceWriter):
         from pyarrow import fs
 
         source = self._staged(folder)
-        for left in range(3, 0, -1):  # tasks that are being killed may still write there
+        for left in range(50, 0, -1):  # tasks that are being killed may still write there
             if store.get_file_info(source).type == fs.FileType.NotFound:
                 break
             try:
@@ -211,6 +212,7 @@ class BratWriter(DataSourceWriter):
             except OSError:
                 if left == 1:
                     raise
+                time.sleep(0.1)
         parent = source.rsplit("/", 1)[0]
         if store.get_file_info(parent).type != fs.FileType.NotFound and not store.get_file_info(fs.FileSelector(parent)):
             store.delete_dir(parent)
