@@ -60,3 +60,16 @@ def test_stream(spark, tmp_path):
     q = in_batches(stream_spans(docs, [(r"\d+", "N", 1)]), lambda b, i: got.extend(b.collect()), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert [(r.doc_id, r.begin, r.end) for r in got] == [(1, 2, 4)]
+
+
+def test_prediction_cache_is_counted_where_it_is_read(spark, tmp_path):
+    """A document is one line of the cache, so what is read is not shuffled again; equal spans, equal and null begins are as in SQL."""
+    rows = [(1, 5, "A", 2.0), (1, 5, "A", 2.0), (1, 505, "A", 3.0), (1, 9, "N", 2.0), (2, 7, "R", 1.0), (3, None, "A", 4.0), (4, None, "A", 4.0), (4, 6, "A", 4.0)]
+    l = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_returnflag string, l_quantity double")  # noqa: E741
+    l.repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalog.queries()["prediction_cache"](spark, str(tmp_path))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(c.execute(catalog.oracle_sql()["prediction_cache"]).fetchall())
+    assert sorted(tuple(r) for r in got.collect()) == want == [("1", 3, 14), ("2", 1, 7), ("3", 1, None), ("4", 2, 6)]
