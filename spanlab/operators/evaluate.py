@@ -153,14 +153,15 @@ def split_counts(spans: DataFrame, split: DataFrame, relations: DataFrame | None
 
     spans have doc_id, label and, where it is known, a boolean ``negated``; documents in no fold are left out.
     """
-    one = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-    kinds = [one("label", F.col("label"))]
-    if "negated" in spans.columns:
-        kinds.append(F.when(F.col("negated"), one("negated", F.col("label"))))
-    rows = spans.select("doc_id", F.explode(F.filter(F.array(*kinds), lambda x: x.isNotNull())).alias("x"))
+    negated = F.coalesce("negated", F.lit(False)) if "negated" in spans.columns else F.lit(False)
+    rows = spans.select("doc_id", F.col("label").alias("key"), negated.alias("negated"), F.lit(False).alias("relation"))
     if relations is not None:
-        rows = rows.unionByName(relations.select("doc_id", one("relation", F.col("type")).alias("x")))
-    return rows.join(split.select("doc_id", "fold").distinct(), "doc_id").groupBy("fold", "x.kind", "x.key").agg(F.count("*").alias("n"))
+        rows = rows.unionByName(relations.select("doc_id", F.col("type").alias("key"), F.lit(False).alias("negated"), F.lit(True).alias("relation")))
+    # the split, a row a document, is what a task holds; spans and relations pass by it unsorted
+    held = split.select("doc_id", "fold").repartition("doc_id").distinct().hint("shuffle_hash")
+    counts = rows.join(held, "doc_id").groupBy("fold", "key", "negated", "relation").agg(F.count("*").alias("n"))
+    kinds = F.when(F.col("relation"), F.array(F.lit("relation"))).when(F.col("negated"), F.array(F.lit("label"), F.lit("negated"))).otherwise(F.array(F.lit("label")))
+    return counts.select("fold", F.explode(kinds).alias("kind"), "key", "n").groupBy("fold", "kind", "key").agg(F.sum("n").alias("n"))
 
 
 def first_rows(rows: DataFrame, by: list[Column | str], limit: int) -> DataFrame:

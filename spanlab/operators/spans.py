@@ -359,7 +359,9 @@ def find_entities(docs: DataFrame, entities: DataFrame, keys: list[str] = DOC, t
 
 def attach_attribute(spans: DataFrame, attributes: DataFrame, name: str, out: str, keys: list[str] = DOC) -> DataFrame:
     """spans with boolean ``out``: an attribute ``name`` is on the span and its value is not "false"."""
-    on = attributes.where(F.lower("name") == name.lower()).select(*keys, "tid", (F.coalesce(F.lower("value"), F.lit("")) != "false").alias(out)).groupBy(*keys, "tid").agg(F.max(out).alias(out))
+    # attributes that say "false" are as good as none; a task holds the others, once each, and spans pass by them unsorted
+    said = (F.lower("name") == name.lower()) & (F.coalesce(F.lower("value"), F.lit("")) != "false")
+    on = attributes.where(said).select(*keys, "tid").distinct().withColumn(out, F.lit(True)).hint("shuffle_hash")
     return spans.join(on, [*keys, "tid"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 

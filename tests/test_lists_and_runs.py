@@ -143,6 +143,26 @@ def test_split_counts(spark):
     ]
 
 
+def test_split_counts_sort_no_spans(spark):
+    """A task holds the split and the attributes, a row each, and spans are not sorted; null and repeated keys count as they did."""
+    lines = [(1, "T1\tA 0 1\tx"), (1, "T1\tB 2 3\ty"), (1, "T2\tA 4 5\tz"), (2, "T1\tA 0 1\tx"), (None, "T1\tA 0 1\tx"), (7, "T1\tA 0 1\tx"), (1, "R1\tQ Arg1:T1 Arg2:T2"),
+             (1, "A1\tNegated T1 true"), (1, "A2\tnegated T1 false"), (1, "M3\tNEGATED T1"), (1, "A4\tNegated T2 False"), (1, "A5\tOther T2 true"), (2, "A1\tNegated T9"), (None, "A1\tNegated T1")]
+    l = spark.createDataFrame(lines, "doc_id int, line string").withColumn("line_no", F.lit(0))  # noqa: E741
+    f = spark.createDataFrame([(1, "train"), (1, "train"), (1, "all"), (2, None), (None, "all"), (8, "all")], "doc_id int, fold string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        s = P.attach_attribute(brat.parse_spans(l), brat.parse_attributes(l), "Negated", "negated")
+        assert sorted((str(r.doc_id), r.tid, r.label, r.negated) for r in s.collect()) == [("1", "T1", "A", True), ("1", "T1", "B", True), ("1", "T2", "A", False), ("2", "T1", "A", False), ("7", "T1", "A", False), ("None", "T1", "A", False)]
+        n = E.split_counts(s.withColumn("label", F.when(F.col("label") != "B", F.col("label"))), f, brat.parse_relations(l))
+        plan = n._jdf.queryExecution().executedPlan().toString()
+        one = [("label", "A", 2), ("label", None, 1), ("negated", "A", 1), ("negated", None, 1), ("relation", "Q", 1)]
+        assert sorted(map(str, (tuple(r) for r in n.select("fold", "kind", "key", "n").collect()))) == sorted(map(str, [(x, *k) for x in ("train", "all") for k in one] + [(None, "label", "A", 1)]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "Sort" not in plan and plan.count("ShuffledHashJoin") == 2
+
+
 def test_first_rows(spark):
     d = spark.range(1000).selectExpr("id", "id % 7 AS x").repartition(6)
     got = [tuple(r) for r in E.first_rows(d, [F.desc("x"), "id"], 5).collect()]
