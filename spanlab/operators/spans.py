@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,16 +43,26 @@ def overlap_score(metric: str, gb, ge, pb, pe) -> Column:
     return F.when((g > 0) & (p > 0), score).otherwise(0.0)
 
 
+def compiled_rules(rules: list[tuple]) -> list[re.Pattern]:
+    """Expressions of the rules (pattern, label, priority[, flags]) of extract_spans."""
+    flags = [r[3] if len(r) > 3 and r[3] is not None else "iu" for r in rules]
+    return [re.compile(r[0], sum({"i": re.I, "u": re.U, "x": re.X, "s": re.S, "m": re.M}[f] for f in set(x))) for r, x in zip(rules, flags)]
+
+
+def bounds_of(rx: re.Pattern, text: str) -> np.ndarray:
+    """begin and end of every match as two columns of numbers; the matches themselves are not held."""
+    return np.fromiter(chain.from_iterable(m.span() for m in rx.finditer(text)), np.int32).reshape(-1, 2)
+
+
 def extract_spans(docs: DataFrame, rules: list[tuple], text_col: str = "text", keep: list[str] = DOC) -> DataFrame:
     """Every non-empty match of every rule (pattern, label, priority[, flags]); offsets are code points.
 
     Flags: i, u, x, s, m; i and u where none are given.  Rules are compiled once in each worker.
     """
-    rules = [(r[0], r[1], int(r[2]), (r[3] if len(r) > 3 and r[3] is not None else "iu")) for r in rules]
-    names, priorities = pa.array([r[1] for r in rules], pa.string()), np.array([r[2] for r in rules], np.int32)
+    names, priorities = pa.array([r[1] for r in rules], pa.string()), np.array([int(r[2]) for r in rules], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [re.compile(p, sum({"i": re.I, "u": re.U, "x": re.X, "s": re.S, "m": re.M}[f] for f in set(flags))) for p, _, _, flags in rules]
+        compiled = compiled_rules(rules)
         for b in batches:
             bounds: list[int] = []  # begin, end, begin, end
             covered: list[str] = []
@@ -185,6 +196,45 @@ def in_islands(rows: DataFrame, keys: list[str], begin: str, end: str, settle: C
     return order.mapInArrow(run, schema)
 
 
+def _walked(at: list[tuple]) -> list[int]:
+    """The rows that stay of sorted (island, order .., begin, end, row)."""
+    stay, now, begins, ends = [], None, [], []
+    for isle, *_, b, e, i in at:
+        if isle != now:
+            now, begins, ends = isle, [], []
+        place = bisect.bisect_left(begins, e)  # kept rows before ``place`` begin before this one ends
+        if not place or ends[place - 1] <= b:
+            begins.insert(place, b)
+            ends.insert(place, e)
+            stay.append(i)
+    return stay
+
+
+def disjoint(order: list[np.ndarray], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """keep_disjoint within one document, over numbers: which spans stay."""
+    by = np.lexsort((end, begin))
+    new = np.ones(len(by), bool)
+    new[1:] = begin[by][1:] >= np.maximum.accumulate(end[by])[:-1]
+    island = np.cumsum(new) - 1
+    several = np.bincount(island)[island] > 1
+    crowd = by[several]
+    keep = np.ones(len(by), bool)
+    keep[crowd] = False
+    keep[_walked(sorted(zip(island[several].tolist(), *(c[crowd].tolist() for c in (*order, begin, end)), crowd.tolist())))] = True
+    return keep
+
+
+def resolved_bounds(texts: list[str], compiled: list[re.Pattern], priority: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """extract_spans and resolve_overlaps within one document: begins, ends and rules' numbers.  rank: the rules' places by label."""
+    found = [bounds_of(rx, t) for t in texts for rx in compiled]
+    rule = np.repeat(np.arange(len(found)) % max(len(compiled), 1), [len(x) for x in found])
+    b, e = np.concatenate([np.empty((0, 2), np.int32), *found]).T
+    some = b < e
+    b, e, rule = b[some], e[some], rule[some]
+    stay = disjoint([-priority[rule], b - e, b, rank[rule]], b, e)
+    return b[stay], e[stay], rule[stay]
+
+
 def keep_disjoint(rows: DataFrame, keys: list[str], order: list[Column], begin: str = "begin", end: str = "end") -> DataFrame:
     """The rows that stay when each in turn, by order, is dropped if it overlaps one that has stayed.
 
@@ -200,15 +250,7 @@ def keep_disjoint(rows: DataFrame, keys: list[str], order: list[Column], begin:
         if len(crowd):
             part = t.take(pa.array(crowd))
             at = sorted(zip(island[crowd].tolist(), *(part.column(c).to_pylist() for c in names), part.column(begin).to_pylist(), part.column(end).to_pylist(), crowd.tolist()))
-            now, begins, ends = None, [], []
-            for isle, *_, b, e, i in at:
-                if isle != now:
-                    now, begins, ends = isle, [], []
-                place = bisect.bisect_left(begins, e)  # kept rows before ``place`` begin before this one ends
-                if not place or ends[place - 1] <= b:
-                    begins.insert(place, b)
-                    ends.insert(place, e)
-                    keep[i] = True
+            keep[_walked(at)] = True
         out = t.select(kept).filter(pa.array(keep)).combine_chunks()
         return out.to_batches()[0] if out.num_rows else pa.RecordBatch.from_pylist([], out.schema)
 

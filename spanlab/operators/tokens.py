@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlab.operators.spans import find_entities, keep_disjoint
+from spanlab.operators.spans import bounds_of, compiled_rules, find_entities, keep_disjoint, resolved_bounds, together
 
 SEQ = ["doc_id"]
 #: Tokens that Python holds at once, beside one text and the batch it comes in.
 BATCH = 1 << 15
+#: Words and single symbols.
+PATTERN = r"\w+|[^\w\s]"
 
 
-def tokenize(docs: DataFrame, text_col: str = "text", keep: list[str] = SEQ, pattern: str = r"\w+|[^\w\s]", strip: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, text_col: str = "text", keep: list[str] = SEQ, pattern: str = PATTERN, strip: bool = False) -> DataFrame:
     """One row per token: keep, tok_id from 0, token, begin, end (code points, half open).  strip: offsets after trimming."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +142,7 @@ class _Around:
 def _of(a: np.ndarray, i: np.ndarray, none: int) -> np.ndarray:
     """a at places i; ``none`` where there is no such place."""
     ok = (i >= 0) & (i < len(a))
-    return np.where(ok, a[np.clip(i, 0, max(len(a) - 1, 0))], none) if len(a) else np.full(len(i), none)
+    return np.where(ok, a.take(i, mode="clip"), none) if len(a) else np.full(len(i), none)
 
 
 FAR = 1 << 40
@@ -156,20 +160,32 @@ def _holding(b: np.ndarray, e: np.ndarray, ids: np.ndarray, p: np.ndarray, q: np
     return [pa.array(_of(ids, i, 0), pa.int32(), mask=~ok) for i in (x.at, x.before)]
 
 
-def _cascaded(b: np.ndarray, e: np.ndarray, ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[pa.Array]:
+#: What the cascade tries, one after the other.
+HOW = pa.array(["strict", "expand", "contract", "overlap", "nearest"])
+
+
+def _cascade(b: np.ndarray, e: np.ndarray, ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place in HOW, first and last token of spans; of use only where there are tokens."""
     x = _Around(b, e, p, q)
     head, tail = _of(e, x.at, -FAR) > p, _of(e, x.before, -FAR) >= q
     strict = (_of(b, x.at, -FAR) == p) & (_of(e, x.before, -FAR) == q)
-    both, inside, meets = strict | (head & tail), x.next <= x.done, x.touch <= x.before
-    off = np.stack([np.minimum(np.abs(_of(b, i, FAR * 4) - p), np.abs(_of(e, i, FAR * 4) - q)) for i in (x.at, x.next, x.done, x.over)])
-    who = np.stack([_of(ids.astype(np.int64), i, FAR) for i in (x.at, x.next, x.done, x.over)])
-    near = np.where(off == off.min(axis=0), who, FAR).min(axis=0)
-    cases = [strict, both, inside, meets]
-    how = np.select(cases, ["strict", "expand", "contract", "overlap"], "nearest")
-    first = np.select(cases, [_of(ids, i, 0) for i in (x.at, x.at, x.next, x.touch)], near)
-    last = np.select(cases, [_of(ids, i, 0) for i in (x.before, x.before, x.done, x.before)], near)
-    none = np.full(len(p), x.n == 0)
-    return [pa.array(how.astype(object), pa.string(), mask=none), *(pa.array(np.where(none, 0, c), pa.int32(), mask=none) for c in (first, last))]
+    cases = [strict, strict | (head & tail), x.next <= x.done, x.touch <= x.before]
+    near = np.zeros(len(p), np.int64)
+    if len(far := np.flatnonzero(~np.logical_or.reduce(cases))):
+        around = [i[far] for i in (x.at, x.next, x.done, x.over)]
+        off = np.stack([np.minimum(np.abs(_of(b, i, FAR * 4) - p[far]), np.abs(_of(e, i, FAR * 4) - q[far])) for i in around])
+        who = np.stack([_of(ids.astype(np.int64), i, FAR) for i in around])
+        near[far] = np.where(off == off.min(axis=0), who, FAR).min(axis=0)
+    how, first, last = np.full(len(p), len(cases)), near, near
+    for k, (i, j) in reversed([*enumerate(zip((x.at, x.at, x.next, x.touch), (x.before, x.before, x.done, x.before)))]):
+        how, first, last = (np.where(cases[k], v, rest) for v, rest in ((k, how), (_of(ids, i, 0), first), (_of(ids, j, 0), last)))
+    return how, first, last
+
+
+def _cascaded(b: np.ndarray, e: np.ndarray, ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[pa.Array]:
+    how, first, last = _cascade(b, e, ids, p, q)
+    none = np.full(len(p), not len(b))
+    return [HOW.take(pa.array(how, mask=none)), *(pa.array(np.where(none, 0, c), pa.int32(), mask=none) for c in (first, last))]
 
 
 def _placed(tokens: DataFrame, spans: DataFrame, keys: list[str], place: Callable, columns: str) -> DataFrame:
@@ -227,6 +243,127 @@ def to_char_span(spans: DataFrame, tokens: DataFrame, keys: list[str] = SEQ) ->
     return spans.join(t("first", "begin"), [*keys, "first"]).join(t("last", "end"), [*keys, "last"])
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[str]]]:
+    """Key (Arrow scalars) and texts of one document after the other, from rows sorted by key whose last column is the text."""
+    key: tuple = ()
+    texts: list[str] = []
+    for b in batches:
+        *at, text = b.columns
+        for i in range(b.num_rows):
+            now = tuple(c[i] for c in at)
+            if texts and now != key:
+                yield key, texts
+                texts = []
+            key = now
+            texts.append(text[i].as_py())
+    if texts:
+        yield key, texts
+
+
+def _texts(docs: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """Texts that are not empty, those of a key together: all that is shuffled for work on whole documents."""
+    return together(docs.select(*keys, text_col).where(F.length(text_col) > 0), keys, text_col)
+
+
+def _cut(text: str, piece: re.Pattern, edge: re.Pattern) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """tokenize's begins, ends and tokens of one text, a bounded number at once.
+
+    Tokens and the white space between them (``piece``) are all of a text, so their lengths give the places.  A part ends
+    before a character that is in no word (``edge``).
+    """
+    at = 0
+    while at < len(text):
+        stop = edge.search(text, at + BATCH)
+        pieces = piece.findall(text, at, stop.start() if stop else len(text))
+        size = np.fromiter(map(len, pieces), np.int32, len(pieces))
+        end = at + np.cumsum(size, dtype=np.int32)
+        at = int(end[-1])
+        token = ~np.fromiter(map(str.isspace, pieces), bool, len(pieces))
+        yield (end - size)[token], end[token], [*compress(pieces, token)]
+
+
+def _cutter() -> tuple[re.Pattern, re.Pattern]:
+    return re.compile(rf"{PATTERN}|\s+"), re.compile(r"\W")
+
+
+def _token_places(texts: list[str], cutter: tuple[re.Pattern, re.Pattern], words: list[pa.Array] | None = None) -> tuple[np.ndarray, tuple]:
+    """Tokens of one document: their ids, and (begins, ends, ids) by begin.  ``words``: gets the tokens, text by text."""
+    begins, ends, ids = ([np.empty(0, np.int32)] for _ in range(3))
+    for t in texts:
+        n = 0
+        for b, e, w in _cut(t, *cutter):
+            begins.append(b)
+            ends.append(e)
+            ids.append(np.arange(n, n + len(b), dtype=np.int32))
+            n += len(b)
+            if words is not None:
+                words.append(pa.array(w, pa.string()))
+    b, e, i = map(np.concatenate, (begins, ends, ids))
+    if len(texts) == 1:
+        return i, (b, e, i)
+    order = np.argsort(b, kind="stable")
+    return i, (b[order], e[order], i[order])
+
+
+def _labels(rules: list[tuple]) -> tuple[list, np.ndarray, np.ndarray]:
+    """Labels of rules, their priorities, and the labels' places in sorted order, null first."""
+    labels, priority = [r[1] for r in rules], np.array([int(r[2]) for r in rules], np.int64)
+    place = {x: i for i, x in enumerate(sorted(set(labels), key=lambda x: (x is not None, x or "")))}
+    return labels, priority, np.array([place[x] for x in labels], np.int64)
+
+
+def rule_samples(docs: DataFrame, rules: list[tuple], keys: list[str] = SEQ, text_col: str = "text") -> DataFrame:
+    """keys, tokenized_text, ner (first, last, label) of every document that has a token; ner is null where a key is.
+
+    What sinks.sample_json makes of tokenize, extract_spans, resolve_overlaps and to_token_span's cascade, a whole document at a
+    time: its text is shuffled, neither its tokens nor its spans.  A task holds BATCH tokens or one document, as Arrow and numbers.
+    """
+    labels, priority, rank = _labels(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, compiled, names = _cutter(), compiled_rules(rules), pa.array(labels, pa.string())
+        place: list[tuple] = []  # key, how many tokens, spans' firsts, lasts and rules
+        words: list[pa.Array] = []
+        held = 0
+
+        def made() -> pa.RecordBatch:
+            found, n, first, last, rule = zip(*place)
+            at = np.cumsum([0, *map(len, first)], dtype=np.int32)
+            ner = pa.StructArray.from_arrays([pa.array(np.concatenate(first), pa.int32()), pa.array(np.concatenate(last), pa.int32()), names.take(pa.array(np.concatenate(rule)))], ["first", "last", "label"])
+            none = pa.array([not all(x.is_valid for x in k) for k in found])
+            cols = [
+                *(pa.array(c, c[0].type) for c in zip(*found)), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n], dtype=np.int32)), pa.concat_arrays(words)),
+                pa.ListArray.from_arrays(pa.array(at), ner, mask=none),
+            ]
+            place.clear()
+            words.clear()
+            return pa.RecordBatch.from_arrays(cols, names=[*keys, "tokenized_text", "ner"])
+
+        for key, texts in _documents(batches):
+            cut: list[pa.Array] = []
+            ids, (b, e, i) = _token_places(texts, cutter, cut)
+            if not len(ids):
+                continue
+            p, q, rule = resolved_bounds(texts, compiled, priority, rank)
+            _, first, last = _cascade(b, e, i, p, q)
+            order = np.lexsort((rank[rule], last, first))
+            place.append((key, len(ids), first[order], last[order], rule[order]))
+            if len(texts) > 1:
+                one = pa.table({"i": ids, "w": pa.concat_arrays(cut)})
+                cut = [one["w"].combine_chunks().take(pc.sort_indices(one, sort_keys=[("i", "ascending"), ("w", "ascending")]))]
+            words += cut
+            held += len(ids)
+            if held >= BATCH:
+                held = 0
+                yield made()
+        if place:
+            yield made()
+
+    rows = _texts(docs, keys, text_col)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keys).dtypes)
+    return rows.mapInArrow(run, f"{kinds}, tokenized_text array<string>, ner array<struct<first:int,last:int,label:string>>")
+
+
 def find_in_tokens(tokens: DataFrame, entities: DataFrame, keys: list[str] = SEQ) -> DataFrame:
     """entities (keys, entity, more) with first and last token of each occurrence in the tokens joined by one space.
 

@@ -949,7 +949,5 @@ def conll_writer(spark, d):
 
 @query()
 def sample_json(spark, d):
-    docs = _docs(spark, d)
-    t = K.tokenize(docs)
-    s = K.to_token_span(t, P.resolve_overlaps(P.extract_spans(docs, RULES)), cascade=True)
-    return sinks.sample_json(t, s).select("doc_id", F.sha2("json", 256).alias("sha256"))
+    """Training samples of documents: their tokens, and rule spans as tokens."""
+    return sinks.json_of_samples(K.rule_samples(_docs(spark, d), RULES)).select("doc_id", F.sha2("json", 256).alias("sha256"))

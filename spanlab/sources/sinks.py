@@ -49,8 +49,14 @@ def conll_text(tokens: DataFrame) -> DataFrame:
 def sample_json(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, json: tokenized_text and ner [first, last, label] of every document, for training tools."""
     t = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("tok_id", "token"))).getField("token").alias("tokenized_text"))
-    n = spans.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "last", "label"))), lambda x: F.array(x["first"].cast("string"), x["last"].cast("string"), x["label"])).alias("ner"))
-    j = t.join(n, "doc_id", "left").withColumn("ner", F.coalesce("ner", F.array().cast("array<array<string>>")))
+    n = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last", "label"))).alias("ner"))
+    return json_of_samples(t.join(n, "doc_id", "left"))
+
+
+def json_of_samples(samples: DataFrame) -> DataFrame:
+    """sample_json of documents that are whole: doc_id, tokenized_text and sorted ner (first, last, label), null for none (see tokens.rule_samples)."""
+    ner = F.transform("ner", lambda x: F.array(x["first"].cast("string"), x["last"].cast("string"), x["label"]))
+    j = samples.withColumn("ner", F.coalesce(ner, F.array().cast("array<array<string>>")))
     return j.select("doc_id", F.to_json(F.struct("tokenized_text", "ner", F.col("doc_id").cast("string").alias("_source"))).alias("json"))
 
 
