@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlab.operators.spans import bounds_of, compiled_rules, find_entities, keep_disjoint, resolved_bounds, together
+from spanlab.operators.spans import compiled_rules, disjoint, find_entities, keep_disjoint, resolved_bounds, together
 
 SEQ = ["doc_id"]
 #: Tokens that Python holds at once, beside one text and the batch it comes in.
@@ -364,6 +364,38 @@ def rule_samples(docs: DataFrame, rules: list[tuple], keys: list[str] = SEQ, tex
     return rows.mapInArrow(run, f"{kinds}, tokenized_text array<string>, ner array<struct<first:int,last:int,label:string>>")
 
 
+def rule_tag_counts(docs: DataFrame, rules: list[tuple], keys: list[str] = SEQ, text_col: str = "text") -> DataFrame:
+    """tag, n: how many tokens have each tag by tokenize, extract_spans, resolve_overlaps and bio_tags_longest; all O where a key is null.
+
+    A whole document at a time, as rule_samples; a task sends a row a tag.
+    """
+    labels, priority, rank = _labels(rules)
+    names, named = ["O", *(f"{x}-{label}" for label in labels for x in "BI")], np.array([x is not None for x in labels], bool)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, compiled = _cutter(), compiled_rules(rules)
+        counts = np.zeros(len(names), np.int64)
+        for key, texts in _documents(batches):
+            ids, (b, e, i) = _token_places(texts, cutter)
+            counts[0] += len(ids)
+            if not len(ids) or not all(x.is_valid for x in key):
+                continue
+            p, q, rule = resolved_bounds(texts, compiled, priority, rank)
+            x = _Around(b, e, p, q)
+            first, last = _of(i, x.touch, 0), _of(i, x.before, 0)
+            on = np.flatnonzero((x.touch <= x.before) & (first <= last))
+            on = on[disjoint([(p - q)[on], p[on], rank[rule[on]]], first[on], last[on] + 1)]
+            on = on[named[rule[on]]]
+            upto = np.cumsum(np.concatenate([[0], np.bincount(ids)]))  # tokens of lesser ids; texts of one key share ids
+            for part, n in ((1, upto[first[on] + 1] - upto[first[on]]), (2, upto[last[on] + 1] - upto[first[on] + 1])):
+                np.add.at(counts, 2 * rule[on] + part, n)
+                counts[0] -= n.sum()
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in some], pa.string()), pa.array(counts[some])], names=["tag", "n"])
+
+    return _texts(docs, keys, text_col).mapInArrow(run, "tag string, n long").groupBy("tag").agg(F.sum("n").alias("n"))
+
+
 def find_in_tokens(tokens: DataFrame, entities: DataFrame, keys: list[str] = SEQ) -> DataFrame:
     """entities (keys, entity, more) with first and last token of each occurrence in the tokens joined by one space.
 

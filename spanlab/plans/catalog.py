@@ -723,10 +723,7 @@ def sentence_breaks(spark, d):
 @query()
 def token_spans(spark, d):
     """Tokens of documents under rule spans, as BIO tag counts."""
-    docs = _docs(spark, d)
-    t = K.tokenize(docs)
-    s = P.resolve_overlaps(P.extract_spans(docs, RULES))
-    return K.bio_tags_longest(t, s).groupBy("tag").agg(F.count("*").alias("n"))
+    return K.rule_tag_counts(_docs(spark, d), RULES)
 
 
 # --- splits and tables -------------------------------------------------------------------------------------------

@@ -46,6 +46,18 @@ def test_samples_shuffle_texts_only(spark):
     assert exchanges(catalog.queries()["sample_json"](spark, "/root/testdata/sf0.001")) == 1
 
 
+def test_tag_counts(spark, docs):
+    tags = lambda rules: K.bio_tags_longest(K.tokenize(docs), P.resolve_overlaps(P.extract_spans(docs, rules))).groupBy("tag").count()
+    got = K.rule_tag_counts(docs, RULES)
+    assert got.dtypes == [("tag", "string"), ("n", "bigint")] and rows(got) == rows(tags(RULES)) and len(rows(got)) > 8
+    assert rows(K.rule_tag_counts(docs, [])) == rows(tags([])) and K.rule_tag_counts(docs.where("false"), RULES).count() == 0
+    assert rows(K.rule_tag_counts(docs, [("abc", "PART", 1), ("d e", "PART", 2)])) == rows(tags([("abc", "PART", 1), ("d e", "PART", 2)]))
+
+
+def test_tag_counts_shuffle_texts_only(spark):
+    assert exchanges(catalog.queries()["token_spans"](spark, "/root/testdata/sf0.001")) == 2  # texts, and a row a tag and task
+
+
 @pytest.mark.parametrize("batch", [1, 7, 100_000])
 def test_long_texts_are_cut_in_parts(monkeypatch, batch):
     """Tokens of a text come in parts that are cut before a character of no word, and are those of one walk."""
